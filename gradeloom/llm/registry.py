@@ -4,20 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import decontaminate, exact_dedup, ngram_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item it holds 0.8 or more of, by 5-word shingles."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all documents, from the streaming state."""
+    found = exact_dedup.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose distinct 3-word shingles have a Jaccard similarity of 0.9 or more, as components."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
-_QUERIES = {f.__name__: f for f in (op9_ngram_jaccard_join,)}
-_ORACLES: dict[str, str] = {}
+_QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_exact_dedup, op9_ngram_jaccard_join)}
+_ORACLES: dict[str, str] = {
+    "op3_exact_dedup": """
+WITH folded AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded FROM documents
+), grouped AS (
+  SELECT folded, max(doc_id) AS keep_id, count(*) AS group_size FROM folded GROUP BY folded
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(folded) AS text_sha256 FROM folded JOIN grouped USING (folded)
+""",
+}
 
 
 def queries() -> dict:
