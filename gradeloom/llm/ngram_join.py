@@ -4,9 +4,11 @@
    hold are summed over the corpus. At most ``MAX_HINTS`` of them (a share of the sum that no more
    can reach) are kept. They only order tokens, common ones last, and never decide a result.
 2. *Postings.* Sets that link must share one of their first ``n - ceil(t n) + 1`` tokens in that
-   order. Each task first joins the sets it sees itself, so a token leaves a task once however many
-   documents hold it; the postings are shuffled by token and chained between sets of fitting sizes.
-   The components of the chains are *blocks*: no link crosses one.
+   order. A task chains long runs of sets that share a token itself and sends one posting for the
+   run, so a token leaves a task a bounded number of times however many documents hold it. Postings
+   are shuffled by token; pairs of a short run are kept if sizes and hash-class counts (a bound on
+   how far the sets differ) allow a link, long runs are chained. The components of what is left are
+   *blocks*: no link crosses one.
 3. *Trees.* Each block, in chunks of bounded token count, is searched by a dual traversal of
    signature trees (``signature_tree``). Where a block has several chunks, one set of each component
    found so far is searched first; after that only chunk pairs that are not yet one component are
@@ -33,6 +35,7 @@ MAX_HINTS = 1 << 17
 HINT_TOKENS = 1 << 22
 MAX_BROADCAST_NODES = 1 << 21
 CHUNK_SETS = 2048
+MAX_RUN = 32
 CHUNK_TOKENS = 2_000_000
 
 
@@ -84,34 +87,90 @@ def _prefix(tokens: np.ndarray, hints: dict[str, np.ndarray], num: int, den: int
     return tokens[:length]
 
 
+def _counts(tokens: np.ndarray) -> np.ndarray:
+    """How many tokens fall into each of ``m`` hash classes, at most 255; m is a power of two near n / 8."""
+    m = 1 << min(11, max(4, len(tokens).bit_length() - 3))
+    return np.minimum(np.bincount((tokens & np.uint64(m - 1)).astype(np.int64), minlength=m), 255).astype(np.uint8)
+
+
+def _fits(n_a: int, n_b: int, a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether sets with these sizes and class counts can link: class counts of sets that link differ,
+    summed, by no more than the sets do, ``(den - num) / (den + num)`` of their sizes together."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if len(a) < len(b):
+        if b.max() == 255:
+            return True
+        b = b.reshape(-1, len(a)).sum(axis=0, dtype=np.int64)
+        b = np.minimum(b, 255)
+    apart = int(np.abs(a.astype(np.int64) - b).sum())
+    return (den + num) * apart <= (den - num) * (n_a + n_b)
+
+
+def _pairs_or_chain(token: np.ndarray, low: np.ndarray, high: np.ndarray, coarse: np.ndarray, num: int, den: int):
+    """Index pairs of postings sorted by (token, low): all of a short run, neighbours of a long one.
+
+    Returns both ends and whether the pair stands as it is: pairs of two single sets in a short run may
+    still be ruled out by their class counts, all other edges stand for whole runs.
+    """
+    head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    length = np.diff(np.append(head, len(token)))
+    of = np.repeat(np.arange(len(head)), length)
+    top = np.maximum.accumulate(high + of * (1 << 40)) - of * (1 << 40)
+    p, q, stands = [], [], []
+    for gap in range(1, MAX_RUN):
+        i = np.arange(max(0, len(token) - gap))
+        i = i[(of[i] == of[i + gap]) & (length[of[i]] <= MAX_RUN)]
+        if not len(i):
+            break
+        i = i[high[i] * den >= low[i + gap] * num]
+        p.append(i)
+        q.append(i + gap)
+        stands.append(coarse[i] | coarse[i + gap])
+    i = np.arange(max(0, len(token) - 1))
+    i = i[(of[i] == of[i + 1]) & (length[of[i]] > MAX_RUN)]
+    i = i[top[i] * den >= low[i + 1] * num]
+    p.append(i)
+    q.append(i + 1)
+    stands.append(np.ones(len(i), bool))
+    return np.concatenate(p), np.concatenate(q), np.concatenate(stands)
+
+
+_POSTING = "token long, low long, high long, node long, other long, coarse boolean, counts binary"
+
+
+def _posting_batch(**columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    kinds = {"token": pa.int64(), "low": pa.int64(), "high": pa.int64(), "node": pa.int64(), "other": pa.int64(), "coarse": pa.bool_(), "counts": pa.binary()}
+    return pa.record_batch([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
+
+
 def _postings(docs: DataFrame, hints, width: int, num: int, den: int, separators: np.ndarray) -> DataFrame:
-    """``(token, low, high, node, other)``: a posting for a run of linked sizes, or (token null) an edge."""
+    """Three kinds of rows. With a token: a posting, of one set or (coarse) of a long run of sets that
+    the task holds itself. With ``other``: an edge of such a run. With counts: a set's size and classes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(seen):
             nodes = np.array(list(seen), np.int64)
-            sizes = np.array([len(s) for s, _ in seen.values()], np.int64)
-            parts = [p for _, p in seen.values()]
+            sizes = np.array([x[0] for x in seen.values()], np.int64)
+            parts = [x[1] for x in seen.values()]
+            yield _posting_batch(node=nodes, low=sizes, counts=[x[2].tobytes() for x in seen.values()])
             token = np.concatenate(parts)
             at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             order = np.lexsort((sizes[at], token))
             token, at = token[order], at[order]
-            same = np.zeros(len(token), bool)
-            same[1:] = (token[1:] == token[:-1]) & (sizes[at[:-1]] * den >= sizes[at[1:]] * num)
-            head = np.flatnonzero(~same)
-            last = np.append(head[1:], len(token)) - 1
-            tied = np.flatnonzero(same)
-            pairs = np.unique(np.stack([at[tied - 1], at[tied]]), axis=1) if len(tied) else np.empty((2, 0), np.int64)
-            n, m = len(head), pairs.shape[1]
-            yield pa.record_batch(
-                [
-                    pa.array(np.append(token[head].view(np.int64), np.zeros(m, np.int64)), mask=np.arange(n + m) >= n),
-                    pa.array(np.append(sizes[at[head]], np.zeros(m, np.int64))),
-                    pa.array(np.append(sizes[at[last]], np.zeros(m, np.int64))),
-                    pa.array(np.append(nodes[at[head]], nodes[pairs[0]])),
-                    pa.array(np.append(np.zeros(n, np.int64), nodes[pairs[1]]), mask=np.arange(n + m) < n),
-                ],
-                names=["token", "low", "high", "node", "other"],
+            size = sizes[at]
+            head = np.append(True, (token[1:] != token[:-1]) | (size[:-1] * den < size[1:] * num))
+            start = np.flatnonzero(head)
+            length = np.diff(np.append(start, len(token)))
+            long = length > MAX_RUN
+            inner = np.flatnonzero(~head & np.repeat(long, length))
+            if len(inner):
+                ties = np.unique(np.stack([at[inner - 1], at[inner]]), axis=1)
+                yield _posting_batch(node=nodes[ties[0]], other=nodes[ties[1]])
+            keep = head | ~np.repeat(long, length)
+            top = np.where(np.repeat(long, length), size[np.repeat(start + length - 1, length)], size)
+            yield _posting_batch(
+                token=token[keep].view(np.int64), low=size[keep], high=top[keep], node=nodes[at[keep]], coarse=np.repeat(long, length)[keep]
             )
 
         seen, held = {}, 0
@@ -119,7 +178,7 @@ def _postings(docs: DataFrame, hints, width: int, num: int, den: int, separators
             for tokens in sets:
                 if len(tokens) and (node := set_digest(tokens)[0]) not in seen:
                     first = _prefix(tokens, hints, num, den)
-                    seen[node] = (np.empty(len(tokens), np.uint8), first)
+                    seen[node] = (len(tokens), first, _counts(tokens))
                     held += len(first)
             if held > HINT_TOKENS // 4:
                 yield from flush(seen)
@@ -127,62 +186,122 @@ def _postings(docs: DataFrame, hints, width: int, num: int, den: int, separators
         if seen:
             yield from flush(seen)
 
-    return docs.select("text").mapInArrow(emit, "token long, low long, high long, node long, other long")
+    return docs.select("text").mapInArrow(emit, _POSTING)
+
 
+def _candidates(postings: DataFrame, num: int, den: int) -> DataFrame:
+    """``(a, b, stands)`` edges between sets that share a token, and ``(a, size, counts)`` of the sets."""
 
-def _chains(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges between the sets that share a token and whose size ranges may meet."""
+    def out(a, b=None, stands=None, size=None, counts=None):
+        n = len(a)
+        return pa.record_batch(
+            [
+                pa.array(a, pa.int64()),
+                pa.nulls(n, pa.int64()) if b is None else pa.array(b, pa.int64()),
+                pa.nulls(n, pa.bool_()) if stands is None else pa.array(stands, pa.bool_()),
+                pa.nulls(n, pa.int64()) if size is None else size,
+                pa.nulls(n, pa.binary()) if counts is None else counts.cast(pa.binary()),
+            ],
+            names=["a", "b", "stands", "size", "counts"],
+        )
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+    def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return batch.column(name).to_numpy(zero_copy_only=False)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(columns):
+            token, low, high, node, coarse = columns
+            p, q, stands = _pairs_or_chain(token, low, high, coarse, num, den)
+            differ = node[p] != node[q]
+            p, q, stands = p[differ], q[differ], stands[differ]
+            return out(np.maximum(node[p], node[q]), np.minimum(node[p], node[q]), stands)
+
+        rest = None
         for batch in batches:
-            token, low, high, node, other = (batch.column(k) for k in range(5))
-            edge = token.is_null().to_numpy(zero_copy_only=False)
-            node = node.to_numpy()
-            a, b = [node[edge]], [other.fill_null(0).to_numpy(zero_copy_only=False)[edge]]
-            token, low, high, node = token.fill_null(0).to_numpy(zero_copy_only=False)[~edge], low.to_numpy()[~edge], high.to_numpy()[~edge], node[~edge]
-            if last is not None:
-                token, low, high, node = (np.append(x, y) for x, y in zip(last, (token, low, high, node)))
-            if len(token):
-                run = np.cumsum(np.append(0, token[1:] != token[:-1]))
-                top = np.maximum.accumulate(high + run * (1 << 40)) - run * (1 << 40)
-                tie = (token[1:] == token[:-1]) & (top[:-1] * den >= low[1:] * num) & (node[1:] != node[:-1])
-                a.append(node[:-1][tie])
-                b.append(node[1:][tie])
-                last = (token[-1], low[-1], top[-1], node[-1])
-            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            counted = batch.column("counts").is_valid()
+            sets = batch.filter(counted)
+            if sets.num_rows:
+                yield out(sets.column("node"), size=sets.column("low"), counts=sets.column("counts"))
+            edges = batch.filter(batch.column("other").is_valid())
+            if edges.num_rows:
+                yield out(edges.column("node"), edges.column("other"), np.ones(edges.num_rows, bool))
+            found = batch.filter(batch.column("token").is_valid())
+            if not found.num_rows:
+                continue
+            now = [numbers(found, k) for k in ("token", "low", "high", "node", "coarse")]
+            if rest is not None:
+                now = [np.append(x, y) for x, y in zip(rest, now)]
+            cut = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1 if (now[0] != now[0][-1]).any() else 0
+            if cut:
+                yield solve([x[:cut] for x in now])
+            rest = [x[cut:] for x in now]
+        if rest is not None:
+            yield solve(rest)
 
     spread = F.coalesce("token", F.xxhash64("node", "other"))
     return (
         postings.withColumn("key", spread)
         .repartition("key")
         .drop("key")
-        .sortWithinPartitions(F.col("token").asc_nulls_first(), "low")
-        .mapInArrow(chain, "a long, b long")
+        .sortWithinPartitions("token", "low")
+        .mapInArrow(emit, "a long, b long, stands boolean, size long, counts binary")
     )
 
 
-def _documents_with_sets(docs: DataFrame, roots: DataFrame, n_roots: int, width: int, separators: np.ndarray) -> DataFrame:
-    """Per document its set's size and digests; the set itself once per task for nodes of blocks.
+def _edges(found: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate edges that size and class counts leave."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(k).to_numpy() for k in ("size_a", "size_b")]
+            counts = [[np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(k)] for k in ("counts_a", "counts_b")]
+            fits = [_fits(*sides, num, den) for sides in zip(*sizes, *counts)]
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    pairs = stored(found.where("b is not null").groupBy("a", "b").agg(F.max("stands").alias("stands")), "pairs")
+    sets = found.where("counts is not null").select(F.col("a").alias("node"), "size", "counts").dropDuplicates(["node"])
+    for end in ("a", "b"):
+        side = sets.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("counts").alias(f"counts_{end}"))
+        pairs_in = pairs.where("not stands") if end == "a" else tested
+        tested = pairs_in.join(side.hint("merge"), end)
+    tested = tested.select("a", "b", "size_a", "size_b", "counts_a", "counts_b").mapInArrow(keep, "a long, b long")
+    return pairs.where("stands").select("a", "b").union(tested)
+
+
+def _chunks(found: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(node, block, parts, task)`` of every set in a block; blocks are dealt into chunks by a hash."""
+    sizes = found.where("counts is not null").groupBy(F.col("a").alias("node")).agg(F.first("size").alias("n"))
+    sizes = stored(blocks.join(sizes.hint("merge"), "node"), "sizes")
+    weights = sizes.groupBy("block").agg(F.count("*").alias("held"), F.sum("n").alias("weight"))
+    parts = F.greatest(F.ceil(F.col("held") / CHUNK_SETS), F.ceil(F.col("weight") / CHUNK_TOKENS)).cast("long")
+    chunk = F.pmod(F.xxhash64("node"), F.col("parts"))
+    dealt = sizes.join(weights.select("block", parts.alias("parts")).hint("merge"), "block").withColumn("chunk", chunk)
+    return stored(dealt.select("node", "block", "parts", "chunk", F.xxhash64("block", "chunk").alias("task")), "chunks")
 
-    The nodes of blocks are broadcast while there are at most ``MAX_BROADCAST_NODES`` (16 MB);
-    beyond that every set is emitted and the caller's join picks those of blocks.
+
+def _documents_with_sets(docs: DataFrame, chunks: DataFrame, width: int, separators: np.ndarray) -> DataFrame:
+    """Per document its set's size, digests and task; the set itself once per reading task for blocks.
+
+    The tasks of sets are broadcast while there are at most ``MAX_BROADCAST_NODES`` (32 MB); beyond
+    that every set is written and a shuffle join finds those of blocks.
     """
     spark = docs.sparkSession
-    wanted = None
-    if n_roots <= MAX_BROADCAST_NODES:
-        nodes = np.sort(roots.select("node").toArrow().column("node").to_numpy())
-        wanted = spark.sparkContext.broadcast(nodes)
+    shared = None
+    if chunks.limit(MAX_BROADCAST_NODES + 1).count() <= MAX_BROADCAST_NODES:
+        table = chunks.select("node", "task").toArrow().sort_by("node")
+        shared = spark.sparkContext.broadcast((table.column("node").to_numpy(), table.column("task").to_numpy()))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = set()
         for batch, first, sets in _batches(batches, width, separators):
             digests = np.array([set_digest(s) for s in sets], np.int64).reshape(-1, 2)
             give = np.array([len(s) > 0 for s in sets], bool)
-            if wanted is not None:
-                nodes = wanted.value
+            task = np.zeros(len(sets), np.int64)
+            if shared is not None:
+                nodes, tasks = shared.value
                 at = np.minimum(np.searchsorted(nodes, digests[:, 0]), max(0, len(nodes) - 1))
                 give &= (nodes[at] == digests[:, 0]) if len(nodes) else False
+                task = tasks[at] if len(nodes) else task
             kept = []
             for k, s in enumerate(sets):
                 fresh = bool(give[k]) and (key := tuple(digests[k])) not in sent
@@ -195,13 +314,20 @@ def _documents_with_sets(docs: DataFrame, roots: DataFrame, n_roots: int, width:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(digests[:, 0]),
                     pa.array(digests[:, 1]),
+                    pa.array(task),
                     pa.array(kept, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "node", "check", "tokens"],
+                names=["doc_id", "n_shingles", "node", "check", "task", "tokens"],
             )
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("text", "doc_id").mapInArrow(emit, f"doc_id {key}, n_shingles long, node long, check long, tokens array<long>")
+    kind = f"doc_id {key}, n_shingles long, node long, check long, task long, tokens array<long>"
+    rows = stored(docs.select("text", "doc_id").mapInArrow(emit, kind), "sets")
+    if shared is None:
+        found = rows.where("tokens is not null").drop("task").join(chunks.select("node", "task").hint("merge"), "node")
+        light = rows.withColumn("tokens", F.lit(None).cast("array<long>")).select("doc_id", "n_shingles", "node", "check", "task", "tokens")
+        return light, found.select("node", "check", "task", "tokens")
+    return rows, rows.where("tokens is not null").select("node", "check", "task", "tokens")
 
 
 def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -284,27 +410,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         def __getitem__(self, key):
             return hints.value[key]
 
-    edges = _chains(_postings(docs, _Lazy(), width, num, den, separators), num, den)
-    blocks = stored(components(edges), "blocks").withColumnRenamed("root", "block")
-    n_nodes = blocks.count()
-    rows = stored(_documents_with_sets(docs, blocks, n_nodes, width, separators), "sets")
-    sets = rows.where("tokens is not null").select("node", "check", "tokens", F.size("tokens").alias("n"))
-    sets = sets.join(blocks.hint("merge"), "node")
-
-    # blocks in chunks of bounded size, dealt by a hash of the node
-    weights = sets.groupBy("block").agg(F.count("*").alias("held"), F.sum("n").alias("weight"))
-    parts = F.greatest(F.ceil(F.col("held") / CHUNK_SETS), F.ceil(F.col("weight") / CHUNK_TOKENS)).cast("long")
-    large = stored(weights.select("block", parts.alias("parts")).where("parts > 1"), "large")
-    sets = (
-        sets.join(large.hint("merge"), "block", "left")
-        .withColumn("chunk", F.pmod(F.xxhash64("node", "check"), F.coalesce("parts", F.lit(1))))
-        .withColumn("label", F.xxhash64("node", "check"))
-        .withColumn("side", F.lit(0))
-        .withColumn("task", F.xxhash64("block", "chunk"))
-    )
-    links = stored(_search(sets, num, den), "links")
+    found = stored(_candidates(_postings(docs, _Lazy(), width, num, den, separators), num, den), "found")
+    blocks = stored(components(_edges(found, num, den)), "blocks").withColumnRenamed("root", "block")
+    chunks = _chunks(found, blocks)
+    rows, sets = _documents_with_sets(docs, chunks, width, separators)
+    first = sets.withColumn("label", F.xxhash64("node", "check")).withColumn("side", F.lit(0))
+    links = stored(_search(first, num, den), "links")
+    large = stored(chunks.where("parts > 1").select("node", "block", "chunk"), "large")
     if large.limit(1).count():
-        links = _across_chunks(sets.where("parts is not null"), links, num, den)
+        links = _across_chunks(stored(sets.drop("task").join(large.hint("merge"), "node"), "split"), links, num, den)
 
     classes = rows.where("n_shingles > 0").groupBy("node", "check").agg(F.min("doc_id").alias("least"))
     ends = links.select(F.col("a").alias("node"), F.col("a2").alias("check")).union(links.select("b", "b2")).distinct()
@@ -320,9 +434,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
 def _across_chunks(sets: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
     """The links of blocks that take several chunks, beside those found inside each chunk."""
-    sets = stored(sets.drop("label", "task", "side", "parts"), "split")
     # one set of every component and chunk, in groups of bounded size
-    nodes = stored(_labelled(sets.select("block", "chunk", "node", "check", "n"), links), "labels")
+    nodes = stored(_labelled(sets.select("block", "chunk", "node", "check", F.size("tokens").alias("n")), links), "labels")
     head = nodes.groupBy("block", "chunk", "label").agg(F.min_by(F.struct("node", "check", "n"), F.xxhash64("node", "check")).alias("h"))
     head = head.select("block", "label", "h.node", "h.check", "h.n")
     sizes = head.groupBy("block").agg(F.count("*").alias("held"), F.sum("n").alias("weight"))
