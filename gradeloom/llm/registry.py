@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, ngram_join
+from . import chat_query, decontaminate, exact_dedup, ngram_join, surrogates, url_filter_query
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +22,27 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by keyed surrogates."""
+    return surrogates.with_surrogates(table(spark, sf_dir, "documents"), key="gradeloom")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose distinct 3-word shingles have a Jaccard similarity of 0.9 or more, as components."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
-_QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_exact_dedup, op9_ngram_jaccard_join)}
+_QUERIES = {f.__name__: f for f in (
+    op1_benchmark_decontamination,
+    url_filter_query.op2_url_filters,
+    op3_exact_dedup,
+    chat_query.op6_chat_formatting,
+    op7_pii_surrogates,
+    op9_ngram_jaccard_join,
+)}
 _ORACLES: dict[str, str] = {
+    "op2_url_filters": url_filter_query.ORACLE,
+    "op6_chat_formatting": chat_query.ORACLE,
     "op3_exact_dedup": """
 WITH folded AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded FROM documents
