@@ -4,7 +4,8 @@
    hold are summed over the corpus. At most ``MAX_HINTS`` of them (a share of the sum that no more
    can reach) are kept. They only order tokens, common ones last, and never decide a result.
 2. *Postings.* Sets that link must share one of their first ``n - ceil(t n) + 1`` tokens in that
-   order. A task chains long runs of sets that share a token itself and sends one posting for the
+   order. A token in the prefixes of many sets is replaced by its pairs with the tokens after it, as
+   far as the next common token of linked sets can be. A task chains long runs of sets that share a token itself and sends one posting for the
    run, so a token leaves a task a bounded number of times however many documents hold it. Postings
    are shuffled by token; pairs of a short run are kept if sizes and hash-class counts (a bound on
    how far the sets differ) allow a link, long runs are chained. The components of what is left are
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from gradeloom.session import stored
 
 from .components import components
-from .hashing import set_digest, shingle_sets, SPACES
+from .hashing import SPACES, mix, set_digest, shingle_sets
 from .signature_tree import join_labels, linked_pairs
 
 MAX_HINTS = 1 << 17
@@ -36,6 +37,8 @@ HINT_TOKENS = 1 << 22
 MAX_BROADCAST_NODES = 1 << 21
 CHUNK_SETS = 2048
 MAX_RUN = 32
+MAX_HOT = 1 << 22
+MIN_SPREAD = 0.01
 CHUNK_TOKENS = 2_000_000
 
 
@@ -46,7 +49,7 @@ def _batches(batches, width: int, separators: np.ndarray):
             yield batch, first, sets
 
 
-def token_hints(docs: DataFrame, width: int, separators: np.ndarray = SPACES) -> dict[str, np.ndarray]:
+def token_hints(docs: DataFrame, width: int, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles and a rough logarithm of how common they are; at most ``MAX_HINTS``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,19 +75,67 @@ def token_hints(docs: DataFrame, width: int, separators: np.ndarray = SPACES) ->
     rows = counts.where(F.col("n") >= max(8, -(-total // MAX_HINTS))).orderBy("token").toArrow()
     tokens = rows.column("token").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    return {"token": tokens[order], "rank": np.int64(1) + np.log2(rows.column("n").to_numpy()[order]).astype(np.int64)}
+    return tokens[order], np.int64(1) + np.log2(rows.column("n").to_numpy()[order]).astype(np.int64)
 
 
-def _prefix(tokens: np.ndarray, hints: dict[str, np.ndarray], num: int, den: int) -> np.ndarray:
-    """The first tokens of a set in the shared order: unhinted by hash, then hinted, common last."""
+def _prefix(tokens: np.ndarray, hints: tuple[np.ndarray, np.ndarray], num: int, den: int) -> tuple[np.ndarray, int]:
+    """Length ``n - ceil(t n) + 1`` of the prefix, and the tokens up to one beyond it, in the shared
+    order: tokens without a hint by hash, then tokens with one, common ones last."""
     size = len(tokens)
     length = size - -(-size * num // den) + 1
-    if len(hints["token"]):
-        at = np.minimum(np.searchsorted(hints["token"], tokens), len(hints["token"]) - 1)
-        rank = np.where(hints["token"][at] == tokens, hints["rank"][at], 0)
-        if rank[:length].any():
-            return tokens[np.lexsort((tokens, rank))[:length]]
-    return tokens[:length]
+    known, ranks = hints
+    if len(known):
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        rank = np.where(known[at] == tokens, ranks[at], 0)
+        if rank[: length + 1].any():
+            return tokens[np.lexsort((tokens, rank))[: length + 1]], length
+    return tokens[: length + 1], length
+
+
+def _keys(first: np.ndarray, length: int, hot: np.ndarray) -> np.ndarray:
+    """Keys of which two linked sets share one: a prefix token, or for a hot one, the token with each
+    token after it up to one beyond the prefix, where the next common token of a linked set must be."""
+    if length == len(first) or not len(hot):
+        return first[:length]
+    is_hot = hot[np.minimum(np.searchsorted(hot, first[:length]), len(hot) - 1)] == first[:length]
+    if not is_hot.any():
+        return first[:length]
+    return np.concatenate([first[:length][~is_hot], *(mix(first[k : k + 1]) ^ first[k + 1 :] for k in np.flatnonzero(is_hot))])
+
+
+def hot_tokens(docs: DataFrame, hints, width: int, num: int, den: int, separators: np.ndarray) -> np.ndarray:
+    """Tokens in the prefixes of more than ``MAX_RUN`` sets whose sizes vary (``MIN_SPREAD``, a squared
+    coefficient of variation): too common to compare all that share one, and no group of copies.
+
+    None are named if they are more than ``MAX_HOT`` (32 MB); their sets are then chained unseen, as
+    are the sets of a common token whose sizes agree."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(seen):
+            tokens, at, n = np.unique(np.concatenate([x for x, _ in seen.values()]), return_inverse=True, return_counts=True)
+            sizes = np.repeat([float(k) for _, k in seen.values()], [len(x) for x, _ in seen.values()])
+            sums = [np.bincount(at, weights=sizes**k, minlength=len(tokens)) for k in (1, 2)]
+            return pa.record_batch([pa.array(tokens.view(np.int64)), pa.array(n), *map(pa.array, sums)], names=["token", "n", "s1", "s2"])
+
+        seen, held = {}, 0
+        for _, _, sets in _batches(batches, width, separators):
+            for tokens in sets:
+                if len(tokens) and (node := set_digest(tokens)[0]) not in seen:
+                    first, length = _prefix(tokens, hints.value, num, den)
+                    seen[node] = (first[:length], len(tokens))
+                    held += length
+            if held > HINT_TOKENS // 4:
+                yield flush(seen)
+                seen, held = {}, 0
+        if seen:
+            yield flush(seen)
+
+    counts = docs.select("text").mapInArrow(count, "token long, n long, s1 double, s2 double").groupBy("token")
+    counts = counts.agg(*(F.sum(k).alias(k) for k in ("n", "s1", "s2"))).where(F.col("n") > MAX_RUN)
+    hot = stored(counts.where(F.col("s2") * F.col("n") >= (1 + MIN_SPREAD) * F.col("s1") * F.col("s1")).select("token"), "hot")
+    if hot.limit(MAX_HOT + 1).count() > MAX_HOT:
+        return np.empty(0, np.uint64)
+    return np.sort(hot.toArrow().column("token").to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _counts(tokens: np.ndarray) -> np.ndarray:
@@ -144,7 +195,7 @@ def _posting_batch(**columns) -> pa.RecordBatch:
     return pa.record_batch([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
 
 
-def _postings(docs: DataFrame, hints, width: int, num: int, den: int, separators: np.ndarray) -> DataFrame:
+def _postings(docs: DataFrame, hints, hot, width: int, num: int, den: int, separators: np.ndarray) -> DataFrame:
     """Three kinds of rows. With a token: a posting, of one set or (coarse) of a long run of sets that
     the task holds itself. With ``other``: an edge of such a run. With counts: a set's size and classes."""
 
@@ -156,7 +207,7 @@ def _postings(docs: DataFrame, hints, width: int, num: int, den: int, separators
             yield _posting_batch(node=nodes, low=sizes, counts=[x[2].tobytes() for x in seen.values()])
             token = np.concatenate(parts)
             at = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            order = np.lexsort((sizes[at], token))
+            order = np.lexsort((nodes[at], sizes[at], token))
             token, at = token[order], at[order]
             size = sizes[at]
             head = np.append(True, (token[1:] != token[:-1]) | (size[:-1] * den < size[1:] * num))
@@ -177,9 +228,9 @@ def _postings(docs: DataFrame, hints, width: int, num: int, den: int, separators
         for _, _, sets in _batches(batches, width, separators):
             for tokens in sets:
                 if len(tokens) and (node := set_digest(tokens)[0]) not in seen:
-                    first = _prefix(tokens, hints, num, den)
-                    seen[node] = (len(tokens), first, _counts(tokens))
-                    held += len(first)
+                    keys = _keys(*_prefix(tokens, hints.value, num, den), hot.value)
+                    seen[node] = (len(tokens), keys, _counts(tokens))
+                    held += len(keys)
             if held > HINT_TOKENS // 4:
                 yield from flush(seen)
                 seen, held = {}, 0
@@ -212,9 +263,11 @@ def _candidates(postings: DataFrame, num: int, den: int) -> DataFrame:
         def solve(columns):
             token, low, high, node, coarse = columns
             p, q, stands = _pairs_or_chain(token, low, high, coarse, num, den)
-            differ = node[p] != node[q]
-            p, q, stands = p[differ], q[differ], stands[differ]
-            return out(np.maximum(node[p], node[q]), np.minimum(node[p], node[q]), stands)
+            a, b = np.maximum(node[p], node[q]), np.minimum(node[p], node[q])
+            pair = mix(mix(a.view(np.uint64)) ^ b.view(np.uint64)) & ~np.uint64(1) | stands
+            _, once = np.unique(pair, return_index=True)
+            once = once[a[once] != b[once]]
+            return out(a[once], b[once], stands[once])
 
         rest = None
         for batch in batches:
@@ -243,7 +296,7 @@ def _candidates(postings: DataFrame, num: int, den: int) -> DataFrame:
         postings.withColumn("key", spread)
         .repartition("key")
         .drop("key")
-        .sortWithinPartitions("token", "low")
+        .sortWithinPartitions("token", "low", "node")
         .mapInArrow(emit, "a long, b long, stands boolean, size long, counts binary")
     )
 
@@ -404,13 +457,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     sets share a component. Other columns of ``docs`` are ignored; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    hints = docs.sparkSession.sparkContext.broadcast(token_hints(docs, width, separators))
-
-    class _Lazy(dict):
-        def __getitem__(self, key):
-            return hints.value[key]
-
-    found = stored(_candidates(_postings(docs, _Lazy(), width, num, den, separators), num, den), "found")
+    share = docs.sparkSession.sparkContext.broadcast
+    hints = share(token_hints(docs, width, separators))
+    hot = share(hot_tokens(docs, hints, width, num, den, separators))
+    found = stored(_candidates(_postings(docs, hints, hot, width, num, den, separators), num, den), "found")
     blocks = stored(components(_edges(found, num, den)), "blocks").withColumnRenamed("root", "block")
     chunks = _chunks(found, blocks)
     rows, sets = _documents_with_sets(docs, chunks, width, separators)
