@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_query, decontaminate, exact_dedup, ngram_join, surrogates, url_filter_query
+from . import byte_bpe, chat_query, decontaminate, exact_dedup, language_mix, ngram_join, quality, surrogates, toxicity, url_filter_query
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,12 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.with_surrogates(table(spark, sf_dir, "documents"), key="gradeloom")
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded with the multilingual byte-level vocabulary."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose distinct 3-word shingles have a Jaccard similarity of 0.9 or more, as components."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
@@ -36,10 +44,14 @@ _QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination,
     url_filter_query.op2_url_filters,
     op3_exact_dedup,
+    quality.op4_quality_classifier,
+    toxicity.op5_toxicity_pu,
     chat_query.op6_chat_formatting,
     op7_pii_surrogates,
+    op8_byte_bpe,
     op9_ngram_jaccard_join,
-)}
+    language_mix.op10_language_mixture,
+)} | {"pipeline": corpus_pipeline.run}
 _ORACLES: dict[str, str] = {
     "op2_url_filters": url_filter_query.ORACLE,
     "op6_chat_formatting": chat_query.ORACLE,
