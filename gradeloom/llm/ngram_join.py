@@ -4,8 +4,9 @@
    hold are summed over the corpus. At most ``MAX_HINTS`` of them (a share of the sum that no more
    can reach) are kept. They only order tokens, common ones last, and never decide a result.
 2. *Postings.* Sets that link must share one of their first ``n - ceil(t n) + 1`` tokens in that
-   order. A token in the prefixes of many sets is replaced by its pairs with the tokens after it, as
-   far as the next common token of linked sets can be. A task chains long runs of sets that share a token itself and sends one posting for the
+   order. A second pass finds tokens that still are in many prefixes; they move behind the others.
+   Where one stays in a prefix, its pairs with the tokens after it, as far as the next common token
+   of linked sets can be, take its place. A task chains long runs of sets that share a token itself and sends one posting for the
    run, so a token leaves a task a bounded number of times however many documents hold it. Postings
    are shuffled by token; pairs of a short run are kept if sizes and hash-class counts (a bound on
    how far the sets differ) allow a link, long runs are chained. The components of what is left are
@@ -39,6 +40,7 @@ CHUNK_SETS = 2048
 MAX_RUN = 32
 MAX_HOT = 1 << 22
 MIN_SPREAD = 0.01
+WINDOW = 1.5
 CHUNK_TOKENS = 2_000_000
 
 
@@ -72,24 +74,22 @@ def token_hints(docs: DataFrame, width: int, separators: np.ndarray = SPACES) ->
 
     counts = stored(docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "hints")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") >= max(8, -(-total // MAX_HINTS))).orderBy("token").toArrow()
-    tokens = rows.column("token").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], np.int64(1) + np.log2(rows.column("n").to_numpy()[order]).astype(np.int64)
+    return _ranked(counts.where(F.col("n") >= max(8, -(-total // MAX_HINTS))))
 
 
-def _prefix(tokens: np.ndarray, hints: tuple[np.ndarray, np.ndarray], num: int, den: int) -> tuple[np.ndarray, int]:
-    """Length ``n - ceil(t n) + 1`` of the prefix, and the tokens up to one beyond it, in the shared
-    order: tokens without a hint by hash, then tokens with one, common ones last."""
+def _prefix(tokens: np.ndarray, hints: tuple[np.ndarray, np.ndarray], num: int, den: int, window: float = 1.0) -> tuple[np.ndarray, int]:
+    """The tokens up to one beyond ``window`` prefixes in the shared order (tokens without a hint by
+    hash, then tokens with one, common ones last), and the prefix length ``n - ceil(t n) + 1``."""
     size = len(tokens)
     length = size - -(-size * num // den) + 1
+    end = int(length * window) + 1
     known, ranks = hints
     if len(known):
         at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
         rank = np.where(known[at] == tokens, ranks[at], 0)
-        if rank[: length + 1].any():
-            return tokens[np.lexsort((tokens, rank))[: length + 1]], length
-    return tokens[: length + 1], length
+        if rank[:end].any():
+            return tokens[np.lexsort((tokens, rank))[:end]], length
+    return tokens[:end], length
 
 
 def _keys(first: np.ndarray, length: int, hot: np.ndarray) -> np.ndarray:
@@ -103,9 +103,10 @@ def _keys(first: np.ndarray, length: int, hot: np.ndarray) -> np.ndarray:
     return np.concatenate([first[:length][~is_hot], *(mix(first[k : k + 1]) ^ first[k + 1 :] for k in np.flatnonzero(is_hot))])
 
 
-def hot_tokens(docs: DataFrame, hints, width: int, num: int, den: int, separators: np.ndarray) -> np.ndarray:
-    """Tokens in the prefixes of more than ``MAX_RUN`` sets whose sizes vary (``MIN_SPREAD``, a squared
-    coefficient of variation): too common to compare all that share one, and no group of copies.
+def hot_tokens(docs: DataFrame, hints, width: int, num: int, den: int, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens in or shortly after the prefixes of more than ``MAX_RUN`` sets whose sizes vary
+    (``MIN_SPREAD``, a squared coefficient of variation), and their ranks: too common to compare all
+    that share one, and no group of copies.
 
     None are named if they are more than ``MAX_HOT`` (32 MB); their sets are then chained unseen, as
     are the sets of a common token whose sizes agree."""
@@ -121,9 +122,9 @@ def hot_tokens(docs: DataFrame, hints, width: int, num: int, den: int, separator
         for _, _, sets in _batches(batches, width, separators):
             for tokens in sets:
                 if len(tokens) and (node := set_digest(tokens)[0]) not in seen:
-                    first, length = _prefix(tokens, hints.value, num, den)
-                    seen[node] = (first[:length], len(tokens))
-                    held += length
+                    first, length = _prefix(tokens, hints.value, num, den, WINDOW)
+                    seen[node] = (first, len(tokens))
+                    held += len(first)
             if held > HINT_TOKENS // 4:
                 yield flush(seen)
                 seen, held = {}, 0
@@ -132,10 +133,24 @@ def hot_tokens(docs: DataFrame, hints, width: int, num: int, den: int, separator
 
     counts = docs.select("text").mapInArrow(count, "token long, n long, s1 double, s2 double").groupBy("token")
     counts = counts.agg(*(F.sum(k).alias(k) for k in ("n", "s1", "s2"))).where(F.col("n") > MAX_RUN)
-    hot = stored(counts.where(F.col("s2") * F.col("n") >= (1 + MIN_SPREAD) * F.col("s1") * F.col("s1")).select("token"), "hot")
+    hot = stored(counts.where(F.col("s2") * F.col("n") >= (1 + MIN_SPREAD) * F.col("s1") * F.col("s1")).select("token", "n"), "hot")
     if hot.limit(MAX_HOT + 1).count() > MAX_HOT:
-        return np.empty(0, np.uint64)
-    return np.sort(hot.toArrow().column("token").to_numpy().astype(np.int64).view(np.uint64))
+        return np.empty(0, np.uint64), np.empty(0, np.int8)
+    return _ranked(hot)
+
+
+def _ranked(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens in order, and one more than the binary logarithm of their counts; a table of bounded size."""
+    rows = counts.toArrow()
+    tokens = rows.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], (1 + np.log2(rows.column("n").to_numpy()[order])).astype(np.int8)
+
+
+def _with_hot(hints: tuple[np.ndarray, np.ndarray], hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hints and hot tokens as one order; a token of both keeps the rank of its hint."""
+    tokens, first = np.unique(np.concatenate([hints[0], hot[0]]), return_index=True)
+    return tokens, np.concatenate([hints[1], hot[1]])[first]
 
 
 def _counts(tokens: np.ndarray) -> np.ndarray:
@@ -459,8 +474,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     docs = docs.select("doc_id", "text")
     share = docs.sparkSession.sparkContext.broadcast
     hints = share(token_hints(docs, width, separators))
-    hot = share(hot_tokens(docs, hints, width, num, den, separators))
-    found = stored(_candidates(_postings(docs, hints, hot, width, num, den, separators), num, den), "found")
+    hot = hot_tokens(docs, hints, width, num, den, separators)
+    order = share(_with_hot(hints.value, hot))
+    found = stored(_candidates(_postings(docs, order, share(hot[0]), width, num, den, separators), num, den), "found")
     blocks = stored(components(_edges(found, num, den)), "blocks").withColumnRenamed("root", "block")
     chunks = _chunks(found, blocks)
     rows, sets = _documents_with_sets(docs, chunks, width, separators)
