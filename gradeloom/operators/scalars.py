@@ -81,7 +81,8 @@ def derive_feedback(fb: DataFrame) -> DataFrame:
 def parse_missed(missed: Column) -> tuple[Column, Column]:
     """Missed points, an array of (point, reason), as a text of lines and a map of known reasons' counts."""
     text = F.array_join(F.transform(missed, lambda m: m["point"]), "\n")
-    counts = [F.size(F.filter(missed, lambda m, r=reason: m["reason"] == r)) for reason in REASONS]
+    reasons = F.transform(missed, lambda m: m["reason"])
+    counts = [F.size(reasons) - F.size(F.array_remove(reasons, reason)) for reason in REASONS]
     pairs = F.arrays_zip(F.array(*map(F.lit, REASONS)), F.array(*counts))
     return text, F.map_from_entries(F.filter(pairs, lambda p: p["1"] > 0))
 
