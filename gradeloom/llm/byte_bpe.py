@@ -26,8 +26,12 @@ from pyspark.taskcontext import TaskContext
 
 from gradeloom.session import stored
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 28 << 20
 CLASSES_PER_PARTITION = 4
+OUTPUT_BYTES = 4 << 20
+_ONE_BYTE = 192
+_WIDE = (1 << 32) - 1
+_ROWS = 256
 
 _KIND = "chunk string, class int, doc_id {key}, numbers binary, words binary, count int"
 
@@ -39,25 +43,39 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 
 def _pack(numbers: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, byte planes apart, compressed."""
+    """Numbers, compressed: one byte for those below 192, else a mark and two bytes; all in four bytes
+    if one is too large for that."""
     import zstandard
 
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    if len(numbers) and numbers.max() >= _ONE_BYTE + (64 << 16):
+        return zstandard.ZstdCompressor(level=9).compress(np.uint32(_WIDE).tobytes() + numbers.astype("<u4").tobytes())
+    big = numbers >= _ONE_BYTE
+    rest = numbers[big] - _ONE_BYTE
+    first = numbers.astype(np.uint8)
+    first[big] = _ONE_BYTE + (rest >> 16)
+    planes = (rest & 0xFFFF).astype("<u2").view(np.uint8).reshape(-1, 2).T
+    return zstandard.ZstdCompressor(level=9).compress(np.uint32(len(numbers)).tobytes() + first.tobytes() + planes.tobytes())
 
 
 def _unpack(blob: bytes) -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    if n == _WIDE:
+        return np.frombuffer(raw, "<u4", -1, 4).astype(np.int64)
+    numbers = np.frombuffer(raw, np.uint8, n, 4).astype(np.int64)
+    big = numbers >= _ONE_BYTE
+    planes = np.frombuffer(raw, np.uint8, -1, 4 + n).reshape(2, -1).astype(np.int64)
+    numbers[big] = ((numbers[big] - _ONE_BYTE) << 16) + planes[0] + (planes[1] << 8) + _ONE_BYTE
+    return numbers
 
 
 def _pack_words(words: list[bytes]) -> bytes:
     import zstandard
 
-    sizes = np.fromiter(map(len, words), "<u4", len(words))
-    return zstandard.ZstdCompressor(level=3).compress(sizes.tobytes() + b"".join(words))
+    sizes = np.fromiter(map(len, words), "<u4", len(words))  # a long run of one kind of character is one word
+    return zstandard.ZstdCompressor(level=9).compress(sizes.tobytes() + b"".join(words))
 
 
 def _unpack_words(blob: bytes, n: int) -> list[bytes]:
@@ -98,7 +116,9 @@ def _pretokens(docs: DataFrame, pattern: str, classes: int) -> DataFrame:
         def flush(words, rows, ids):
             chunk = f"{task}-{done}"
             coded = [w.encode() for w in words]
-            often = np.bincount(np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64), minlength=len(coded))
+            often = np.zeros(len(coded), np.int64)
+            for row in rows:
+                np.add.at(often, row, 1)
             order = np.argsort(-often, kind="stable")
             rank = np.empty(len(coded), np.int64)
             rank[order] = np.arange(len(coded))
@@ -113,7 +133,7 @@ def _pretokens(docs: DataFrame, pattern: str, classes: int) -> DataFrame:
                     chunk,
                     ids[0].type if ids else pa.int64(),
                     class_=used[k : k + 64],
-                    numbers=[_pack(g) for g in part],
+                    numbers=[_pack(np.diff(g, prepend=0)) for g in part],
                     words=[_pack_words([coded[order[i]] for i in g]) for g in part],
                     count=[len(g) for g in part],
                 )
@@ -136,7 +156,7 @@ def _pretokens(docs: DataFrame, pattern: str, classes: int) -> DataFrame:
                     words, rows, ids, held, done = {}, [], [], 0, done + 1
                 held += len(text)
                 number = words.setdefault
-                rows.append(np.fromiter((number(w, len(words)) for w in find(text)), np.int64))
+                rows.append(np.fromiter((number(w, len(words)) for w in find(text)), np.int32))
                 ids.append(doc_id)
         if rows:
             yield from flush(words, rows, ids)
@@ -152,7 +172,7 @@ def _encoded_words(words: DataFrame, ranks, pattern: str) -> DataFrame:
 
         encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={}).encode_ordinary
         known, now = {}, None
-        for batch in batches:
+        for batch in _small(batches):
             sizes, ids = [], []
             for class_, blob, n in zip(*(batch.column(k).to_pylist() for k in ("class", "words", "count"))):
                 if class_ != now:
@@ -189,20 +209,20 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, table = None, [], None
-        for batch in batches:
+        for batch in _small(batches):
             out_id, out = [], []
             chunk, numbers, sizes, ids = (batch.column(k).to_pylist() for k in ("chunk", "numbers", "sizes", "ids"))
             for k in range(len(chunk)):
                 if chunk[k] != now:
                     now, parts, table = chunk[k], [], None
                 if sizes[k] is not None:
-                    parts.append((_unpack(numbers[k]), _unpack(sizes[k]), _unpack(ids[k])))
+                    parts.append((np.cumsum(_unpack(numbers[k])), _unpack(sizes[k]), _unpack(ids[k])))
                     continue
                 if table is None:
                     table = _word_table(parts)
                     parts = []
                 start, size, flat = table
-                at = _unpack(numbers[k]).astype(np.int64)
+                at = _unpack(numbers[k])
                 out_id.append(k)
                 out.append(flat[_ranges(start[at], size[at])].astype("<u4").tobytes())
             if out_id:
@@ -212,6 +232,16 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return dealt.mapInArrow(emit, f"doc_id {key_type}, ids binary")
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, a few at a time, so that what is made of them stays small too."""
+    for batch in batches:
+        first = 0
+        while first < batch.num_rows:
+            rows = max(1, min(_ROWS, OUTPUT_BYTES * batch.num_rows // max(1, batch.nbytes)))
+            yield batch.slice(first, rows)
+            first += rows
+
+
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All indexes of the ranges, one range after the other."""
     before = np.cumsum(size) - size
@@ -241,7 +271,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             size[rank] = len(token)
         start = np.cumsum(size) - size
         flat = np.frombuffer(b"".join(token for _, token in table.value), np.uint8)
-        for batch in batches:
+        for batch in _small(batches):
             out = []
             for ids in batch.column("ids"):
                 at = None if not ids.is_valid else np.frombuffer(ids.as_py(), "<u4").astype(np.int64)
