@@ -106,7 +106,7 @@ def split_topics(members: DataFrame, help_map: DataFrame, topics: DataFrame, lea
     sets = sized.join(help_map, "fragment_id").groupBy("topic_id", "fragment_id").agg(F.collect_set("helped_qa_id").alias("helped"))
 
     def split(group: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"fragment_id": [], "topic_id": [], "part": []})
+        none = pd.DataFrame(columns=["fragment_id", "topic_id", "part"], dtype=object)
         group = group.sort_values("fragment_id")
         names, sets = group["fragment_id"].tolist(), [set(x) for x in group["helped"]]
         n = len(names)

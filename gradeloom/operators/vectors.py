@@ -263,7 +263,7 @@ def topic_merge_plan(topics: DataFrame, tau: float = 0.85, ambiguous: float = 0.
                 if b not in merged:
                     loser, winner = (a, b) if n_a < n_b else (b, a)
                     merged[loser] = winner
-        return pd.DataFrame({"loser": list(merged), "winner": list(merged.values())})
+        return pd.DataFrame({"loser": list(merged), "winner": list(merged.values())}, dtype=object)
 
     plan = strong.join(groups, "a").groupBy("component").applyInPandas(ordered, "loser string, winner string")
     return plan, pairs.where(F.col("cosine") < tau)
