@@ -34,7 +34,9 @@ from .hashing import SPACES, mix, set_digest, shingle_sets
 from .signature_tree import join_labels, linked_pairs
 
 MAX_HINTS = 1 << 17
-HINT_TOKENS = 1 << 22
+HINT_TOKENS = 1 << 21
+POSTING_TOKENS = 1 << 19
+PIECE = 1 << 15
 MAX_BROADCAST_NODES = 1 << 21
 CHUNK_SETS = 2048
 MAX_RUN = 32
@@ -51,6 +53,12 @@ def _batches(batches, width: int, separators: np.ndarray):
             yield batch, first, sets
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts that the receiving side can hold many of."""
+    for first in range(0, batch.num_rows, PIECE):
+        yield batch.slice(first, PIECE)
+
+
 def token_hints(docs: DataFrame, width: int, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles and a rough logarithm of how common they are; at most ``MAX_HINTS``."""
 
@@ -67,10 +75,10 @@ def token_hints(docs: DataFrame, width: int, separators: np.ndarray = SPACES) ->
                     seen[key] = tokens
                     held += len(tokens)
             if held > HINT_TOKENS:
-                yield flush(seen)
+                yield from _pieces(flush(seen))
                 seen, held = {}, 0
         if seen:
-            yield flush(seen)
+            yield from _pieces(flush(seen))
 
     counts = stored(docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "hints")
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -123,13 +131,13 @@ def hot_tokens(docs: DataFrame, hints, width: int, num: int, den: int, separator
             for tokens in sets:
                 if len(tokens) and (node := set_digest(tokens)[0]) not in seen:
                     first, length = _prefix(tokens, hints.value, num, den, WINDOW)
-                    seen[node] = (first, len(tokens))
+                    seen[node] = (first.copy(), len(tokens))  # not a view that keeps the whole set
                     held += len(first)
-            if held > HINT_TOKENS // 4:
-                yield flush(seen)
+            if held > POSTING_TOKENS:
+                yield from _pieces(flush(seen))
                 seen, held = {}, 0
         if seen:
-            yield flush(seen)
+            yield from _pieces(flush(seen))
 
     counts = docs.select("text").mapInArrow(count, "token long, n long, s1 double, s2 double").groupBy("token")
     counts = counts.agg(*(F.sum(k).alias(k) for k in ("n", "s1", "s2"))).where(F.col("n") > MAX_RUN)
@@ -244,13 +252,15 @@ def _postings(docs: DataFrame, hints, hot, width: int, num: int, den: int, separ
             for tokens in sets:
                 if len(tokens) and (node := set_digest(tokens)[0]) not in seen:
                     keys = _keys(*_prefix(tokens, hints.value, num, den), hot.value)
-                    seen[node] = (len(tokens), keys, _counts(tokens))
+                    seen[node] = (len(tokens), keys.copy(), _counts(tokens))
                     held += len(keys)
-            if held > HINT_TOKENS // 4:
-                yield from flush(seen)
+            if held > POSTING_TOKENS:
+                for batch in flush(seen):
+                    yield from _pieces(batch)
                 seen, held = {}, 0
         if seen:
-            yield from flush(seen)
+            for batch in flush(seen):
+                yield from _pieces(batch)
 
     return docs.select("text").mapInArrow(emit, _POSTING)
 
