@@ -1,0 +1,325 @@
+"""The training-data operators against brute force, and their defined results in edge cases."""
+
+import hashlib
+import re
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from gradeloom.llm import byte_bpe, chat_format, decontaminate, exact_dedup, language_mix, ngram_join, quality, registry, signature_tree, surrogates, toxicity, url_filter
+from gradeloom.session import local_session
+from pyspark.sql import functions as F
+
+SMALL, DATA = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+ODD = [(1, None), (2, ""), (3, "  \n "), (4, "One two"), (4, "One two"), (None, "one TWO"), (5, "ÉTÉ été word " * 4000), (6, "x" * 100_000), (None, None)]
+
+
+@pytest.fixture(scope="module")
+def spark():
+    return local_session()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows, and extra columns whose names the operators use inside."""
+    rows = spark.createDataFrame(ODD, "doc_id long, text string")
+    return rows.withColumns({c: F.lit("extra") for c in ("node", "token", "tokens", "file", "row", "digest", "score", "label", "task", "ids", "chunk")})
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.limit(0)
+
+
+def shingles(text, width, words):
+    found = words(text or "")
+    return {tuple(found[k : k + width]) for k in range(len(found) - width + 1)} if len(found) >= width else ({tuple(found)} if found else set())
+
+
+def spaced(text):
+    return re.findall("[^\x20\x09-\x0D]+", text.translate(FOLD))
+
+
+def components(rows, width, num):
+    sets = [shingles(text, width, spaced) for _, text in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b]:
+                common = len(sets[a] & sets[b])
+                if 100 * common >= num * (len(sets[a]) + len(sets[b]) - common):
+                    root[find(a)] = find(b)
+    least = {}
+    for k, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[find(k)] = min(least.get(find(k), doc_id), doc_id)
+    return sorted(((i, len(s), least.get(find(k)) if s else i) for k, ((i, _), s) in enumerate(zip(rows, sets))), key=repr)
+
+
+def near_copies(seed, n, size=60):
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in rng.integers(0, 5000, size)]
+    out = []
+    for k in range(n):
+        words = list(base)
+        for at in rng.integers(0, size, rng.integers(0, 4)):
+            words[at] = f"v{rng.integers(0, 9999)}"
+        out.append((k, " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize("width,num,chunk", [(3, 90, 2048), (5, 80, 10)])
+def test_jaccard_components(spark, monkeypatch, width, num, chunk):
+    monkeypatch.setattr(ngram_join, "CHUNK_SETS", chunk)
+    rows = near_copies(1, 60) + [(100 + k, t) for k, t in near_copies(2, 20)] + [(200 + k, f"only {k} here and there now {k}") for k in range(20)]
+    found = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width, num)
+    assert sorted(map(tuple, found.collect()), key=repr) == components(rows, width, num)
+
+
+def test_jaccard_edges(odd, empty):
+    found = ngram_join.jaccard_components(odd, 3, 90)
+    assert sorted(map(tuple, found.collect()), key=repr) == components(ODD, 3, 90)
+    assert ngram_join.jaccard_components(empty, 3, 90).count() == 0
+
+
+def test_hot_tokens_keep_links():
+    """Keys with hot tokens paired up still meet for every pair of sets that link."""
+    rng = np.random.default_rng(3)
+    none = (np.empty(0, np.uint64), np.empty(0, np.int8))
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 400, rng.integers(2, 60)).astype(np.uint64))
+        b = np.unique(np.where(rng.random(len(a)) < 0.04, rng.integers(0, 400, len(a)).astype(np.uint64), a))
+        hot = np.unique(rng.integers(0, 400, 200).astype(np.uint64))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= 80 * (len(a) + len(b) - common):
+            keys = [ngram_join._keys(*ngram_join._prefix(s, none, 80, 100), hot) for s in (a, b)]
+            assert len(np.intersect1d(*keys))
+            assert ngram_join._fits(len(a), len(b), ngram_join._counts(a), ngram_join._counts(b), 80, 100)
+
+
+@pytest.mark.parametrize("bits,exact", [(64, 0), (64, 1 << 30), (8192, 1 << 30)])
+def test_signature_tree(monkeypatch, bits, exact):
+    monkeypatch.setattr(signature_tree, "MAX_BITS", bits)
+    monkeypatch.setattr(signature_tree, "MAX_EXACT_BITS", exact)
+    rng = np.random.default_rng(0)
+    base = [rng.choice(10**6, rng.integers(1, 80), replace=False) for _ in range(4)]
+    sets = []
+    for k in range(50):
+        s = base[k % 4].copy()
+        s[: k % max(1, len(s) // 6 + 1)] = rng.integers(0, 10**6, k % max(1, len(s) // 6 + 1))
+        sets.append(np.unique(s).astype(np.uint64))
+    want = {(a, b) for a in range(50) for b in range(a + 1, 50) if 5 * (i := len(np.intersect1d(sets[a], sets[b]))) >= 4 * (len(sets[a]) + len(sets[b]) - i)}
+    got = {(min(a, b), max(a, b)) for p, q in signature_tree.linked_pairs(sets, 4, 5) for a, b in zip(p.tolist(), q.tolist())}
+    assert got == want
+
+
+def test_contaminated(spark, docs, odd, empty):
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    tests = {r[0]: shingles(r[1], 5, words) for r in items.collect()}
+    want = set()
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        own = shingles(text, 5, words)
+        want |= {(doc_id, k, len(s), len(s & own)) for k, s in tests.items() if s and 100 * len(s & own) >= 80 * len(s)}
+    found = decontaminate.contaminated(docs, items)
+    assert {tuple(r)[:4] for r in found.collect()} == want and want
+    short = spark.createDataFrame([(1, "one TWO"), (2, None), (3, ""), (None, "one two")], "item_id long, text string")
+    pairs = [(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, short).collect()]
+    assert sorted(pairs, key=repr) == sorted([(d, i) for d in (4, 4, None) for i in (1, None)], key=repr)
+    assert decontaminate.contaminated(empty, items).count() == decontaminate.contaminated(docs, short.limit(0)).count() == 0
+
+
+def groups(rows):
+    by = {}
+    for doc_id, text in rows:
+        by.setdefault((text or "").translate(FOLD), []).append(doc_id)
+    out = [(i, max((x for x in ids if x is not None), default=None), len(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in by.items() for i in ids]
+    return sorted(out, key=repr), len(by)
+
+
+@pytest.mark.parametrize("digest", [None, lambda text: F.substring(F.md5(text), 1, 1)])
+def test_exact_dedup(docs, odd, empty, digest):
+    for frame in (docs, odd):
+        rows = [(r.doc_id, r.text) for r in frame.collect()]
+        found = exact_dedup.groups(frame, digest=digest).collect()
+        want, n = groups(rows)
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found), key=repr) == want
+        assert sum(r.kept for r in found) == n
+    assert exact_dedup.groups(empty).count() == 0
+
+
+def test_deduplicated_keeps_columns(odd):
+    found = exact_dedup.deduplicated(odd)
+    assert found.columns == odd.columns and found.count() == groups(ODD)[1]
+
+
+def test_exact_dedup_resumes(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    exact_dedup.groups(rows, f"file://{tmp_path}/s")
+    later = exact_dedup.groups(spark.createDataFrame([(3, "A"), (4, "c")], "doc_id long, text string"), f"file://{tmp_path}/s")
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in later.collect()} == {(1, 3, 2), (2, 2, 1), (3, 3, 2), (4, 4, 1)}
+
+
+def test_byte_bpe(docs, odd, empty, spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks_of(path), special_tokens={})
+    more = spark.createDataFrame([(9, "a\x1cb \x85  x's 'RE ''s 　\n\n z ٠² 😀 á"), (10, "   ")], "doc_id long, text string")
+    frame = docs.select("doc_id", "text").union(odd.select("doc_id", "text")).union(more)
+    want = []
+    for doc_id, text in frame.collect():
+        ids = library.encode_ordinary(text or "")
+        want.append((doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    found = byte_bpe.digests(frame, path, public_tokenizers.PATTERN).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+    assert byte_bpe.digests(empty, path, public_tokenizers.PATTERN).count() == 0
+    for numbers in ([], [0, 191, 192, 65727, 65728, 4194495], [5, 2**31]):
+        assert byte_bpe._unpack(byte_bpe._pack(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def test_surrogates(spark, docs, odd, empty):
+    texts = [
+        (1, "Write to Ann.Lee@mail.example.com or ANN.LEE@MAIL.EXAMPLE.COM, +1 (555) 123-4567."),
+        (2, "ann.lee@mail.example.com called from +1 (555) 123 4567; host 10.1.2.3, card 4111 1111 1111 1111 and 4111-1111-1111-1111"),
+        (3, "Mrs. Anna Berg met Mr. Karl Berg; Г-жа Ольга Петрова. token = \"" + "ab12" * 10 + '"'),
+        (4, "Nothing to see: 3 apples, 12:30, v1.2.3."),
+    ]
+    found = {r.doc_id: r for r in surrogates.with_surrogates(spark.createDataFrame(texts, "doc_id long, text string"), "k").collect()}
+    assert found[4].text == texts[3][1] and found[4].n_entities == 0
+    one = re.findall(r"\S+@[\w.]+\w", found[1].text)
+    assert one[0].lower() == one[1].lower() == re.findall(r"\S+@[\w.]+\w", found[2].text)[0] and one[1].isupper() and "lee" not in found[1].text.lower()
+    phones = [re.sub(r"\D", "", re.search(r"\+1[ ()\d-]+\d", found[k].text)[0]) for k in (1, 2)]
+    assert phones[0] == phones[1] != "15551234567"
+    cards = re.findall(r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", found[2].text)
+    assert cards[0].replace(" ", "-") == cards[1] != "4111-1111-1111-1111" and "10.1.2.3" not in found[2].text
+    assert re.match(r"Mrs\. [A-Z]\w+ [A-Z]\w+ met Mr\. [A-Z]\w+ [A-Z]\w+; Г-жа [А-Я]\w+ [А-Я]\w+\. ", found[3].text)
+    assert found[3].text.split()[1] in surrogates.FEMALE_NAMES and "ab12ab12" not in found[3].text
+    back = sorted(((r.doc_id, r.text) for r in surrogates.with_surrogates(odd, "k").collect()), key=repr)
+    assert back == sorted(ODD, key=repr)
+    assert surrogates.with_surrogates(empty, "k").count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    rows = spark.createDataFrame([("ssn", f"{k:03d}", "") for k in range(0, 900)], "kind string, canonical string, gender string")
+    table = surrogates.surrogate_table(rows.where("canonical < '090'"), "k").collect()
+    assert len({r.surrogate for r in table}) == 90 and not {r.surrogate for r in table} & {f"{k:03d}" for k in range(90)}
+
+
+def test_chat_parts(spark):
+    part = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+    messages = spark.createDataFrame(
+        [
+            (1, 0, "user", [("text", "see <|end|> \\ [x]", None, None, None, None, None), ("image", None, "a.png", 56, 29, None, None), ("document", None, "b.pdf", None, None, None, 2)]),
+            (1, 1, "assistant", [("text", "ok\\0", None, None, None, None, None), ("audio", None, "c.wav", None, None, 1.5, None)]),
+            (2, 0, None, None),
+        ],
+        f"conv_id long, turn long, role string, parts array<{part}>",
+    )
+    made = chat_format.format_conversations(messages)
+    rows = {r.conv_id: r for r in made.collect()}
+    assert rows[1].refs == ["<|image:1.2|>=a.png".replace("1.2", "1.1"), "<|document:1.2|>=b.pdf", "<|audio:2.1|>=c.wav"]
+    assert rows[1].expanded_tokens == 2 * 2 + 2 * chat_format.TOKENS_PER_PAGE + 38
+    read = {r.conv_id: r for r in chat_format.read_back(made).collect()}
+    assert read[1].n_turns == 2 and read[2].n_turns == 1 and read[2].loss_chars == 0
+    assert read[1].loss_sha256 == hashlib.sha256("ok\\0<|audio:2.1|>".encode()).hexdigest()
+    assert chat_format.format_conversations(messages.limit(0)).count() == 0
+
+
+def test_url_intervals(spark):
+    entries = spark.createDataFrame(
+        [("l", "bad.com", "add", "2024-01-10"), ("l", "bad.com", "remove", "2024-02-01"), ("l", "bad.com", "add", "2024-03-01"), ("l", None, "add", "2024-01-01"),
+         ("l", "a.bad.com", "add", "2024-01-15"), ("l", "bad.com", "add", "2024-03-05"), ("m", "ok.org/x", "add", "2024-01-01"), ("m", "ok.org/x", "remove", "2024-01-01")],
+        "list_name string, pattern string, action string, day string")
+    entries = entries.withColumn("day", F.col("day").cast("date"))
+    captures = spark.createDataFrame(
+        [(1, "http://A.bad.com/p", "2024-01-12"), (2, "http://a.bad.com", "2024-01-20"), (3, "https://u@bad.com:80/", "2024-02-01"), (4, "http://bad.com", "2024-04-01"), (5, None, "2024-01-12"), (6, "http://notbad.com", "2024-01-12"), (7, "http://ok.org/x/y", "2024-01-05"), (8, "http://bad.com", None)],
+        "capture_id long, url string, fetched string")
+    got = {r.capture_id: r.pattern if r.blocked else None for r in url_filter.judged(captures.withColumn("fetched", F.col("fetched").cast("date")), entries).collect()}
+    assert got == {1: "bad.com", 2: "a.bad.com", 3: None, 4: "bad.com", 5: None, 6: None, 7: None, 8: None}
+    assert url_filter.judged(captures.limit(0).withColumn("fetched", F.lit(None).cast("date")), entries).count() == 0
+    assert url_filter.judged(captures.withColumn("fetched", F.col("fetched").cast("date")), entries.limit(0)).where("blocked").count() == 0
+
+
+def held_out(rows, truth, value):
+    rows = [r for r in rows if r.held_out and r.doc_id in truth]
+    return sum(value(r) == truth[r.doc_id] for r in rows) / len(rows)
+
+
+def test_quality(spark, odd, empty):
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    assert held_out(quality.op4_quality_classifier(spark, DATA).collect(), truth, lambda r: r.predicted) > 0.95
+    trees = quality.fit(np.zeros((0, len(quality.NAMES))), np.zeros(0))
+    assert [r.score for r in quality.scores(odd, trees).collect()] == [0.5] * len(ODD)
+    assert quality.scores(empty, trees).count() == 0
+
+
+def test_toxicity(spark, odd, empty):
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    assert held_out(toxicity.op5_toxicity_pu(spark, DATA).collect(), truth, lambda r: r.predicted) > 0.93
+    blank = toxicity.train(odd, odd.select("doc_id", F.lit(0).alias("toxic")))
+    assert all(0 <= r.score <= 1 for r in toxicity.scores(odd, blank).collect())
+    assert toxicity.scores(empty, blank).count() == 0
+
+
+def test_non_negative_risk():
+    rng = np.random.default_rng(0)
+    x = (rng.random((3000, 20)) < 0.1).astype(np.float32)
+    toxic = rng.random(3000) < 0.2
+    x[toxic, 0] = 1
+    weights, bias = toxicity.fit(x[toxic][:100], x, 0.2)
+    called = (x @ weights + bias) > 0
+    assert weights.argmax() == 0 and called[toxic].mean() > 0.9 and called[~toxic].mean() < 0.25
+
+
+def test_language(spark, odd, empty):
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang").collect()}
+    assert held_out(language_mix.op10_language_mixture(spark, DATA).collect(), truth, lambda r: r.lang_pred) > 0.97
+    texts = spark.createDataFrame([("the cat and the dog and the house " * 5, "en"), ("der hund und die katze und das haus " * 5, "de"), (None, "en"), ("x", None)], "text string, lang string")
+    model = language_mix.train(texts)
+    mixed = spark.createDataFrame([(1, "the cat and the house " * 20 + "der hund und das haus " * 20), (2, "123 !")], "doc_id long, text string")
+    found = {r.doc_id: r for r in language_mix.identify(mixed, model).collect()}
+    assert set(found[1].langs) == {"en", "de"} and found[2].lang_pred == "und" and found[2].score == 0
+    blank = {r.lang_pred for r in language_mix.identify(odd.where("text is null or trim(text) = ''"), model).collect()}
+    assert blank == {"und"} and language_mix.identify(empty, model).count() == 0
+    assert {r.lang_pred for r in language_mix.identify(odd, ([], np.zeros((0, language_mix.BINS), np.float32))).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
+    found = registry.queries()[name](spark, SMALL)
+    columns = sorted(found.columns)
+    rows = con.execute(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    assert sorted(tuple(map(str, r)) for r in found.select(columns).collect()) == sorted(tuple(map(str, r)) for r in rows)
+
+
+def test_pipeline(spark):
+    """The stages one by one against brute force on the smallest tables."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    kept = {k: [(r.doc_id, r.text) for r in f(spark, docs, SMALL).collect()] for k, f in corpus_pipeline.STAGES[1:4]}
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want, _ = groups(rows)
+    assert sorted(i for i, _ in kept["exact dedup"]) == sorted({k for _, k, _, _ in want})
+    assert sorted(i for i, _ in kept["n-gram Jaccard join"]) == sorted(i for i, _, c in components(rows, 5, 80) if i == c)
+    final = corpus_pipeline.run(spark, SMALL)
+    assert final.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    texts = dict(rows)
+    assert all(hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest() == r.decoded_sha256 for r in final.collect())
