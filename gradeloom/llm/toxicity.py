@@ -29,7 +29,7 @@ MAX_UNLABELLED = 15_000
 MAX_FEATURES = 1024
 BEGINNINGS = (5, 7)
 MIN_DOCUMENTS, MIN_SURPRISE = 3, 3.5
-EPOCHS, BATCH, RATE, RIDGE = 40, 1024, 0.02, 1e-4
+STEPS, BATCH, RATE, RIDGE = 320, 1024, 0.02, 1e-4
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +94,7 @@ def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int = 0) -> tuple[
     negative, its gradient is stepped back, as the non-negative estimator asks."""
     rng = np.random.default_rng(seed)
     theta = np.append(np.full(x_u.shape[1], 0.5), -1.0)
-    m, v, step = np.zeros_like(theta), np.zeros_like(theta), 0
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
 
     def side(x: np.ndarray, sign: float) -> tuple[float, np.ndarray]:
         """Mean sigmoid loss of calling x toxic (1) or clean (-1), and its gradient."""
@@ -102,21 +102,18 @@ def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int = 0) -> tuple[
         slope = -sign * loss * (1 - loss) / len(x)
         return float(loss.mean()), np.append(x.T @ slope, slope.sum())
 
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(x_u))
-        for k in range(0, len(order), BATCH):
-            u = x_u[order[k : k + BATCH]]
-            p = x_p[rng.integers(0, len(x_p), min(len(x_p), BATCH))]
-            _, up = side(p, 1.0)
-            p_clean, p_down = side(p, -1.0)
-            u_clean, u_down = side(u, -1.0)
-            rest = u_down - prior * p_down
-            gradient = prior * up + rest if u_clean - prior * p_clean >= 0 else -rest
-            gradient[:-1] += RIDGE * theta[:-1]
-            step += 1
-            m = 0.9 * m + 0.1 * gradient
-            v = 0.999 * v + 0.001 * gradient**2
-            theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    for step in range(1, STEPS + 1):
+        u = x_u[rng.integers(0, len(x_u), min(len(x_u), BATCH))]
+        p = x_p[rng.integers(0, len(x_p), min(len(x_p), BATCH))]
+        _, up = side(p, 1.0)
+        p_clean, p_down = side(p, -1.0)
+        u_clean, u_down = side(u, -1.0)
+        rest = u_down - prior * p_down
+        gradient = prior * up + rest if u_clean - prior * p_clean >= 0 else -rest
+        gradient[:-1] += RIDGE * theta[:-1]
+        m = 0.9 * m + 0.1 * gradient
+        v = 0.999 * v + 0.001 * gradient**2
+        theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return theta[:-1], float(theta[-1])
 
 

@@ -280,7 +280,7 @@ def test_non_negative_risk():
     x = (rng.random((3000, 20)) < 0.1).astype(np.float32)
     toxic = rng.random(3000) < 0.2
     x[toxic, 0] = 1
-    weights, bias = toxicity.fit(x[toxic][:100], x, 0.2)
+    weights, bias = toxicity.fit(x[toxic][:400], x, 0.2)
     called = (x @ weights + bias) > 0
     assert weights.argmax() == 0 and called[toxic].mean() > 0.9 and called[~toxic].mean() < 0.25
 
