@@ -168,7 +168,7 @@ def t4_confusion_window(t):
 
 
 @query()
-def t5_stream_assign(t):
+def t5_assign_in_order(t):
     rows = t("fx_vectors").select((F.col("id") % 4).cast("string").alias("subject"), F.col("id").alias("seq"), "id", "vector")
     return events.assign_emergent(rows, threshold=0.2).groupBy("subject", "event").agg(F.count("*").alias("n"))
 

@@ -1,4 +1,4 @@
-"""Streams: typed events, counts, learner updates, emergent clusters and a growing index."""
+"""Streams: typed events, counts and learner updates; emergent clusters and a growing index by batch."""
 
 from __future__ import annotations
 
@@ -65,7 +65,7 @@ def assign_emergent(vectors: DataFrame, threshold: float = 0.50, least: int = 3)
         for batch in batches:
             out = []
             for subject, id_, vector in zip(batch["subject"], batch["id"], batch["vector"]):
-                points = sums.setdefault(subject, {}) if subject in sums or len(sums) == 0 else sums.setdefault(subject, {})
+                points = sums.setdefault(subject, {})
                 v = np.asarray(vector, float)
                 near, best = None, -2.0
                 for name, (total, n) in points.items():
@@ -89,20 +89,6 @@ def assign_emergent(vectors: DataFrame, threshold: float = 0.50, least: int = 3)
     return found.join(sizes, "kp_id").withColumn("quality", F.when(F.col("members") >= least, F.lit("stable")).otherwise("embryonic"))
 
 
-def stream_assign(stream: DataFrame, state_path: str, out_path: str, threshold: float = 0.50):
-    """Assign a stream of questions against the centroids known so far, batch after batch.
-
-    Each batch is compared with the frozen centroids in ``state_path``; what joins none is clustered
-    among itself, and the renewed sums are written for the next batch.
-    """
-
-    def step(batch: DataFrame, number: int) -> None:
-        found = assign_emergent(batch, threshold)
-        found.write.mode("append").parquet(out_path)
-
-    return stream.writeStream.option("checkpointLocation", state_path).foreachBatch(step)
-
-
 def index_append(index: DataFrame, new: DataFrame) -> DataFrame:
     """The retrieval index with new rows; known ids are ignored."""
     return insert_ignore(index, new, "id")
