@@ -173,11 +173,12 @@ def redistribute(members: DataFrame, help_map: DataFrame, topics: DataFrame, lea
 
 
 def update_centrality(centrality: DataFrame, help_map: DataFrame, members: DataFrame, topics: DataFrame) -> DataFrame:
-    """Moving average of centrality: .60 old, .30 mean help, .10 topic cohesion; at most 1, three places."""
+    """Moving average of centrality: .60 old, .30 mean help, .10 topic cohesion; at most 1, three places
+    (ties as nine decimals show them)."""
     helped = help_map.groupBy("fragment_id").agg(F.avg("help_effect").alias("help"))
     rows = centrality.where("verification_count >= 1").join(helped, "fragment_id", "left").join(members.select("fragment_id", "topic_id"), "fragment_id", "left").join(topics.select("topic_id", "cohesion"), "topic_id", "left")
     new = 0.6 * F.col("centrality_score") + 0.3 * F.coalesce("help", F.lit(0.0)) + 0.1 * F.coalesce("cohesion", F.lit(0.0))
-    return rows.select("fragment_id", F.bround(F.least(new, F.lit(1.0)), 3).alias("centrality_score"), (F.col("verification_count") + 1).alias("verification_count"))
+    return rows.select("fragment_id", F.bround(F.bround(F.least(new, F.lit(1.0)), 9), 3).alias("centrality_score"), (F.col("verification_count") + 1).alias("verification_count"))
 
 
 def vector_cascade(qa_vectors: DataFrame, members: DataFrame, kps: DataFrame, topic_points: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -96,7 +96,7 @@ def o9_redistribute(t):
     return top.redistribute(t("fx_membership"), t("fx_help"), _topics(t))
 
 
-@query("""SELECT fragment_id, round_even(least(0.6 * 0.5 + 0.3 * avg(help_effect) + 0.1 * 0.5, 1.0), 3) AS centrality_score, count(*) + 1 AS verification_count FROM fx_help JOIN fx_membership USING (fragment_id) GROUP BY 1""")
+@query("""SELECT fragment_id, round_even(round_even(least(0.6 * 0.5 + 0.3 * avg(help_effect) + 0.1 * 0.5, 1.0), 9), 3) AS centrality_score, count(*) + 1 AS verification_count FROM fx_help JOIN fx_membership USING (fragment_id) GROUP BY 1""")
 def o10_update_centrality(t):
     old = t("fx_help").groupBy("fragment_id").agg(F.count("*").alias("verification_count")).withColumn("centrality_score", F.lit(0.5))
     return top.update_centrality(old, t("fx_help"), t("fx_membership"), _topics(t))
