@@ -26,8 +26,8 @@ from pyspark.taskcontext import TaskContext
 
 from gradeloom.session import stored
 
-CHUNK_BYTES = 28 << 20
-CLASSES_PER_PARTITION = 4
+CHUNK_BYTES = 32 << 20
+CLASSES_PER_PARTITION = 1
 OUTPUT_BYTES = 4 << 20
 _ONE_BYTE = 192
 _WIDE = (1 << 32) - 1

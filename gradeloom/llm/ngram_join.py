@@ -544,4 +544,4 @@ def without(docs: DataFrame, drop: DataFrame, bound: int = 1_000_000) -> DataFra
     """Rows of ``docs`` whose doc_id isn't in ``drop``: broadcast up to ``bound`` ids, else a shuffle join."""
     drop = stored(drop, "drop")
     small = drop.limit(bound + 1).count() <= bound
-    return docs.join(drop.hint("broadcast" if small else "merge"), "doc_id", "left_anti")
+    return docs.join(drop.hint("broadcast" if small else "merge"), "doc_id", "left_anti").select(*(docs[c] for c in docs.columns))
