@@ -109,10 +109,10 @@ def _fit(weights: np.ndarray, like: np.ndarray, cuts: np.ndarray, active: np.nda
     total = np.add.reduceat(weights, cuts[:-1])
     share = active / active.sum(axis=1, keepdims=True)
     for _ in range(ROUNDS):
-        joint = like * np.repeat(share, size, axis=0)
-        joint *= (weights / joint.sum(axis=1))[:, None]
+        each = np.repeat(share, size, axis=0)
+        joint = like * each * (weights / np.einsum("ij,ij->i", like, each))[:, None]
         share = np.add.reduceat(joint, cuts[:-1], axis=0) / total[:, None]
-    fit = np.add.reduceat(weights * np.log((like * np.repeat(share, size, axis=0)).sum(axis=1)), cuts[:-1])
+    fit = np.add.reduceat(weights * np.log(np.einsum("ij,ij->i", like, np.repeat(share, size, axis=0))), cuts[:-1])
     return share, fit
 
 
@@ -124,8 +124,8 @@ def _infer(bins: np.ndarray, owner: np.ndarray, n_docs: int, logs: np.ndarray) -
     cells, counts = np.unique(owner * BINS + bins, return_counts=True)
     docs, where = np.unique(cells // BINS, return_index=True)
     weights = counts.astype(np.float64)
-    raw = logs[:, cells % BINS].T.astype(np.float64)
-    like = np.maximum(np.exp(raw - raw.max(axis=1, keepdims=True)), 1e-12)
+    raw = logs[:, cells % BINS].astype(np.float64)
+    like = np.ascontiguousarray(np.maximum(np.exp(raw - raw.max(axis=0)), 1e-12).T)
     cuts = np.append(where, len(cells))
     total = np.add.reduceat(weights, where)
     cost = PENALTY * np.log(np.maximum(total, 2))
