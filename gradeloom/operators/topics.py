@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -94,36 +93,102 @@ def topic_stats(members: DataFrame, help_map: DataFrame, topics: DataFrame) -> D
     return rows.withColumn("quality", quality)
 
 
-def split_topics(members: DataFrame, help_map: DataFrame, topics: DataFrame, least: int = 6, most: int = 400) -> DataFrame:
+class _Overlap:
+    """Jaccard similarities of one topic's help sets, row by row from an inverted index.
+
+    Fragments of equal sets share a kind, and only kinds are compared; memory is linear in the
+    topic's help rows, as no table of all pairs is kept.
+    """
+
+    def __init__(self, helped: pd.Series):
+        lists = [np.asarray(x) for x in helped]
+        size = np.array([len(x) for x in lists])
+        codes = pd.factorize(np.concatenate(lists))[0].astype(np.int64) if size.sum() else np.empty(0, np.int64)
+        seen: dict[bytes, int] = {}
+        self.kind = np.array([seen.setdefault(np.sort(x).tobytes(), len(seen)) for x in np.split(codes, np.cumsum(size)[:-1])])
+        self.weight = np.bincount(self.kind)
+        sets = [np.frombuffer(x, np.int64) for x in seen]
+        self.size = np.array([len(x) for x in sets])
+        items = np.concatenate(sets)
+        self.sets, self.owner = sets, np.repeat(np.arange(len(sets)), self.size)[np.argsort(items, kind="stable")]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(items, minlength=1))])
+        self.total = np.zeros(len(sets))
+        for k in range(len(sets)):
+            near, sim = self.near(k)
+            self.total[k] = (self.weight[near] * sim).sum() - (self.size[k] > 0)
+
+    def near(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Kinds that share a question with kind k, itself among them, and their similarities."""
+        found = [self.owner[self.start[x] : self.start[x + 1]] for x in self.sets[k]]
+        near, common = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+        return near, common / (self.size[k] + self.size[near] - common)
+
+    def dense(self, k: int) -> np.ndarray:
+        row = np.zeros(len(self.size))
+        near, sim = self.near(k)
+        row[near] = sim
+        return row
+
+    def worth(self, k: int) -> np.ndarray:
+        """Worth of a fragment of kind k and one of every kind as seeds, to nine decimals."""
+        sim = self.dense(k)
+        out = (self.total[k] + self.total - 2 * sim) / (len(self.kind) - 2) - sim
+        if self.weight[k] < 2:
+            out[k] = -np.inf
+        return np.round(out, 9)
+
+    def seeds(self, least: float) -> tuple[int, int] | None:
+        """The first pair of greatest worth; a row is passed over if even the greatest total couldn't lift it."""
+        bound = (self.total + self.total.max()) / (len(self.kind) - 2) + 1e-8
+        best = least
+        for k in np.argsort(-self.total, kind="stable"):
+            if bound[k] < best:
+                break
+            best = max(best, self.worth(k).max())
+        for k in dict.fromkeys(self.kind.tolist()):
+            if bound[k] >= best and len(mates := np.flatnonzero(self.worth(k) >= best)):
+                i = int(np.argmax(self.kind == k))
+                mate = np.isin(self.kind, mates)
+                mate[i] = False
+                return i, int(np.argmax(mate))
+        return None
+
+
+def split_topics(members: DataFrame, help_map: DataFrame, topics: DataFrame, least: int = 6) -> DataFrame:
     """``(fragment_id, topic_id, part)`` of topics that fall into two groups by the questions they help.
 
     Similarity is the Jaccard of help sets. The seed pair has the greatest mean similarity to the other
-    fragments less its own similarity (0.3 at least); others join the nearer seed; both parts need three
-    fragments and a mean similarity of 0.4. A topic of more than ``most`` fragments is left whole.
+    fragments less its own similarity (0.3 at least); others join the nearer seed, in order; both parts
+    need three fragments and a mean similarity of 0.4. Figures are compared to nine decimals, ties go to
+    the first pair and the first part. Topics of every size are split; as each fragment depends on those
+    before it, a topic is one task, which holds the topic's help rows.
     """
     live = members.join(topics.where(F.col("quality").isin(*LIVE)).select("topic_id"), "topic_id", "left_semi")
-    sized = live.withColumn("mass", F.count("*").over(W.partitionBy("topic_id"))).where((F.col("mass") >= least) & (F.col("mass") <= most))
+    sized = live.withColumn("mass", F.count("*").over(W.partitionBy("topic_id"))).where(F.col("mass") >= least)
     sets = sized.join(help_map, "fragment_id").groupBy("topic_id", "fragment_id").agg(F.collect_set("helped_qa_id").alias("helped"))
 
     def split(group: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame(columns=["fragment_id", "topic_id", "part"], dtype=object)
-        group = group.sort_values("fragment_id")
-        names, sets = group["fragment_id"].tolist(), [set(x) for x in group["helped"]]
-        n = len(names)
-        if n < least:
+        if len(group) < least:
             return none
-        sim = [[len(a & b) / len(a | b) if a | b else 0.0 for b in sets] for a in sets]
-        total = [sum(row) - row[k] for k, row in enumerate(sim)]
-        worth = {(i, j): (total[i] + total[j] - 2 * sim[i][j]) / (n - 2) - sim[i][j] for i, j in combinations(range(n), 2)}
-        i, j = max(worth, key=worth.get)
-        if worth[i, j] < 0.3:
+        group = group.sort_values("fragment_id")
+        names, over = group["fragment_id"].tolist(), _Overlap(group["helped"])
+        seeds = over.seeds(0.3)
+        if seeds is None:
             return none
-        parts = ([i], [j])
-        for k in range(n):
-            if k not in (i, j):
-                near = [(sim[k][s] + sum(sim[k][m] for m in part)) / (len(part) + 1) for s, part in zip((i, j), parts)]
-                parts[near[1] > near[0]].append(k)
-        means = [sum(sim[a][b] for a, b in combinations(p, 2)) / max(1, len(p) * (len(p) - 1) // 2) for p in parts]
+        to_seed = [over.dense(over.kind[s]) for s in seeds]
+        held = [np.bincount([over.kind[s]], minlength=len(over.size)) for s in seeds]
+        parts, inner = ([seeds[0]], [seeds[1]]), [0.0, 0.0]
+        for n, k in enumerate(over.kind):
+            if n not in seeds:
+                near, sim = over.near(k)
+                sums = [(h[near] * sim).sum() for h in held]
+                mean = [round((s[k] + t) / (len(p) + 1), 9) for s, t, p in zip(to_seed, sums, parts)]
+                at = int(mean[1] > mean[0])
+                parts[at].append(n)
+                held[at][k] += 1
+                inner[at] += sums[at]
+        means = [round(x / max(1, len(p) * (len(p) - 1) // 2), 9) for x, p in zip(inner, parts)]
         if min(map(len, parts)) < 3 or min(means) < 0.4:
             return none
         topic = group["topic_id"].iloc[0]

@@ -1,5 +1,9 @@
 """Hand-made frames for edge cases of the assessment operators."""
 
+from fractions import Fraction
+from itertools import combinations
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +96,37 @@ def test_geometric_median(spark):
 def test_insert_once(spark):
     rows = spark.createDataFrame([(2, "q", "a"), (1, "q", "a")], "id long, question_text string, answer_text string")
     assert [r.id for r in upserts.insert_qa(rows.limit(0), rows).collect()] == [1]
+
+
+def brute_split(sets):
+    """Parts of one topic's help sets in order, over all pairs in exact fractions."""
+    n = len(sets)
+    sim = [[Fraction(len(a & b), len(a | b)) if a | b else Fraction(0) for b in sets] for a in sets]
+    total = [sum(row) - row[k] for k, row in enumerate(sim)]
+    worth = {(i, j): (total[i] + total[j] - 2 * sim[i][j]) / (n - 2) - sim[i][j] for i, j in combinations(range(n), 2)}
+    i, j = max(worth, key=worth.get)
+    if worth[i, j] < Fraction(3, 10):
+        return {}
+    parts = ([i], [j])
+    for k in range(n):
+        if k not in (i, j):
+            near = [(sim[k][s] + sum(sim[k][m] for m in p)) / (len(p) + 1) for s, p in zip((i, j), parts)]
+            parts[near[1] > near[0]].append(k)
+    means = [sum(sim[a][b] for a, b in combinations(p, 2)) / max(1, len(p) * (len(p) - 1) // 2) for p in parts]
+    return {} if min(map(len, parts)) < 3 or min(means) < Fraction(4, 10) else {k: s for s, p in zip("ab", parts) for k in p}
+
+
+def test_split_topics(spark):
+    """Topics of every size, above 400 fragments too, split as over all pairs."""
+    rng = np.random.default_rng(5)
+    sets = {}
+    for t, n in enumerate([6, 7, 9, 12, 20, 30, 30, 40, 5, 120]):
+        camps = [rng.choice(50, 6, replace=False) + (0 if t % 3 else 100 * c) for c in range(2)]
+        sets[f"t{t}"] = [{int(x) for x in camps[int(rng.integers(2))] if rng.random() < 0.9} or {int(camps[0][0])} for _ in range(n)]
+    sets["one"], sets["large"] = [{1, 2}] * 8, [{100 * (k % 2) + x for x in range(4 + k % 3)} for k in range(450)]
+    want = {(f"{t}_{k:04d}", f"{t}_{s}") for t, own in sets.items() if len(own) >= 6 for k, s in brute_split(own).items()}
+    assert any(f.startswith("large") for f, _ in want) and len({p[:2] for _, p in want}) > 3
+    members = spark.createDataFrame([(f"{t}_{k:04d}", t) for t, own in sets.items() for k in range(len(own))], "fragment_id string, topic_id string")
+    help_map = spark.createDataFrame([(f"{t}_{k:04d}", x) for t, own in sets.items() for k, s in enumerate(own) for x in s], "fragment_id string, helped_qa_id long")
+    live = spark.createDataFrame([(t, "forming") for t in sets], "topic_id string, quality string")
+    assert {(r.fragment_id, r.part) for r in topics.split_topics(members, help_map, live).collect()} == want
