@@ -1,24 +1,25 @@
 """Similarity, clustering and retrieval over vector columns.
 
-Vectors are ``array<float>`` of unit length, so a cosine is a dot product. A stated query set is
-compared with all rows in blocks; a self-join of a whole corpus goes through random-projection
-buckets first and is checked exactly after.
+Vectors are ``array<float>`` of unit length, so a cosine is a dot product. Searches and self-joins
+compare all rows with one broadcast block of rows after the other, exactly and at every size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gradeloom.session import stored
+from gradeloom.session import scratch_path, stored
 
-MAX_EXACT_ROWS = 20_000
-MAX_QUERIES = 5_000
+#: Rows of a broadcast block, and similarities that a task holds at once.
+BLOCK_ROWS = 5_000
+BLOCK_CELLS = 1 << 21
 MAX_ROUNDS = 100
 
 
@@ -39,37 +40,81 @@ def unit(a: Column) -> Column:
     return F.when(size > 0, F.transform(a, lambda x: x / size)).otherwise(a)
 
 
-def cosine_pairs(vectors: DataFrame, tau: float, bucket: float | None = None, tables: int = 16) -> DataFrame:
-    """``(a, b, cosine)`` for pairs a < b of ``vectors(id, vector)`` with a cosine of at least tau.
+def _by_width(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and matrix of the vectors of each width."""
+    widths = column.value_lengths().to_numpy(zero_copy_only=False)
+    for width in np.unique(widths):
+        at = np.flatnonzero(widths == width)
+        yield at, column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), int(width))
+
 
-    Up to ``MAX_EXACT_ROWS`` rows (counted) every pair is compared, rows against a broadcast copy of
-    that bounded size. Beyond, or with a bucket length, candidates come from random projections at
-    distance ``sqrt(2 - 2 tau)``: then a pair can be missed, but none is wrong.
+def _against_blocks(rows: DataFrame, block_rows: DataFrame, chosen: Callable[[], Callable[[int, np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
+    """``(id, block_id, score)`` of the chosen pairs of ``rows(id, vector)`` and ``block_rows(block_id, vector)``.
+
+    The blocks are random shares of ``block_rows``, one pass over the rows each. ``chosen`` makes the test
+    of a task and pass: it gets the vectors' width, the places of the block's rows and a matrix of scores
+    (rows by block) and says which to keep. Rows without an id or a whole vector have no pairs, nor have
+    vectors of unlike widths.
     """
-    rows = vectors.select("id", "vector")
-    if bucket is None and rows.limit(MAX_EXACT_ROWS + 1).count() <= MAX_EXACT_ROWS:
-        other = rows.select(F.col("id").alias("b"), F.col("vector").alias("vector_b"))
-        found = rows.withColumnRenamed("id", "a").join(F.broadcast(other), F.col("a") < F.col("b"))
-        return found.select("a", "b", dot("vector", "vector_b").alias("cosine")).where(F.col("cosine") >= tau)
-    dense = rows.withColumn("features", array_to_vector("vector"))
-    far = float(np.sqrt(max(2 - 2 * tau, 1e-6)))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket or 2 * far, numHashTables=tables, seed=1).fit(dense)
-    near = model.approxSimilarityJoin(dense, dense, far + 1e-6).where("datasetA.id < datasetB.id")
-    found = near.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), dot("datasetA.vector", "datasetB.vector").alias("cosine"))
-    return found.where(F.col("cosine") >= tau)
+    spark = rows.sparkSession
+    whole = lambda df, key: df.where(F.col(key).isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
+    rows = stored(whole(rows, "id").select("id", "vector"), "rows")
+    drawn = stored(whole(block_rows, "block_id").select("block_id", "vector", F.rand(1).alias("at")), "blocks")
+    blocks = max(1, -(-drawn.count() // BLOCK_ROWS))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, block_id {drawn.schema['block_id'].dataType.simpleString()}, score double"
+    path = scratch_path(spark, "scores")
+    for k in range(blocks):
+        block = drawn.where((F.col("at") >= k / blocks) & (F.col("at") < (k + 1) / blocks)).toArrow().combine_chunks()  # about BLOCK_ROWS rows
+        ids, vectors = (block.column(c).combine_chunks() for c in ("block_id", "vector"))
+        shared = spark.sparkContext.broadcast((ids, {m.shape[1]: (at, m) for at, m in _by_width(vectors)}))
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            (ids, parts), test = shared.value, chosen()
+            for batch in batches:
+                for at, own in _by_width(batch.column(1)):
+                    if own.shape[1] not in parts:
+                        continue
+                    places, other = parts[own.shape[1]]
+                    step = max(1, BLOCK_CELLS // len(other))
+                    for first in range(0, len(own), step):
+                        found = own[first : first + step] @ other.T
+                        i, j = np.nonzero(test(own.shape[1], places, found))
+                        if len(i):
+                            yield pa.record_batch([batch.column(0).take(pa.array(at[first + i])), ids.take(pa.array(places[j])), pa.array(found[i, j])], names=["id", "block_id", "score"])
+
+        rows.mapInArrow(score, schema).write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(schema).parquet(path)
+
+
+def cosine_pairs(vectors: DataFrame, tau: float) -> DataFrame:
+    """``(a, b, cosine)`` for pairs a < b of ``vectors(id, vector)`` with a cosine of at least tau: all of them."""
+    found = _against_blocks(vectors, vectors.select(F.col("id").alias("block_id"), "vector"), lambda: lambda width, places, score: ~(score < tau))
+    return found.where("id < block_id").select(F.col("id").alias("a"), F.col("block_id").alias("b"), F.col("score").alias("cosine"))
 
 
 def search(corpus: DataFrame, queries: DataFrame, tau: float = 0.5, min_k: int = 3, cap: int = 15) -> DataFrame:
     """Best ``cap`` rows of the corpus for each query: those of tau or more, and the first ``min_k`` anyway.
 
-    The query set is stated and of checked size; tasks keep their own best rows before the shuffle.
+    Queries of any number are searched in blocks. A task passes on only rows that reach the ``cap``-th
+    score it has seen for the query; ties stay.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: search them in blocks")
-    rows = corpus.select("id", "vector").join(F.broadcast(queries.select("query_id", F.col("vector").alias("query"))))
-    scored = rows.select("query_id", "id", dot("vector", "query").alias("score"))
+
+    def chosen() -> Callable[[int, np.ndarray, np.ndarray], np.ndarray]:
+        seen: dict[int, np.ndarray] = {}
+
+        def test(width: int, places: np.ndarray, score: np.ndarray) -> np.ndarray:
+            score = np.where(np.isnan(score), np.inf, score)  # as Spark orders them
+            best = np.concatenate([seen[width], score]) if width in seen else score
+            seen[width] = np.partition(best, len(best) - cap, axis=0)[-cap:] if len(best) > cap else best
+            return score >= (seen[width].min(axis=0) if len(best) >= cap else -np.inf)
+
+        return test
+
+    scored = _against_blocks(corpus, queries.select(F.col("query_id").alias("block_id"), "vector"), chosen)
     nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("nth", nth).where((F.col("nth") <= cap) & ((F.col("score") >= tau) | (F.col("nth") <= min_k)))
+    scored = scored.select(F.col("block_id").alias("query_id"), "id", "score").withColumn("nth", nth)
+    return scored.where((F.col("nth") <= cap) & ((F.col("score") >= tau) | (F.col("nth") <= min_k)))
 
 
 def keyword_jaccard(a: Column, b: Column) -> Column:

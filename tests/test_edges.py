@@ -130,3 +130,27 @@ def test_split_topics(spark):
     help_map = spark.createDataFrame([(f"{t}_{k:04d}", x) for t, own in sets.items() for k, s in enumerate(own) for x in s], "fragment_id string, helped_qa_id long")
     live = spark.createDataFrame([(t, "forming") for t in sets], "topic_id string, quality string")
     assert {(r.fragment_id, r.part) for r in topics.split_topics(members, help_map, live).collect()} == want
+
+
+def test_pairs_in_blocks(spark, monkeypatch):
+    """Every pair at any size: several blocks, and the blocks' sizes don't show."""
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 40)
+    x = np.random.default_rng(2).normal(size=(150, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(900, None), (901, [1.0, None]), (None, [1.0] * 8), (902, [1.0]), (903, [0.5])], "id long, vector array<float>")
+    sim = x.astype(float) @ x.T.astype(float)
+    want = {(a, b) for a, b in combinations(range(150), 2) if sim[a, b] >= 0.3} | {(902, 903)}
+    found = [(r.a, r.b) for r in vectors.cosine_pairs(rows, 0.3).collect()]
+    assert set(found) == want and len(found) == len(want)
+    assert vectors.cosine_pairs(rows.limit(0), 0.3).count() == 0
+    best = vectors.search(rows.where("id < 150"), rows.where("id < 150").withColumnRenamed("id", "query_id"), 0.5, 3, 15).collect()
+    order = [sorted(range(150), key=lambda k: (-sim[q, k], k))[:15] for q in range(150)]
+    assert {(r.query_id, r.id) for r in best} == {(q, k) for q in range(150) for n, k in enumerate(order[q]) if sim[q, k] >= 0.5 or n < 3}
+
+
+def test_search_of_many_queries(spark):
+    """More queries than a block has rows."""
+    corpus = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(4)], "id long, vector array<double>")
+    queries = spark.range(5001).select(F.col("id").alias("query_id"), F.array(F.lit(0.0), F.lit(1.0)).alias("vector"))
+    found = vectors.search(corpus, queries, tau=2.0, min_k=1, cap=2).groupBy("id").count().collect()
+    assert {tuple(r) for r in found} == {(2, 5001), (3, 5001)}
