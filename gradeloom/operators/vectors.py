@@ -53,13 +53,13 @@ def _against_blocks(rows: DataFrame, block_rows: DataFrame, chosen: Callable[[],
 
     The blocks are random shares of ``block_rows``, one pass over the rows each. ``chosen`` makes the test
     of a task and pass: it gets the vectors' width, the places of the block's rows and a matrix of scores
-    (rows by block) and says which to keep. Rows without an id or a whole vector have no pairs, nor have
-    vectors of unlike widths.
+    (rows by block) and says which to keep. Rows without a whole vector have no pairs, nor have vectors
+    of unlike widths; null ids are ids.
     """
     spark = rows.sparkSession
-    whole = lambda df, key: df.where(F.col(key).isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
-    rows = stored(whole(rows, "id").select("id", "vector"), "rows")
-    drawn = stored(whole(block_rows, "block_id").select("block_id", "vector", F.rand(1).alias("at")), "blocks")
+    whole = F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())
+    rows = stored(rows.where(whole).select("id", "vector"), "rows")
+    drawn = stored(block_rows.where(whole).select("block_id", "vector", F.rand(1).alias("at")), "blocks")
     blocks = max(1, -(-drawn.count() // BLOCK_ROWS))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, block_id {drawn.schema['block_id'].dataType.simpleString()}, score double"
     path = scratch_path(spark, "scores")

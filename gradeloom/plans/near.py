@@ -64,8 +64,8 @@ def v7_cluster_stats(t):
 
 @query()
 def v8_geometric_median(t):
-    few = t("fx_vectors").where("id < 40").withColumn("weight", F.lit(1.0))
-    return vec.geometric_median(few, "topic").select("topic", F.bround(vec.norm("median"), 4).alias("size"))
+    rows = t("fx_vectors").withColumn("weight", F.lit(1.0))
+    return vec.geometric_median(rows, "topic").select("topic", F.bround(vec.norm("median"), 4).alias("size"))
 
 
 @query()
@@ -100,7 +100,7 @@ def v13_pitfall_relevance(t):
 
 @query()
 def v14_topic_merge_plan(t):
-    rows = t("fx_vectors").where("id < 200").select(F.concat(F.lit("t"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("topic"), "vector", (F.col("id") % 7).alias("n"))
+    rows = t("fx_vectors").select(F.format_string("t%012d", "id").alias("topic"), "vector", (F.col("id") % 7).alias("n"))
     return vec.topic_merge_plan(rows, tau=0.35)[0]
 
 
@@ -144,7 +144,7 @@ def v19_kp_thresholds(t):
 def v20_apply_signals(t):
     rows = t("fx_vectors").select(F.col("id").alias("kp_id"), "vector")
     kind = F.element_at(F.array(*map(F.lit, ("help", "hurt", "post", "user"))), (F.col("id") % 4).cast("int") + 1)
-    signals = t("fx_vectors").where("id < 200").select((F.col("id") % 50).alias("kp_id"), F.col("id").alias("seq"), kind.alias("kind"), "vector")
+    signals = t("fx_vectors").select(F.floor(F.col("id") / 4).alias("kp_id"), F.col("id").alias("seq"), kind.alias("kind"), "vector")
     return vec.apply_signals(rows, signals).select("kp_id", F.bround(vec.norm("vector"), 4).alias("size"))
 
 
