@@ -63,9 +63,9 @@ def o6_topic_stats(t):
     return rows.select("topic_id", "mass", F.bround("cohesion", 6).alias("cohesion"), F.bround("stability", 6).alias("stability"), "quality")
 
 
-def _cliques(t):
+def _cliques(part):
     """Fragments of ``P`` topics help in two separate camps, so that a split shows."""
-    parts = t("part").where("p_partkey <= 400").select(F.concat(F.lit("f_"), F.lpad(F.col("p_partkey").cast("string"), 4, "0")).alias("fragment_id"), F.concat(F.lit("topic_"), (F.col("p_partkey") % 20).cast("string")).alias("topic_id"), "p_partkey")
+    parts = part.select(F.format_string("f_%04d", "p_partkey").alias("fragment_id"), F.concat(F.lit("topic_"), (F.col("p_partkey") % 20).cast("string")).alias("topic_id"), "p_partkey")
     members = parts.select("fragment_id", "topic_id", F.lit(None).cast("string").alias("previous_topic_id"))
     camp = (F.floor(F.col("p_partkey") / 20) % 2) * 100
     help_map = parts.select("fragment_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"), camp.alias("camp"), (F.col("p_partkey") % 20 * 1000).alias("base")).select("fragment_id", (F.col("base") + F.col("camp") + F.col("k")).alias("helped_qa_id"), F.lit(0.8).alias("help_effect"))
@@ -76,13 +76,13 @@ def _cliques(t):
 @query("""SELECT 'f_' || lpad(p_partkey::VARCHAR, 4, '0') AS fragment_id, 'topic_' || (p_partkey % 20) AS topic_id FROM part WHERE p_partkey <= 400 AND
   (SELECT count(*) FROM part b WHERE b.p_partkey <= 400 AND b.p_partkey % 20 = part.p_partkey % 20) >= 6""")
 def o7_split_topics(t):
-    help_map, members, topics = _cliques(t)
+    help_map, members, topics = _cliques(t("part").where("p_partkey <= 400"))  # as its SQL has it
     return top.split_topics(members, help_map, topics).select("fragment_id", "topic_id")
 
 
 @query()
 def o8_merge_topics(t):
-    help_map, members, topics = _cliques(t)
+    help_map, members, topics = _cliques(t("part"))
     shared = help_map.withColumn("helped_qa_id", F.col("helped_qa_id") % 2000)
     return top.merge_topics(members, shared, topics)
 

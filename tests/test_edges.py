@@ -154,3 +154,15 @@ def test_search_of_many_queries(spark):
     queries = spark.range(5001).select(F.col("id").alias("query_id"), F.array(F.lit(0.0), F.lit(1.0)).alias("vector"))
     found = vectors.search(corpus, queries, tau=2.0, min_k=1, cap=2).groupBy("id").count().collect()
     assert {tuple(r) for r in found} == {(2, 5001), (3, 5001)}
+
+
+def test_whole_tables(spark):
+    """Queries without SQL run over their whole tables, not over the first ids."""
+    from gradeloom import catalog
+
+    data = "/root/testdata/sf0.01"
+    run = lambda name: catalog.queries()[name](spark, data).collect()
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").selectExpr("concat('topic_', label) AS topic", "embedding AS vector", "1.0D AS weight")
+    want = {r.topic: float(np.linalg.norm(r["median"])) for r in vectors.geometric_median(rows, "topic").collect()}
+    assert {r.topic: r.size for r in run("v8_geometric_median")} == pytest.approx(want, abs=1e-4)
+    assert max(int(r.loser[1:]) for r in run("v14_topic_merge_plan")) >= 200
