@@ -25,11 +25,25 @@ from pyspark.sql import functions as F
 
 from gradeloom.session import stored
 
-from .hashing import NOT_ALNUM, set_digest, shingle_sets
+from .hashing import NOT_ALNUM, set_digest, shingle_sets, utf8, word_spans
 
 TABLE_BITS = 1 << 23
 
 
+def _short_widths(items: DataFrame, width: int) -> list[int]:
+    """Numbers of words below ``width`` that occur among the items."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = set()
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            _, _, of = word_spans(data, offsets, NOT_ALNUM)
+            found |= set(np.bincount(of, minlength=1).tolist()) & set(range(1, width))
+        yield pa.record_batch([pa.array(sorted(found), pa.int32())], names=["words"])
+
+    return sorted(r["words"] for r in items.select(F.lower("text").alias("text")).mapInArrow(emit, "words int").distinct().collect())  # below ``width``
+
+
 def _item_sets(items: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """``(item_id, size_class, tokens, sketch)`` of every item with words."""
 
@@ -74,14 +88,15 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, num: int = 8
     """``(doc_id, item_id, item_shingles, found_shingles, containment)`` of every leaked pair.
 
     A pair is returned when the document holds at least ``num/den`` of the item's distinct shingles
-    of ``width`` words (lower case; words are runs of letters and digits). A text of fewer words is a
-    single shingle, so a very short item is only found where it is a document's whole text. Null and
-    empty texts match nothing; null ids are returned as they are; repeated document rows give
+    of ``width`` words (lower case; words are runs of letters and digits). An item of fewer words is a
+    single shingle of all its words, and documents are shingled at the widths of such items too. Null
+    and empty texts match nothing; null ids are returned as they are; repeated document rows give
     repeated pairs; repeated item rows with one id and one text count once. Other columns of either
     table are ignored. Empty tables give no rows.
     """
     spark = docs.sparkSession
     item_sets = stored(_item_sets(items, width, num, den), "items")
+    short = _short_widths(items, width)
     sketches = item_sets.select("item_id", "size_class", F.explode("sketch").alias("token"))
     ceilings = sketches.groupBy("size_class").agg(F.max(F.shiftrightunsigned("token", 1)).alias("top")).collect()  # a row per power of two
     shared = spark.sparkContext.broadcast(
@@ -96,7 +111,10 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, num: int = 8
         sketch_table, token_table, tops = shared.value
         sent = set()
         for batch in batches:
+            more = [shingle_sets(batch.column(0), w, NOT_ALNUM, as_texts=True) for w in short]
             for first, sets in shingle_sets(batch.column(0), width, NOT_ALNUM):
+                for _, extra in map(next, more):  # the same slices
+                    sets = [np.union1d(s, e) for s, e in zip(sets, extra)]
                 rows, digests, tokens, sketch, classes = [], [], [], [], []
                 for k, s in enumerate(sets):
                     hits = s[_in_table(sketch_table, s)]

@@ -101,10 +101,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
-def shingles(words: np.ndarray, doc_of: np.ndarray, n_docs: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(words: np.ndarray, doc_of: np.ndarray, n_docs: int, width: int, as_texts: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of ``width`` words in a row, and the document of each, in text order.
 
     A document with fewer words, but at least one, has a single shingle: its whole word sequence.
+    With ``as_texts`` every shingle has the hash of a whole text of these words that is too short.
     """
     count = np.bincount(doc_of, minlength=n_docs)
     first = np.cumsum(count) - count
@@ -115,7 +116,7 @@ def shingles(words: np.ndarray, doc_of: np.ndarray, n_docs: int, width: int) ->
     for k in range(min(width, total)):
         mixed[: total - k] += words[k:] * _WORD_FACTORS[k]
     whole = np.arange(total) + width <= (first + count)[doc_of]
-    out, out_doc = mix(mixed[whole]), doc_of[whole]
+    out, out_doc = mix(mixed[whole] ^ mix(np.array([width], _U)) if as_texts else mixed[whole]), doc_of[whole]
     short = np.flatnonzero((count > 0) & (count < width))
     if len(short):
         sums = np.array([np.sum(words[first[d] : first[d] + count[d]] * _WORD_FACTORS[: count[d]], dtype=_U) for d in short], _U)
@@ -126,12 +127,12 @@ def shingles(words: np.ndarray, doc_of: np.ndarray, n_docs: int, width: int) ->
     return out, out_doc
 
 
-def shingle_sets(column: pa.Array, width: int, separators: np.ndarray = SPACES) -> Iterator[tuple[int, list[np.ndarray]]]:
+def shingle_sets(column: pa.Array, width: int, separators: np.ndarray = SPACES, as_texts: bool = False) -> Iterator[tuple[int, list[np.ndarray]]]:
     """For each slice its first row and, per document, the sorted distinct shingle hashes."""
     data, offsets = utf8(column)
     for first, end, part, part_offsets in slices(data, offsets):
         starts, ends, doc_of = word_spans(part, part_offsets, separators)
-        hashes, of = shingles(word_hashes(part, starts, ends), doc_of, end - first, width)
+        hashes, of = shingles(word_hashes(part, starts, ends), doc_of, end - first, width, as_texts)
         cuts = np.searchsorted(of, np.arange(end - first + 1))
         yield first, [np.unique(hashes[cuts[d] : cuts[d + 1]]) for d in range(end - first)]
 

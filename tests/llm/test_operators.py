@@ -144,6 +144,14 @@ def test_contaminated(spark, docs, odd, empty):
     assert decontaminate.contaminated(empty, items).count() == decontaminate.contaminated(docs, short.limit(0)).count() == 0
 
 
+def test_short_items(spark):
+    """Items of one to four words inside longer documents."""
+    texts = [(1, "Before it: is water Wet? and after"), (2, "is water"), (3, "x " * 9 + "yes"), (4, "is dry water wet"), (5, "what is the largest planet now or ever")]
+    items = [(1, "Is water wet"), (2, "yes"), (3, "What is the largest"), (4, "or never"), (5, "what is the largest planet now"), (6, "")]
+    found = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r) for r in found.collect()} == {(1, 1, 1, 1, 1.0), (3, 2, 1, 1, 1.0), (5, 3, 1, 1, 1.0), (5, 5, 2, 2, 1.0)}
+
+
 def groups(rows):
     by = {}
     for doc_id, text in rows:
