@@ -10,6 +10,10 @@
 4. *Rendering.* An occurrence takes the surrogate in its own format (separators, case) and goes back
    to its place; documents without entities aren't moved.
 
+Not detected: names without a title in front, postal addresses, dates of birth, phone numbers of bare
+digits without a leading + or 0 or any separator, secrets of no known prefix that no key word stands
+before or that hold no digit, and anything spelled out in words. Two spellings of one IPv6 address count as two entities.
+
 DataFrame and SQL functions only.
 """
 
@@ -36,25 +40,43 @@ FEMALE_CYRILLIC = ["Анна", "Вера", "Дарья", "Елена"]
 MALE_CYRILLIC = ["Борис", "Глеб", "Иван", "Пётр"]
 
 _TITLE = "(?:" + "|".join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES) + ")"
+_HEX = "[0-9a-fA-F]{1,4}"
+#: Secrets known by how they begin.
+_PREFIXES = "AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|[sr]k_live_|[sr]k_test_|xox[abeoprs]-|AIza|hf_|npm_|eyJ"
+_PREFIXED = (
+    r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|github_pat_|glpat-|[sr]k_(?:live|test)_|hf_|npm_)[A-Za-z0-9_-]{16,255}|sk-[A-Za-z0-9_-]{20,255}"
+    r"|xox[abeoprs]-[A-Za-z0-9-]{10,255}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{4,2048}\.[A-Za-z0-9_-]{4,4096}\.[A-Za-z0-9_-]{4,2048}"
+)
+#: Names of keys whose values are secrets.
+_KEY_WORD = r"(?i:passw(?:or)?d|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|secret[_ -]?key|auth[_ -]?key)"
 #: Kind and pattern, tried in this order at each place.
 PATTERNS = (
     ("email", r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}._+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"),
-    ("secret", r"(?<![\p{L}\p{N}])[0-9a-fA-F]{32,64}(?![\p{L}\p{N}])"),
+    ("secret", rf"(?<![\p{{L}}\p{{N}}])(?:[0-9a-fA-F]{{32,128}}|{_PREFIXED})(?![\p{{L}}\p{{N}}])"),
+    ("secret", rf"(?<=[\"':= ])(?<={_KEY_WORD}[\"']?[ ]{{0,2}}[:=][ ]{{0,2}}[\"']?)(?=[\p{{L}}+/_=~.-]{{0,99}}[0-9])[A-Za-z0-9+/_=~.-]{{8,512}}(?![\p{{L}}\p{{N}}])"),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
+    ("ipv6", rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9a-fA-F:]{{0,39}}[0-9])(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\p{{L}}\p{{N}}:])"),
     ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
+    ("card", r"(?<![\p{L}\p{N}])3[0-9]{3}[ -]?[0-9]{6}[ -]?[0-9]{4,5}(?![\p{L}\p{N}])"),
     ("card", r"(?<![\p{L}\p{N}])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\p{L}\p{N}])"),
     ("phone", r"\+[0-9]{1,3}[^\p{L}\p{N}\n]{0,6}\(?[0-9]{2,4}\)?[^\p{L}\p{N}\n]{0,6}[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"),
+    ("phone", r"(?<![\p{L}\p{N}+])\+(?=(?:[ .()/-]{0,2}[0-9]){8,15}(?![0-9]))[1-9][0-9]{0,2}(?:[ .-]?\(0\))?(?:[ ./-]?\(?[0-9]{1,12}\)?){1,6}(?![0-9])"),
+    ("phone", r"(?<![\p{L}\p{N}.+-])(?:1[ .-])?(?:\([0-9]{3}\) ?[0-9]{3}[ .-]|[0-9]{3}-[0-9]{3}-|[0-9]{3}\.[0-9]{3}\.|[0-9]{3} [0-9]{3} )[0-9]{4}(?![\p{L}\p{N}-]|\.[0-9])"),
+    ("phone", r"(?<![\p{L}\p{N}.,+-])0(?:[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4})|[1-9][0-9]{8,9}|[0-9]{2,4}[ /-][0-9]{6,8}|[0-9]{2,4} [0-9]{3,4} [0-9]{3,4})(?![\p{L}\p{N}-]|\.[0-9])"),
     ("ssn", r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"),
     ("name", r"(?<![\p{L}\p{N}])" + _TITLE + r"\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"),
 )
 ENTITY = "|".join(p for _, p in PATTERNS)
 #: A text without any of these has no entity; a quick test before the patterns.
-_QUICK = r"[0-9@]|" + _TITLE + r"\.? "
+_QUICK = rf"[0-9@]|{_PREFIXES}|" + _TITLE + r"\.? "
+
+
+_HEXED = "^[0-9a-fA-F]{32,128}$"
 
 
 def _kind(value: Column) -> Column:
     tests = [(k, value.rlike(rf"^(?:{p})$")) for k, p in PATTERNS]
-    return F.coalesce(*(F.when(t, F.lit(k)) for k, t in tests))
+    return F.coalesce(*(F.when(t, F.lit(k)) for k, t in tests), F.lit("secret"))  # known by the key word before it
 
 
 def _canonical(kind: Column, value: Column) -> Column:
@@ -63,6 +85,7 @@ def _canonical(kind: Column, value: Column) -> Column:
         F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(value, "[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
         .when(kind == "name", F.regexp_replace(value, rf"^{_TITLE}\.? ", ""))
+        .when((kind == "secret") & ~value.rlike(_HEXED), value)
         .otherwise(F.lower(value))
     )
 
@@ -104,6 +127,9 @@ def _surrogate(kind: Column, value: Column, gender: Column, key: str, attempt: C
     chars = F.split(value, "")
     mapped = F.array_join(F.transform(chars, lambda c, i: _letters(c, number(i))), "")
     hexed = F.array_join(F.transform(chars, lambda c, i: F.substring(stream, F.pmod(i, F.lit(128)).cast("int") + 1, F.lit(1))), "")
+    begin = F.regexp_extract(value, f"^(?:{_PREFIXES})", 0)
+    token = F.concat(begin, F.substring(mapped, F.length(begin) + 1, F.length(mapped)))
+    groups = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(stream, i * 4 + 1, F.lit(4))), ":")
     octets = F.array_join(F.transform(F.split(value, r"\."), lambda c, i: (F.pmod(number(i), F.lit(254)) + 1).cast("string")), ".")
     # the country code of a phone, the check letters of an IBAN and the top domain of an address stay
     phone = F.concat(F.substring(value, 1, 1), F.array_join(F.transform(chars, lambda c, i: F.when(i > 0, _letters(c, number(i))).otherwise("")), ""))
@@ -119,7 +145,9 @@ def _surrogate(kind: Column, value: Column, gender: Column, key: str, attempt: C
     family = F.array_join(F.transform(F.split(F.element_at(words, -1), ""), lambda c, i: _letters(c, number(i + 2))), "")
     name = F.when(F.size(words) > 1, F.concat(given, F.lit(" "), family)).otherwise(family)
     return (
-        F.when(kind == "secret", hexed)
+        F.when((kind == "secret") & value.rlike(_HEXED), hexed)
+        .when(kind == "secret", token)
+        .when(kind == "ipv6", groups)
         .when(kind == "ip", octets)
         .when(kind == "phone", phone)
         .when(kind == "iban", iban)
@@ -162,7 +190,7 @@ def _rendered(kind: Column, found: Column, surrogate: Column) -> Column:
     return (
         F.when(kind.isin("card", "phone", "ssn", "iban"), spaced)
         .when(kind == "name", F.concat(title, surrogate))
-        .when((F.upper(found) == found) & (F.lower(found) != found), F.upper(surrogate))
+        .when((kind != "secret") | found.rlike(_HEXED), F.when((F.upper(found) == found) & (F.lower(found) != found), F.upper(surrogate)).otherwise(surrogate))
         .otherwise(surrogate)
     )
 
