@@ -26,6 +26,8 @@ from pyspark.taskcontext import TaskContext
 
 from gradeloom.session import stored
 
+from .batches import bounded_batches
+
 CHUNK_BYTES = 32 << 20
 CLASSES_PER_PARTITION = 1
 OUTPUT_BYTES = 4 << 20
@@ -198,6 +200,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     rows repeat, null doc_ids stay null, other columns are ignored, an empty table gives no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     ranks = spark.sparkContext.broadcast(ranks_of(path))
     classes = CLASSES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = stored(_pretokens(docs, pattern, classes), "pretokens")

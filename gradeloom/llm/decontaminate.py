@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.session import stored
 
+from .batches import bounded_batches
 from .hashing import NOT_ALNUM, set_digest, shingle_sets, utf8, word_spans
 
 TABLE_BITS = 1 << 23
@@ -95,6 +96,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, num: int = 8
     table are ignored. Empty tables give no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     item_sets = stored(_item_sets(items, width, num, den), "items")
     short = _short_widths(items, width)
     sketches = item_sets.select("item_id", "size_class", F.explode("sketch").alias("token"))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import bounded_batches
 from .folds import remainder
 from .hashing import mix, slices, utf8
 
@@ -89,6 +90,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
 
 def train(texts: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log-likelihoods per bin. Rows with a null lang or text teach nothing."""
+    bounded_batches(texts.sparkSession)
     rows = gram_counts(texts.where("lang is not null and text is not null").select("text", F.col("lang").cast("string"))).toArrow()
     langs = sorted(set(rows.column("lang").to_pylist()))
     if len(langs) > MAX_LANGUAGES:
@@ -162,6 +164,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     read whole. Repeated rows repeat; null ids stay; other columns are dropped.
     """
     langs, logs = model
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((langs, logs))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.session import stored
 
+from .batches import bounded_batches
 from .components import components
 from .hashing import SPACES, mix, set_digest, shingle_sets
 from .signature_tree import join_labels, linked_pairs
@@ -482,6 +483,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     sets share a component. Other columns of ``docs`` are ignored; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
+    bounded_batches(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast
     hints = share(token_hints(docs, width, separators))
     hot = hot_tokens(docs, hints, width, num, den, separators)

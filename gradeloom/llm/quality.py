@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import bounded_batches
 from .folds import bounded_sample, remainder
 from .hashing import SPACES, slices, utf8, word_hashes, word_spans
 
@@ -139,6 +140,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
 
 def _per_document(docs: DataFrame, rows, kind: str) -> DataFrame:
     """``rows(statistics)`` -> arrays, one for each column after doc_id."""
+    bounded_batches(docs.sparkSession)
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.session import stored
 
+from .batches import bounded_batches
 from .folds import bounded_sample, remainder
 from .hashing import NOT_ALNUM, mix, slices, utf8, word_hashes, word_spans
 
@@ -124,6 +125,7 @@ def train(docs: DataFrame, labelled: DataFrame, label: str = "toxic", positives:
     both those of least hashed ids. The prior is the share of 1 among all non-null labels. Without P
     or U the model gives every text the prior.
     """
+    bounded_batches(docs.sparkSession)
     labelled = labelled.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     n, ones = labelled.agg(F.count("*"), F.coalesce(F.sum(label), F.lit(0))).first()
     prior = min(max((ones + 0.5) / (n + 1), 1e-3), 0.999)
@@ -165,6 +167,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
     Repeated rows repeat, null ids stay, other columns are dropped, an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = docs.schema["doc_id"].dataType.simpleString()
 
