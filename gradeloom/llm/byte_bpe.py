@@ -2,20 +2,23 @@
 
 1. Each task cuts its texts into pre-tokens and keeps, per *chunk* of documents, the distinct words
    once and every document as positions: its pre-tokens as numbers of the chunk's words. Both are
-   written once, packed (one compressed row per chunk and word class, one per document).
+   written once, packed (a compressed row per chunk and word class, and a row per chunk), into a table
+   bucketed by chunk.
 2. Words are shuffled by class, a hash of the word, so all chunks' copies of a word meet and it is
    encoded once. However frequent a word is, it travels once per chunk.
-3. Ids go back to their chunks and join the positions, which are read in order: the document's ids.
-   Decoding joins ids with the token-byte table, whose size is that of the vocabulary.
+3. Ids go back to their chunks and join the positions bucket by bucket, so positions aren't shuffled.
+   They are read in order: the document's ids. Decoding joins ids with the token-byte table, whose size
+   is that of the vocabulary.
 
 A chunk holds at most ``CHUNK_BYTES`` of text (a longer document is a chunk of its own), so no task
-holds more than a chunk and the distinct words of one class; the number of classes grows with the
-session's shuffle partitions.
+holds more than a chunk and the distinct words of one class. There are as many classes and buckets as
+shuffle partitions, and more where these would get over ``CLASS_BYTES`` of text each.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from gradeloom.session import stored
+from gradeloom.session import scratch_path
 
 from .batches import bounded_batches
 
 CHUNK_BYTES = 32 << 20
-CLASSES_PER_PARTITION = 1
+CLASS_BYTES = 64 << 20
+MAX_CLASSES = 100_000  # what Spark allows as buckets
 OUTPUT_BYTES = 4 << 20
 _ONE_BYTE = 192
 _WIDE = (1 << 32) - 1
 _ROWS = 256
 
-_KIND = "chunk string, class int, doc_id {key}, numbers binary, words binary, count int"
+_KIND = "chunk string, class int, numbers binary, words binary, count int, doc_ids array<{key}>, positions array<binary>"
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -89,7 +93,7 @@ def _unpack_words(blob: bytes, n: int) -> list[bytes]:
 
 
 def _pretokens(docs: DataFrame, pattern: str, classes: int) -> DataFrame:
-    """Packed rows: (chunk, class, words) and (chunk, doc_id, positions)."""
+    """Packed rows: (chunk, class, numbers, words) of distinct words, and (chunk, doc_ids, positions)."""
     key_type = docs.schema["doc_id"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,23 +104,7 @@ def _pretokens(docs: DataFrame, pattern: str, classes: int) -> DataFrame:
         find = regex.compile(pattern).findall
         task, done = TaskContext.get().partitionId(), 0
 
-        def batch(chunk, id_type, doc_ids=None, class_=None, numbers=None, words=None, count=None):
-            n = len(numbers)
-            empty = lambda kind: pa.nulls(n, kind)
-            return pa.record_batch(
-                [
-                    pa.array([chunk] * n),
-                    empty(pa.int32()) if class_ is None else pa.array(class_, pa.int32()),
-                    empty(id_type) if doc_ids is None else doc_ids,
-                    pa.array(numbers, pa.binary()),
-                    empty(pa.binary()) if words is None else pa.array(words, pa.binary()),
-                    pa.array(count, pa.int32()),
-                ],
-                names=["chunk", "class", "doc_id", "numbers", "words", "count"],
-            )
-
         def flush(words, rows, ids):
-            chunk = f"{task}-{done}"
             coded = [w.encode() for w in words]
             often = np.zeros(len(coded), np.int64)
             for row in rows:
@@ -126,46 +114,53 @@ def _pretokens(docs: DataFrame, pattern: str, classes: int) -> DataFrame:
             rank[order] = np.arange(len(coded))
             of = np.fromiter((crc32(coded[k]) % classes for k in order), np.int64, len(coded))
             by_class = np.argsort(of, kind="stable")
-            cuts = np.searchsorted(of[by_class], np.arange(classes + 1))
-            used = [k for k in range(classes) if cuts[k] < cuts[k + 1]]
-            groups = [by_class[cuts[k] : cuts[k + 1]] for k in used]
-            for k in range(0, len(used), 64):
+            cuts = np.flatnonzero(np.diff(of[by_class], prepend=-1, append=classes))
+            groups = [by_class[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+            kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.list_(ids.type), pa.list_(pa.binary())]
+            names = ["chunk", "class", "numbers", "words", "count", "doc_ids", "positions"]
+
+            def rows_of(n, **columns):
+                columns["chunk"] = [f"{task}-{done}"] * n
+                return pa.record_batch([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in zip(names, kinds)], names=names)
+
+            for k in range(0, len(groups), 64):
                 part = groups[k : k + 64]
-                yield batch(
-                    chunk,
-                    ids[0].type if ids else pa.int64(),
-                    class_=used[k : k + 64],
+                yield rows_of(
+                    len(part),
+                    **{"class": [of[g[0]] for g in part]},
                     numbers=[_pack(np.diff(g, prepend=0)) for g in part],
                     words=[_pack_words([coded[order[i]] for i in g]) for g in part],
                     count=[len(g) for g in part],
                 )
-            for k in range(0, len(rows), 1024):
-                part = rows[k : k + 1024]
-                yield batch(
-                    chunk,
-                    ids[0].type,
-                    doc_ids=pa.array([i.as_py() for i in ids[k : k + 1024]], ids[0].type),
-                    numbers=[_pack(rank[r]) for r in part],
-                    count=[len(r) for r in part],
-                )
+            yield rows_of(1, doc_ids=[ids.to_pylist()], positions=[[_pack(rank[r]) for r in rows]])
 
         words, rows, ids, held = {}, [], [], 0
-        for batch_in in batches:
-            for text, doc_id in zip(batch_in.column(0), batch_in.column(1)):
+        for batch in batches:
+            for text, doc_id in zip(batch.column(0), batch.column(1)):
                 text = text.as_py() or ""
                 if rows and held + len(text) > CHUNK_BYTES:
-                    yield from flush(words, rows, ids)
+                    yield from flush(words, rows, pa.array(ids, batch.column(1).type))
                     words, rows, ids, held, done = {}, [], [], 0, done + 1
                 held += len(text)
                 number = words.setdefault
                 rows.append(np.fromiter((number(w, len(words)) for w in find(text)), np.int32))
-                ids.append(doc_id)
+                ids.append(doc_id.as_py())
+            kind = batch.column(1).type
         if rows:
-            yield from flush(words, rows, ids)
+            yield from flush(words, rows, pa.array(ids, kind))
 
     return docs.select("text", "doc_id").mapInArrow(emit, _KIND.format(key=key_type))
 
 
+def _bucketed(df: DataFrame, n: int, column: str) -> DataFrame:
+    """``df`` written to the shared folder in ``n`` buckets of ``column``; joins on it needn't shuffle it."""
+    spark, name = df.sparkSession, f"pretokens_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(n, column).option("path", scratch_path(spark, "pretokens")).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and the plan knows them
+    return table
+
+
 def _encoded_words(words: DataFrame, ranks, pattern: str) -> DataFrame:
     """``(chunk, numbers, sizes, ids)``: ids of each chunk's words, every distinct word encoded once."""
 
@@ -188,8 +183,55 @@ def _encoded_words(words: DataFrame, ranks, pattern: str) -> DataFrame:
                 ids.append(_pack(np.fromiter((i for f in found for i in f), np.int64)))
             yield pa.record_batch([batch.column("chunk"), batch.column("numbers"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["chunk", "numbers", "sizes", "ids"])
 
-    dealt = words.repartition("class").sortWithinPartitions("class").select("chunk", "class", "numbers", "words", "count")
-    return dealt.mapInArrow(emit, "chunk string, numbers binary, sizes binary, ids binary")
+    return words.sortWithinPartitions("class").mapInArrow(emit, "chunk string, numbers binary, sizes binary, ids binary")
+
+
+def _chunks(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``(doc_ids, positions, parts)`` of every chunk; parts hold the ids of its distinct words."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    ranks = spark.sparkContext.broadcast(ranks_of(path))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(MAX_CLASSES, max(partitions, -(-text_bytes // CLASS_BYTES)))
+    packed = _bucketed(_pretokens(docs, pattern, n), n, "chunk")
+    words = packed.where("class is not null").select("chunk", "class", "numbers", "words", "count")
+    words = words.repartition("class") if n == partitions else words.repartition(n, "class")
+    parts = _encoded_words(words, ranks, pattern).repartition(n, "chunk")
+    parts = parts.groupBy("chunk").agg(F.collect_list(F.struct("numbers", "sizes", "ids")).alias("parts"))
+    positions = packed.where("class is null").select("chunk", "doc_ids", "positions")
+    return positions.join(parts.hint("merge"), "chunk", "left").select("doc_ids", "positions", "parts")
+
+
+def _documents(docs: DataFrame, path: str, pattern: str, decoded: bool) -> DataFrame:
+    """``(doc_id, ids)``, and what the ids decode to, of every row of ``docs``."""
+    key_type = docs.schema["doc_id"].dataType.simpleString()
+    token_bytes = docs.sparkSession.sparkContext.broadcast(_token_bytes(path)) if decoded else None
+    names = ["doc_id", "ids", "decoded"] if decoded else ["doc_id", "ids"]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(rows, kind):
+            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), [kind, pa.binary(), pa.binary()])], names=names)
+
+        for batch in batches:
+            kind = batch.schema.field(0).type.value_type
+            for k in range(batch.num_rows):
+                start, size, flat = _word_table(batch.column(2)[k])
+                out, held = [], 0
+                for doc_id, numbers in zip(batch.column(0)[k].as_py(), batch.column(1)[k].values):
+                    at = _unpack(numbers.as_py())
+                    ids = flat[_ranges(start[at], size[at])]
+                    row = (doc_id, ids.astype("<u4").tobytes())
+                    out.append((*row, _decoded(ids, *token_bytes.value)) if decoded else row)
+                    held += 8 + sum(map(len, out[-1][1:]))
+                    if held > OUTPUT_BYTES:
+                        yield packed(out, kind)
+                        out, held = [], 0
+                if out:
+                    yield packed(out, kind)
+
+    kind = f"doc_id {key_type}, ids binary" + ", decoded binary" * decoded
+    return _chunks(docs, path, pattern).mapInArrow(emit, kind)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -199,40 +241,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     special tokens, over the whole text. Null and empty texts have no ids (empty binary). Repeated
     rows repeat, null doc_ids stay null, other columns are ignored, an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    ranks = spark.sparkContext.broadcast(ranks_of(path))
-    classes = CLASSES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = stored(_pretokens(docs, pattern, classes), "pretokens")
-    words = _encoded_words(packed.where("words is not null"), ranks, pattern)
-    key_type = docs.schema["doc_id"].dataType.simpleString()
-    blank = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
-    rows = packed.where("words is null").select("chunk", "doc_id", "numbers", *blank("binary", "sizes", "ids"), "count")
-    both = words.select("chunk", *blank(key_type, "doc_id"), "numbers", "sizes", "ids", *blank("int", "count")).union(rows)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, table = None, [], None
-        for batch in _small(batches):
-            out_id, out = [], []
-            chunk, numbers, sizes, ids = (batch.column(k).to_pylist() for k in ("chunk", "numbers", "sizes", "ids"))
-            for k in range(len(chunk)):
-                if chunk[k] != now:
-                    now, parts, table = chunk[k], [], None
-                if sizes[k] is not None:
-                    parts.append((np.cumsum(_unpack(numbers[k])), _unpack(sizes[k]), _unpack(ids[k])))
-                    continue
-                if table is None:
-                    table = _word_table(parts)
-                    parts = []
-                start, size, flat = table
-                at = _unpack(numbers[k])
-                out_id.append(k)
-                out.append(flat[_ranges(start[at], size[at])].astype("<u4").tobytes())
-            if out_id:
-                yield pa.record_batch([batch.column("doc_id").take(pa.array(out_id)), pa.array(out, pa.binary())], names=["doc_id", "ids"])
-
-    dealt = both.repartition("chunk").sortWithinPartitions("chunk", F.col("sizes").isNull())
-    return dealt.mapInArrow(emit, f"doc_id {key_type}, ids binary")
+    return _documents(docs, path, pattern, decoded=False)
 
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,34 +260,38 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(start - before, size)
 
 
-def _word_table(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _word_table(parts: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, size and ids by word number."""
-    if not parts:
+    if not parts.is_valid:
         none = np.zeros(0, np.int64)
         return none, none, none
-    numbers, sizes, flat = (np.concatenate(x).astype(np.int64) for x in zip(*parts))
+    found = [(np.cumsum(_unpack(p["numbers"].as_py())), _unpack(p["sizes"].as_py()), _unpack(p["ids"].as_py())) for p in parts.values]
+    numbers, sizes, flat = (np.concatenate(x).astype(np.int64) for x in zip(*found))
     start, size = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
     start[numbers], size[numbers] = np.cumsum(sizes) - sizes, sizes
     return start, size, flat
 
 
+def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table: start and size of each rank's bytes, and all bytes."""
+    tokens = sorted((rank, token) for token, rank in ranks_of(path).items())
+    size = np.zeros(tokens[-1][0] + 1, np.int64)
+    size[[rank for rank, _ in tokens]] = [len(token) for _, token in tokens]
+    return np.cumsum(size) - size, size, np.frombuffer(b"".join(token for _, token in tokens), np.uint8)
+
+
+def _decoded(ids: np.ndarray, start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> bytes:
+    return flat[_ranges(start[ids], size[ids])].tobytes()
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded(doc_id, ids)`` with ``decoded``, the bytes of its ids in order; null ids give null."""
-    ranks = ranks_of(path)
-    table = encoded.sparkSession.sparkContext.broadcast(sorted((rank, token) for token, rank in ranks.items()))
+    table = encoded.sparkSession.sparkContext.broadcast(_token_bytes(path))
     key_type = encoded.schema["doc_id"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = np.zeros(table.value[-1][0] + 1, np.int64)
-        for rank, token in table.value:
-            size[rank] = len(token)
-        start = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(token for _, token in table.value), np.uint8)
         for batch in _small(batches):
-            out = []
-            for ids in batch.column("ids"):
-                at = None if not ids.is_valid else np.frombuffer(ids.as_py(), "<u4").astype(np.int64)
-                out.append(None if at is None else flat[_ranges(start[at], size[at])].tobytes())
+            out = [_decoded(np.frombuffer(ids.as_py(), "<u4").astype(np.int64), *table.value) if ids.is_valid else None for ids in batch.column("ids")]
             yield pa.record_batch([batch.column("doc_id"), batch.column("ids"), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(emit, f"doc_id {key_type}, ids binary, decoded binary")
@@ -286,7 +299,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of encoding and decoding every document."""
-    return decode(encode(docs, path, pattern), path).select(
+    return _documents(docs, path, pattern, decoded=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
