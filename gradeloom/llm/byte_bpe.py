@@ -10,7 +10,8 @@
    They are read in order: the document's ids. Decoding joins ids with the token-byte table, whose size
    is that of the vocabulary.
 
-A chunk holds at most ``CHUNK_BYTES`` of text (a longer document is a chunk of its own), so no task
+A chunk holds at most ``CHUNK_BYTES`` of text (a longer document is a chunk of its own) and ends after
+the document that brings it above ``CHUNK_WORDS`` distinct words, so no task
 holds more than a chunk and the distinct words of one class. There are as many classes and buckets as
 shuffle partitions, and more where these would get over ``CLASS_BYTES`` of text each.
 """
@@ -32,6 +33,7 @@ from gradeloom.session import scratch_path
 from .batches import bounded_batches
 
 CHUNK_BYTES = 32 << 20
+CHUNK_WORDS = 1 << 18
 CLASS_BYTES = 64 << 20
 MAX_CLASSES = 100_000  # what Spark allows as buckets
 OUTPUT_BYTES = 4 << 20
@@ -138,7 +140,7 @@ def _pretokens(docs: DataFrame, pattern: str, classes: int) -> DataFrame:
         for batch in batches:
             for text, doc_id in zip(batch.column(0), batch.column(1)):
                 text = text.as_py() or ""
-                if rows and held + len(text) > CHUNK_BYTES:
+                if rows and (held + len(text) > CHUNK_BYTES or len(words) > CHUNK_WORDS):
                     yield from flush(words, rows, pa.array(ids, batch.column(1).type))
                     words, rows, ids, held, done = {}, [], [], 0, done + 1
                 held += len(text)

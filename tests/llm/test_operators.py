@@ -183,6 +183,19 @@ def test_exact_dedup_resumes(spark, tmp_path):
     assert {(r.doc_id, r.keep_id, r.group_size) for r in later.collect()} == {(1, 3, 2), (2, 2, 1), (3, 3, 2), (4, 4, 1)}
 
 
+def test_exact_dedup_resumes_after_clashes(spark, tmp_path):
+    """Every digest clashes, the larger id comes first, and a call that is run again counts once."""
+    folder, clash = f"file://{tmp_path}/s", lambda text: F.lit(b"same")
+    calls = [[(9, "a"), (2, "A")], [(3, "zzz"), (4, "c"), (None, "a")], [(1, "ZZZ"), (5, "zzz"), (6, None)]]
+    for k, rows in enumerate(calls):
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        for _ in range(2):
+            found = exact_dedup.groups(frame, folder, clash, label=f"call {k}")
+        want, n = groups([r for rows in calls[: k + 1] for r in rows])
+        got = found.collect()
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=repr) == want and sum(r.kept for r in got) == n
+
+
 def test_byte_bpe(docs, odd, empty, spark):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks_of(path), special_tokens={})
