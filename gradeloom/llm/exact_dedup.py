@@ -148,7 +148,7 @@ def groups(
         rows = docs.select("doc_id", "text", *_locators(docs))
         light = rows.select("doc_id", *_LOCATOR, digest(folded).alias("digest"), F.sha2(folded, 256).alias("text_sha256"))
         light.write.mode("overwrite").parquet(f"{log}/call={call}")
-        spark.createDataFrame([(label, call)], "label string, call long").coalesce(1).write.mode("append").parquet(f"{state_folder}/calls")
+        spark.range(1).select(F.lit(label).cast("string").alias("label"), F.lit(call).cast("long").alias("call")).write.mode("append").parquet(f"{state_folder}/calls")
     schema = schema.add("call", "long")
     arrivals = spark.read.schema(schema).parquet(log)
     index = stored(ingest(spark, log, schema, state_folder), "index")

@@ -64,22 +64,26 @@ def token_hints(docs: DataFrame, width: int, separators: np.ndarray = SPACES) ->
     """Common shingles and a rough logarithm of how common they are; at most ``MAX_HINTS``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(seen):
-            tokens, n = np.unique(np.concatenate(list(seen.values())), return_counts=True)
-            often = n > 2
-            return pa.record_batch([pa.array(tokens[often].view(np.int64)), pa.array(n[often])], names=["token", "n"])
-
-        seen, held = {}, 0
+        def flush(held):
+            tokens = np.concatenate(held)
+            held.clear()
+            tokens.sort()  # in place: there are many, and few of them are met three times
+            often = np.unique(tokens[2:][tokens[2:] == tokens[:-2]])
+            n = np.searchsorted(tokens, often, "right") - np.searchsorted(tokens, often)
+            return pa.record_batch([pa.array(often.view(np.int64)), pa.array(n)], names=["token", "n"])
+
+        seen, held, size = set(), [], 0
         for _, _, sets in _batches(batches, width, separators):
             for tokens in sets:
                 if len(tokens) and (key := set_digest(tokens)) not in seen:
-                    seen[key] = tokens
-                    held += len(tokens)
-            if held > HINT_TOKENS:
-                yield from _pieces(flush(seen))
-                seen, held = {}, 0
-        if seen:
-            yield from _pieces(flush(seen))
+                    seen.add(key)
+                    held.append(tokens)
+                    size += len(tokens)
+            if size > HINT_TOKENS:
+                yield from _pieces(flush(held))
+                seen, size = set(), 0
+        if held:
+            yield from _pieces(flush(held))
 
     counts = stored(docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "hints")
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -537,13 +541,16 @@ def _across_chunks(sets: DataFrame, links: DataFrame, num: int, den: int) -> Dat
 
 
 def one_of_each(docs: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is the least of its component; rows without an id stay."""
+    """Rows of ``docs`` whose id is the least of its component; rows without an id stay, and so do all
+    rows that repeat the least id."""
     drop = assigned.where("doc_id <> component_id").select("doc_id").distinct()
     return without(docs, drop)
 
 
 def without(docs: DataFrame, drop: DataFrame, bound: int = 1_000_000) -> DataFrame:
-    """Rows of ``docs`` whose doc_id isn't in ``drop``: broadcast up to ``bound`` ids, else a shuffle join."""
+    """Rows of ``docs`` whose doc_id isn't in ``drop``: broadcast up to ``bound`` ids, else a shuffle join.
+
+    Every row with a dropped id goes, whatever its text; rows without an id stay."""
     drop = stored(drop, "drop")
     small = drop.limit(bound + 1).count() <= bound
     return docs.join(drop.hint("broadcast" if small else "merge"), "doc_id", "left_anti").select(*(docs[c] for c in docs.columns))
