@@ -1,18 +1,25 @@
 """Personal data replaced by keyed surrogates.
 
-1. *Detection.* One pass over the text extracts the entities of every document, in order.
-2. *Surrogates.* Each distinct entity (kind and canonical value) gets a replacement of its own kind,
-   made from SHA-256 of key, kind, canonical value and attempt: digits become digits, letters letters
-   of the same script and case, names names of the same gender and script.
+1. *Detection.* One pass over the text extracts the entities of every document, in order. A full name
+   that a title marks anywhere in a document is found in the rest of the document without one too.
+2. *Surrogates.* A name has two entities, its given and its family word, so that short and full forms
+   of one name keep belonging together. Each distinct entity (kind and canonical value) gets a
+   replacement of its own kind, made from SHA-256 of key, kind, canonical value and attempt: digits
+   become digits, letters letters of the same script and case, given names names of the same gender and
+   script. Country codes of phones, countries of IBANs, first digits of cards and top domains stay;
+   check digits of cards and IBANs hold.
 3. *Collision checks.* A surrogate that two entities share, or that equals an entity of the corpus, is
    drawn again with the next attempt until all are distinct, so replacement is one to one; equal
-   entities keep equal surrogates.
+   entities keep equal surrogates. Later attempts at words are longer, so there are always enough;
+   only numbers can run out.
 4. *Rendering.* An occurrence takes the surrogate in its own format (separators, case) and goes back
    to its place; documents without entities aren't moved.
 
-Not detected: names without a title in front, postal addresses, dates of birth, phone numbers of bare
-digits without a leading + or 0 or any separator, secrets of no known prefix that no key word stands
-before or that hold no digit, and anything spelled out in words. Two spellings of one IPv6 address count as two entities.
+Not detected: names in a document that sets a title before none of their full forms, single words of a
+name without a title, names in scripts without capitals, postal addresses, dates of birth, phone numbers
+of bare digits without a leading + or 0 or any separator, secrets of no known prefix that no key word
+stands before or that hold no digit, and anything spelled out in words. Two spellings of one IPv6
+address count as two entities, and so do a phone number with and without its country code.
 
 DataFrame and SQL functions only.
 """
@@ -27,8 +34,8 @@ from gradeloom.session import stored
 
 from .exact_dedup import _locators, with_files
 
-MAX_BROADCAST_DOCUMENTS = 200_000
-MAX_ATTEMPTS = 50
+MAX_BROADCAST_BYTES = 64 << 20
+MAX_ATTEMPTS = 200
 
 # Titles by gender, and given and family names by script for surrogates.
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Doña", "Г-жа"]
@@ -38,6 +45,10 @@ FEMALE_NAMES = ["Ada", "Clara", "Edith", "Frieda", "Greta", "Helga", "Irma", "Le
 MALE_NAMES = ["Albert", "Bruno", "Conrad", "Emil", "Gustav", "Hugo", "Otto", "Viktor"]
 FEMALE_CYRILLIC = ["Анна", "Вера", "Дарья", "Елена"]
 MALE_CYRILLIC = ["Борис", "Глеб", "Иван", "Пётр"]
+FEMALE_GREEK = ["Άννα", "Ελένη", "Μαρία", "Σοφία"]
+MALE_GREEK = ["Γιώργος", "Ηλίας", "Νίκος", "Πέτρος"]
+# Calling codes of one and two digits; all others have three.
+_CALLING = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 
 _TITLE = "(?:" + "|".join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES) + ")"
 _HEX = "[0-9a-fA-F]{1,4}"
@@ -74,15 +85,21 @@ _QUICK = rf"[0-9@]|{_PREFIXES}|" + _TITLE + r"\.? "
 _HEXED = "^[0-9a-fA-F]{32,128}$"
 
 
+_WORD = r"\p{Lu}\p{Ll}+"
+_FULL_NAME = rf"{_WORD} {_WORD}"
+
+
 def _kind(value: Column) -> Column:
-    tests = [(k, value.rlike(rf"^(?:{p})$")) for k, p in PATTERNS]
+    tests = [(k, value.rlike(rf"^(?:{p})$")) for k, p in (*PATTERNS, ("name", _FULL_NAME))]
     return F.coalesce(*(F.when(t, F.lit(k)) for k, t in tests), F.lit("secret"))  # known by the key word before it
 
 
 def _canonical(kind: Column, value: Column) -> Column:
     """Equal for all spellings of one entity: digits of numbers, lower case of the rest, names without title."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
     return (
-        F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(value, "[^0-9]", ""))
+        F.when(kind.isin("card", "ssn"), digits)
+        .when(kind == "phone", F.concat(F.when(value.startswith("+"), "+").otherwise(""), digits))
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
         .when(kind == "name", F.regexp_replace(value, rf"^{_TITLE}\.? ", ""))
         .when((kind == "secret") & ~value.rlike(_HEXED), value)
@@ -90,6 +107,15 @@ def _canonical(kind: Column, value: Column) -> Column:
     )
 
 
+def _parts(kind: Column, canonical: Column) -> Column:
+    """The entities of an occurrence: the words of a name, else itself."""
+    words = F.split(canonical, " ")
+    part = lambda k, c: F.struct(F.lit(k).alias("entity"), c.alias("word"))
+    family = part("family", F.element_at(words, -1))
+    names = F.when(F.size(words) > 1, F.array(part("given", words[0]), family)).otherwise(F.array(family))
+    return F.when(kind == "name", names).otherwise(F.array(F.struct(kind.alias("entity"), canonical.alias("word"))))
+
+
 def _gender(value: Column) -> Column:
     return (
         F.when(value.rlike("^(?:" + "|".join(FEMALE_TITLES) + r")\.? "), F.lit("f"))
@@ -103,7 +129,7 @@ def _pick(items: list[str], n: Column) -> Column:
 
 
 def _letters(c: Column, n: Column) -> Column:
-    """A character of the same class and script; everything else stays."""
+    """A character of the same class, script and case; letters of other scripts become Latin, the rest stays."""
     alphabet = lambda chars: F.substring(F.lit(chars), F.pmod(n, F.lit(len(chars))).cast("int") + 1, F.lit(1))
     return (
         F.when(c.rlike("[0-9]"), alphabet("0123456789"))
@@ -113,67 +139,103 @@ def _letters(c: Column, n: Column) -> Column:
         .when(c.rlike(r"[\p{IsLatin}&&\p{Lu}]"), alphabet("ÀÂÄÉÈÊËÎÏÔÖÙÛÜÇÑ"))
         .when(c.rlike(r"[\p{IsCyrillic}&&\p{Ll}]"), alphabet("абвгдежзиклмнопрст"))
         .when(c.rlike(r"[\p{IsCyrillic}&&\p{Lu}]"), alphabet("АБВГДЕЖЗИКЛМНОПРСТ"))
-        .when(c.rlike(r"\p{IsGreek}"), alphabet("αβγδεζηθικλμνξοπρ"))
+        .when(c.rlike(r"[\p{IsGreek}&&\p{Ll}]"), alphabet("αβγδεζηθικλμνξοπρ"))
+        .when(c.rlike(r"[\p{IsGreek}&&\p{Lu}]"), alphabet("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡ"))
         .when(c.rlike(r"\p{IsHan}"), alphabet("王李张刘陈杨黄赵周吴"))
+        .when(c.rlike(r"\p{Lu}"), alphabet("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+        .when(c.rlike(r"\p{L}"), alphabet("abcdefghijklmnopqrstuvwxyz"))
         .otherwise(c)
     )
 
 
-def _surrogate(kind: Column, value: Column, gender: Column, key: str, attempt: Column) -> Column:
-    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string")), 256)
-    more = F.sha2(F.concat(digest, F.lit("+")), 256)
-    stream = F.concat(digest, more)
-    number = lambda i: F.conv(F.substring(stream, F.pmod(i * 4, F.lit(124)).cast("int") + 1, F.lit(4)), 16, 10).cast("int")
+def _luhn(payload: Column) -> Column:
+    """The check digit after the digits of a card."""
+    doubled = lambda x: F.when(x > 4, 2 * x - 9).otherwise(2 * x)
+    each = F.transform(F.split(F.reverse(payload), ""), lambda c, i: F.when(i % 2 == 0, doubled(c.cast("int"))).otherwise(c.cast("int")))
+    return F.pmod(-F.aggregate(each, F.lit(0), lambda s, x: s + x), F.lit(10)).cast("string")
+
+
+def _iban_check(country: Column, rest: Column) -> Column:
+    """The two check digits of an IBAN, by remainders of 97."""
+    step = lambda s, c: F.when(c.rlike("[0-9]"), s * 10 + c.cast("int")).otherwise(s * 100 + F.ascii(c) - 55) % 97
+    left = F.aggregate(F.split(F.concat(rest, country, F.lit("00")), ""), F.lit(0), step)
+    return F.lpad((98 - left).cast("string"), 2, "0")
+
+
+def _surrogate(kind: Column, value: Column, gender: Column, stream: Column, attempt: Column) -> Column:
+    """A replacement from ``stream``, four hexadecimal digits for each character of the value."""
+    number = lambda i: F.conv(F.substring(stream, (i * 4).cast("int") + 1, F.lit(4)), 16, 10).cast("int")
     chars = F.split(value, "")
     mapped = F.array_join(F.transform(chars, lambda c, i: _letters(c, number(i))), "")
-    hexed = F.array_join(F.transform(chars, lambda c, i: F.substring(stream, F.pmod(i, F.lit(128)).cast("int") + 1, F.lit(1))), "")
+    after = lambda start: F.substring(mapped, F.length(start) + 1, F.length(mapped))
+    hexed = F.array_join(F.transform(chars, lambda c, i: F.substring(stream, (i * 4).cast("int") + 1, F.lit(1))), "")
     begin = F.regexp_extract(value, f"^(?:{_PREFIXES})", 0)
-    token = F.concat(begin, F.substring(mapped, F.length(begin) + 1, F.length(mapped)))
     groups = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(stream, i * 4 + 1, F.lit(4))), ":")
     octets = F.array_join(F.transform(F.split(value, r"\."), lambda c, i: (F.pmod(number(i), F.lit(254)) + 1).cast("string")), ".")
-    # the country code of a phone, the check letters of an IBAN and the top domain of an address stay
-    phone = F.concat(F.substring(value, 1, 1), F.array_join(F.transform(chars, lambda c, i: F.when(i > 0, _letters(c, number(i))).otherwise("")), ""))
-    iban = F.concat(F.substring(value, 1, 2), F.array_join(F.transform(chars, lambda c, i: F.when(i > 1, _letters(c, number(i))).otherwise("")), ""))
+    calling = F.regexp_extract(value, rf"^(?:\+(?:{_CALLING}|[0-9]{{3}})|0)", 0)
+    country = F.substring(value, 1, 2)
+    rest = F.substring(mapped, F.lit(5), F.length(mapped))
+    payload = F.concat(F.substring(value, 1, 1), F.substring(mapped, F.lit(2), F.length(mapped) - 2))
     top = F.regexp_extract(value, r"\.[^.@]+$", 0)
-    email = F.concat(F.substring(mapped, F.lit(1), F.length(mapped) - F.length(top)), top)
-    cyrillic = value.rlike(r"\p{IsCyrillic}")
-    female, male = number(F.lit(0)), number(F.lit(1))
-    given = F.when(
-        cyrillic, F.when(gender == "f", _pick(FEMALE_CYRILLIC, female)).otherwise(_pick(MALE_CYRILLIC, male))
-    ).when(gender == "f", _pick(FEMALE_NAMES, female)).when(gender == "m", _pick(MALE_NAMES, male)).otherwise(_pick(FEMALE_NAMES + MALE_NAMES, male))
-    words = F.split(value, " ")
-    family = F.array_join(F.transform(F.split(F.element_at(words, -1), ""), lambda c, i: _letters(c, number(i + 2))), "")
-    name = F.when(F.size(words) > 1, F.concat(given, F.lit(" "), family)).otherwise(family)
+    scripts = ((r"\p{IsCyrillic}", FEMALE_CYRILLIC, MALE_CYRILLIC), (r"\p{IsGreek}", FEMALE_GREEK, MALE_GREEK), (".", FEMALE_NAMES, MALE_NAMES))
+
+    def name(i: Column) -> Column:
+        by_script = [
+            F.when(value.rlike(script), F.when(gender == "f", _pick(f, number(i))).when(gender == "m", _pick(m, number(i))).otherwise(_pick(f + m, number(i))))
+            for script, f, m in scripts
+        ]
+        return F.coalesce(*by_script)
+
+    given = F.array_join(F.transform(F.sequence(F.lit(0), attempt), name), "-")  # a double name at the second attempt
     return (
         F.when((kind == "secret") & value.rlike(_HEXED), hexed)
-        .when(kind == "secret", token)
+        .when(kind == "secret", F.concat(begin, after(begin)))
         .when(kind == "ipv6", groups)
         .when(kind == "ip", octets)
-        .when(kind == "phone", phone)
-        .when(kind == "iban", iban)
-        .when(kind == "email", email)
-        .when(kind == "name", name)
+        .when(kind == "phone", F.concat(calling, after(calling)))
+        .when(kind == "iban", F.concat(country, _iban_check(country, rest), rest))
+        .when(kind == "card", F.concat(payload, _luhn(payload)))
+        .when(kind == "email", F.concat(F.substring(mapped, F.lit(1), F.length(mapped) - F.length(top)), top))
+        .when(kind == "given", given)
         .otherwise(mapped)
     )
 
 
+def _drawn(open_: DataFrame, key: str) -> DataFrame:
+    """``open_(kind, canonical, gender, attempt)`` with a surrogate; every second attempt at a word is a letter longer."""
+    kind, value, attempt = F.col("kind"), F.col("canonical"), F.col("attempt")
+    more = F.expr("repeat('a', attempt div 2)")
+    longer = F.when(kind == "email", F.concat(more, value)).when(kind.isin("family", "secret"), F.concat(value, more)).otherwise(value)
+    seed = F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string"))
+    rows = open_.withColumn("value", longer).withColumn("seed", F.sha2(seed, 256))
+    blocks = F.sequence(F.lit(0), F.floor((F.length("value") + attempt + 8) / 16).cast("int"))
+    rows = rows.withColumn("stream", F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat(F.col("seed"), b.cast("string")), 256)), ""))
+    return rows.withColumn("surrogate", _surrogate(kind, F.col("value"), F.col("gender"), F.col("stream"), attempt)).drop("value", "seed", "stream")
+
+
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
-    """``(kind, canonical, surrogate)``: distinct surrogates, none of them an entity of the table."""
+    """``(kind, canonical, surrogate)``: distinct surrogates, none of them an entity of the table.
+
+    Ends with an error only where a kind of numbers has more entities than half its numbers.
+    """
+    spark = entities.sparkSession
     entities = stored(entities.groupBy("kind", "canonical").agg(F.max("gender").alias("gender")), "entities")
     taken = entities.select("kind", F.col("canonical").alias("surrogate"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     settled, open_ = None, entities.withColumn("attempt", F.lit(0))
     for _ in range(MAX_ATTEMPTS):
-        drawn = open_.withColumn("surrogate", _surrogate(F.col("kind"), F.col("canonical"), F.col("gender"), key, F.col("attempt")))
+        drawn = stored(_drawn(open_.repartition(partitions, "canonical"), key), "drawn")  # small rows, much work: over all tasks
         used = taken if settled is None else taken.union(settled.select("kind", "surrogate"))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("canonical").alias("first"))
-        fresh = first.join(used.distinct().hint("merge"), ["kind", "surrogate"], "left_anti")
-        drawn = stored(drawn.join(fresh.hint("merge"), ["kind", "surrogate"], "left").withColumn("good", F.expr("canonical <=> first")).drop("first"), "drawn")
-        good = drawn.where("good").select("kind", "canonical", "surrogate")
+        fresh = first.join(used.hint("merge"), ["kind", "surrogate"], "left_anti")
+        judged = drawn.join(fresh.hint("merge"), ["kind", "surrogate"], "left")
+        judged = stored(judged.withColumn("good", F.expr("canonical <=> first")).drop("first"), "judged")
+        good = judged.where("good").select("kind", "canonical", "surrogate")
         settled = good if settled is None else settled.union(good)
-        open_ = drawn.where("not good").select("kind", "canonical", "gender", (F.col("attempt") + 1).alias("attempt"))
+        open_ = judged.where("not good").select("kind", "canonical", "gender", (F.col("attempt") + 1).alias("attempt"))
         if not open_.limit(1).count():
             return settled
-    raise RuntimeError("an entity kind has more values than surrogates")
+    raise RuntimeError("a kind of numbers has more entities than surrogates")
 
 
 def _rendered(kind: Column, found: Column, surrogate: Column) -> Column:
@@ -185,11 +247,10 @@ def _rendered(kind: Column, found: Column, surrogate: Column) -> Column:
         char = F.when(fixed, c).otherwise(F.substring(surrogate, state["next"], F.lit(1)))
         return F.struct(F.concat(state["out"], char).alias("out"), F.when(fixed, state["next"]).otherwise(state["next"] + 1).alias("next"))
 
+    surrogate = F.when(kind == "phone", F.regexp_replace(surrogate, "[^0-9]", "")).otherwise(surrogate)
     spaced = F.aggregate(F.split(found, ""), start, put)["out"]
-    title = F.regexp_extract(found, rf"^{_TITLE}\.? ", 0)
     return (
         F.when(kind.isin("card", "phone", "ssn", "iban"), spaced)
-        .when(kind == "name", F.concat(title, surrogate))
         .when((kind != "secret") | found.rlike(_HEXED), F.when((F.upper(found) == found) & (F.lower(found) != found), F.upper(surrogate)).otherwise(surrogate))
         .otherwise(surrogate)
     )
@@ -205,24 +266,37 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     docs = with_files(docs)
     rows = docs.select("doc_id", "text", *_locators(docs))
     found = F.when(F.col("text").rlike(_QUICK), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
-    found = stored(rows.select("file", "row", found.alias("found")).where("size(found) > 0"), "found")
-    each = found.select("file", "row", F.posexplode("found").alias("at", "value"))
+    titled = F.filter("found", lambda x: x.rlike(rf"^{_TITLE}\.? {_FULL_NAME}$"))
+    names = F.array_join(F.array_distinct(F.transform(titled, lambda x: F.regexp_replace(x, rf"^{_TITLE}\.? ", ""))), "|")
+    pattern = F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), F.col("names"), F.lit(r")(?![\p{L}\p{N}])"))
+    found = rows.withColumn("found", found).where("size(found) > 0").withColumn("names", names)
+    found = found.withColumn("found", F.when(F.col("names") != "", F.regexp_extract_all("text", pattern, F.lit(0))).otherwise(F.col("found")))
+    found = stored(found.select("file", "row", "names", "found"), "found")
+
+    each = found.select("file", "row", "names", F.posexplode("found").alias("at", "value"))
     each = each.withColumn("kind", _kind(F.col("value"))).withColumn("canonical", _canonical(F.col("kind"), F.col("value")))
-    table = surrogate_table(each.select("kind", "canonical", _gender(F.col("value")).alias("gender")), key)
-    each = each.join(table.hint("merge"), ["kind", "canonical"])
-    piece = F.struct("at", _rendered(F.col("kind"), F.col("value"), F.col("surrogate")).alias("text"), "kind")
-    pieces = each.groupBy(F.col("file").alias("in_file"), F.col("row").alias("in_row")).agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    each = each.select("*", _gender(F.col("value")).alias("gender"), F.posexplode(_parts(F.col("kind"), F.col("canonical"))).alias("part", "p"))
+    each = each.withColumn("entity", F.col("p.entity")).withColumn("word", F.col("p.word"))
+    each = stored(each.select("file", "row", "names", "at", "part", "value", "kind", "gender", "entity", "word"), "each")
+    table = surrogate_table(each.select(F.col("entity").alias("kind"), F.col("word").alias("canonical"), "gender"), key)
+    each = each.join(table.select(F.col("kind").alias("entity"), F.col("canonical").alias("word"), "surrogate").hint("merge"), ["entity", "word"])
+    before = F.when(F.col("part") > 0, " ").when(F.col("kind") == "name", F.regexp_extract("value", rf"^{_TITLE}\.? ", 0)).otherwise("")
+    inside = F.when(F.col("kind") == "name", F.col("surrogate")).otherwise(_rendered(F.col("kind"), F.col("value"), F.col("surrogate")))
+    piece = F.struct("at", "part", F.concat(before, inside).alias("text"), "kind")
+    pieces = each.groupBy(F.col("file").alias("in_file"), F.col("row").alias("in_row")).agg(
+        F.first("names").alias("names"), F.array_sort(F.collect_list(piece)).alias("pieces")
+    )
     pieces = stored(pieces, "pieces")
-    small = pieces.limit(MAX_BROADCAST_DOCUMENTS + 1).count() <= MAX_BROADCAST_DOCUMENTS
+    size = F.sum(F.aggregate("pieces", F.length("in_file") + F.length("names") + 64, lambda s, p: s + F.octet_length(p["text"]) + 64))
+    small = (pieces.agg(size).first()[0] or 0) <= MAX_BROADCAST_BYTES
     whole = rows.join(pieces.hint("broadcast" if small else "merge"), F.expr("file = in_file and row = in_row"), "left")
-    between = F.split("text", ENTITY, -1)
-    replaced = F.concat(
-        F.array_join(F.zip_with(F.slice(between, F.lit(1), F.size("pieces")), "pieces", lambda a, b: F.concat(a, b["text"])), ""),
-        F.element_at(between, -1),
-    )
+    between = F.when(F.col("names") != "", F.split("text", pattern, -1)).otherwise(F.split("text", ENTITY, -1))
+    whole = whole.withColumn("between", F.when(F.col("pieces").isNotNull(), between))
+    one = lambda p: F.when(p["part"] > 0, p["text"]).otherwise(F.concat(F.get("between", p["at"]), p["text"]))
+    replaced = F.concat(F.array_join(F.transform("pieces", one), ""), F.element_at("between", -1))
     return whole.select(
         "doc_id",
         F.when(F.col("pieces").isNotNull(), replaced).otherwise(F.col("text")).alias("text"),
-        F.when(F.col("pieces").isNotNull(), F.size("pieces")).otherwise(0).cast("long").alias("n_entities"),
+        F.when(F.col("pieces").isNotNull(), F.size("between") - 1).otherwise(0).cast("long").alias("n_entities"),
         F.coalesce(F.array_sort(F.array_distinct("pieces.kind")), F.array().cast("array<string>")).alias("kinds"),
     )
