@@ -269,9 +269,10 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     titled = F.filter("found", lambda x: x.rlike(rf"^{_TITLE}\.? {_FULL_NAME}$"))
     names = F.array_join(F.array_distinct(F.transform(titled, lambda x: F.regexp_replace(x, rf"^{_TITLE}\.? ", ""))), "|")
     pattern = F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), F.col("names"), F.lit(r")(?![\p{L}\p{N}])"))
-    found = rows.withColumn("found", found).where("size(found) > 0").withColumn("names", names)
+    found = rows.withColumn("found", found).withColumn("names", names)
     found = found.withColumn("found", F.when(F.col("names") != "", F.regexp_extract_all("text", pattern, F.lit(0))).otherwise(F.col("found")))
-    found = stored(found.select("file", "row", "names", "found"), "found")
+    # stored unfiltered: a filter on what was found would search every text once more
+    found = stored(found.select("file", "row", "names", "found"), "found").where("size(found) > 0")
 
     each = found.select("file", "row", "names", F.posexplode("found").alias("at", "value"))
     each = each.withColumn("kind", _kind(F.col("value"))).withColumn("canonical", _canonical(F.col("kind"), F.col("value")))
