@@ -6,8 +6,8 @@ then a mixture: expectation-maximisation estimates the proportions of its langua
 likelihoods, and languages are dropped, least proportion first, while that raises the penalised
 likelihood ``log L - penalty * |languages| * log(n-grams)``.
 
-Tasks see the table of log-likelihoods, ``languages x BINS`` floats: at most ``MAX_LANGUAGES`` rows
-(64 MB), a bound on the model, not on the documents.
+Tasks see the table of log-likelihoods, a float for each language and bin: at most ``MAX_CELLS`` (64
+MB). With more than 512 languages there are fewer bins, half as many for every doubling.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .folds import remainder
 from .hashing import mix, slices, utf8
 
 BINS = 1 << 15
-MAX_LANGUAGES = 512
+MAX_CELLS = 1 << 24
 SMOOTHING = 0.5
 ROUNDS = 12
 PENALTY = 1.0
@@ -42,6 +42,7 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     begins = (data & 0xC0) != 0x80
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[begins] if len(data) else np.empty(0, np.int64)
     letter = (points > 0xBF) | ((points | 32) - 97 < 26)
+    letter |= (points == 0xAA) | (points == 0xB5) | (points == 0xBA)
     letter &= (points != 0xD7) & (points != 0xF7) & ((points < 0x2000) | (points > 0x206F))
     shown = np.where(letter, points, np.uint32(32))
     keep = letter | np.append(True, letter[:-1]) | np.append(True, doc[1:] != doc[:-1])
@@ -89,16 +90,18 @@ def gram_counts(texts: DataFrame) -> DataFrame:
 
 
 def train(texts: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their log-likelihoods per bin. Rows with a null lang or text teach nothing."""
+    """Languages in order and their log-likelihoods per bin. Rows with a null lang or text teach nothing;
+    an empty table gives a model without languages."""
     bounded_batches(texts.sparkSession)
     rows = gram_counts(texts.where("lang is not null and text is not null").select("text", F.col("lang").cast("string"))).toArrow()
     langs = sorted(set(rows.column("lang").to_pylist()))
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the model holds {MAX_LANGUAGES}")
-    table = np.full((len(langs), BINS), SMOOTHING)
+    bins = BINS
+    while bins > 1 and len(langs) * bins > MAX_CELLS:
+        bins //= 2
+    table = np.full((len(langs), bins), SMOOTHING)
     at = np.searchsorted(np.array(langs, object), rows.column("lang").to_numpy(zero_copy_only=False)) if langs else []
     if langs:
-        table[at, rows.column("bin").to_numpy()] += rows.column("n").to_numpy()
+        np.add.at(table, (at, rows.column("bin").to_numpy() % bins), rows.column("n").to_numpy())
     return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -123,10 +126,11 @@ def _infer(bins: np.ndarray, owner: np.ndarray, n_docs: int, logs: np.ndarray) -
     out = np.zeros((n_docs, len(logs)))
     if not len(bins):
         return out
-    cells, counts = np.unique(owner * BINS + bins, return_counts=True)
-    docs, where = np.unique(cells // BINS, return_index=True)
+    width = logs.shape[1]
+    cells, counts = np.unique(owner * width + bins % width, return_counts=True)
+    docs, where = np.unique(cells // width, return_index=True)
     weights = counts.astype(np.float64)
-    raw = logs[:, cells % BINS].astype(np.float64)
+    raw = logs[:, cells % width].astype(np.float64)
     like = np.ascontiguousarray(np.maximum(np.exp(raw - raw.max(axis=0)), 1e-12).T)
     cuts = np.append(where, len(cells))
     total = np.add.reduceat(weights, where)
@@ -161,7 +165,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     ``lang_pred`` has the largest proportion (the first in order on ties) and ``score`` is that
     proportion; ``langs`` and ``proportions`` hold the selected set, largest first. A null text, one
     without a letter, or a model without languages gives ``und``, score 0 and no languages. Texts are
-    read whole. Repeated rows repeat; null ids stay; other columns are dropped.
+    read whole. Repeated rows repeat; null ids stay; other columns are dropped; an empty table gives no rows.
     """
     langs, logs = model
     bounded_batches(docs.sparkSession)

@@ -388,6 +388,20 @@ def test_language(spark, odd, empty):
     assert {r.lang_pred for r in language_mix.identify(odd, ([], np.zeros((0, language_mix.BINS), np.float32))).collect()} == {"und"}
 
 
+def test_language_letters_and_many_labels(spark, odd, monkeypatch):
+    """Whatever has a letter gets a language, under a model of few bins too; nulls, long texts and extra columns pass."""
+    texts = spark.createDataFrame([("the cat and the dog and the house " * 5, "en"), ("der hund und die katze und das haus " * 5, "de")], "text string, lang string")
+    rows = spark.createDataFrame([(1, "ª"), (2, "12 µ"), (3, "º"), (4, "٣ 。"), (5, "the house and the dog")], "doc_id long, text string")
+    for cells in (language_mix.MAX_CELLS, 2 * 1024):
+        monkeypatch.setattr(language_mix, "MAX_CELLS", cells)
+        model = language_mix.train(texts)
+        assert model[1].size <= cells
+        got = {r.doc_id: r.lang_pred for r in language_mix.identify(rows, model).collect()}
+        assert got[4] == "und" and got[5] == "en" and {got[1], got[2], got[3]} <= {"en", "de"}
+        out = sorted(((r.doc_id, r.lang_pred != "und") for r in language_mix.identify(odd, model).collect()), key=repr)
+        assert out == sorted(((i, bool(t and t.strip())) for i, t in ODD), key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
