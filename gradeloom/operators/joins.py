@@ -92,13 +92,16 @@ def kp_catalog(topics: DataFrame, qa: DataFrame) -> DataFrame:
     return named.union(first.select("topic", F.col("question_text").alias("text"), F.lit(None).cast("double").alias("mass"), F.lit("question").alias("kind")))
 
 
-def analysis_hints(wanted: DataFrame, difficulty: DataFrame, dependencies: DataFrame, confusions: DataFrame) -> DataFrame:
-    """One line for each (student, topic): difficulty, prerequisites, open confusions."""
+def analysis_hints(wanted: DataFrame, difficulty: DataFrame, dependencies: DataFrame, confusions: DataFrame, patterns: DataFrame) -> DataFrame:
+    """One line for each ``wanted(student_id, topic, verb)``: difficulty, answer style of the verb,
+    prerequisites, open confusions. A verb without a summary in ``patterns(verb, pattern_summary)`` says nothing."""
     before = dependencies.groupBy(F.col("dependent").alias("topic")).agg(F.array_join(F.array_sort(F.collect_set("prerequisite")), ", ").alias("before"))
     open_ = confusions.where("not resolved").groupBy("student_id", "topic").agg(F.count("*").alias("open"))
     rows = wanted.join(difficulty.select("topic", "mode_difficulty"), "topic", "left").join(before, "topic", "left").join(open_, ["student_id", "topic"], "left")
+    rows = rows.join(patterns.where("pattern_summary <> ''").select("verb", "pattern_summary"), "verb", "left")
     parts = (
         F.concat(F.lit("difficulty: "), "mode_difficulty"),
+        F.concat(F.lit("answer style for '"), "verb", F.lit("' questions: "), "pattern_summary"),
         F.concat(F.lit("needs: "), "before"),
         F.concat(F.lit("open confusions: "), F.col("open").cast("string")),
     )

@@ -184,12 +184,29 @@ def verb_family(verb: Column) -> Column:
     return F.coalesce(families[F.lower(verb)], F.lower(verb))
 
 
-def render_variations(templates: DataFrame, n: int = 3, low: int = 1, high: int = 100, seed: int = 0) -> DataFrame:
-    """n variations of ``template`` with each ``{name}`` of ``params`` replaced by a seeded number in range."""
+# Ranges and binary digits of generated numbers by difficulty; all other difficulties count as the last.
+BINARY_RANGES = {"basic": (1, 15, 4), "intermediate": (16, 255, 8), "advanced": (256, 65535, 16)}
+HEX_RANGE = (1, 255)
+DECIMAL_RANGES = {"basic": (1, 100), "advanced": (100, 10000)}
+
+
+def render_variations(templates: DataFrame, n: int = 3, difficulty: str = "basic", seed: int = 0) -> DataFrame:
+    """n variations of ``template`` with each ``{name}`` of ``params(name, type, example)`` replaced by a
+    seeded value of its type: binary, hexadecimal or decimal (denary) in the difficulty's range; a
+    parameter of another type gets its example, or 0 without one."""
+    low, high, digits = BINARY_RANGES.get(difficulty, BINARY_RANGES["advanced"])
+    least, most = DECIMAL_RANGES.get(difficulty, DECIMAL_RANGES["advanced"])
     rows = templates.withColumn("variation", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
-    def put(text: Column, name: Column) -> Column:
-        value = F.pmod(F.xxhash64(F.lit(seed), "template_id", "variation", name), F.lit(high - low + 1)) + low
-        return F.replace(text, F.concat(F.lit("{"), name, F.lit("}")), value.cast("string"))
+    def put(text: Column, param: Column) -> Column:
+        drawn = lambda a, b: F.pmod(F.xxhash64(F.lit(seed), "template_id", "variation", param["name"]), F.lit(b - a + 1)) + a
+        kind = F.lower(F.coalesce(param["type"], F.lit("")))
+        value = (
+            F.when(kind.contains("binary"), F.lpad(F.bin(drawn(low, high)), digits, "0"))
+            .when(kind.contains("hex"), F.lpad(F.hex(drawn(*HEX_RANGE)), 2, "0"))
+            .when(kind.contains("decimal") | kind.contains("denary"), drawn(least, most).cast("string"))
+            .otherwise(F.coalesce(param["example"], F.lit("0")))
+        )
+        return F.replace(text, F.concat(F.lit("{"), param["name"], F.lit("}")), value)
 
     return rows.select("template_id", "variation", F.aggregate("params", F.col("template"), put).alias("question"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,16 @@ def record_help(uses: DataFrame, grades: DataFrame, fragments: DataFrame) -> Dat
     return rows.withColumn("help_level", level)
 
 
+def _affinity(overlaps: DataFrame) -> DataFrame:
+    return overlaps.select("fragment_id", "topic_id", (F.col("common") / F.least("f", "t")).alias("affinity"))
+
+
+def _loyalty(overlaps: DataFrame, members: DataFrame) -> DataFrame:
+    share = overlaps.select("fragment_id", "topic_id", (F.col("common") / F.col("f")).alias("share"))
+    rows = members.select("fragment_id", "topic_id").join(share, ["fragment_id", "topic_id"], "left")
+    return rows.select("fragment_id", "topic_id", F.coalesce("share", F.lit(0.5)).alias("loyalty"))
+
+
 def _overlaps(help_map: DataFrame, members: DataFrame) -> DataFrame:
     """``(fragment_id, topic_id, common, f, t)`` for fragments and topics that help a common question."""
     own = help_map.select("fragment_id", "helped_qa_id").distinct()
@@ -39,14 +51,12 @@ def _overlaps(help_map: DataFrame, members: DataFrame) -> DataFrame:
 
 def loyalty(help_map: DataFrame, members: DataFrame) -> DataFrame:
     """Share of a fragment's helped questions that its topic helps; half if either helps none."""
-    share = _overlaps(help_map, members).select("fragment_id", "topic_id", (F.col("common") / F.col("f")).alias("share"))
-    rows = members.select("fragment_id", "topic_id").join(share, ["fragment_id", "topic_id"], "left")
-    return rows.select("fragment_id", "topic_id", F.coalesce("share", F.lit(0.5)).alias("loyalty"))
+    return _loyalty(_overlaps(help_map, members), members)
 
 
 def affinity(help_map: DataFrame, members: DataFrame) -> DataFrame:
     """Common helped questions over the smaller set, for pairs that have any (others are 0)."""
-    return _overlaps(help_map, members).select("fragment_id", "topic_id", (F.col("common") / F.least("f", "t")).alias("affinity"))
+    return _affinity(_overlaps(help_map, members))
 
 
 def migration_threshold(n: Column | int) -> Column:
@@ -58,8 +68,9 @@ def migrations(help_map: DataFrame, members: DataFrame, topics: DataFrame, inclu
     """Moves ``(fragment_id, src, dst)`` to a topic with more affinity than loyalty, where enough agree."""
     n = help_map.agg(F.count("*").alias("n"))
     open_ = topics if include_dissolved else topics.where("quality <> 'dissolved'")
-    other = affinity(help_map, members).join(open_.select("topic_id"), "topic_id", "left_semi")
-    own = loyalty(help_map, members).withColumnRenamed("topic_id", "src")
+    overlaps = stored(_overlaps(help_map, members), "overlaps")  # read twice
+    other = _affinity(overlaps).join(open_.select("topic_id"), "topic_id", "left_semi")
+    own = _loyalty(overlaps, members).withColumnRenamed("topic_id", "src")
     rows = own.join(other, "fragment_id").where("src <> topic_id").groupBy("fragment_id", "src", "loyalty").agg(F.max(F.struct("affinity", "topic_id")).alias("best"))
     rows = rows.join(F.broadcast(n)).where((F.col("n") >= least_help) & (F.col("best.affinity") - F.col("loyalty") > migration_threshold(F.col("n"))))  # one row
     mass = members.groupBy(F.col("topic_id").alias("src")).agg(F.count("*").alias("mass"))
@@ -239,10 +250,12 @@ def redistribute(members: DataFrame, help_map: DataFrame, topics: DataFrame, lea
 
 def update_centrality(centrality: DataFrame, help_map: DataFrame, members: DataFrame, topics: DataFrame) -> DataFrame:
     """Moving average of centrality: .60 old, .30 mean help, .10 topic cohesion; at most 1, three places
-    (ties as nine decimals show them)."""
+    (ties as nine decimals show them). Fragments without a topic or of dissolved topics are left out; a
+    missing cohesion counts one half."""
     helped = help_map.groupBy("fragment_id").agg(F.avg("help_effect").alias("help"))
-    rows = centrality.where("verification_count >= 1").join(helped, "fragment_id", "left").join(members.select("fragment_id", "topic_id"), "fragment_id", "left").join(topics.select("topic_id", "cohesion"), "topic_id", "left")
-    new = 0.6 * F.col("centrality_score") + 0.3 * F.coalesce("help", F.lit(0.0)) + 0.1 * F.coalesce("cohesion", F.lit(0.0))
+    rows = centrality.where("verification_count >= 1").join(helped, "fragment_id", "left").join(members.select("fragment_id", "topic_id"), "fragment_id")
+    rows = rows.join(topics.where("quality <> 'dissolved'").select("topic_id", "cohesion"), "topic_id")
+    new = 0.6 * F.col("centrality_score") + 0.3 * F.coalesce("help", F.lit(0.0)) + 0.1 * F.coalesce("cohesion", F.lit(0.5))
     return rows.select("fragment_id", F.bround(F.bround(F.least(new, F.lit(1.0)), 9), 3).alias("centrality_score"), (F.col("verification_count") + 1).alias("verification_count"))
 
 
@@ -265,16 +278,28 @@ def apply_confusions(difficulty: DataFrame, confusions: DataFrame) -> DataFrame:
     return rows.where(raised > level).select("topic", F.col("mode_difficulty").alias("before"), label.alias("difficulty"), F.lit("student_feedback").alias("method"))
 
 
-def run_cycle(help_map: DataFrame, members: DataFrame, topics: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One cycle: move fragments, renew topic figures, split and merge topics, deal out dissolved ones.
+class Cycle(NamedTuple):
+    members: DataFrame
+    topics: DataFrame
+    report: DataFrame  #: one row: how many moved, split, merged and were dealt out
+    centrality: DataFrame | None = None
+    points: DataFrame | None = None
+    vectors: DataFrame | None = None
 
-    Returns memberships, topics and a one-row report of how many moved, split, merged and were dealt out.
-    """
+
+def run_cycle(
+    help_map: DataFrame, members: DataFrame, topics: DataFrame, helped_before: int = 0, growth: int = 20,
+    centrality: DataFrame | None = None, cascade: tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None = None,
+) -> Cycle:
+    """One cycle: move fragments, renew topic figures; split and merge topics and deal out dissolved ones
+    if more than ``growth`` help rows came since the last cycle, which saw ``helped_before``; then renew
+    fragment centrality and, from the four tables of ``cascade``, point and topic vectors."""
     moved = stored(migrate(help_map, members, topics), "members")
     renewed = stored(topic_stats(moved, help_map, topics), "topics")
-    split = stored(split_topics(moved, help_map, renewed), "split")
-    merged = stored(merge_topics(moved, help_map, renewed), "merged")
-    dealt = stored(redistribute(moved, help_map, renewed), "dealt")
+    live = renewed if help_map.count() > helped_before + growth else renewed.limit(0)
+    split = stored(split_topics(moved, help_map, live), "split")
+    merged = stored(merge_topics(moved, help_map, live), "merged")
+    dealt = stored(redistribute(moved, help_map, live), "dealt")
     to = merged.select(F.explode(F.array("topic_a", "topic_b")).alias("topic_id"), "merged")
     rows = moved.join(split.select("fragment_id", "part"), "fragment_id", "left").join(to, "topic_id", "left").join(dealt.select("fragment_id", F.col("topic_id").alias("dealt")), "fragment_id", "left")
     now = F.coalesce("part", "merged", "dealt", "topic_id")
@@ -288,7 +313,10 @@ def run_cycle(help_map: DataFrame, members: DataFrame, topics: DataFrame) -> tup
     report = counts[0]
     for one in counts[1:]:
         report = report.join(F.broadcast(one))  # one row each
-    return state, renewed, report
+    state = stored(state, "members")
+    new = None if centrality is None else update_centrality(centrality, help_map, state, renewed)
+    points, vectors = (None, None) if cascade is None else vector_cascade(*cascade)
+    return Cycle(state, renewed, report, new, points, vectors)
 
 
 def naming_inputs(topics: DataFrame, members: DataFrame, fragments: DataFrame, n: int = 20) -> DataFrame:

@@ -168,7 +168,7 @@ def greedy_leaders(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """
     pairs = stored(pairs.select("a", "b"), "pairs")
     open_, leaders = stored(ids.select("id"), "open"), None
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round settles the least open item at least
         earlier = pairs.join(open_.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
         new = stored(open_.join(earlier, "id", "left_anti"), "new")
         if not new.limit(1).count():
@@ -367,8 +367,11 @@ def compare_kps(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", cosine("vector_a", "vector_b").alias("cosine"))
 
 
-def place_qa(scores: DataFrame, kps: DataFrame, least: float = 0.3) -> DataFrame:
-    """Best point of each question by judged score, and the tier that its score gives."""
+def place_qa(scores: DataFrame, kps: DataFrame, least: float = 0.3, most: int = 50) -> DataFrame:
+    """Best point of each question by judged score, and the tier that its score gives. Only the ``most``
+    points of ``kps`` with most ``evidence`` take part (ties by id)."""
+    kps = kps.orderBy(F.desc("evidence"), "kp_id").limit(most)
+    scores = scores.join(F.broadcast(kps.select("kp_id")), "kp_id", "left_semi")
     best = scores.where(F.col("score") >= least).groupBy("qa_id").agg(F.max(F.struct("score", "kp_id")).alias("best"))
     tier = F.when(F.col("score") >= 0.8, 0.8).when(F.col("score") >= 0.5, 0.5).otherwise(0.2)
     rows = best.select("qa_id", "best.kp_id", "best.score").join(kps.select("kp_id", "name", "description"), "kp_id")

@@ -105,12 +105,17 @@ def j14_kp_catalog(t):
 
 
 @query(f"""WITH {_DEPS}, b AS (SELECT dependent, string_agg(prerequisite, ', ' ORDER BY prerequisite) AS before FROM deps GROUP BY 1),
-o AS (SELECT student_id, topic, count(*) AS open FROM fx_confusions WHERE NOT resolved GROUP BY 1, 2)
-SELECT s.student_id, s.topic, concat_ws('; ', CASE WHEN s.topic < 'topic_15' THEN 'difficulty: basic' END, 'needs: ' || before, 'open confusions: ' || open) AS hint
-FROM fx_states s LEFT JOIN b ON dependent = s.topic LEFT JOIN o ON o.student_id = s.student_id AND o.topic = s.topic""")
+o AS (SELECT student_id, topic, count(*) AS open FROM fx_confusions WHERE NOT resolved GROUP BY 1, 2), w AS (SELECT *, CASE student_id % 3 WHEN 0 THEN 'building' WHEN 1 THEN 'machinery' ELSE 'none' END AS verb FROM fx_states),
+p AS (SELECT command_verb AS verb, 'seen ' || count(*) || ' times' AS pattern_summary FROM fx_qa WHERE command_verb <> 'machinery' GROUP BY 1)
+SELECT s.student_id, s.topic, concat_ws('; ', CASE WHEN s.topic < 'topic_15' THEN 'difficulty: basic' END, 'answer style for ''' || p.verb || ''' questions: ' || pattern_summary, 'needs: ' || before, 'open confusions: ' || open) AS hint
+FROM w s LEFT JOIN p ON p.verb = s.verb LEFT JOIN b ON dependent = s.topic LEFT JOIN o ON o.student_id = s.student_id AND o.topic = s.topic""")
 def j15_analysis_hints(t):
     difficulty = t("fx_states").where("topic < 'topic_15'").select("topic", F.lit("basic").alias("mode_difficulty")).distinct()
-    return joins.analysis_hints(t("fx_states").select("student_id", "topic"), difficulty, _deps(t), t("fx_confusions"))
+    k = F.col("student_id") % 3
+    wanted = t("fx_states").select("student_id", "topic", F.when(k == 0, "building").when(k == 1, "machinery").otherwise("none").alias("verb"))
+    seen = t("fx_qa").groupBy(F.col("command_verb").alias("verb")).agg(F.count("*").alias("n"))
+    summary = F.when(F.col("verb") == "machinery", "").otherwise(F.concat(F.lit("seen "), F.col("n").cast("string"), F.lit(" times")))
+    return joins.analysis_hints(wanted, difficulty, _deps(t), t("fx_confusions"), seen.select("verb", summary.alias("pattern_summary")))
 
 
 def _export(t):

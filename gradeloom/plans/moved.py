@@ -96,10 +96,13 @@ def o9_redistribute(t):
     return top.redistribute(t("fx_membership"), t("fx_help"), _topics(t))
 
 
-@query("""SELECT fragment_id, round_even(round_even(least(0.6 * 0.5 + 0.3 * avg(help_effect) + 0.1 * 0.5, 1.0), 9), 3) AS centrality_score, count(*) + 1 AS verification_count FROM fx_help JOIN fx_membership USING (fragment_id) GROUP BY 1""")
+@query(f"""WITH {_TOPICS}, tc AS (SELECT *, CASE WHEN right(topic_id, 1) < '5' THEN 0.25 END AS cohesion FROM tp)
+SELECT fragment_id, round_even(round_even(least(0.6 * 0.5 + 0.3 * avg(help_effect) + 0.1 * coalesce(max(cohesion), 0.5), 1.0), 9), 3) AS centrality_score, count(*) + 1 AS verification_count
+FROM fx_help JOIN fx_membership USING (fragment_id) JOIN tc USING (topic_id) WHERE quality <> 'dissolved' GROUP BY 1""")
 def o10_update_centrality(t):
     old = t("fx_help").groupBy("fragment_id").agg(F.count("*").alias("verification_count")).withColumn("centrality_score", F.lit(0.5))
-    return top.update_centrality(old, t("fx_help"), t("fx_membership"), _topics(t))
+    topics = _topics(t).withColumn("cohesion", F.when(F.expr("right(topic_id, 1)") < "5", 0.25))
+    return top.update_centrality(old, t("fx_help"), t("fx_membership"), topics)
 
 
 @query()
@@ -107,7 +110,7 @@ def o11_vector_cascade(t):
     members = t("fx_vectors").select(F.col("id").alias("qa_id"), F.concat(F.lit("kp_"), (F.col("id") % 60).cast("string")).alias("kp_id"))
     kps = members.select("kp_id", F.lit("accepted").alias("quality")).distinct()
     of = members.select(F.concat(F.lit("topic_"), (F.col("qa_id") % 6).cast("string")).alias("topic"), "kp_id").distinct()
-    return top.vector_cascade(t("fx_vectors"), members, kps, of)[1].select("topic", F.size("vector").alias("width"))
+    return top.vector_cascade(t("fx_vectors"), members, kps, of)[1].select("topic", F.transform("vector", lambda x: F.bround(x.cast("double"), 4)).alias("vector"))
 
 
 @query("""WITH c AS (SELECT topic, count(*) AS n FROM fx_confusions GROUP BY topic), d AS (SELECT topic, CASE WHEN length(topic) = 7 THEN 'basic' ELSE 'intermediate' END AS before, n FROM c)

@@ -54,9 +54,16 @@ def s7_format_points(t):
     return texts.format_points(rows)
 
 
-@query("SELECT command_verb AS verb, printf('%s (n=%d)' || chr(10) || '  length: mean %.1f, median %d' || chr(10) || '  lists: %.2f', command_verb, count(*), 2.0, 3, 0.25) AS block FROM fx_qa GROUP BY command_verb")
+@query("""WITH v AS (SELECT command_verb AS verb, count(*) AS n, length(command_verb) % 2 = 0 AS even FROM fx_qa GROUP BY 1)
+SELECT verb, concat_ws(chr(10), printf('%s  [%s]  (n=%d)', verb, CASE WHEN even THEN 'describe' ELSE '' END, n), repeat('-', 40), CASE WHEN even THEN printf('  Avg answer length: %.0f chars  (median: %.0f)', CAST(n * 3 AS DOUBLE), CAST(n AS DOUBLE)) END,
+  printf('  Bullet/list usage: %.0f%%  (avg %.1f bullets)', CAST(30.0 AS DOUBLE), CAST(1.75 AS DOUBLE)), CASE WHEN NOT even THEN '  Avg miss rate (AI): 20%' END, CASE WHEN even THEN '  Pattern: of ' || verb END, CASE WHEN NOT even THEN '    [a] note a' || chr(10) || '    [' || verb || '] note b' END) AS block FROM v""")
 def s8_format_verb_report(t):
-    rows = t("fx_qa").groupBy(F.col("command_verb").alias("verb")).agg(F.count("*").alias("sample_count"), F.lit(2.0).alias("avg_length"), F.lit(3).alias("median_length"), F.lit(0.25).alias("bullet_ratio"))
+    rows = t("fx_qa").groupBy(F.col("command_verb").alias("verb")).agg(F.count("*").alias("sample_count"))
+    even, n = F.length("verb") % 2 == 0, F.col("sample_count")
+    notes = F.array(*(F.struct(a.alias("topic"), F.lit(b).alias("note")) for a, b in ((F.lit("a"), "note a"), (F.col("verb"), "note b"))))
+    rows = rows.withColumns({
+        "verb_family": F.when(even, "describe"), "avg_answer_length": F.when(even, n * 3), "median_answer_length": n, "bullet_ratio": F.lit(0.3), "avg_bullet_count": F.lit(1.75),
+        "avg_miss_rate": F.when(~even, 0.2), "pattern_summary": F.when(even, F.concat(F.lit("of "), "verb")), "topic_notes": F.when(~even, notes)})
     return texts.format_verb_report(rows)
 
 
@@ -189,10 +196,13 @@ def p20_verb_family(t):
     return t("fx_qa").select("id", sc.verb_family(verb).alias("family"))
 
 
+_PARAMS = "from_json('[{\"name\":\"m\",\"type\":\"Denary number\",\"example\":\"7\"},{\"name\":\"c\",\"type\":\"hexadecimal\",\"example\":\"1F\"},{\"name\":\"b\",\"type\":\"binary\"},{\"name\":\"k\",\"type\":\"colour\",\"example\":\"red\"}]', 'array<struct<name:string,type:string,example:string>>')"
+
+
 @query()
 def p21_render_variations(t):
-    rows = t("part").select(F.col("p_partkey").alias("template_id"), F.concat(F.lit("A "), "p_name", F.lit(" weighs {m} kg at {v} m/s.")).alias("template"), F.array(F.lit("m"), F.lit("v")).alias("params"))
-    return sc.render_variations(rows, n=2)
+    rows = t("part").select(F.col("p_partkey").alias("template_id"), F.concat(F.lit("A "), "p_name", F.lit(" weighs {m} kg, has code {c} and flags {b}, and is {k}.")).alias("template"), F.expr(_PARAMS).alias("params"))
+    return sc.render_variations(rows, n=2, difficulty="intermediate")
 
 
 _HALF = "SELECT id, question_text, answer_text FROM fx_qa"

@@ -32,11 +32,15 @@ def local_session(app: str = "gradeloom", cpus: str = "8", **conf: str) -> Spark
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where it is unset (single-machine tests) is a temporary folder made, once per application.
+    Only where it is unset and the master is local (tests) is a temporary folder made, once per
+    application; a cluster without the setting is an error, as its machines would not see the folder.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="gradeloom-")

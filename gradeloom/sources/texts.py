@@ -38,9 +38,20 @@ def format_points(points: DataFrame) -> DataFrame:
 
 
 def format_verb_report(patterns: DataFrame) -> DataFrame:
-    """One text block for each verb."""
-    body = F.format_string("%s (n=%d)\n  length: mean %.1f, median %d\n  lists: %.2f", "verb", "sample_count", "avg_length", "median_length", "bullet_ratio")
-    return patterns.select("verb", body.alias("block"))
+    """One text block for each row of ``patterns(verb, verb_family, sample_count, avg_answer_length,
+    median_answer_length, bullet_ratio, avg_bullet_count, avg_miss_rate, pattern_summary, topic_notes)``;
+    topic_notes is an array of (topic, note). A line whose figures are missing is left out."""
+    double = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    lines = (
+        F.format_string("%s  [%s]  (n=%d)", "verb", F.coalesce("verb_family", F.lit("")), "sample_count"),
+        F.lit("-" * 40),
+        F.when(F.col("avg_answer_length") > 0, F.format_string("  Avg answer length: %.0f chars  (median: %.0f)", double("avg_answer_length"), double("median_answer_length"))),
+        F.when(F.col("bullet_ratio").isNotNull(), F.format_string("  Bullet/list usage: %.0f%%  (avg %.1f bullets)", double("bullet_ratio") * 100, double("avg_bullet_count"))),
+        F.when(F.col("avg_miss_rate").isNotNull(), F.format_string("  Avg miss rate (AI): %.0f%%", double("avg_miss_rate") * 100)),
+        F.when(F.col("pattern_summary") != "", F.concat(F.lit("  Pattern: "), "pattern_summary")),
+        F.when(F.size("topic_notes") > 0, F.array_join(F.transform("topic_notes", lambda x: F.concat(F.lit("    ["), x["topic"], F.lit("] "), x["note"])), "\n")),
+    )
+    return patterns.select("verb", F.concat_ws("\n", *lines).alias("block"))
 
 
 def decode_json_cols(df: DataFrame, kinds: dict[str, str]) -> DataFrame:

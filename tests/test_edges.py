@@ -166,3 +166,47 @@ def test_whole_tables(spark):
     want = {r.topic: float(np.linalg.norm(r["median"])) for r in vectors.geometric_median(rows, "topic").collect()}
     assert {r.topic: r.size for r in run("v8_geometric_median")} == pytest.approx(want, abs=1e-4)
     assert max(int(r.loser[1:]) for r in run("v14_topic_merge_plan")) >= 200
+
+
+def test_rendered_values(spark):
+    """Each type's values against its range, by difficulty; examples and unknown names."""
+    params = [("b", "Binary string", "1"), ("h", "hex", "F"), ("d", "denary", "1"), ("k", "colour", "red"), ("n", None, None)]
+    rows = spark.createDataFrame([(k, "{b}|{h}|{d}|{k}|{n}|{x}", params) for k in range(40)], "template_id long, template string, params array<struct<name:string,type:string,example:string>>")
+    for level, bits, low, high, least, most in (("basic", 4, 1, 15, 1, 100), ("intermediate", 8, 16, 255, 100, 10000), ("hard", 16, 256, 65535, 100, 10000)):
+        found = scalars.render_variations(rows, n=2, difficulty=level).collect()
+        assert len(found) == 80 and len({r.question for r in found}) > 40
+        for r in found:
+            b, h, d, *rest = r.question.split("|")
+            assert len(b) == bits and low <= int(b, 2) <= high and len(h) == 2 and h == h.upper() and 1 <= int(h, 16) <= 255
+            assert least <= int(d) <= most and rest == ["red", "0", "{x}"]
+
+
+def test_greedy_chain(spark):
+    """A chain takes a round for every second item, however long it is."""
+    ids = spark.range(14)
+    pairs = spark.range(13).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = {r.id: r.leader for r in vectors.greedy_leaders(pairs, ids).collect()}
+    assert found == {k: k - k % 2 for k in range(14)}
+
+
+def test_centrality_edges(spark):
+    """Dissolved topics and fragments without a topic are left out; a missing cohesion counts one half."""
+    old = spark.createDataFrame([(x, 0.5, n) for x, n in (("a", 1), ("b", 1), ("c", 1), ("d", 1), ("e", 0))], "fragment_id string, centrality_score double, verification_count int")
+    helped = spark.createDataFrame([("a", 1.0), ("a", 0.5), ("c", 1.0)], "fragment_id string, help_effect double")
+    members = spark.createDataFrame([("a", "t"), ("b", "u"), ("c", "gone"), ("e", "t")], "fragment_id string, topic_id string")
+    of = spark.createDataFrame([("t", "forming", 1.0), ("u", "stable", None), ("gone", "dissolved", 1.0)], "topic_id string, quality string, cohesion double")
+    got = {r.fragment_id: r.centrality_score for r in topics.update_centrality(old, helped, members, of).collect()}
+    assert got == {"a": 0.625, "b": 0.35}
+
+
+def test_cycle_gate(spark):
+    """Without new help rows nothing splits, merges or is dealt out; centrality is renewed all the same."""
+    rows = [(f"f{k}", f"{'xy'[k // 6]}", k // 3, 1.0) for k in range(12)]
+    helped = spark.createDataFrame([(f, q * 10 + j, e) for f, _, q, e in rows for j in range(3)], "fragment_id string, helped_qa_id long, help_effect double")
+    members = spark.createDataFrame([(f, t, None) for f, t, _, _ in rows], "fragment_id string, topic_id string, previous_topic_id string")
+    of = spark.createDataFrame([("x", "forming"), ("y", "forming")], "topic_id string, quality string")
+    old = spark.createDataFrame([(f, 0.5, 1) for f, *_ in rows], "fragment_id string, centrality_score double, verification_count int")
+    open_, shut = (topics.run_cycle(helped, members, of, helped_before=n, centrality=old) for n in (0, 16))
+    assert {r.topic_id for r in open_.members.collect()} == {"x_a", "x_b", "y_a", "y_b"} and open_.report.first()["split"] == 2
+    assert {r.topic_id for r in shut.members.collect()} == {"x", "y"} and shut.report.first()["split"] == 0
+    assert shut.centrality.count() == 12
