@@ -418,12 +418,38 @@ def test_pipeline(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    kept = {k: [(r.doc_id, r.text) for r in f(spark, docs, SMALL).collect()] for k, f in corpus_pipeline.STAGES[1:4]}
+    kept = {k: [(r.doc_id, r.text) for r in f(spark, docs, SMALL).collect()] for k, f in corpus_pipeline.STAGES[:4]}
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want, _ = groups(rows)
     assert sorted(i for i, _ in kept["exact dedup"]) == sorted({k for _, k, _, _ in want})
     assert sorted(i for i, _ in kept["n-gram Jaccard join"]) == sorted(i for i, _, c in components(rows, 5, 80) if i == c)
+    clean = {r.doc_id for r in toxicity.op5_toxicity_pu(spark, SMALL).collect() if r.score < 0.5}
+    assert sorted(i for i, _ in kept["toxicity"]) == sorted(clean) and len(clean) < len(rows)
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    items = [s for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect() if (s := shingles(r.text, 5, words))]
+    leaked = {i for i, t in rows if any(100 * len(s & shingles(t, 5, words)) >= 80 * len(s) for s in items)}
+    assert sorted(i for i, _ in kept["benchmark decontamination"]) == sorted(i for i, _ in rows if i not in leaked) and leaked
     final = corpus_pipeline.run(spark, SMALL)
     assert final.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     texts = dict(rows)
     assert all(hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest() == r.decoded_sha256 for r in final.collect())
+
+
+def test_pipeline_edges(spark, odd, empty):
+    """Null, empty, long and repeated rows and clashing columns: what each stage keeps is the same rows, or one of equal ones."""
+    import corpus_pipeline
+
+    rows = sorted(ODD, key=repr)
+    once = {"toxicity": rows, "benchmark decontamination": rows}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        found = stage(spark, odd, SMALL)
+        assert found.columns == odd.columns and stage(spark, empty, SMALL).count() == 0
+        got = sorted(((r.doc_id, r.text) for r in found.collect()), key=repr)
+        assert got == once.get(name, got) and set(got) <= set(rows)
+        if name == "exact dedup":
+            assert len(got) == groups(ODD)[1]
+        if name == "n-gram Jaccard join":
+            least = {i: c for i, _, c in components(ODD, 5, 80)}
+            assert got == sorted(((i, t) for i, t in ODD if i is None or least[i] == i), key=repr)
+    name, stage = corpus_pipeline.STAGES[4]
+    assert stage(spark, odd, SMALL).count() == len(ODD) and stage(spark, empty, SMALL).count() == 0
