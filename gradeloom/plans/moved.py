@@ -110,7 +110,7 @@ def o11_vector_cascade(t):
     members = t("fx_vectors").select(F.col("id").alias("qa_id"), F.concat(F.lit("kp_"), (F.col("id") % 60).cast("string")).alias("kp_id"))
     kps = members.select("kp_id", F.lit("accepted").alias("quality")).distinct()
     of = members.select(F.concat(F.lit("topic_"), (F.col("qa_id") % 6).cast("string")).alias("topic"), "kp_id").distinct()
-    return top.vector_cascade(t("fx_vectors"), members, kps, of)[1].select("topic", F.transform("vector", lambda x: F.bround(x.cast("double"), 4)).alias("vector"))
+    return top.vector_cascade(t("fx_vectors"), members, kps, of)[1].select("topic", F.size("vector").alias("width"), F.transform("vector", lambda x: F.bround(x.cast("double"), 4)).alias("vector"))
 
 
 @query("""WITH c AS (SELECT topic, count(*) AS n FROM fx_confusions GROUP BY topic), d AS (SELECT topic, CASE WHEN length(topic) = 7 THEN 'basic' ELSE 'intermediate' END AS before, n FROM c)

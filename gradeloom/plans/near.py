@@ -65,7 +65,7 @@ def v7_cluster_stats(t):
 @query()
 def v8_geometric_median(t):
     rows = t("fx_vectors").withColumn("weight", F.lit(1.0))
-    return vec.geometric_median(rows, "topic").select("topic", F.transform("median", lambda x: F.bround(x.cast("double"), 4)).alias("median"))
+    return vec.geometric_median(rows, "topic").select("topic", F.bround(vec.norm("median"), 4).alias("size"), F.transform("median", lambda x: F.bround(x.cast("double"), 4)).alias("median"))
 
 
 @query()
@@ -145,7 +145,7 @@ def v20_apply_signals(t):
     rows = t("fx_vectors").select(F.col("id").alias("kp_id"), "vector")
     kind = F.element_at(F.array(*map(F.lit, ("help", "hurt", "post", "user"))), (F.col("id") % 4).cast("int") + 1)
     signals = t("fx_vectors").select(F.floor(F.col("id") / 4).alias("kp_id"), F.col("id").alias("seq"), kind.alias("kind"), "vector")
-    return vec.apply_signals(rows, signals).select("kp_id", F.transform("vector", lambda x: F.bround(x.cast("double"), 4)).alias("vector"))
+    return vec.apply_signals(rows, signals).select("kp_id", F.bround(vec.norm("vector"), 4).alias("size"), F.transform("vector", lambda x: F.bround(x.cast("double"), 4)).alias("vector"))
 
 
 @query("""WITH m AS (SELECT id AS kp_id, id % 5 AS n FROM fx_vectors) SELECT kp_id, CASE WHEN n >= 3 THEN 'stable' ELSE 'embryonic' END AS quality, CASE WHEN n < 3 THEN 0.95 ELSE 1.0 END AS size FROM m""")
@@ -182,7 +182,7 @@ def v24_topic_related(t):
 @query()
 def x1_register_encoder(t):
     texts = t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return extension.encode(texts).select("doc_id", F.transform("vector", lambda x: F.bround(x.cast("double"), 4)).alias("vector"))
+    return extension.encode(texts).select("doc_id", F.bround(vec.norm("vector"), 4).alias("size"), F.transform("vector", lambda x: F.bround(x.cast("double"), 4)).alias("vector"))
 
 
 @query("SELECT id AS kp_id, 1.0 AS size FROM fx_vectors")

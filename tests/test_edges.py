@@ -165,6 +165,8 @@ def test_whole_tables(spark):
     rows = spark.read.parquet(f"{data}/embeddings.parquet").selectExpr("concat('topic_', label) AS topic", "embedding AS vector", "1.0D AS weight")
     want = {r.topic: float(np.linalg.norm(r["median"])) for r in vectors.geometric_median(rows, "topic").collect()}
     assert {r.topic: r.size for r in run("v8_geometric_median")} == pytest.approx(want, abs=1e-4)
+    medians = {r.topic: r["median"] for r in vectors.geometric_median(rows, "topic").collect()}
+    assert all(r.median == pytest.approx(list(medians[r.topic]), abs=1e-4) for r in run("v8_geometric_median"))
     assert max(int(r.loser[1:]) for r in run("v14_topic_merge_plan")) >= 200
 
 
