@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gradeloom.session import stored
+
 from .scalars import REASONS, bullet_count
 
 LEVELS = {"basic": 1, "intermediate": 2, "advanced": 3}
@@ -223,10 +225,17 @@ def mark_representatives(qa: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def difficulty_anchors(qa: DataFrame, cap: int = 30) -> DataFrame:
-    """One question per topic (representative, else best), then evenly spaced ones up to the cap."""
+    """One question per topic (representative, else best), then evenly spaced ones up to the cap.
+
+    Topics are numbered by range: each task numbers its own, and adds the count of the ranges before it.
+    """
     order = W.partitionBy("topic").orderBy(F.desc("is_representative"), F.desc("weight"), "id")
     heads = qa.withColumn("nth", F.row_number().over(order)).where("nth = 1")
-    heads = heads.withColumn("position", F.row_number().over(W.orderBy("topic")))
+    heads = stored(heads.repartitionByRange("topic").withColumn("range", F.spark_partition_id()), "heads")
+    before = heads.groupBy("range").agg(F.count("*").alias("n"))  # one row a range
+    before = before.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("before"))
+    heads = heads.withColumn("own", F.row_number().over(W.partitionBy("range").orderBy("topic"))).join(F.broadcast(before), "range")
+    heads = heads.withColumn("position", F.col("before") + F.col("own")).drop("range", "before", "own")
     step = heads.agg(F.greatest(F.floor(F.count("*") / cap), F.lit(1)).alias("step"))
     return heads.join(F.broadcast(step)).where("(position - 1) % step = 0").orderBy("position").limit(cap).drop("nth", "step")  # one row
 

@@ -154,9 +154,10 @@ def annotate_related(points: DataFrame, links: DataFrame, related: DataFrame, le
     to the longest topic name that it starts with.
     """
     named = links.select(F.col("src").alias("topic")).union(related.select("topic")).distinct()
-    fits = points.join(named, F.col("header").startswith(F.col("topic")), "left")
-    best = W.partitionBy("header").orderBy(F.length("topic").desc_nulls_last(), "topic")
-    of = fits.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth")
+    heads = points.select("header").distinct()
+    starts = heads.select("header", F.explode(F.transform(F.sequence(F.lit(0), F.length("header")), lambda n: F.substring(F.col("header"), F.lit(1), n))).alias("topic"))
+    longest = starts.hint("shuffle_hash").join(named, "topic").groupBy("header").agg(F.max_by("topic", F.length("topic")).alias("topic"))
+    of = heads.hint("merge").join(longest, "header", "left")
 
     def joined(rows: DataFrame, key: str, other: str, head: str, form: str) -> DataFrame:
         ranked = rows.where(F.col("count") >= least).withColumn("nth", F.row_number().over(W.partitionBy(key).orderBy(F.desc("count"), other)))

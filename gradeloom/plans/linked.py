@@ -171,12 +171,11 @@ def g1_cross_topic_links(t):
     return graph.cross_topic_links(uses(t), t("fx_qa"))
 
 
-@query(f"""WITH {_TOPIC_KPS}, few AS (SELECT * FROM tk WHERE kp_id <= 'kp_0005')
+@query(f"""WITH {_TOPIC_KPS}
 SELECT a.kp_id AS source, b.kp_id AS target, CAST(max(count) AS DOUBLE) AS weight, 'prerequisite' AS type, CASE WHEN max(count) >= 12 THEN 'medium' ELSE 'low' END AS confidence
-FROM fx_links JOIN few a ON a.topic = dst_topic JOIN few b ON b.topic = src_topic WHERE count >= 2 AND a.kp_id <> b.kp_id GROUP BY 1, 2""")
+FROM fx_links JOIN tk a ON a.topic = dst_topic JOIN tk b ON b.topic = src_topic WHERE count >= 2 AND a.kp_id <> b.kp_id GROUP BY 1, 2""")
 def g2_retrieval_edges(t):
-    few = joins.topic_kps(t("fx_qa"), t("fx_members")).where("kp_id <= 'kp_0005'")
-    return graph.retrieval_edges(t("fx_links"), few, medium=12)
+    return graph.retrieval_edges(t("fx_links"), joins.topic_kps(t("fx_qa"), t("fx_members")), medium=12)
 
 
 @query("""WITH r AS (SELECT paper, kp_id, lag(kp_id) OVER (PARTITION BY paper ORDER BY CAST(regexp_extract(question_number, '^(\\d+)', 1) AS INT), regexp_replace(question_number, '^\\d+', ''), id, kp_id) AS source FROM fx_members JOIN fx_qa ON qa_id = id),
@@ -216,11 +215,13 @@ def g6_transitive_prereqs(t):
 
 _CANDIDATES = """pair AS (SELECT a.src_topic, a.dst_topic, a.count AS count, coalesce(b.count, 0) AS reverse FROM fx_links a LEFT JOIN fx_links b ON b.src_topic = a.dst_topic AND b.dst_topic = a.src_topic),
 cand AS (SELECT src_topic AS prerequisite, dst_topic AS dependent, least(count, reverse) AS link_count, 'symmetric' AS origin FROM pair WHERE count >= 2 AND reverse >= 2 AND abs(count - reverse) <= 0.5 * greatest(count, reverse)
-UNION ALL SELECT dst_topic, src_topic, count, 'directed' FROM pair WHERE count >= 2 AND count > 3 * reverse AND NOT (reverse >= 2 AND abs(count - reverse) <= 0.5 * greatest(count, reverse)))"""
+UNION ALL SELECT dst_topic, src_topic, count, 'directed' FROM pair WHERE count >= 2 AND count > 3 * reverse AND NOT (reverse >= 2 AND abs(count - reverse) <= 0.5 * greatest(count, reverse))
+UNION ALL SELECT n_name, r_name, 0, 'vector' FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, n_name, 0, 'vector' FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 
 
 def _candidates(t):
-    near = t("nation").limit(0).select(F.col("n_name").alias("a"), F.col("n_name").alias("b"))
+    """A nation lies near its region, which no link names."""
+    near = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("a"), F.col("r_name").alias("b"))
     return graph.dependency_candidates(t("fx_links"), near, t("nation").select(F.col("n_name").alias("topic"), F.lit("x").alias("text")))
 
 

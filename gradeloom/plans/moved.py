@@ -73,11 +73,12 @@ def _cliques(part):
     return help_map, members, topics
 
 
-@query("""SELECT 'f_' || lpad(p_partkey::VARCHAR, 4, '0') AS fragment_id, 'topic_' || (p_partkey % 20) AS topic_id FROM part WHERE p_partkey <= 400 AND
-  (SELECT count(*) FROM part b WHERE b.p_partkey <= 400 AND b.p_partkey % 20 = part.p_partkey % 20) >= 6""")
+@query("""WITH f AS (SELECT printf('f_%04d', p_partkey) AS fragment_id, 'topic_' || (p_partkey % 20) AS topic_id, p_partkey // 20 % 2 AS camp FROM part)
+SELECT fragment_id, topic_id, topic_id || CASE WHEN camp = first_value(camp) OVER (PARTITION BY topic_id ORDER BY fragment_id) THEN '_a' ELSE '_b' END AS part
+FROM f QUALIFY count(*) OVER (PARTITION BY topic_id) >= 6""")
 def o7_split_topics(t):
-    help_map, members, topics = _cliques(t("part").where("p_partkey <= 400"))  # as its SQL has it
-    return top.split_topics(members, help_map, topics).select("fragment_id", "topic_id")
+    help_map, members, topics = _cliques(t("part"))
+    return top.split_topics(members, help_map, topics)
 
 
 @query()

@@ -38,11 +38,12 @@ def v3_search_dual(t):
     return vec.search_dual(corpus, queries, t("fx_links"), t("fx_fragments"), t("fx_help"))
 
 
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, CASE WHEN a.n_name = b.n_name THEN 1.0 ELSE 0.0 END AS jaccard FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE position(' ' IN a.n_name || b.n_name) = 0")
+@query("""WITH w AS (SELECT p_partkey AS id, list_distinct(list_filter(string_split(lower(p_type || ' ' || p_name), ' '), lambda x: x <> '')) AS words FROM part)
+SELECT a.id AS a, b.id AS b, len(list_intersect(a.words, b.words)) / CAST(greatest(len(list_distinct(list_concat(a.words, b.words))), 1) AS DOUBLE) AS jaccard FROM w a JOIN w b ON b.id = a.id + 1""")
 def v4_keyword_jaccard(t):
-    a, b = (t("nation").select("n_regionkey", F.col("n_nationkey").alias(k), F.col("n_name").alias(f"name_{k}")) for k in "ab")
-    rows = a.join(b, "n_regionkey").where("instr(concat(name_a, name_b), ' ') = 0")
-    return rows.select("a", "b", vec.keyword_jaccard(F.col("name_a"), F.col("name_b")).alias("jaccard"))
+    a = t("part").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"), F.concat_ws(" ", "p_type", "p_name").alias("text_a"))
+    b = t("part").select(F.col("p_partkey").alias("b"), F.concat_ws(" ", "p_type", "p_name").alias("text_b"))
+    return a.join(b, "b").select("a", "b", vec.keyword_jaccard(F.col("text_a"), F.col("text_b")).alias("jaccard"))
 
 
 @query()
@@ -110,11 +111,11 @@ def v15_apply_merge_verdicts(t):
     return vec.apply_merge_verdicts(t("fx_links").select(a.alias("topic_a"), b.alias("topic_b"), (F.length(a) == F.length(b)).alias("merge"), F.least(a, b).alias("canonical")))
 
 
-_CHAIN = "chain AS (SELECT 'n' || n_nationkey AS old, 'n' || (n_nationkey // 2) AS new FROM nation WHERE n_nationkey > 0)"
+_CHAIN = "chain AS (SELECT 'n' || p_partkey AS old, 'n' || (p_partkey // 2) AS new FROM part WHERE p_partkey > 0)"
 
 
 def _chain(t):
-    return t("nation").where("n_nationkey > 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("old"), F.concat(F.lit("n"), F.floor(F.col("n_nationkey") / 2).cast("string")).alias("new"))
+    return t("part").where("p_partkey > 0").select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("old"), F.concat(F.lit("n"), F.floor(F.col("p_partkey") / 2).cast("string")).alias("new"))
 
 
 @query(f"WITH {_CHAIN} SELECT old, 'n0' AS new FROM chain")

@@ -15,9 +15,9 @@ def _files(t):
     return t("fx_qa").select(F.concat(F.substring("paper", 1, 8), kind, (F.col("id") % 7).cast("string")).alias("file_name")).distinct()
 
 
-@query("SELECT r_regionkey, r_name FROM region ORDER BY r_name DESC LIMIT 3")
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 3")
 def s1_scan(t):
-    return papers.scan(t.spark, f"{t.sf_dir}/region.parquet", "r_regionkey int, r_name string", F.desc("r_name"), 3)
+    return papers.scan(t.spark, f"{t.sf_dir}/orders.parquet", "o_orderkey long, o_totalprice double", [F.desc("o_totalprice"), F.col("o_orderkey")], 3)
 
 
 @query(f"WITH {_NAMES} SELECT file_name, regexp_extract(file_name, '(?i)^(.+)_(qp|ms)_(.+)$', 1) AS prefix, lower(regexp_extract(file_name, '(?i)^(.+)_(qp|ms)_(.+)$', 2)) AS doc_type, regexp_extract(file_name, '(?i)^(.+)_(qp|ms)_(.+)$', 3) AS number FROM names WHERE regexp_matches(file_name, '(?i)^(.+)_(qp|ms)_(.+)$')")
@@ -95,9 +95,9 @@ def p3_topic_questions(t):
     return sc.topic_questions(t("fx_qa").withColumn("is_representative", F.col("id") % 10 == 0), difficulty="basic", n=5).select("topic", "id")
 
 
-@query("SELECT n_name AS topic, n_regionkey AS quality FROM nation WHERE n_regionkey IN (1, 2)")
+@query("SELECT p_name AS topic, p_size AS quality FROM part WHERE p_size IN (1, 2)")
 def p4_by_quality(t):
-    return sc.by_quality(t("nation").select(F.col("n_name").alias("topic"), F.col("n_regionkey").alias("quality")), [1, 2])
+    return sc.by_quality(t("part").select(F.col("p_name").alias("topic"), F.col("p_size").alias("quality")), [1, 2])
 
 
 @query("SELECT CASE WHEN topic LIKE 'A%' THEN '(uncategorized)' ELSE topic END AS topic, count(*) AS qa_count, min(id) AS first_id FROM fx_qa GROUP BY 1")
@@ -137,9 +137,10 @@ def p10_encode_text(t):
     return t("fx_qa").select("id", sc.encode_text(F.when(empty, "").otherwise(F.col("question_text")), F.when(empty, "").otherwise(F.col("answer_text")), F.lit("summary")).alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'zh' ELSE 'en' END AS guess FROM documents")
+@query("""SELECT doc_id, CASE WHEN length(text) > 0 AND (length(han) - length(regexp_replace(han, '[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]', '', 'g'))) / CAST(length(han) AS DOUBLE) > 0.05 THEN 'zh' ELSE 'en' END AS guess
+FROM (SELECT doc_id, text, translate(text, 't', '知') AS han FROM documents)""")
 def p11_detect_lang(t):
-    return t("documents").select("doc_id", sc.detect_lang(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("知识图谱 "), F.substring("text", 1, 40))).otherwise(F.col("text"))).alias("guess"))
+    return t("documents").select("doc_id", sc.detect_lang(F.translate("text", "t", "知")).alias("guess"))
 
 
 @query("SELECT DISTINCT topic, 'topic_' || replace(replace(topic, ' ', '_'), '/', '_') AS topic_id FROM fx_qa")
@@ -172,11 +173,14 @@ def p16_normalize_text(t):
 
 
 @query("""WITH s AS (SELECT src_topic, string_agg(dst_topic || ' (ref ' || count || ')', ', ' ORDER BY count DESC, dst_topic) AS see FROM fx_links WHERE count >= 2 GROUP BY 1)
-SELECT topic || ' unit' AS header, topic, 'See also: ' || see AS note FROM (SELECT DISTINCT src_topic AS topic FROM fx_links) x JOIN s ON s.src_topic = x.topic""")
+SELECT topic || ' unit' AS header, topic, 'See also: ' || see AS note FROM (SELECT DISTINCT src_topic AS topic FROM fx_links) x JOIN s ON s.src_topic = x.topic
+UNION ALL SELECT topic || ' unit', topic, 'Related: ' || string_agg(other, ', ' ORDER BY nth) FILTER (nth <= 3 AND count >= 2)
+FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY count DESC, other) AS nth FROM (SELECT p_brand AS topic, split_part(p_type, ' ', 1) AS other, count(*) AS count FROM part GROUP BY 1, 2)) GROUP BY topic""")
 def p17_annotate_related(t):
     links = t("fx_links").select(F.col("src_topic").alias("src"), F.col("dst_topic").alias("dst"), "count")
-    headers = links.select(F.concat("src", F.lit(" unit")).alias("header")).distinct()
-    return sc.annotate_related(headers, links, links.select(F.col("src").alias("topic"), F.col("dst").alias("other"), "count").limit(0))
+    related = t("part").groupBy(F.col("p_brand").alias("topic"), F.substring_index("p_type", " ", 1).alias("other")).agg(F.count("*").alias("count"))
+    headers = links.select("src").union(related.select("topic")).select(F.concat("src", F.lit(" unit")).alias("header")).distinct()
+    return sc.annotate_related(headers, links, related)
 
 
 @query("SELECT src_topic, dst_topic, CAST(least(count / 10.0, 1.0) AS DOUBLE) AS weight FROM fx_links")
@@ -214,10 +218,11 @@ def u1_insert_qa(t):
     return up.insert_qa(rows.where("id % 2 = 0"), rows.union(rows).withColumn("id", F.col("id") + 1_000_000))
 
 
-@query("SELECT n_nationkey AS id, n_name AS name FROM nation")
+@query("SELECT o_orderkey AS id, o_orderstatus AS name FROM orders")
 def u2_insert_ignore(t):
-    rows = t("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    return up.insert_ignore(rows.where("id < 10"), rows.withColumn("name", F.when(F.col("id") < 10, "new").otherwise(F.col("name"))), "id")
+    rows = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name"))
+    there = F.col("id") % 3 == 0
+    return up.insert_ignore(rows.where(there), rows.withColumn("name", F.when(there, "new").otherwise(F.col("name"))), "id")
 
 
 @query("SELECT id, CASE WHEN id % 3 = 0 THEN 'new' ELSE topic END AS topic, year FROM fx_qa")
