@@ -134,10 +134,14 @@ def o14_naming_inputs(t):
 
 
 def _stream(t, table):
-    """The table as a stream of files in the shared folder."""
-    path = scratch_path(t.spark, table)
-    t(table).write.parquet(path)
-    return t.spark.readStream.schema(t(table).schema).parquet(path)
+    return _as_stream(t(table), table)
+
+
+def _as_stream(rows, label):
+    """The rows as a stream of files in the shared folder."""
+    path = scratch_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(path)
 
 
 def _bus(t):
@@ -146,12 +150,12 @@ def _bus(t):
 
 @query("SELECT type, payload, source FROM fx_bus WHERE type IN ('error', 'purchase')")
 def t1_subscribe(t):
-    return events.run_to_table(events.subscribe(_bus(t), ["error", "purchase"]).select("type", "payload", "source"), t.spark, "append")
+    return events.run_to_table(events.subscribe(_bus(t), ["error", "purchase"]).select("type", "payload", "source"), t.spark)
 
 
 @query("SELECT type, count(*) AS n FROM fx_bus GROUP BY type")
 def t2_event_stats(t):
-    return events.run_to_table(events.event_stats(_bus(t)), t.spark)
+    return events.run_to_table(events.event_stats(_bus(t)), t.spark, "update", ["type"])
 
 
 @query("""WITH n AS (SELECT session_id AS student_id, 'topic_' || (turn % 5) AS topic, count(*) AS c FROM fx_chat WHERE role = 'user' GROUP BY 1, 2)
@@ -160,24 +164,24 @@ FROM fx_states s FULL JOIN n ON n.student_id = s.student_id AND n.topic = s.topi
 def t3_student_updates(t):
     turns = t("fx_chat").select((F.col("session_id") * 100 + F.col("turn")).alias("query_id"), F.col("session_id").alias("student_id"), "role", "content", F.col("turn").alias("ts"), "turn")
     retrieved = turns.select("query_id", F.concat(F.lit("topic_"), (F.col("turn") % 5).cast("string")).alias("topic"), F.lit(1).alias("nth"))
-    return events.student_updates(turns, retrieved, t("fx_states"))[1]
+    return events.student_stream(_as_stream(turns, "turns"), retrieved, t("fx_states"))[0]
 
 
 @query("""WITH w AS (SELECT topic, unnest(generate_series(date_trunc('day', created_at) + INTERVAL 1 DAY, date_trunc('day', created_at) + INTERVAL 5 DAY, INTERVAL 1 DAY)) AS until FROM fx_confusions)
 SELECT until, topic, count(*) AS n FROM w GROUP BY 1, 2""")
 def t4_confusion_window(t):
     rows = _stream(t, "events").where("event_type = 'error'").select(F.concat(F.lit("topic_"), (F.col("event_id") % 20).cast("string")).alias("topic"), F.col("ts").alias("created_at"))
-    found = events.run_to_table(events.confusion_window(rows, "5 days", "1 day"), t.spark)
+    found = events.run_to_table(events.confusion_window(rows, "5 days", "1 day"), t.spark, "update", ["until", "topic"])
     return found.withColumn("until", F.col("until").cast("timestamp_ntz"))
 
 
 @query()
 def t5_assign_in_order(t):
     rows = t("fx_vectors").select((F.col("id") % 4).cast("string").alias("subject"), F.col("id").alias("seq"), "id", "vector")
-    return events.assign_emergent(rows, threshold=0.2).groupBy("subject", "event").agg(F.count("*").alias("n"))
+    return events.with_quality(events.run_to_table(events.assign_stream(_as_stream(rows, "vectors"), threshold=0.2), t.spark))
 
 
 @query("SELECT id FROM fx_vectors")
 def t6_index_append(t):
     rows = t("fx_vectors").select("id", "vector")
-    return events.index_append(rows.where("id % 2 = 0"), rows).select("id")
+    return events.index_stream(rows.where("id % 2 = 0"), _as_stream(rows, "index"))[0].select("id")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from gradeloom.operators.upserts import insert_ignore, upsert_knowledge_state
-from gradeloom.session import scratch_path
+from gradeloom.session import scratch_path, stored
 
 
 def subscribe(stream: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -32,16 +33,60 @@ def confusion_window(stream: DataFrame, horizon: str = "30 days", slide: str = "
     return timed.groupBy(F.window("created_at", horizon, slide), "topic").agg(F.count("*").alias("n")).select(F.col("window.end").alias("until"), "topic", "n")
 
 
-def run_to_table(query_input: DataFrame, spark: SparkSession, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now; its result is written to the shared folder and read back."""
-    out, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+def _run(stream: DataFrame, publish: Callable[[DataFrame, int], None], state: str, mode: str) -> None:
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(publish).start()
+    query.awaitTermination()
+
+
+def run_to_table(stream: DataFrame, spark: SparkSession, mode: str = "append", keys: Sequence[str] = (), home: str | None = None) -> DataFrame:
+    """Run a stream over what is there now; its result is written to the shared folder and read back.
+
+    Each micro-batch has its own folder, so one that is run again replaces itself. In ``update`` mode the
+    last row of each of the ``keys`` counts. A call with the same ``home`` goes on where the last one ended.
+    """
+    home = home or scratch_path(spark, "stream")
 
     def publish(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{home}/rows/batch={number}")
 
-    query = query_input.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(publish).start()
-    query.awaitTermination()
-    return spark.read.schema(query_input.schema).parquet(out)
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{home}/rows/batch=-1")  # for a stream without batches
+    _run(stream, publish, f"{home}/state", mode)
+    rows = spark.read.schema(f"{_ddl(stream)}, batch long").parquet(f"{home}/rows")
+    if mode == "update":
+        rows = rows.groupBy(*keys).agg(*(F.max_by(c, "batch").alias(c) for c in stream.columns if c not in keys))
+    return rows.select(*stream.columns)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def fold_stream(stream: DataFrame, first: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, ...]], home: str | None = None) -> tuple[DataFrame, str]:
+    """Fold a table over the micro-batches of a stream.
+
+    ``step(table, batch)`` gives the new table and further outputs, which go to ``home/out=<nth>/batch=<number>``.
+    Version n is made from version n - 1 and batch n alone, so a batch that is run again replaces what it wrote.
+    Returns the newest version and ``home``; a call with the same ``home`` goes on from there. Nothing of
+    ``home`` is deleted here. An empty version, or a stream without batches, is an empty table or ``first``.
+    """
+    spark = first.sparkSession
+    home = home or scratch_path(spark, "fold")
+    marks = "batch long, version long"
+
+    def version(number: int) -> DataFrame:
+        return first if number < 0 else spark.read.schema(first.schema).parquet(f"{home}/table/{number}")
+
+    def publish(batch: DataFrame, number: int) -> None:
+        table, *outputs = step(version(number - 1), batch)
+        table.select(*first.columns).write.mode("overwrite").parquet(f"{home}/table/{number}")
+        for nth, rows in enumerate(outputs):
+            rows.write.mode("overwrite").parquet(f"{home}/out={nth}/batch={number}")
+        spark.createDataFrame([(number, number)], marks).write.mode("overwrite").parquet(f"{home}/done/{number}")
+
+    spark.createDataFrame([], marks).write.mode("append").parquet(f"{home}/done/none")
+    _run(stream, publish, f"{home}/state", "append")
+    last = spark.read.schema(marks).option("recursiveFileLookup", True).parquet(f"{home}/done").agg(F.max("version")).first()[0]
+    return version(-1 if last is None else last), home
 
 
 def student_updates(turns: DataFrame, retrieved: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -52,43 +97,101 @@ def student_updates(turns: DataFrame, retrieved: DataFrame, states: DataFrame) -
     return memory, upsert_knowledge_state(states, top.withColumn("state", F.lit("learning"))), top
 
 
+def student_stream(turns: DataFrame, retrieved: DataFrame, states: DataFrame, home: str | None = None) -> tuple[DataFrame, str]:
+    """``student_updates`` by micro-batch: the states after the last one, and the folder of memories and trajectory rows."""
+
+    def step(now: DataFrame, batch: DataFrame) -> tuple[DataFrame, ...]:
+        memory, new, top = student_updates(batch, retrieved, now)
+        return new, memory, top
+
+    return fold_stream(turns, states, step, home)
+
+
+class _Points:
+    """The points of one subject: sums of their members' vectors, whose direction is the centroid's."""
+
+    def __init__(self, names: Sequence[str] = (), sums: np.ndarray | None = None):
+        self.names = list(names)
+        self.sums = np.empty((0, 0)) if sums is None else sums
+        self.norms = np.linalg.norm(self.sums, axis=1)
+
+    def place(self, id_: int, vector: Sequence[float], threshold: float) -> tuple[str, str, float]:
+        v, n = np.asarray(vector, float), len(self.names)
+        if n:
+            cosine = self.sums[:n] @ v / np.maximum(self.norms[:n] * np.linalg.norm(v), 1e-12)
+            at = int(np.argmax(cosine))
+            if cosine[at] >= threshold:
+                self.sums[at] += v
+                self.norms[at] = np.linalg.norm(self.sums[at])
+                return self.names[at], "assigned", float(cosine[at])
+        if n == len(self.sums):
+            self.sums = np.concatenate([self.sums.reshape(n, len(v)), np.zeros((max(8, n), len(v)))])
+            self.norms = np.concatenate([self.norms[:n], np.zeros(max(8, n))])
+        self.names.append(f"kp_emb_{id_}")
+        self.sums[n], self.norms[n] = v, np.linalg.norm(v)
+        return self.names[n], "created", 1.0
+
+
+_FOUND = "subject string, id long, kp_id string, event string, similarity double"
+
+
+def with_quality(found: DataFrame, least: int = 3) -> DataFrame:
+    """Assignments with the quality of their point: stable from ``least`` members on."""
+    sizes = found.groupBy("kp_id").agg(F.count("*").alias("members"))
+    return found.join(sizes.hint("merge"), "kp_id").withColumn("quality", F.when(F.col("members") >= least, F.lit("stable")).otherwise("embryonic"))
+
+
 def assign_emergent(vectors: DataFrame, threshold: float = 0.50, least: int = 3) -> DataFrame:
     """Points that grow as questions ``(subject, seq, id, vector)`` arrive, one subject at a time in order.
 
     A question joins its nearest point if their cosine reaches the threshold, and the point's centroid
     becomes its members' mean; else it founds ``kp_emb_<id>``. The order matters, so a subject is one
-    sequential state, read in batches (the state is its centroids, not its questions).
+    sequential state, read in batches (the state is its centroids, not its questions). A null subject is
+    one of its own.
     """
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, dict[str, list]] = {}
+        points, at = _Points(), object()
         for batch in batches:
             out = []
             for subject, id_, vector in zip(batch["subject"], batch["id"], batch["vector"]):
-                points = sums.setdefault(subject, {})
-                v = np.asarray(vector, float)
-                near, best = None, -2.0
-                for name, (total, n) in points.items():
-                    centre = total / n
-                    cosine = float(centre @ v / max(np.linalg.norm(centre) * np.linalg.norm(v), 1e-12))
-                    if cosine > best:
-                        near, best = name, cosine
-                if near is None or best < threshold:
-                    near = f"kp_emb_{id_}"
-                    points[near] = [v.copy(), 1]
-                    out.append((subject, id_, near, "created", 1.0))
-                else:
-                    points[near][0] += v
-                    points[near][1] += 1
-                    out.append((subject, id_, near, "assigned", best))
+                if subject != at:  # sorted: the subject before has ended
+                    points, at = _Points(), subject
+                out.append((subject, id_, *points.place(id_, vector, threshold)))
             yield pd.DataFrame(out, columns=["subject", "id", "kp_id", "event", "similarity"])
 
     dealt = vectors.select("subject", "seq", "id", "vector").repartition("subject").sortWithinPartitions("subject", "seq", "id")
-    found = dealt.mapInPandas(grow, "subject string, id long, kp_id string, event string, similarity double")
-    sizes = found.groupBy("kp_id").agg(F.count("*").alias("members"))
-    return found.join(sizes, "kp_id").withColumn("quality", F.when(F.col("members") >= least, F.lit("stable")).otherwise("embryonic"))
+    return with_quality(stored(dealt.mapInPandas(grow, _FOUND), "found"), least)
+
+
+def assign_stream(stream: DataFrame, threshold: float = 0.50) -> DataFrame:
+    """``assign_emergent`` on a stream ``(subject, seq, id, vector)``: centroids are keyed state.
+
+    The names and sums of a subject's points are kept from micro-batch to micro-batch and over restarts.
+    Within a micro-batch questions are taken by ``(seq, id)``; one that comes later than its order is taken
+    when it comes. A micro-batch of a subject is held by one task: bound it at the source
+    (``maxFilesPerTrigger``). Rows are ``(subject, id, kp_id, event, similarity)``; ``with_quality`` of all of them tells which points are stable.
+    """
+
+    def grow(key, batches, state):
+        points = _Points()
+        if state.exists:
+            names, sums = state.get
+            points = _Points(names, np.frombuffer(sums).reshape(len(names), -1).copy())
+        rows = pd.concat(list(batches)).sort_values(["seq", "id"], kind="stable")
+        out = [(key[0], id_, *points.place(id_, vector, threshold)) for id_, vector in zip(rows["id"], rows["vector"])]
+        state.update((points.names, points.sums[: len(points.names)].tobytes()))
+        yield pd.DataFrame(out, columns=["subject", "id", "kp_id", "event", "similarity"])
+
+    rows = stream.select("subject", "seq", "id", "vector").groupBy("subject")
+    return rows.applyInPandasWithState(grow, _FOUND, "names array<string>, sums binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def index_append(index: DataFrame, new: DataFrame) -> DataFrame:
     """The retrieval index with new rows; known ids are ignored."""
     return insert_ignore(index, new, "id")
+
+
+def index_stream(index: DataFrame, stream: DataFrame, home: str | None = None) -> tuple[DataFrame, str]:
+    """``index_append`` by micro-batch: the index after the last one, and its folder."""
+    return fold_stream(stream, index, lambda now, batch: (index_append(now, batch),), home)

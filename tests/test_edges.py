@@ -1,5 +1,8 @@
 """Hand-made frames for edge cases of the assessment operators."""
 
+import math
+import random
+from collections import Counter
 from fractions import Fraction
 from itertools import combinations
 
@@ -8,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.operators import aggregates, difficulty, graph, scalars, topics, upserts, vectors, windows
-from gradeloom.session import local_session
+from gradeloom.session import local_session, scratch_path
+from gradeloom.streaming import events
 
 
 @pytest.fixture(scope="module")
@@ -212,3 +216,78 @@ def test_cycle_gate(spark):
     assert {r.topic_id for r in open_.members.collect()} == {"x_a", "x_b", "y_a", "y_b"} and open_.report.first()["split"] == 2
     assert {r.topic_id for r in shut.members.collect()} == {"x", "y"} and shut.report.first()["split"] == 0
     assert shut.centrality.count() == 12
+
+
+def brute_points(rows, threshold):
+    """(subject, id) -> point and event, by a plain loop over all points and members."""
+    members, out = {}, {}
+    for subject, seq, id_, v in sorted(rows):
+        best, near = -2.0, None
+        for name, held in members.setdefault(subject, {}).items():
+            centre = [sum(x) / len(held) for x in zip(*held)]
+            size = math.sqrt(sum(x * x for x in centre)) * math.sqrt(sum(x * x for x in v))
+            cosine = sum(x * y for x, y in zip(centre, v)) / max(size, 1e-12)
+            if cosine > best:
+                best, near = cosine, name
+        fresh = near is None or best < threshold
+        name = f"kp_emb_{id_}" if fresh else near
+        members[subject].setdefault(name, []).append(v)
+        out[subject, id_] = (name, "created" if fresh else "assigned")
+    return out
+
+
+def points_of(rows):
+    return {(r["subject"], r["id"]): (r["kp_id"], r["event"]) for r in rows.collect()}
+
+
+def test_points_by_stream_and_restart(spark):
+    rng = random.Random(5)
+    rows = [(f"s{i % 3}", i, i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)]
+    schema = "subject string, seq long, id long, vector array<double>"
+    expected = brute_points(rows, 0.4)
+    assert {e for _, e in expected.values()} == {"created", "assigned"}
+    whole = events.assign_emergent(spark.createDataFrame(rows, schema), 0.4)
+    assert points_of(whole) == expected
+    members = Counter(p for p, _ in expected.values())
+    assert all((r["quality"] == "stable") == (members[r["kp_id"]] >= 3) for r in whole.collect())
+    path, home = scratch_path(spark, "points"), scratch_path(spark, "points")
+    for n in range(3):  # a new query on the same folder after each part
+        spark.createDataFrame(rows[n * 40 : n * 40 + 40], schema).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        found = events.run_to_table(events.assign_stream(stream, 0.4), spark, home=home)
+        assert found.count() == 40 * (n + 1)
+    assert points_of(found) == expected
+
+
+def test_folds_by_batch_and_restart(spark):
+    schema = "id long, vector array<double>"
+    path = scratch_path(spark, "fold")
+    index, home = spark.createDataFrame([(1, [1.0])], schema), None
+    for part in ([(1, [9.0]), (2, [2.0])], [(2, [9.0]), (3, [3.0])], []):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(path)
+        found, home = events.index_stream(index, spark.readStream.schema(schema).parquet(path), home)
+    assert sorted((r["id"], r["vector"]) for r in found.collect()) == [(1, [1.0]), (2, [2.0]), (3, [3.0])]
+
+
+def test_learner_states_by_batch(spark):
+    turns = "query_id long, student_id long, role string, content string, ts long"
+    states = spark.createDataFrame([(1, "heat", "mastered", 4)], "student_id long, topic string, state string, evidence_count long")
+    retrieved = spark.createDataFrame([(10, "heat", 1), (10, "light", 2), (11, "heat", 1), (10, "far", 3)], "query_id long, topic string, nth int")
+    path, home = scratch_path(spark, "turns"), None
+    for part in ([(10, 1, "user", "why", 1), (10, 1, "assistant", "so", 2)], [(11, 1, "user", "how", 3)]):
+        spark.createDataFrame(part, turns).write.mode("append").parquet(path)
+        found, home = events.student_stream(spark.readStream.schema(turns).parquet(path), retrieved, states, home)
+    assert {(r["topic"], r["state"], r["evidence_count"]) for r in found.collect()} == {("heat", "learning", 6), ("light", "learning", 1)}
+    memory = spark.read.parquet(f"{home}/out=0")
+    assert sorted(r["content"] for r in memory.collect()) == ["how", "why"]
+
+
+def test_update_mode_keeps_the_last_count(spark):
+    path, home = scratch_path(spark, "bus"), scratch_path(spark, "bus")
+    spark.createDataFrame([], "type string").write.parquet(path)
+    empty = events.run_to_table(events.event_stats(spark.readStream.schema("type string").parquet(path)), spark, "update", ["type"])
+    assert empty.columns == ["type", "n"] and not empty.collect()
+    for part in (["a", "a", "b"], ["a"]):
+        spark.createDataFrame([(x,) for x in part], "type string").write.mode("append").parquet(path)
+        found = events.run_to_table(events.event_stats(spark.readStream.schema("type string").parquet(path)), spark, "update", ["type"], home)
+    assert {(r["type"], r["n"]) for r in found.collect()} == {("a", 3), ("b", 1)}
