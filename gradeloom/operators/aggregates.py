@@ -221,7 +221,7 @@ def mark_representatives(qa: DataFrame, links: DataFrame) -> DataFrame:
     best = W.partitionBy("topic").orderBy(F.desc("weight"), "id")
     linked = links.where("src_topic <> dst_topic").select(F.explode(F.array("src_topic", "dst_topic")).alias("topic")).distinct().withColumn("linked", F.lit(True))
     rows = qa.withColumn("is_representative", F.row_number().over(best) == 1)
-    return rows.join(linked, "topic", "left").withColumn("is_cross_topic", F.coalesce("linked", F.lit(False))).drop("linked")
+    return rows.join(linked.hint("shuffle_hash"), "topic", "left").withColumn("is_cross_topic", F.coalesce("linked", F.lit(False))).drop("linked")
 
 
 def difficulty_anchors(qa: DataFrame, cap: int = 30) -> DataFrame:

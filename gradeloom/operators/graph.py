@@ -190,9 +190,9 @@ def merge_kps(kps: DataFrame, members: DataFrame, edges: DataFrame, issues: Data
 
 def split_kps(members: DataFrame, judged: DataFrame) -> DataFrame:
     """Memberships after splits ``(kp_id, part, qa_ids)``: named members go to ``<kp>s<part>`` at strength 0.8."""
-    named = judged.select("kp_id", "part", F.explode("qa_ids").alias("qa_id")).join(members.select("kp_id", "qa_id"), ["kp_id", "qa_id"], "left_semi")
+    named = judged.select("kp_id", "part", F.explode("qa_ids").alias("qa_id")).join(members.select("kp_id", "qa_id").hint("merge"), ["kp_id", "qa_id"], "left_semi")
     parts = named.select("qa_id", F.concat("kp_id", F.lit("s"), F.col("part").cast("string")).alias("kp_id"), F.lit(0.8).alias("membership_strength"))
-    rest = members.join(named.select("kp_id", "qa_id").distinct(), ["kp_id", "qa_id"], "left_anti")
+    rest = members.join(named.select("kp_id", "qa_id").distinct().hint("merge"), ["kp_id", "qa_id"], "left_anti")
     return rest.select("qa_id", "kp_id", "membership_strength").union(parts.distinct())
 
 

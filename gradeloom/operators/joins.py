@@ -112,7 +112,7 @@ def graph_export(dependencies: DataFrame, difficulty: DataFrame, topics: DataFra
     """Nodes and edges of the topic graph. ``topics`` has parent, children and merged_from names."""
     names = dependencies.select(F.explode(F.array("prerequisite", "dependent")).alias("topic")).union(difficulty.select("topic"))
     names = names.union(topics.where("quality in ('stable', 'forming')").select("name")).distinct()
-    nodes = names.join(difficulty.select("topic", "mode_difficulty"), "topic", "left").join(topics.select(F.col("name").alias("topic"), "quality", "mass"), "topic", "left")
+    nodes = names.hint("merge").join(difficulty.select("topic", "mode_difficulty"), "topic", "left").join(topics.select(F.col("name").alias("topic"), "quality", "mass").hint("merge"), "topic", "left")
     edges = (
         dependencies.select(F.col("prerequisite").alias("source"), F.col("dependent").alias("target"), F.lit("prerequisite").alias("type"))
         .union(topics.where("parent is not null").select("parent", "name", F.lit("parent_of")))

@@ -214,7 +214,7 @@ def cluster_stats(vectors: DataFrame, clusters: DataFrame) -> DataFrame:
     """Per member its strength (cosine with the unit centroid) and rank; per cluster the cohesion."""
     rows = vectors.join(clusters, "id")
     centres = _mean_vectors(rows, "cluster").select("cluster", unit(F.col("mean")).alias("centroid"))
-    rows = rows.join(centres, "cluster").withColumn("strength", dot("vector", "centroid"))
+    rows = rows.join(stored(centres, "centres"), "cluster").withColumn("strength", dot("vector", "centroid"))
     nth = F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("strength"), "id"))
     cohesion = F.avg("strength").over(W.partitionBy("cluster"))
     return rows.select("cluster", "id", F.bround("strength", 3).alias("strength"), nth.alias("nth"), cohesion.alias("cohesion")).withColumn("representative", F.col("nth") <= 3)
@@ -246,7 +246,7 @@ def geometric_median(rows: DataFrame, key: str, rounds: int = 20, tolerance: flo
 def outlier_qas(vectors: DataFrame, least: int = 5, sigmas: float = 2.0, floor: float = 0.25, flat: float = 0.01) -> DataFrame:
     """Questions far from their topic's centroid, in topics of five questions or more."""
     centres = _mean_vectors(vectors, "topic").select("topic", unit(F.col("mean")).alias("centroid"))
-    rows = vectors.join(centres, "topic").withColumn("distance", 1 - dot("vector", "centroid"))
+    rows = vectors.join(stored(centres, "centres"), "topic").withColumn("distance", 1 - dot("vector", "centroid"))
     topic = W.partitionBy("topic")
     rows = rows.select("topic", "id", "distance", F.avg("distance").over(topic).alias("mean"), F.stddev_pop("distance").over(topic).alias("sd"), F.count("*").over(topic).alias("n"))
     return rows.where((F.col("n") >= least) & (F.col("sd") >= flat) & (F.col("distance") > F.col("mean") + sigmas * F.col("sd")) & (F.col("distance") > floor))
@@ -353,7 +353,7 @@ def apply_signals(kps: DataFrame, signals: DataFrame) -> DataFrame:
 
 def decay_and_promote(kps: DataFrame, members: DataFrame, rate: float = 0.95, least: int = 3) -> DataFrame:
     """Embryonic points fade below three members and become stable from three on."""
-    rows = kps.join(members.groupBy("kp_id").agg(F.count("*").alias("n")), "kp_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = kps.join(members.groupBy("kp_id").agg(F.count("*").alias("n")).hint("merge"), "kp_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     young = F.col("quality") == "embryonic"
     return rows.select(
         "kp_id",
@@ -364,7 +364,7 @@ def decay_and_promote(kps: DataFrame, members: DataFrame, rate: float = 0.95, le
 
 def compare_kps(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     left, right = (vectors.select(F.col("id").alias(k), F.col("vector").alias(f"vector_{k}")) for k in ("a", "b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", cosine("vector_a", "vector_b").alias("cosine"))
+    return pairs.hint("merge").join(left, "a").join(right.hint("merge"), "b").select("a", "b", cosine("vector_a", "vector_b").alias("cosine"))
 
 
 def place_qa(scores: DataFrame, kps: DataFrame, least: float = 0.3, most: int = 50) -> DataFrame:
@@ -382,6 +382,6 @@ def place_qa(scores: DataFrame, kps: DataFrame, least: float = 0.3, most: int =
 def topic_related(first: DataFrame, results: DataFrame, qa: DataFrame, links: DataFrame) -> DataFrame:
     """For topics without a link: the topics among what their first question (query_id = topic) retrieves."""
     linked = links.select(F.explode(F.array("src_topic", "dst_topic")).alias("topic")).distinct()
-    lone = first.select("topic").join(linked, "topic", "left_anti")
-    rows = results.join(qa.select("id", F.col("topic").alias("other")), "id").withColumnRenamed("query_id", "topic").join(lone, "topic", "left_semi")
+    lone = first.select("topic").join(linked.hint("merge"), "topic", "left_anti")
+    rows = results.join(qa.select("id", F.col("topic").alias("other")), "id").withColumnRenamed("query_id", "topic").join(lone.hint("merge"), "topic", "left_semi")
     return rows.where("topic <> other").groupBy("topic", "other").agg(F.count("*").alias("count"))

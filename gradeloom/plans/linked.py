@@ -289,9 +289,11 @@ def g14_split_candidates(t):
     return graph.split_candidates(points(t), t("fx_members"))
 
 
-@query()
+@query("""WITH r AS (SELECT event_id // 5 AS kp_id, event_id % 5 AS round, value > 20 AS passed, value > 10 AS changed FROM events),
+l AS (SELECT *, coalesce(passed AND lag(passed) OVER (PARTITION BY kp_id ORDER BY round), FALSE) AS twice FROM r)
+SELECT kp_id, CASE WHEN bool_or(twice) THEN 'verified' WHEN NOT arg_max(changed, round) THEN 'keep' WHEN count(*) >= 5 THEN 'disputed' ELSE 'accepted' END AS outcome FROM l GROUP BY kp_id""")
 def g15_review_outcome(t):
-    rows = t("events").select((F.col("event_id") % 50).alias("kp_id"), F.floor(F.col("event_id") / 50).alias("round"), (F.col("value") > 20).alias("passed"), (F.col("value") > 10).alias("changed"))
-    return graph.review_outcome(rows.where("round < 5"))
+    rows = t("events").select(F.floor(F.col("event_id") / 5).alias("kp_id"), (F.col("event_id") % 5).alias("round"), (F.col("value") > 20).alias("passed"), (F.col("value") > 10).alias("changed"))
+    return graph.review_outcome(rows)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gradeloom.operators import topics as top
 from gradeloom.plans import query
 from gradeloom.plans.linked import uses
-from gradeloom.session import scratch_path
+from gradeloom.session import scratch_path, stored
 from gradeloom.streaming import events
 
 _SETS = """own AS (SELECT DISTINCT fragment_id, helped_qa_id FROM fx_help), helps AS (SELECT DISTINCT topic_id, helped_qa_id FROM fx_membership JOIN fx_help USING (fragment_id)),
@@ -69,6 +69,7 @@ def _cliques(part):
     members = parts.select("fragment_id", "topic_id", F.lit(None).cast("string").alias("previous_topic_id"))
     camp = (F.floor(F.col("p_partkey") / 20) % 2) * 100
     help_map = parts.select("fragment_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"), camp.alias("camp"), (F.col("p_partkey") % 20 * 1000).alias("base")).select("fragment_id", (F.col("base") + F.col("camp") + F.col("k")).alias("helped_qa_id"), F.lit(0.8).alias("help_effect"))
+    help_map = stored(help_map, "help")
     topics = members.select("topic_id", F.lit("forming").alias("quality"), F.lit(0.5).alias("cohesion")).distinct()
     return help_map, members, topics
 
@@ -81,7 +82,8 @@ def o7_split_topics(t):
     return top.split_topics(members, help_map, topics)
 
 
-@query()
+@query("""WITH f AS (SELECT DISTINCT 'topic_' || (p_partkey % 20) AS topic_id, p_partkey % 2 AS side FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY topic_id) AS nth FROM f)
+SELECT a.topic_id AS topic_a, b.topic_id AS topic_b, a.topic_id || '_m' || b.topic_id AS merged FROM r a JOIN r b ON a.side = b.side AND a.nth % 2 = 1 AND b.nth = a.nth + 1""")
 def o8_merge_topics(t):
     help_map, members, topics = _cliques(t("part"))
     shared = help_map.withColumn("helped_qa_id", F.col("helped_qa_id") % 2000)

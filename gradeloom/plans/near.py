@@ -69,7 +69,10 @@ def v8_geometric_median(t):
     return vec.geometric_median(rows, "topic").select("topic", F.bround(vec.norm("median"), 4).alias("size"), F.transform("median", lambda x: F.bround(x.cast("double"), 4)).alias("median"))
 
 
-@query()
+@query("""WITH x AS (SELECT id, topic, unnest(vector) AS x, unnest(range(len(vector))) AS pos FROM fx_vectors), m AS (SELECT topic, pos, avg(x::DOUBLE) AS m FROM x GROUP BY 1, 2), n AS (SELECT topic, sqrt(sum(m * m)) AS size FROM m GROUP BY 1),
+d AS (SELECT topic, id, 1 - sum(x::DOUBLE * m) / any_value(size) AS distance FROM x JOIN m USING (topic, pos) JOIN n USING (topic) GROUP BY topic, id),
+w AS (SELECT *, avg(distance) OVER (PARTITION BY topic) AS mean, stddev_pop(distance) OVER (PARTITION BY topic) AS sd, count(*) OVER (PARTITION BY topic) AS held FROM d)
+SELECT topic, id FROM w WHERE held >= 5 AND sd >= 0.01 AND distance > mean + sd AND distance > 0.25""")
 def v9_outlier_qas(t):
     return vec.outlier_qas(t("fx_vectors"), sigmas=1.0).select("topic", "id")
 
@@ -141,12 +144,17 @@ def v19_kp_thresholds(t):
     return vec.kp_thresholds(t("fx_vectors").withColumnRenamed("topic", "kp_id"), floor=0.05).withColumn("threshold", F.bround("threshold", 5))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT id // 4 AS kp_id, CAST(id % 4 AS INT) AS nth, vector::DOUBLE[] AS v FROM fx_vectors),
+fold AS (SELECT id AS kp_id, 0 AS nth, vector::DOUBLE[] AS c FROM fx_vectors UNION ALL SELECT kp_id, nth + 1, list_transform(c, lambda x: x / size)
+FROM (SELECT kp_id, nth, c, sqrt(list_dot_product(c, c)) AS size FROM (SELECT f.kp_id, f.nth, list_transform(f.c, lambda x, i: [1.0, 1.0, 1.0, 0.5][f.nth + 1] * x + [0.05, -0.02, 0.03, 0.5][f.nth + 1] * s.v[i]) AS c FROM fold f JOIN s ON s.kp_id = f.kp_id AND s.nth = f.nth))),
+ended AS (SELECT kp_id, arg_max(c, nth) AS c FROM fold GROUP BY kp_id)
+SELECT kp_id, unnest(range(len(c))) AS at, round_even(unnest(c), 4) + 0.0 AS x FROM ended""")
 def v20_apply_signals(t):
     rows = t("fx_vectors").select(F.col("id").alias("kp_id"), "vector")
     kind = F.element_at(F.array(*map(F.lit, ("help", "hurt", "post", "user"))), (F.col("id") % 4).cast("int") + 1)
     signals = t("fx_vectors").select(F.floor(F.col("id") / 4).alias("kp_id"), F.col("id").alias("seq"), kind.alias("kind"), "vector")
-    return vec.apply_signals(rows, signals).select("kp_id", F.bround(vec.norm("vector"), 4).alias("size"), F.transform("vector", lambda x: F.bround(x.cast("double"), 4)).alias("vector"))
+    found = vec.apply_signals(rows, signals).select("kp_id", F.posexplode("vector").alias("at", "x"))
+    return found.select("kp_id", F.col("at").cast("long").alias("at"), (F.bround("x", 4) + 0.0).alias("x"))
 
 
 @query("""WITH m AS (SELECT id AS kp_id, id % 5 AS n FROM fx_vectors) SELECT kp_id, CASE WHEN n >= 3 THEN 'stable' ELSE 'embryonic' END AS quality, CASE WHEN n < 3 THEN 0.95 ELSE 1.0 END AS size FROM m""")
