@@ -301,7 +301,7 @@ def run_cycle(
     merged = stored(merge_topics(moved, help_map, live), "merged")
     dealt = stored(redistribute(moved, help_map, live), "dealt")
     to = merged.select(F.explode(F.array("topic_a", "topic_b")).alias("topic_id"), "merged")
-    rows = moved.join(split.select("fragment_id", "part"), "fragment_id", "left").join(to, "topic_id", "left").join(dealt.select("fragment_id", F.col("topic_id").alias("dealt")), "fragment_id", "left")
+    rows = moved.join(split.select("fragment_id", "part"), "fragment_id", "left").join(to.hint("merge"), "topic_id", "left").join(dealt.select("fragment_id", F.col("topic_id").alias("dealt")), "fragment_id", "left")
     now = F.coalesce("part", "merged", "dealt", "topic_id")
     state = rows.select("fragment_id", now.alias("topic_id"), F.when(now != F.col("topic_id"), F.col("topic_id")).otherwise(F.col("previous_topic_id")).alias("previous_topic_id"))
     counts = [

@@ -291,3 +291,77 @@ def test_update_mode_keeps_the_last_count(spark):
         spark.createDataFrame([(x,) for x in part], "type string").write.mode("append").parquet(path)
         found = events.run_to_table(events.event_stats(spark.readStream.schema("type string").parquet(path)), spark, "update", ["type"], home)
     assert {(r["type"], r["n"]) for r in found.collect()} == {("a", 3), ("b", 1)}
+
+
+def unit_rows(n, width, seed):
+    points = np.random.default_rng(seed).normal(size=(n, width))
+    return (points / np.linalg.norm(points, axis=1, keepdims=True)).tolist()
+
+
+def brute_leaders(rows, tau):
+    """id -> leader: each free item, in order, takes the free ones near it."""
+    leader = {}
+    for a, v in rows:
+        if a not in leader:
+            leader[a] = a
+            leader |= {b: a for b, w in rows if b > a and b not in leader and np.dot(v, w) >= tau}
+    return leader
+
+
+def brute_pitfalls(lines, tau, least, top=5, enough=3):
+    out = set()
+    for key in {key for _, key, _ in lines}:
+        rows = [(i, v) for i, k, v in lines if k == key]
+        if len(rows) >= enough:
+            sizes = Counter(brute_leaders(rows, tau).values())
+            kept = sorted((-n, leader) for leader, n in sizes.items() if n >= least)[:top]
+            out |= {(key, leader, -n, nth) for nth, (n, leader) in enumerate(kept, 1)}
+    return out
+
+
+def test_pitfalls_and_missed_patterns(spark):
+    keys = ["a"] * 40 + ["b"] * 20 + ["c"] * 2
+    lines = [(i, k, v) for i, (k, v) in enumerate(zip(keys, unit_rows(62, 3, 1)))]
+    frame = spark.createDataFrame([(i, k, f"line {i}", v) for i, k, v in lines], "id long, topic string, line string, vector array<double>")
+    found = vectors.discover_pitfalls(frame, "topic", 0.8, 3)
+    expected = brute_pitfalls(lines, 0.8, 3)
+    assert expected and {(r["topic"], r["leader"], r["size"], r["nth"]) for r in found.collect()} == expected
+    assert all(r["pattern"] == f"line {r['leader']}" for r in found.collect())
+    answers = [(k, v) for k, v in zip("aabb", unit_rows(4, 3, 2))]
+    near = [(i, k, v) for i, k, v in lines if any(k == t and np.dot(v, w) >= 0.2 for t, w in answers)]
+    found = vectors.missed_patterns(frame, spark.createDataFrame(answers, "topic string, vector array<double>"), 0.2, 0.8)
+    expected = brute_pitfalls(near, 0.8, 2, enough=2)
+    assert expected and {(r["topic"], r["leader"], r["size"]) for r in found.collect()} == {x[:3] for x in expected}
+
+
+def test_merge_plan_in_order(spark):
+    rows = [(f"t{i:02d}", v, i * 7 % 5) for i, v in enumerate(unit_rows(40, 3, 3))]
+    plan, judged = vectors.topic_merge_plan(spark.createDataFrame(rows, "topic string, vector array<double>, n long"), 0.8, 0.5)
+    merged, between = {}, set()
+    for a, v, n in rows:
+        between |= {(a, b) for b, w, _ in rows if b > a and 0.5 <= np.dot(v, w) < 0.8}
+        if a not in merged:
+            for b, w, m in rows:
+                if b > a and b not in merged and np.dot(v, w) >= 0.8:
+                    loser, winner = (a, b) if n < m else (b, a)
+                    merged[loser] = winner
+    assert merged and {r["loser"]: r["winner"] for r in plan.collect()} == merged
+    assert {(r["a"], r["b"]) for r in judged.collect()} == between
+
+
+def test_anchors_are_spaced_over_topics(spark):
+    rows = [(i, None if i % 23 == 0 else f"topic {i % 23:02d}", (i * 37 % 101) / 100, False) for i in range(230)]
+    found = aggregates.difficulty_anchors(spark.createDataFrame(rows, "id long, topic string, weight double, is_representative boolean"), cap=7)
+    heads = {}
+    for i, topic, weight, _ in rows:
+        heads[topic] = min(heads.get(topic, (0, 0)), (-weight, i)) if topic in heads else (-weight, i)
+    names = sorted(heads, key=lambda x: (x is not None, x or ""))
+    assert [(r["topic"], r["id"]) for r in found.orderBy("position").collect()] == [(x, heads[x][1]) for x in names[::3][:7]]
+
+
+def test_headers_take_the_longest_topic(spark):
+    points = spark.createDataFrame([("heat and light",), ("heat",), ("sound",), (None,), ("heat",)], "header string")
+    links = spark.createDataFrame([("heat", "a", 3), ("heat", "b", 1)], "src string, dst string, count long")
+    related = spark.createDataFrame([("heat and", "x", 2), ("heat and", "w", 2)], "topic string, other string, count long")
+    found = {(r["header"], r["topic"], r["note"]) for r in scalars.annotate_related(points, links, related).collect()}
+    assert found == {("heat and light", "heat and", "Related: w, x"), ("heat", "heat", "See also: a (ref 3)"), ("sound", None, None), (None, None, None)}
