@@ -1,12 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents (P) and unlabelled text (U) train a linear classifier over the presence of
-words and word beginnings. The risk is corrected by the class prior p,
+Confirmed toxic documents (P) and text that isn't confirmed toxic (U) train a linear classifier over the
+presence of words and word beginnings. The risk is corrected by the class prior p,
 
-    p R_P(toxic) + max(0, R_U(clean) - p R_P(clean)),
+    p R_P(toxic) + (1 - p) / (1 - q) max(0, R_U(clean) - q R_P(clean)),
 
-whose second term is kept from going negative, as in non-negative PU learning. Features are counted
-over both samples where the documents are; the driver sees the bounded samples' chosen features only.
+whose second term is kept from going negative, as in non-negative PU learning. q is the prior left in U:
+p where hardly any document is labelled, less the more of the toxic ones are confirmed and so not in U.
+Features are counted over both samples where the documents are; the driver sees the bounded samples'
+chosen features only.
 """
 
 from __future__ import annotations
@@ -90,9 +92,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int = 0) -> tuple[np.ndarray, float]:
+def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, left: float | None = None, seed: int = 0) -> tuple[np.ndarray, float]:
     """Minimise the non-negative risk with sigmoid loss by Adam; where the corrected term of a batch is
-    negative, its gradient is stepped back, as the non-negative estimator asks."""
+    negative, its gradient is stepped back, as the non-negative estimator asks. ``left`` is the share of
+    toxic documents in U, ``prior`` unless given."""
+    left = prior if left is None else left
     rng = np.random.default_rng(seed)
     theta = np.append(np.full(x_u.shape[1], 0.5), -1.0)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -109,8 +113,8 @@ def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int = 0) -> tuple[
         _, up = side(p, 1.0)
         p_clean, p_down = side(p, -1.0)
         u_clean, u_down = side(u, -1.0)
-        rest = u_down - prior * p_down
-        gradient = prior * up + rest if u_clean - prior * p_clean >= 0 else -rest
+        rest = (1 - prior) / (1 - left) * (u_down - left * p_down)
+        gradient = prior * up + rest if u_clean - left * p_clean >= 0 else -rest
         gradient[:-1] += RIDGE * theta[:-1]
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
@@ -121,18 +125,24 @@ def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int = 0) -> tuple[
 def train(docs: DataFrame, labelled: DataFrame, label: str = "toxic", positives: int = MAX_POSITIVES, unlabelled: int = MAX_UNLABELLED) -> Model:
     """Learn from ``labelled(doc_id, <label>)`` and the texts of ``docs``.
 
-    P: documents with label 1, at most ``positives``; U: any other documents, at most ``unlabelled``;
-    both those of least hashed ids. The prior is the share of 1 among all non-null labels. Without P
-    or U the model gives every text the prior.
+    P: documents with label 1, at most ``positives``; U: documents without a label 1, at most
+    ``unlabelled``; both those of least hashed ids. The prior is the share of 1 among all non-null
+    labels, and the prior left in U follows from it and the share of documents that have a label,
+    taken as chosen at random. Without P or U the model gives every text the prior.
     """
     bounded_batches(docs.sparkSession)
     labelled = labelled.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     n, ones = labelled.agg(F.count("*"), F.coalesce(F.sum(label), F.lit(0))).first()
     prior = min(max((ones + 0.5) / (n + 1), 1e-3), 0.999)
     blank = Model(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior))))
-    p_ids = bounded_sample(labelled.where(F.col(label) == 1).select("doc_id").distinct(), "doc_id", positives)
-    others = docs.where("doc_id is not null").select("doc_id").join(F.broadcast(p_ids), "doc_id", "left_anti")  # at most ``positives`` ids
-    u_ids = bounded_sample(others, "doc_id", unlabelled)
+    toxic = stored(labelled.where(F.col(label) == 1).select("doc_id").distinct(), "toxic")
+    known_ids = labelled.select("doc_id").distinct()
+    named = docs.where("doc_id is not null").select("doc_id")
+    seen = named.join(known_ids.withColumn("known", F.lit(1)).hint("merge"), "doc_id", "left").agg(F.count("known"), F.count("*")).first()
+    confirmed = seen[0] / max(seen[1], 1)  # share of documents with a label
+    left = prior * (1 - confirmed) / (1 - prior * confirmed)
+    p_ids = bounded_sample(toxic, "doc_id", positives)
+    u_ids = bounded_sample(named.join(toxic.hint("merge"), "doc_id", "left_anti"), "doc_id", unlabelled)
     ids = p_ids.select("doc_id", F.lit(1.0).alias("positive")).union(u_ids.select("doc_id", F.lit(0.0).alias("positive")).distinct())
     sample = stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "positive", F.lower("text").alias("text")), "sample")
     counts = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
@@ -159,7 +169,7 @@ def train(docs: DataFrame, labelled: DataFrame, label: str = "toxic", positives:
     has = rows.column("has").combine_chunks()
     x[np.repeat(np.arange(rows.num_rows), has.value_lengths().to_numpy()), has.flatten().to_numpy()] = 1
     positive = rows.column("positive").to_numpy() == 1
-    return Model(known, *fit(x[positive], x[~positive], prior))
+    return Model(known, *fit(x[positive], x[~positive], prior, left))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
