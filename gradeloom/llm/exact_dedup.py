@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from gradeloom.session import scratch_path, stored
 
+from .locators import LOCATOR, locators, strategy, with_files, without_rows
+
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -30,10 +32,8 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
-MAX_BROADCAST_DIGESTS = 200_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_LOCATOR = ("file", "row")
 _KEEP = "struct(doc_id, file, row)"
 
 
@@ -44,20 +44,6 @@ def fold_ascii(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
 
 
-def with_files(docs: DataFrame) -> DataFrame:
-    """``docs`` itself if its rows come from files that can be named, else a stored copy that does."""
-    try:
-        docs.select(docs.metadataColumn("_metadata")["row_index"])
-    except AnalysisException:
-        return stored(docs, "docs")
-    return docs
-
-
-def _locators(docs: DataFrame) -> list[Column]:
-    at = docs.metadataColumn("_metadata")
-    return [at["file_path"].alias("file"), at["row_index"].alias("row")]
-
-
 def ingest(spark: SparkSession, arrivals: str, schema, state_folder: str) -> DataFrame:
     """Fold new arrivals into the state; returns ``(digest, keep, first, group_size)``, the newest of each digest."""
 
@@ -72,7 +58,7 @@ def ingest(spark: SparkSession, arrivals: str, schema, state_folder: str) -> Dat
             spark.readStream.schema(schema)
             .parquet(arrivals)
             .groupBy("digest")
-            .agg(F.max(F.expr(_KEEP)).alias("keep"), F.min(F.struct("call", *_LOCATOR)).alias("first"), F.count("*").alias("group_size"))
+            .agg(F.max(F.expr(_KEEP)).alias("keep"), F.min(F.struct("call", *LOCATOR)).alias("first"), F.count("*").alias("group_size"))
         )
         query = (
             groups.writeStream.outputMode("update")
@@ -90,11 +76,6 @@ def ingest(spark: SparkSession, arrivals: str, schema, state_folder: str) -> Dat
     return spark.read.schema(schema).parquet(f"{state_folder}/index").groupBy("digest").agg(newest).select("digest", "g.*")
 
 
-def _strategy(df: DataFrame, bound: int) -> DataFrame:
-    """Broadcast a table that a count shows to be within its bound, else sort and merge."""
-    return df.hint("broadcast" if df.limit(bound + 1).count() <= bound else "merge")
-
-
 def _written(spark: SparkSession, path: str, schema) -> DataFrame | None:
     """The table at ``path``, or None where nothing has been written."""
     try:
@@ -118,8 +99,8 @@ def _contents(spark: SparkSession, at: DataFrame) -> DataFrame:
     if not files:
         return at.withColumn("content", F.lit(None).cast("string"))
     found = spark.read.parquet(*files)
-    texts = found.select(*_locators(found), fold_ascii(F.col("text")).alias("content"))
-    return texts.join(_strategy(at, MAX_BROADCAST_DIGESTS), list(_LOCATOR))
+    texts = found.select(*locators(found), fold_ascii(F.col("text")).alias("content"))
+    return texts.join(strategy(at), list(LOCATOR))
 
 
 def groups(
@@ -145,8 +126,8 @@ def groups(
     schema = docs.select("doc_id", F.lit("").alias("file"), F.lit(0).cast("long").alias("row"), digest(folded).alias("digest"), F.lit("").alias("text_sha256")).schema
     if not again:
         docs = with_files(docs)
-        rows = docs.select("doc_id", "text", *_locators(docs))
-        light = rows.select("doc_id", *_LOCATOR, digest(folded).alias("digest"), F.sha2(folded, 256).alias("text_sha256"))
+        rows = docs.select("doc_id", "text", *locators(docs))
+        light = rows.select("doc_id", *LOCATOR, digest(folded).alias("digest"), F.sha2(folded, 256).alias("text_sha256"))
         light.write.mode("overwrite").parquet(f"{log}/call={call}")
         spark.range(1).select(F.lit(label).cast("string").alias("label"), F.lit(call).cast("long").alias("call")).write.mode("append").parquet(f"{state_folder}/calls")
     schema = schema.add("call", "long")
@@ -156,11 +137,11 @@ def groups(
     # full bytes of every hit against the text of the digest's first arrival
     several = stored(index.where("group_size > 1").select("digest", "first"), "several")
     if again:
-        came = arrivals.where(F.col("call") == call).select(*_LOCATOR, "doc_id", "digest")
+        came = arrivals.where(F.col("call") == call).select(*LOCATOR, "doc_id", "digest")
         texts = _contents(spark, stored(came.join(several.hint("merge"), "digest"), "came"))
     else:
-        texts = rows.select(*_LOCATOR, "doc_id", digest(folded).alias("digest"), folded.alias("content"))
-        texts = texts.join(_strategy(several, MAX_BROADCAST_DIGESTS), "digest")
+        texts = rows.select(*LOCATOR, "doc_id", digest(folded).alias("digest"), folded.alias("content"))
+        texts = texts.join(strategy(several), "digest")
     texts = stored(texts.withColumn("is_first", F.expr("first.file = file and first.row = row")).drop("first"), "hits")
     first = texts.where("is_first").select("digest", F.col("content").alias("first_content"))
     if call > 0:
@@ -168,25 +149,25 @@ def groups(
         earlier = stored(earlier.select("digest", "first.file", "first.row"), "earlier")
         first = first.unionByName(_contents(spark, earlier).select("digest", F.col("content").alias("first_content")))
     differ = texts.where("not is_first").join(first.hint("merge"), "digest").where("content <> first_content")
-    differ.select(*_LOCATOR, "doc_id", "digest").write.mode("overwrite").parquet(f"{state_folder}/splits/call={call}")
+    differ.select(*LOCATOR, "doc_id", "digest").write.mode("overwrite").parquet(f"{state_folder}/splits/call={call}")
 
-    splits = spark.read.schema(differ.select(*_LOCATOR, "doc_id", "digest").schema).parquet(f"{state_folder}/splits")
+    splits = spark.read.schema(differ.select(*LOCATOR, "doc_id", "digest").schema).parquet(f"{state_folder}/splits")
     found = arrivals.join(index.hint("merge"), "digest")
     if splits.limit(1).count():
         apart = stored(_contents(spark, stored(splits, "splits")), "apart")
         split = apart.groupBy("digest", "content").agg(F.max(F.expr(_KEEP)).alias("own_keep"), F.count("*").alias("own_size"))
-        own = apart.join(split.hint("merge"), ["digest", "content"]).select(*_LOCATOR, "own_keep", "own_size")
+        own = apart.join(split.hint("merge"), ["digest", "content"]).select(*LOCATOR, "own_keep", "own_size")
         rest = arrivals.join(splits.select("digest").distinct().hint("merge"), "digest", "left_semi")
-        rest = rest.join(splits.select(*_LOCATOR).hint("merge"), list(_LOCATOR), "left_anti")
+        rest = rest.join(splits.select(*LOCATOR).hint("merge"), list(LOCATOR), "left_anti")
         rest = rest.groupBy("digest").agg(F.max(F.expr(_KEEP)).alias("rest_keep"), F.count("*").alias("rest_size"))
         found = (
-            found.join(own.hint("merge"), list(_LOCATOR), "left")
+            found.join(own.hint("merge"), list(LOCATOR), "left")
             .join(rest.hint("merge"), "digest", "left")
             .withColumn("group_size", F.coalesce("own_size", "rest_size", "group_size"))
             .withColumn("keep", F.coalesce("own_keep", "rest_keep", "keep"))
         )
     return found.select(
-        *_LOCATOR,
+        *LOCATOR,
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",
@@ -198,7 +179,4 @@ def groups(
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``groups`` keeps, with all their columns."""
     docs = with_files(docs)
-    drop = stored(groups(docs).where("not kept").select(*(F.col(c).alias(f"drop_{c}") for c in _LOCATOR)), "drop")
-    at = docs.metadataColumn("_metadata")
-    same = (at["file_path"] == drop["drop_file"]) & (at["row_index"] == drop["drop_row"])
-    return docs.join(_strategy(drop, MAX_BROADCAST_DIGESTS), same, "left_anti").select(*(docs[c] for c in docs.columns))
+    return without_rows(docs, groups(docs).where("not kept"))

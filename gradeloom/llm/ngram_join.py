@@ -32,6 +32,7 @@ from gradeloom.session import stored
 from .batches import bounded_batches
 from .components import components
 from .hashing import SPACES, mix, set_digest, shingle_sets
+from .locators import keyed, with_files, without_rows
 from .signature_tree import join_labels, linked_pairs
 
 MAX_HINTS = 1 << 17
@@ -540,17 +541,9 @@ def _across_chunks(sets: DataFrame, links: DataFrame, num: int, den: int) -> Dat
     return stored(links.union(_search(nodes.join(tokens.drop("block"), ["node", "check"]), num, den)), "links")
 
 
-def one_of_each(docs: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is the least of its component; rows without an id stay, and so do all
-    rows that repeat the least id."""
-    drop = assigned.where("doc_id <> component_id").select("doc_id").distinct()
-    return without(docs, drop)
-
-
-def without(docs: DataFrame, drop: DataFrame, bound: int = 1_000_000) -> DataFrame:
-    """Rows of ``docs`` whose doc_id isn't in ``drop``: broadcast up to ``bound`` ids, else a shuffle join.
-
-    Every row with a dropped id goes, whatever its text; rows without an id stay."""
-    drop = stored(drop, "drop")
-    small = drop.limit(bound + 1).count() <= bound
-    return docs.join(drop.hint("broadcast" if small else "merge"), "doc_id", "left_anti").select(*(docs[c] for c in docs.columns))
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, separators: np.ndarray = SPACES) -> DataFrame:
+    """One row of ``docs`` for every component: that of the least doc_id, null ids last and equal ids in
+    the order they are stored. Rows without words link with nothing and all stay. All columns are kept."""
+    docs = with_files(docs)
+    assigned = jaccard_components(keyed(docs), width, num, den, separators)
+    return without_rows(docs, assigned.where("doc_id <> component_id").select("doc_id.file", "doc_id.row"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.session import stored
 
-from .exact_dedup import _locators, with_files
+from .locators import locators, with_files
 
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_ATTEMPTS = 200
@@ -264,7 +264,7 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     columns are dropped. An empty table gives no rows. The same ``key`` always gives the same draw.
     """
     docs = with_files(docs)
-    rows = docs.select("doc_id", "text", *_locators(docs))
+    rows = docs.select("doc_id", "text", *locators(docs))
     found = F.when(F.col("text").rlike(_QUICK), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
     titled = F.filter("found", lambda x: x.rlike(rf"^{_TITLE}\.? {_FULL_NAME}$"))
     names = F.array_join(F.array_distinct(F.transform(titled, lambda x: F.regexp_replace(x, rf"^{_TITLE}\.? ", ""))), "|")
