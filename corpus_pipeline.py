@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm import byte_bpe, decontaminate, exact_dedup, ngram_join, toxicity
 from gradeloom.llm.folds import remainder
+from gradeloom.llm.locators import keyed, with_files, without_rows
 from gradeloom.session import scratch_path
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model scores below one half; rows without an id stay."""
+    """Documents that the toxicity model scores below one half; each row goes by its own text, whatever its id."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs.where(remainder(F.col("doc_id"), 5) != 0), labels.where(remainder(F.col("doc_id"), 5) != 0))
-    toxic = toxicity.scores(docs, model).where(F.col("score") >= 0.5).select("doc_id").where("doc_id is not null").distinct()
-    return ngram_join.without(docs, toxic)
+    docs = with_files(docs)
+    return without_rows(docs, toxicity.scores(keyed(docs), model).where(F.col("score") >= 0.5).select("doc_id.file", "doc_id.row"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +33,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group linked by a Jaccard similarity of 0.8 or more of 5-word shingles."""
-    return ngram_join.one_of_each(docs, ngram_join.jaccard_components(docs, width=5, num=80, den=100))
+    return ngram_join.one_of_each(docs, width=5, num=80, den=100)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; rows without an id stay."""
-    leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return ngram_join.without(docs, leaks.select("doc_id").where("doc_id is not null").distinct())
+    """Documents that hold no benchmark item; each row goes by its own text, whatever its id."""
+    docs = with_files(docs)
+    leaks = decontaminate.contaminated(keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_rows(docs, leaks.select("doc_id.file", "doc_id.row").distinct())
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
