@@ -35,7 +35,8 @@ NAMES = (
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of ``NAMES`` for each document of a slice; an empty document has zeros."""
+    """One row of ``NAMES`` for each document of a slice, words and lines compared with A-Z folded; an empty
+    document has zeros."""
     n = len(offsets) - 1
     owner = np.repeat(np.arange(n), np.diff(offsets))
     table = np.bincount(owner * 256 + data, minlength=n * 256).reshape(n, 256).astype(float)

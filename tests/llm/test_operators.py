@@ -449,7 +449,161 @@ def test_pipeline_edges(spark, odd, empty):
         if name == "exact dedup":
             assert len(got) == groups(ODD)[1]
         if name == "n-gram Jaccard join":
-            least = {i: c for i, _, c in components(ODD, 5, 80)}
-            assert got == sorted(((i, t) for i, t in ODD if i is None or least[i] == i), key=repr)
+            least = {(i, t): c for (i, t), (_, s, c) in zip(sorted(ODD, key=lambda r: repr(r[0])), components(ODD, 5, 80)) if s}
+            alone = [(i, t) for i, t in ODD if not spaced(t or "")]
+            assert got == sorted(alone + sorted({(c, t) for (i, t), c in least.items() if i == c}, key=repr), key=repr)
     name, stage = corpus_pipeline.STAGES[4]
     assert stage(spark, odd, SMALL).count() == len(ODD) and stage(spark, empty, SMALL).count() == 0
+
+
+def test_pipeline_rows_go_by_text(spark, monkeypatch):
+    """A row that shares its id with a rejected one stays, and a rejected row without an id goes."""
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first().text
+    near = [" ".join(f"w{k}" for k in range(100)), " ".join(f"w{k}" for k in range(1, 101))]
+    rows = [(7, item), (7, "nothing of the kind"), (None, f"so {item} so"), (None, near[0]), (8, near[1]), (8, near[0]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["benchmark decontamination"](spark, docs, SMALL)
+    assert sorted(map(tuple, clean.collect()), key=repr) == sorted([r for r in rows if item not in (r[1] or "")], key=repr)
+    kept = [tuple(r) for r in stages["n-gram Jaccard join"](spark, docs.where("text not like '%so%' or text is null"), SMALL).collect()]
+    assert sum(t in near for _, t in kept) == 1 and (None, None) in kept and not any(i is None and t in near for i, t in kept)
+    monkeypatch.setattr(toxicity, "train", lambda *_: None)
+    monkeypatch.setattr(toxicity, "scores", lambda d, _: d.select("doc_id", F.when(F.col("text").contains("w0"), 0.9).otherwise(0.1).alias("score")))
+    mild = [tuple(r) for r in stages["toxicity"](spark, docs, SMALL).collect()]
+    assert sorted(mild, key=repr) == sorted([r for r in rows if "w0" not in (r[1] or "")], key=repr)
+
+
+def test_risk_by_hand(monkeypatch):
+    """The fit against the risk's formulas, a document and a weight at a time."""
+    from math import exp, sqrt
+
+    monkeypatch.setattr(toxicity, "STEPS", 40)
+    rng = np.random.default_rng(5)
+    x_p, x_u = ((rng.random((n, 3)) < 0.4).astype(np.float64) for n in (6, 15))
+    for prior, left in ((0.3, 0.3), (0.6, 0.5), (0.2, 0.0)):
+        draw, theta, m, v, back = np.random.default_rng(0), [0.5] * 3 + [-1.0], [0.0] * 4, [0.0] * 4, 0
+        for step in range(1, 41):
+            u = [[*x_u[k], 1.0] for k in draw.integers(0, 15, 15)]
+            p = [[*x_p[k], 1.0] for k in draw.integers(0, 6, 6)]
+
+            def risk(rows, sign):
+                losses = [1 / (1 + exp(sign * sum(a * b for a, b in zip(r, theta)))) for r in rows]
+                return sum(losses) / len(rows), [sum(-sign * o * (1 - o) * r[k] for o, r in zip(losses, rows)) / len(rows) for k in range(4)]
+
+            (_, up), (p_clean, p_down), (u_clean, u_down) = risk(p, 1), risk(p, -1), risk(u, -1)
+            rest = [(1 - prior) / (1 - left) * (a - left * b) for a, b in zip(u_down, p_down)]
+            negative = u_clean - left * p_clean < 0
+            back += negative
+            for k in range(4):
+                g = (-rest[k] if negative else prior * up[k] + rest[k]) + (toxicity.RIDGE * theta[k] if k < 3 else 0)
+                m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+                theta[k] -= toxicity.RATE * (m[k] / (1 - 0.9**step)) / (sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+        weights, bias = toxicity.fit(x_p, x_u, prior, left)
+        assert np.allclose([*weights, bias], theta, atol=1e-9)
+
+
+def test_trees_by_hand():
+    """Flattened trees against a walk from the root of each, one row at a time."""
+    rng = np.random.default_rng(7)
+    x = rng.random((400, 6))
+    trees = quality.fit(x, ((x[:, 1] > 0.5) ^ (x[:, 3] > 0.3)).astype(float))
+    assert len(trees.feature) == quality.TREES
+    for row, got in zip(x[:50], trees.probability(x[:50])):
+        total = trees.base
+        for feature, threshold, value in zip(trees.feature, trees.threshold, trees.value):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += value[node - len(feature)]
+        assert got == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-12)
+
+
+def test_statistics_by_hand(docs):
+    from collections import Counter
+    from math import log, log1p
+
+    texts = [r.text or "" for r in docs.select("text").collect()][:60] + ["", " \n ", "a a a b", "É# ok! 12\n\nÉ# ok! 12"]
+    raw = [t.encode() for t in texts]
+    got = quality.statistics(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(b) for b in raw])))
+    for b, row in zip(raw, got):
+        named, n = dict(zip(quality.NAMES, row)), max(len(b), 1)
+        words, lines = re.findall(rb"[^\x20\x09-\x0d]+", b.lower()), re.findall(rb"[^\n]+", b.lower())  # A-Z only
+        bytes_, count = Counter(b), Counter(words)
+        want = {
+            "log_bytes": log1p(len(b)), "log_words": log1p(len(words)), "log_lines": log1p(len(lines)), "word_bytes": sum(map(len, words)) / max(len(words), 1),
+            "upper": sum(65 <= c <= 90 for c in b) / n, "beyond_ascii": sum(c > 127 for c in b) / n, "symbol_bang": b.count(b"!") / n,
+            "distinct_words": len(count) / max(len(words), 1), "top_word": max(count.values(), default=0) / max(len(words), 1),
+            "repeated_neighbours": sum(x == y for x, y in zip(words, words[1:])) / max(len(words), 1), "distinct_lines": len(set(lines)) / max(len(lines), 1),
+            "long_words": sum(len(w) > 20 for w in words) / max(len(words), 1), "byte_entropy": -sum(c / n * log(c / n, 2) for c in bytes_.values()),
+        }
+        assert all(named[k] == pytest.approx(x, abs=1e-9) for k, x in want.items()), (b[:40], named, want)
+
+
+def plain_grams(text):
+    """Counts of a text's n-gram bins, one character at a time."""
+    from collections import Counter
+    from gradeloom.llm.hashing import mix
+
+    shown = ""
+    for c in text:
+        letter = (c > "\xbf" and c not in "\xd7\xf7" and not "\u2000" <= c <= "\u206f") or c in "\xaa\xb5\xba" or ("a" <= c.lower() <= "z" and c.isascii())
+        if letter or not shown or shown[-1] != " ":
+            shown += c if letter else " "
+    out = Counter()
+    for n in (1, 2, 3):
+        for k in range(len(shown) - n + 1):
+            if (gram := shown[k : k + n]).strip(" "):
+                key = n
+                for c in gram:
+                    key = (key * 0x110000 + ord(c)) % 2**64
+                out[int(mix(np.array([key], np.uint64))[0] % np.uint64(language_mix.BINS))] += 1
+    return out
+
+
+def test_mixture_by_hand(spark, docs):
+    """Training counts and mixtures against dictionaries, a document at a time."""
+    from collections import Counter
+
+    rows = [(r.doc_id, (r.text or "").lower()[:400], r.lang) for r in docs.where("lang is not null").orderBy("doc_id").limit(50).collect()]
+    rows += [(1000 + k, rows[k][1] + " 12 " + rows[-k - 1][1], None) for k in range(8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, logs = language_mix.train(frame)
+    totals = {lang: Counter() for lang in langs}
+    for _, text, lang in rows:
+        if lang is not None:
+            totals[lang].update(plain_grams(text))
+    for at, lang in enumerate(langs):
+        whole = sum(totals[lang].values()) + language_mix.SMOOTHING * language_mix.BINS
+        assert all(np.exp(logs[at, b]) == pytest.approx((n + language_mix.SMOOTHING) / whole, rel=1e-4) for b, n in totals[lang].items())
+    found = {r.doc_id: dict(zip(r.langs, r.proportions)) for r in language_mix.identify(frame, (langs, logs)).collect()}
+
+    def best(like, counts, chosen):
+        share, n = {k: 1 / len(chosen) for k in chosen}, sum(counts.values())
+        for _ in range(language_mix.ROUNDS):
+            more = dict.fromkeys(chosen, 0.0)
+            for b, c in counts.items():
+                all_ = sum(share[k] * like[b][k] for k in chosen)
+                for k in chosen:
+                    more[k] += c * share[k] * like[b][k] / all_
+            share = {k: x / n for k, x in more.items()}
+        return share, sum(c * np.log(sum(share[k] * like[b][k] for k in chosen)) for b, c in counts.items())
+
+    several = 0
+    for doc_id, text, _ in rows:
+        counts = plain_grams(text)
+        like = {b: np.maximum(np.exp(logs[:, b].astype(float) - logs[:, b].max()), 1e-12) for b in counts}
+        cost = language_mix.PENALTY * np.log(max(sum(counts.values()), 2))
+        chosen = list(range(len(langs)))
+        share, fit = best(like, counts, chosen)
+        score = fit - cost * len(chosen)
+        while len(chosen) > 1:
+            fewer = [k for k in chosen if k != min(chosen, key=lambda k: (share[k], k))]
+            new, fit = best(like, counts, fewer)
+            if fit - cost * len(fewer) < score:
+                break
+            chosen, share, score = fewer, new, fit - cost * len(fewer)
+        several += len(chosen) > 1
+        assert found[doc_id] == pytest.approx({langs[k]: x for k, x in share.items() if x > 0}, abs=1e-6)
+    assert several
