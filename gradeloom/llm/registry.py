@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_query, decontaminate, exact_dedup, language_mix, ngram_join, quality, surrogates, toxicity, url_filter_query
+from . import byte_bpe, chat_query, decontaminate, exact_dedup, fim_chunks, language_mix, merkle, ngram_join, quality, surrogates, topk_search, toxicity, url_filter_query
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,10 +51,16 @@ _QUERIES = {f.__name__: f for f in (
     op8_byte_bpe,
     op9_ngram_jaccard_join,
     language_mix.op10_language_mixture,
+    merkle.op11_merkle_manifest,
+    fim_chunks.op12_fill_in_middle,
+    topk_search.op13_exact_topk,
 )} | {"pipeline": corpus_pipeline.run}
 _ORACLES: dict[str, str] = {
     "op2_url_filters": url_filter_query.ORACLE,
     "op6_chat_formatting": chat_query.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_fill_in_middle": fim_chunks.ORACLE,
+    "op13_exact_topk": topk_search.ORACLE,
     "op3_exact_dedup": """
 WITH folded AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded FROM documents

@@ -405,7 +405,7 @@ def test_language_letters_and_many_labels(spark, odd, monkeypatch):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     found = registry.queries()[name](spark, SMALL)
     columns = sorted(found.columns)
