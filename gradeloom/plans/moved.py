@@ -179,8 +179,11 @@ def t4_confusion_window(t):
 
 @query()
 def t5_assign_in_order(t):
-    rows = t("fx_vectors").select((F.col("id") % 4).cast("string").alias("subject"), F.col("id").alias("seq"), "id", "vector")
-    return events.with_quality(events.run_to_table(events.assign_stream(_as_stream(rows, "vectors"), threshold=0.2), t.spark))
+    """Subjects of 250 vectors, a paper's end after every 50 places of the sequence."""
+    rows = t("fx_vectors").select(F.concat((F.col("id") % 4).cast("string"), F.lit("_"), F.floor(F.col("id") / 1000).cast("string")).alias("subject"), F.col("id").alias("seq"), "id", "vector")
+    papers = rows.groupBy("subject", F.floor(F.col("seq") / 50).alias("paper")).agg(F.max("seq").alias("seq"))
+    with events.with_rocksdb(t.spark):
+        return events.run_to_table(events.assign_stream(_as_stream(events.arrivals(rows, papers=papers), "vectors"), floor=0.2), t.spark)
 
 
 @query("SELECT id FROM fx_vectors")

@@ -133,9 +133,14 @@ def v17_rewrite_links(t):
 
 @query()
 def v18_assign_emergent(t):
-    from gradeloom.streaming.events import assign_emergent
-
-    return assign_emergent(t("fx_vectors").select(F.col("topic").alias("subject"), F.col("id").alias("seq"), "id", "vector"), threshold=0.2)
+    """Every tenth vector is a member of a point that is there before; the others arrive in order."""
+    from gradeloom.streaming import events
+
+    rows = t("fx_vectors").select(F.concat("topic", F.lit("_"), F.floor(F.col("id") / 1000).cast("string")).alias("subject"), F.col("id").alias("seq"), "id", "vector")
+    members = rows.where("id % 10 = 0").withColumn("kp_id", F.concat(F.lit("kp_"), (F.col("id") % 30).cast("string")))
+    points = members.groupBy("subject", "kp_id").agg(F.min_by("vector", "id").alias("vector"), F.lit("stable").alias("quality"))
+    found = events.assign_emergent(events.arrivals(rows.where("id % 10 > 0"), points, members), floor=0.2)
+    return events.with_quality(found, members=members)
 
 
 @query(f"""WITH s AS (SELECT a.topic AS kp_id, {_DOT} AS sim FROM fx_vectors a JOIN fx_vectors b ON a.topic = b.topic AND a.id < b.id), m AS (SELECT kp_id, median(sim) AS med FROM s GROUP BY 1), d AS (SELECT kp_id, any_value(med) AS med, median(abs(sim - med)) AS mad FROM s JOIN m USING (kp_id) GROUP BY 1)

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from gradeloom.operators.upserts import insert_ignore, upsert_knowledge_state
 from gradeloom.session import scratch_path, stored
+from gradeloom.streaming.points import Members, Point, Points
 
 
 def subscribe(stream: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -107,84 +110,158 @@ def student_stream(turns: DataFrame, retrieved: DataFrame, states: DataFrame, ho
     return fold_stream(turns, states, step, home)
 
 
-class _Points:
-    """The points of one subject: sums of their members' vectors, whose direction is the centroid's."""
+_ARRIVALS = "subject string, seq long, kind string, id long, kp_id string, quality string, vector array<double>"
+_FOUND = "subject string, seq long, id long, kp_id string, event string, similarity double, embryonic long"
+#: Kinds of arrivals in the order they are taken within a place of the sequence.
+_KINDS = ("point", "member", "question", "paper_end")
 
-    def __init__(self, names: Sequence[str] = (), sums: np.ndarray | None = None):
-        self.names = list(names)
-        self.sums = np.empty((0, 0)) if sums is None else sums
-        self.norms = np.linalg.norm(self.sums, axis=1)
 
-    def place(self, id_: int, vector: Sequence[float], threshold: float) -> tuple[str, str, float]:
-        v, n = np.asarray(vector, float), len(self.names)
-        if n:
-            cosine = self.sums[:n] @ v / np.maximum(self.norms[:n] * np.linalg.norm(v), 1e-12)
-            at = int(np.argmax(cosine))
-            if cosine[at] >= threshold:
-                self.sums[at] += v
-                self.norms[at] = np.linalg.norm(self.sums[at])
-                return self.names[at], "assigned", float(cosine[at])
-        if n == len(self.sums):
-            self.sums = np.concatenate([self.sums.reshape(n, len(v)), np.zeros((max(8, n), len(v)))])
-            self.norms = np.concatenate([self.norms[:n], np.zeros(max(8, n))])
-        self.names.append(f"kp_emb_{id_}")
-        self.sums[n], self.norms[n] = v, np.linalg.norm(v)
-        return self.names[n], "created", 1.0
+def arrivals(questions: DataFrame, points: DataFrame | None = None, members: DataFrame | None = None, papers: DataFrame | None = None) -> DataFrame:
+    """What subjects' points grow from, as one table: ``questions(subject, seq, id, vector)``, ends of papers ``papers(subject, seq)``, and
+    what is there before them: ``points(subject, kp_id, vector, quality)`` and their ``members(subject, kp_id, id, vector)``."""
+    spark = questions.sparkSession
+    parts = [questions.withColumn("kind", F.lit("question"))]
+    parts += [df.withColumn("kind", F.lit(kind)) for kind, df in (("point", points), ("member", members), ("paper_end", papers)) if df is not None]
+    wanted = spark.createDataFrame([], _ARRIVALS).schema
+    rows = [df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted)) for df in parts]
+    return reduce(DataFrame.union, rows)
 
 
-_FOUND = "subject string, id long, kp_id string, event string, similarity double"
+def _in_order() -> list[Column]:
+    kind = F.array_position(F.array(*map(F.lit, _KINDS)), F.col("kind"))
+    return [F.col("seq").asc_nulls_first(), kind, F.col("kp_id").asc_nulls_first(), F.col("id").asc_nulls_first()]
 
 
-def with_quality(found: DataFrame, least: int = 3) -> DataFrame:
-    """Assignments with the quality of their point: stable from ``least`` members on."""
-    sizes = found.groupBy("kp_id").agg(F.count("*").alias("members"))
-    return found.join(sizes.hint("merge"), "kp_id").withColumn("quality", F.when(F.col("members") >= least, F.lit("stable")).otherwise("embryonic"))
+def _take(points: Points, row) -> Iterator[tuple]:
+    """One arrival; rows of ``_FOUND``. A row without a whole, finite vector takes no part, but for the end of a paper."""
+    if row.kind == "paper_end":
+        out, young = points.end_paper()
+        yield from ((row.subject, row.seq, None, name, event, value, None) for name, event, value in out)
+        yield row.subject, row.seq, None, None, "paper_completed", None, young
+        return
+    v = None if row.vector is None else np.asarray(row.vector, float)
+    if v is None or not np.isfinite(v).all() or (points.names and points.centres.shape[1] != len(v)):
+        return
+    if row.kind == "point":
+        points.give(row.kp_id, v, row.quality != "embryonic")
+    elif row.kind == "member":
+        points.add_member(row.kp_id, v)
+    else:
+        yield (row.subject, row.seq, row.id, *points.place(row.id, v), None)
 
 
-def assign_emergent(vectors: DataFrame, threshold: float = 0.50, least: int = 3) -> DataFrame:
-    """Points that grow as questions ``(subject, seq, id, vector)`` arrive, one subject at a time in order.
+_FOUND_ARROW = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}[t]) for n, t in (f.split() for f in _FOUND.split(", "))])
 
-    A question joins its nearest point if their cosine reaches the threshold, and the point's centroid
-    becomes its members' mean; else it founds ``kp_emb_<id>``. The order matters, so a subject is one
-    sequential state, read in batches (the state is its centroids, not its questions). A null subject is
-    one of its own.
+
+def with_quality(found: DataFrame, least: int = 3, members: DataFrame | None = None) -> DataFrame:
+    """Assignments with the members of their point, those of ``members(kp_id)`` included, and its quality: stable from ``least`` on."""
+    placed = found.where("id is not null").select("subject", "seq", "id", "kp_id", "event", "similarity")
+    each = placed.select("subject", "kp_id")
+    each = each if members is None else each.union(members.select("subject", "kp_id"))
+    sizes = each.groupBy("subject", "kp_id").agg(F.count("*").alias("members"))
+    rows = placed.join(sizes.select(F.col("subject").alias("of"), F.col("kp_id").alias("point"), "members").hint("merge"), F.col("subject").eqNullSafe(F.col("of")) & (F.col("kp_id") == F.col("point"))).drop("of", "point")
+    return rows.withColumn("quality", F.when(F.col("members") >= least, F.lit("stable")).otherwise("embryonic"))
+
+
+def assign_emergent(rows: DataFrame, floor: float = 0.50, spread: float = 1.0, least: int = 3, decay: float = 0.05) -> DataFrame:
+    """Points that grow as questions arrive, one subject at a time in order; ``rows`` as ``arrivals`` makes them.
+
+    A question joins its nearest point if their cosine reaches the point's threshold, and the point's centroid becomes its
+    members' mean; else it founds ``kp_emb_<id>``. The threshold is ``floor`` below ``least`` members, from there on the median of
+    the members' pairwise cosines less ``spread`` times their median absolute deviation, if that is more. At the end of a paper points
+    that are embryonic and have fewer than ``least`` members fade by ``decay``, the others become stable.
+
+    Rows are ``(subject, seq, id, kp_id, event, similarity, embryonic)``: ``created`` and ``assigned`` questions, points ``promoted``
+    or ``faded`` (with their centroid's length), and ``paper_completed`` with the number of embryonic points. The order matters, so a subject is
+    one sequential state (its centroids and members' vectors, not their pairs), read in batches. A null subject is one of its own;
+    questions without a whole, finite vector of the subject's width take no part; ties in order are taken by id.
     """
 
-    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points, at = _Points(), object()
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, at = None, None
         for batch in batches:
             out = []
-            for subject, id_, vector in zip(batch["subject"], batch["id"], batch["vector"]):
-                if subject != at:  # sorted: the subject before has ended
-                    points, at = _Points(), subject
-                out.append((subject, id_, *points.place(id_, vector, threshold)))
-            yield pd.DataFrame(out, columns=["subject", "id", "kp_id", "event", "similarity"])
+            for row in (Row(**r) for r in batch.to_pylist()):
+                if points is None or row.subject != at:  # sorted: the subject before has ended
+                    points, at = Points(floor, spread, least, decay), row.subject
+                out.extend(_take(points, row))
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [()] * len(_FOUND_ARROW), _FOUND_ARROW)], schema=_FOUND_ARROW)
 
-    dealt = vectors.select("subject", "seq", "id", "vector").repartition("subject").sortWithinPartitions("subject", "seq", "id")
-    return with_quality(stored(dealt.mapInPandas(grow, _FOUND), "found"), least)
+    dealt = rows.select("subject", *_ARRIVAL_COLUMNS).repartition("subject").sortWithinPartitions("subject", *_in_order())
+    return stored(dealt.mapInArrow(grow, _FOUND), "found")
 
 
-def assign_stream(stream: DataFrame, threshold: float = 0.50) -> DataFrame:
-    """``assign_emergent`` on a stream ``(subject, seq, id, vector)``: centroids are keyed state.
+_ARRIVAL_COLUMNS = ("seq", "kind", "id", "kp_id", "quality", "vector")
 
-    The names and sums of a subject's points are kept from micro-batch to micro-batch and over restarts.
-    Within a micro-batch questions are taken by ``(seq, id)``; one that comes later than its order is taken
-    when it comes. A micro-batch of a subject is held by one task: bound it at the source
-    (``maxFilesPerTrigger``). Rows are ``(subject, id, kp_id, event, similarity)``; ``with_quality`` of all of them tells which points are stable.
-    """
 
-    def grow(key, batches, state):
-        points = _Points()
-        if state.exists:
-            names, sums = state.get
-            points = _Points(names, np.frombuffer(sums).reshape(len(names), -1).copy())
-        rows = pd.concat(list(batches)).sort_values(["seq", "id"], kind="stable")
-        out = [(key[0], id_, *points.place(id_, vector, threshold)) for id_, vector in zip(rows["id"], rows["vector"])]
-        state.update((points.names, points.sums[: len(points.names)].tobytes()))
-        yield pd.DataFrame(out, columns=["subject", "id", "kp_id", "event", "similarity"])
-
-    rows = stream.select("subject", "seq", "id", "vector").groupBy("subject")
-    return rows.applyInPandasWithState(grow, _FOUND, "names array<string>, sums binary", "append", GroupStateTimeout.NoTimeout)
+class _PointState(StatefulProcessor):
+    """A subject's points as keyed state: an entry for each point and for each block of members, written only where changed."""
+
+    def __init__(self, floor: float, spread: float, least: int, decay: float):
+        self.settings = (floor, spread, least, decay)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.heads = handle.getMapState("points", "kp_id string", "nth long, centre binary, total binary, n long, stable boolean, bins binary, counts binary")
+        self.rows = handle.getMapState("members", "kp_id string, block long", "rows binary")
+
+    def handleInputRows(self, key, rows, timerValues):
+        numbers = lambda x, kind=float: np.frombuffer(x, kind).copy()
+        heads = sorted(((value, name) for (name,), value in self.heads.iterator()), key=lambda h: h[0][0]) if self.heads.exists() else []
+        points = [Point(name, numbers(h[1]), numbers(h[2]), h[3], h[4], numbers(h[5], np.int64), numbers(h[6], np.int64)) for h, name in heads]
+
+        def read(name: str, k: int) -> np.ndarray | None:
+            found = self.rows.getValue((name, k)) if self.rows.containsKey((name, k)) else None
+            return None if found is None else numbers(found[0]).reshape(-1, len(points[0].centre))
+
+        members = Members(read, lambda name, k, block: self.rows.updateValue((name, k), (block.tobytes(),)))
+        now = Points(*self.settings, members, points)
+        none_first = lambda x: (x is not None, 0 if x is None else x)
+        batch = sorted(rows, key=lambda r: (none_first(r.seq), _KINDS.index(r.kind), r.kp_id or "", none_first(r.id)))
+        out = [found for row in batch for found in _take(now, row)]
+        members.save()
+        for nth, name in enumerate(now.names):
+            if name in now.changed:
+                p = now.points[name]
+                self.heads.updateValue((name,), (nth, p.centre.tobytes(), p.total.tobytes(), p.n, p.stable, p.bins.tobytes(), p.counts.tobytes()))
+        yield from (Row(**dict(zip(_FOUND_ARROW.names, x))) for x in out)
+
+    def close(self) -> None:
+        pass
+
+
+def assign_stream(stream: DataFrame, floor: float = 0.50, spread: float = 1.0, least: int = 3, decay: float = 0.05) -> DataFrame:
+    """``assign_emergent`` on a stream of ``arrivals``: points and members are keyed state, ends of papers are rows of the stream.
+
+    The state is kept from micro-batch to micro-batch and over restarts, and only points and blocks of members that
+    a batch changes are written. Within a micro-batch rows are taken in order; one that comes later than its order
+    is taken when it comes. A micro-batch of a subject is held by one task: bound it at the source (``maxFilesPerTrigger``).
+    Needs the RocksDB state store (``with_rocksdb``).
+    """
+    processor = _PointState(floor, spread, least, decay)
+    rows = stream.select("subject", *_ARRIVAL_COLUMNS).groupBy("subject")
+    return rows.transformWithState(processor, _FOUND, "Append", "None")
+
+
+#: Settings of the state store on the executors' disks.
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
+
+
+@contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The session with the RocksDB state store; its own settings come back afterwards."""
+    before = {key: spark.conf.get(key, None) for key in ROCKSDB}
+    try:
+        for key, value in ROCKSDB.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def index_append(index: DataFrame, new: DataFrame) -> DataFrame:

@@ -218,47 +218,6 @@ def test_cycle_gate(spark):
     assert shut.centrality.count() == 12
 
 
-def brute_points(rows, threshold):
-    """(subject, id) -> point and event, by a plain loop over all points and members."""
-    members, out = {}, {}
-    for subject, seq, id_, v in sorted(rows):
-        best, near = -2.0, None
-        for name, held in members.setdefault(subject, {}).items():
-            centre = [sum(x) / len(held) for x in zip(*held)]
-            size = math.sqrt(sum(x * x for x in centre)) * math.sqrt(sum(x * x for x in v))
-            cosine = sum(x * y for x, y in zip(centre, v)) / max(size, 1e-12)
-            if cosine > best:
-                best, near = cosine, name
-        fresh = near is None or best < threshold
-        name = f"kp_emb_{id_}" if fresh else near
-        members[subject].setdefault(name, []).append(v)
-        out[subject, id_] = (name, "created" if fresh else "assigned")
-    return out
-
-
-def points_of(rows):
-    return {(r["subject"], r["id"]): (r["kp_id"], r["event"]) for r in rows.collect()}
-
-
-def test_points_by_stream_and_restart(spark):
-    rng = random.Random(5)
-    rows = [(f"s{i % 3}", i, i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)]
-    schema = "subject string, seq long, id long, vector array<double>"
-    expected = brute_points(rows, 0.4)
-    assert {e for _, e in expected.values()} == {"created", "assigned"}
-    whole = events.assign_emergent(spark.createDataFrame(rows, schema), 0.4)
-    assert points_of(whole) == expected
-    members = Counter(p for p, _ in expected.values())
-    assert all((r["quality"] == "stable") == (members[r["kp_id"]] >= 3) for r in whole.collect())
-    path, home = scratch_path(spark, "points"), scratch_path(spark, "points")
-    for n in range(3):  # a new query on the same folder after each part
-        spark.createDataFrame(rows[n * 40 : n * 40 + 40], schema).write.mode("append").parquet(path)
-        stream = spark.readStream.schema(schema).parquet(path)
-        found = events.run_to_table(events.assign_stream(stream, 0.4), spark, home=home)
-        assert found.count() == 40 * (n + 1)
-    assert points_of(found) == expected
-
-
 def test_folds_by_batch_and_restart(spark):
     schema = "id long, vector array<double>"
     path = scratch_path(spark, "fold")
