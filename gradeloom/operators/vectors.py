@@ -1,25 +1,20 @@
 """Similarity, clustering and retrieval over vector columns.
 
-Vectors are ``array<float>`` of unit length, so a cosine is a dot product. Searches and self-joins
-compare all rows with one broadcast block of rows after the other, exactly and at every size.
+Vectors are ``array<float>`` of unit length, so a cosine is a dot product. Searches and self-joins are exact at every
+size; they multiply packed groups of vectors that can reach the wanted score (``cells``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gradeloom.session import scratch_path, stored
+from gradeloom.operators import cells
+from gradeloom.session import stored
 
-#: Rows of a broadcast block, and similarities that a task holds at once.
-BLOCK_ROWS = 5_000
-BLOCK_CELLS = 1 << 21
 MAX_ROUNDS = 100
 
 
@@ -40,81 +35,29 @@ def unit(a: Column) -> Column:
     return F.when(size > 0, F.transform(a, lambda x: x / size)).otherwise(a)
 
 
-def _by_width(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places and matrix of the vectors of each width."""
-    widths = column.value_lengths().to_numpy(zero_copy_only=False)
-    for width in np.unique(widths):
-        at = np.flatnonzero(widths == width)
-        yield at, column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), int(width))
-
-
-def _against_blocks(rows: DataFrame, block_rows: DataFrame, chosen: Callable[[], Callable[[int, np.ndarray, np.ndarray], np.ndarray]]) -> DataFrame:
-    """``(id, block_id, score)`` of the chosen pairs of ``rows(id, vector)`` and ``block_rows(block_id, vector)``.
+def cosine_pairs(vectors: DataFrame, tau: float) -> DataFrame:
+    """``(a, b, cosine)`` for pairs a < b of ``vectors(id, vector)`` with a cosine of at least tau: all of them.
 
-    The blocks are random shares of ``block_rows``, one pass over the rows each. ``chosen`` makes the test
-    of a task and pass: it gets the vectors' width, the places of the block's rows and a matrix of scores
-    (rows by block) and says which to keep. Rows without a whole vector have no pairs, nor have vectors
-    of unlike widths; null ids are ids.
+    Vectors that are null or hold nulls, NaN or infinity link with nothing, nor do null ids or vectors of unlike widths.
     """
-    spark = rows.sparkSession
-    whole = F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())
-    rows = stored(rows.where(whole).select("id", "vector"), "rows")
-    drawn = stored(block_rows.where(whole).select("block_id", "vector", F.rand(1).alias("at")), "blocks")
-    blocks = max(1, -(-drawn.count() // BLOCK_ROWS))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, block_id {drawn.schema['block_id'].dataType.simpleString()}, score double"
-    path = scratch_path(spark, "scores")
-    for k in range(blocks):
-        block = drawn.where((F.col("at") >= k / blocks) & (F.col("at") < (k + 1) / blocks)).toArrow().combine_chunks()  # about BLOCK_ROWS rows
-        ids, vectors = (block.column(c).combine_chunks() for c in ("block_id", "vector"))
-        shared = spark.sparkContext.broadcast((ids, {m.shape[1]: (at, m) for at, m in _by_width(vectors)}))
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            (ids, parts), test = shared.value, chosen()
-            for batch in batches:
-                for at, own in _by_width(batch.column(1)):
-                    if own.shape[1] not in parts:
-                        continue
-                    places, other = parts[own.shape[1]]
-                    step = max(1, BLOCK_CELLS // len(other))
-                    for first in range(0, len(own), step):
-                        found = own[first : first + step] @ other.T
-                        i, j = np.nonzero(test(own.shape[1], places, found))
-                        if len(i):
-                            yield pa.record_batch([batch.column(0).take(pa.array(at[first + i])), ids.take(pa.array(places[j])), pa.array(found[i, j])], names=["id", "block_id", "score"])
-
-        rows.mapInArrow(score, schema).write.mode("append").parquet(path)
-        shared.destroy()
-    return spark.read.schema(schema).parquet(path)
+    found = cells.pairs_at_least(cells.build(vectors), tau).where("x <> y")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("score").alias("cosine"))
 
 
-def cosine_pairs(vectors: DataFrame, tau: float) -> DataFrame:
-    """``(a, b, cosine)`` for pairs a < b of ``vectors(id, vector)`` with a cosine of at least tau: all of them."""
-    found = _against_blocks(vectors, vectors.select(F.col("id").alias("block_id"), "vector"), lambda: lambda width, places, score: ~(score < tau))
-    return found.where("id < block_id").select(F.col("id").alias("a"), F.col("block_id").alias("b"), F.col("score").alias("cosine"))
+def _with_limit(best: DataFrame, tau: float, min_k: int) -> DataFrame:
+    return best.where((F.col("score") >= tau) | (F.col("nth") <= min_k))
 
 
 def search(corpus: DataFrame, queries: DataFrame, tau: float = 0.5, min_k: int = 3, cap: int = 15) -> DataFrame:
-    """Best ``cap`` rows of the corpus for each query: those of tau or more, and the first ``min_k`` anyway.
+    """Best ``cap`` rows of the corpus for each query: those of tau or more, and the first ``min_k`` anyway. Exact; ties by id.
 
-    Queries of any number are searched in blocks. A task passes on only rows that reach the ``cap``-th
-    score it has seen for the query; ties stay.
-    """
-
-    def chosen() -> Callable[[int, np.ndarray, np.ndarray], np.ndarray]:
-        seen: dict[int, np.ndarray] = {}
+    One pass over all rows; for repeated searches of one corpus see ``search_index``."""
+    return _with_limit(cells.best_rows(cells.build(corpus, pivots={}), queries, cap), tau, min_k)
 
-        def test(width: int, places: np.ndarray, score: np.ndarray) -> np.ndarray:
-            score = np.where(np.isnan(score), np.inf, score)  # as Spark orders them
-            best = np.concatenate([seen[width], score]) if width in seen else score
-            seen[width] = np.partition(best, len(best) - cap, axis=0)[-cap:] if len(best) > cap else best
-            return score >= (seen[width].min(axis=0) if len(best) >= cap else -np.inf)
 
-        return test
-
-    scored = _against_blocks(corpus, queries.select(F.col("query_id").alias("block_id"), "vector"), chosen)
-    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    scored = scored.select(F.col("block_id").alias("query_id"), "id", "score").withColumn("nth", nth)
-    return scored.where((F.col("nth") <= cap) & ((F.col("score") >= tau) | (F.col("nth") <= min_k)))
+def search_index(home: str, queries: DataFrame, tau: float = 0.5, min_k: int = 3, cap: int = 15) -> DataFrame:
+    """``search`` in the index that ``cells.create_index`` and ``cells.append_index`` keep in the folder ``home``."""
+    return _with_limit(cells.best_rows(cells.open_index(queries.sparkSession, home), queries, cap), tau, min_k)
 
 
 def keyword_jaccard(a: Column, b: Column) -> Column:
@@ -258,10 +201,9 @@ def semantic_edges(vectors: DataFrame, tau: float = 0.5, medium: float = 0.65) -
 
 
 def _within(rows: DataFrame, key: str, tau: float, least: int) -> DataFrame:
-    """Greedy clusters inside each key: ``(key, leader, size)``."""
-    other = rows.select(key, F.col("id").alias("b"), F.col("vector").alias("vector_b"))
-    near = rows.join(other.hint("merge"), key).where("id < b").where(dot("vector", "vector_b") >= tau).select(F.col("id").alias("a"), "b")
-    found = greedy_leaders(near, rows).join(rows.select("id", key), "id")
+    """Greedy clusters inside each key: ``(key, leader, size)``. Small keys are multiplied together, large ones in several groups."""
+    near = cells.pairs_at_least(cells.build(rows.select("id", "vector", key), within=key), tau, within=True).where("x <> y")
+    found = greedy_leaders(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), rows).join(rows.select("id", key), "id")
     return found.groupBy(key, "leader").agg(F.count("*").alias("size")).where(F.col("size") >= least)
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.operators import aggregates, difficulty, graph, scalars, topics, upserts, vectors, windows
+from gradeloom.operators import aggregates, cells, difficulty, graph, scalars, topics, upserts, vectors, windows
 from gradeloom.session import local_session, scratch_path
 from gradeloom.streaming import events
 
@@ -138,7 +138,7 @@ def test_split_topics(spark):
 
 def test_pairs_in_blocks(spark, monkeypatch):
     """Every pair at any size: several blocks, and the blocks' sizes don't show."""
-    monkeypatch.setattr(vectors, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(cells, "LEAST_ROWS", 20)
     x = np.random.default_rng(2).normal(size=(150, 8)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(900, None), (901, [1.0, None]), (None, [1.0] * 8), (902, [1.0]), (903, [0.5])], "id long, vector array<float>")
