@@ -11,7 +11,7 @@ non-finite components take no part, so they link with nothing. Null ids are ids.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -217,17 +217,20 @@ def _codes(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.array([seen.setdefault(k, len(seen)) for k in keys]) for keys in (a, b))
 
 
-def pairs_at_least(cells: Cells, tau: float, within: bool = False) -> DataFrame:
-    """``(x, y, score)`` for all pairs of rows whose product is at least tau, each once in some order; of one key, with ``within``."""
+Tile = Callable[[dict, dict, int, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]
+
+
+def _multiplied(cells: Cells, tau: float, tile: Tile, schema: str, within: bool) -> DataFrame:
+    """What ``tile`` gives for the products of every pair of groups that may reach tau: of (rows of) a group, its partner, the first
+    of the rows, the products, and the mask of pairs that count: each once, and of one key, with ``within``."""
     n = cells.groups.count()
     pairs = group_pairs(cells, tau)
-    body = ["width", "n", "ids", "keys", "rows"]
+    body = ["width", "n", "ids", "keys", "rows", *(["limits"] if "limits" in cells.groups.columns else [])]
     groups = cells.groups.select("group", *body)
     owners = pairs.groupBy("owner", "part").agg(F.max((F.col("owner") == F.col("other")).cast("int")).alias("own"))
     heads = owners.join(groups.hint("merge"), F.col("owner") == F.col("group")).select("owner", "part", F.lit(None).cast("long").alias("other"), "own", *body)
     partners = pairs.where("owner <> other").join(groups.hint("merge"), F.col("other") == F.col("group")).select("owner", "part", "other", F.lit(0).alias("own"), *body)
     dealt = heads.union(partners).repartition(max(1, min(n * max(1, n // PARTNERS), 100_000)), "owner", "part").sortWithinPartitions("owner", "part", F.col("other").asc_nulls_first())
-    id_type = to_arrow_type(cells.groups.schema["ids"].dataType.elementType)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = left = None
@@ -241,17 +244,97 @@ def pairs_at_least(cells: Cells, tau: float, within: bool = False) -> DataFrame:
             step = max(1, TILE_CELLS // max(1, len(right)))
             for first in range(0, len(left), step):
                 score = left[first : first + step] @ right.T
-                keep = score >= tau
+                counts = np.ones(score.shape, bool)
                 if row["other"] is None:  # each pair of a group once
-                    keep &= np.arange(len(right))[None, :] > np.arange(first, first + len(score))[:, None]
+                    counts = np.arange(len(right))[None, :] > np.arange(first, first + len(score))[:, None]
                 if codes is not None:
-                    keep &= codes[0][first : first + step, None] == codes[1][None, :]
-                i, j = np.nonzero(keep)
-                if len(i):
-                    yield pa.record_batch([pa.array([head["ids"][first + k] for k in i], id_type), pa.array([row["ids"][k] for k in j], id_type), pa.array(score[i, j])], names=["x", "y", "score"])
+                    counts &= codes[0][first : first + step, None] == codes[1][None, :]
+                yield from tile(head, row, first, score, counts)
+
+    return dealt.mapInArrow(multiply, schema)
+
+
+def pairs_at_least(cells: Cells, tau: float, within: bool = False) -> DataFrame:
+    """``(x, y, score)`` for all pairs of rows whose product is at least tau, each once in some order; of one key, with ``within``."""
+    id_type = to_arrow_type(cells.groups.schema["ids"].dataType.elementType)
+
+    def tile(head: dict, row: dict, first: int, score: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j = np.nonzero(counts & (score >= tau))
+        if len(i):
+            yield pa.record_batch([pa.array([head["ids"][first + k] for k in i], id_type), pa.array([row["ids"][k] for k in j], id_type), pa.array(score[i, j])], names=["x", "y", "score"])
 
     kind = cells.groups.schema["ids"].dataType.elementType.simpleString()
-    return stored(dealt.mapInArrow(multiply, f"x {kind}, y {kind}, score double"), "scores")
+    return stored(_multiplied(cells, tau, tile, f"x {kind}, y {kind}, score double", within), "scores")
+
+
+#: Bins of a round of selection, values that end the rounds, and the width of a range that does.
+SELECT_BINS = 4_096
+SELECT_VALUES = 50_000
+SELECT_WIDTH = 1e-7
+
+
+def medians_within(cells: Cells, centres: DataFrame | None = None) -> DataFrame:
+    """``(key, n, median)`` of the products of each key's pairs; with ``centres(key, centre)`` of their distances to the key's centre.
+
+    No pair is kept: a round counts products in bins of each key's range and narrows it to the bins of the two middle ones, until few
+    values are left in it, which are counted one by one. Keys of fewer than two rows have no row. A null key is a key.
+    """
+    key = cells.groups.schema["keys"].dataType.elementType
+    kind, key_type = key.simpleString(), to_arrow_type(key)
+    narrow = centres
+    if centres is not None:
+        narrow = centres.select("key", "centre", F.lit(0.0).alias("low"), F.lit(4.0).alias("high"))
+    schema = f"key {kind}, at double, n long"
+
+    def counted(limits: DataFrame | None, values: bool) -> DataFrame:
+        """Counts by bin (the bin's lower end) or by value; what lies below the range counts at -inf, above it at inf."""
+        made = cells
+        if limits is not None:  # ranges come along with the groups
+            each = cells.groups.select("group", F.posexplode("keys").alias("at", "k")).select("group", "k").distinct()
+            own = each.join(limits.hint("merge"), F.col("k").eqNullSafe(F.col("key"))).groupBy("group").agg(F.collect_list(F.struct("k", "centre", "low", "high")).alias("limits"))
+            made = Cells(stored(cells.groups.join(own.withColumnRenamed("group", "g").hint("merge"), F.col("group") == F.col("g")).drop("g"), "groups"), cells.pivots)
+
+        def tile(head: dict, row: dict, first: int, score: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            i, j = np.nonzero(counts)
+            if not len(i):
+                return
+            found: dict = {}
+            codes = np.array([found.setdefault(k, len(found)) for k in head["keys"]])[first + i]
+            names, x = list(found), score[i, j]
+            limit = {e["k"]: e for e in head.get("limits") or []}
+            low, high, centre = (np.array([limit.get(k, default)[c] for k in names]) for c in ("low", "high", "centre"))
+            x = np.where(np.isnan(centre[codes]), x, np.abs(x - centre[codes]))
+            inside = x if values else low[codes] + np.floor((x - low[codes]) * (SELECT_BINS / (high - low)[codes])) * ((high - low)[codes] / SELECT_BINS)
+            at = np.where(x < low[codes], -np.inf, np.where(x > high[codes], np.inf, inside))
+            pairs, n = np.unique(np.stack([codes.astype(float), at]), axis=1, return_counts=True)
+            yield pa.record_batch([pa.array([names[int(c)] for c in pairs[0]], key_type), pa.array(pairs[1]), pa.array(n.astype(np.int64))], names=["key", "at", "n"])
+
+        default = {"low": -1.0 - SLACK, "high": 1.0 + SLACK, "centre": float("nan")}
+        return stored(_multiplied(made, float("-inf"), tile, schema, True).groupBy("key", "at").agg(F.sum("n").alias("n")), "counts")
+
+    def middle(counts: DataFrame) -> DataFrame:
+        """The places of the two middle ones of each key, and how many values stand there or between."""
+        w = W.partitionBy("key").orderBy("at")
+        rows = counts.withColumns({"upto": F.sum("n").over(w), "total": F.sum("n").over(W.partitionBy("key"))})
+        holds = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
+        first, second = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+        return rows.groupBy("key").agg(
+            F.first("total").alias("n"), F.max(F.when(holds(first), F.col("at"))).alias("one"), F.max(F.when(holds(second), F.col("at"))).alias("two"),
+            F.sum(F.when((F.col("upto") > first) & (F.col("upto") - F.col("n") <= second), F.col("n"))).alias("inside"),
+        )
+
+    width, inside = (4.0 if centres is not None else 2.0), None
+    while inside is None or (inside > SELECT_VALUES and width > SELECT_WIDTH):
+        found = stored(middle(counted(narrow, False)), "middle")
+        inside = found.agg(F.max("inside")).first()[0] or 0
+        width_of = F.col("step") * 2
+        steps = found.withColumn("step", F.lit(width / SELECT_BINS))
+        own = steps.select(F.col("key").alias("k"), (F.col("one") - width_of).alias("low"), (F.col("two") + width_of).alias("high"))
+        old = None if centres is None else centres.select(F.col("key").alias("kk"), "centre")
+        joined = own.withColumn("centre", F.lit(float("nan"))) if old is None else own.join(old.hint("merge"), F.col("k").eqNullSafe(F.col("kk"))).drop("kk")
+        narrow = stored(joined.select(F.col("k").alias("key"), "centre", "low", "high"), "limits")
+        width = narrow.agg(F.max(F.col("high") - F.col("low"))).first()[0] or 0.0
+    return middle(counted(narrow, True)).select("key", "n", ((F.col("one") + F.col("two")) / 2).alias("median"))
 
 
 def _best(score: np.ndarray, cap: int) -> np.ndarray:

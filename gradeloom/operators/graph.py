@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -134,6 +136,25 @@ def transitive_reduction(edges: DataFrame) -> DataFrame:
     raise RuntimeError("paths are longer than the bound on rounds")
 
 
+def greedy_matching(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs taken in ascending order (of a, then b), each if neither end has been taken before.
+
+    In rounds: a pair is taken if it is the least open one at both of its ends, then all pairs at these ends are closed. Every round
+    takes the least open pair at least. Pairs with a null end or two equal ends are left out.
+    """
+    open_, taken = stored(pairs.where(F.col(a) != F.col(b)).select(F.col(a).alias("a"), F.col(b).alias("b")).distinct(), "open"), []
+    while open_.limit(1).count():
+        ends = open_.select(F.explode(F.array("a", "b")).alias("end"), F.struct("a", "b").alias("pair"))
+        least = ends.groupBy("end").agg(F.min("pair").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).where("n = 2")
+        taken.append(stored(least.select("pair.*"), "taken"))
+        used = stored(taken[-1].select(F.explode(F.array("a", "b")).alias("used")), "used")
+        for end in ("a", "b"):
+            open_ = open_.join(used.hint("merge"), F.col(end) == F.col("used"), "left_anti")
+        open_ = stored(open_, "open")
+    found = reduce(DataFrame.union, taken) if taken else open_
+    return found.select(F.col("a").alias(a), F.col("b").alias(b))
+
+
 def mark_corequisites(edges: DataFrame, kept: DataFrame) -> DataFrame:
     """Edges that exist both ways, neither of which the reduction removed, are corequisites."""
     both = kept.join(kept.select(F.col("dependent").alias("prerequisite"), F.col("prerequisite").alias("dependent")), ["prerequisite", "dependent"], "left_semi")

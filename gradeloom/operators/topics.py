@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from gradeloom.session import stored
 
+from .graph import greedy_matching
 from .joins import topic_helps
-from .vectors import components, geometric_median
+from .vectors import geometric_median
 
 LIVE = ("embryonic", "forming", "stable")
 
@@ -223,19 +224,8 @@ def merge_topics(members: DataFrame, help_map: DataFrame, topics: DataFrame, tau
     there = mean.select(F.col("topic_id").alias("topic_a"), F.col("other").alias("topic_b"), F.col("mean").alias("there"))
     back = mean.select(F.col("topic_id").alias("topic_b"), F.col("other").alias("topic_a"), F.col("mean").alias("back"))
     pairs = stored(pairs.join(there, ["topic_a", "topic_b"]).join(back, ["topic_a", "topic_b"]).where((F.col("there") + F.col("back")) / 2 >= least_affinity).select("topic_a", "topic_b"), "pairs")
-    ids = pairs.select(F.explode(F.array("topic_a", "topic_b")).alias("id")).distinct()
-    groups = components(pairs, ids, "topic_a", "topic_b").select(F.col("id").alias("topic_a"), "component")
-
-    def ordered(group: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        out = []
-        for x, y in sorted(zip(group["topic_a"], group["topic_b"])):
-            if x not in used and y not in used:
-                used |= {x, y}
-                out.append((x, y, f"{x}_m{y}"))
-        return pd.DataFrame(out, columns=["topic_a", "topic_b", "merged"])
-
-    return pairs.join(groups, "topic_a").groupBy("component").applyInPandas(ordered, "topic_a string, topic_b string, merged string")
+    found = greedy_matching(pairs, "topic_a", "topic_b")
+    return found.select("topic_a", "topic_b", F.concat("topic_a", F.lit("_m"), "topic_b").alias("merged"))
 
 
 def redistribute(members: DataFrame, help_map: DataFrame, topics: DataFrame, least: float = 0.1) -> DataFrame:

@@ -6,6 +6,8 @@ size; they multiply packed groups of vectors that can reach the wanted score (``
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -163,27 +165,89 @@ def cluster_stats(vectors: DataFrame, clusters: DataFrame) -> DataFrame:
     return rows.select("cluster", "id", F.bround("strength", 3).alias("strength"), nth.alias("nth"), cohesion.alias("cohesion")).withColumn("representative", F.col("nth") <= 3)
 
 
+#: Rows of a group whose median one task works out; larger groups are spread over tasks.
+LOCAL_ROWS = 4_096
+
+
+def _weiszfeld(points: np.ndarray, weight: np.ndarray, centre: np.ndarray, tolerance: float) -> tuple[np.ndarray, float, np.ndarray | None]:
+    """Sums of one pass: of pulled points, of pulls, and the nearest point if it is within the tolerance."""
+    away = np.linalg.norm(points - centre, axis=1)
+    if (away < tolerance).any():
+        return np.zeros(len(centre)), 0.0, points[away.argmin()]
+    pull = weight / away
+    return pull @ points, float(pull.sum()), None
+
+
 def geometric_median(rows: DataFrame, key: str, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
-    """Weighted geometric median of each group's vectors (groups of few members), Weiszfeld's iteration."""
+    """``(key, median)``: weighted geometric median of each group's vectors, by Weiszfeld's iteration from the weighted mean.
+
+    A group of up to ``LOCAL_ROWS`` rows is one task's work. Larger ones are spread over all tasks: a round is one pass that sums up
+    each task's pulls, and groups that have settled drop out. A group ends early at a point within the tolerance of its centre.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    rows = rows.select(key, "vector", F.col("weight").cast("double").alias("weight"))
 
     def median(group: pd.DataFrame) -> pd.DataFrame:
         points, weight = np.stack(group["vector"].to_numpy()).astype(float), group["weight"].to_numpy(float)
         centre = np.average(points, axis=0, weights=weight)
         for _ in range(rounds):
-            away = np.linalg.norm(points - centre, axis=1)
-            if (away < tolerance).any():
-                centre = points[away.argmin()]
-                break
-            pull = weight / away
-            moved = (points * pull[:, None]).sum(axis=0) / pull.sum()
-            settled = np.linalg.norm(moved - centre) < tolerance
+            pulled, pull, at = _weiszfeld(points, weight, centre, tolerance)
+            moved = pulled / pull if at is None else at
+            settled = at is not None or np.linalg.norm(moved - centre) < tolerance
             centre = moved
             if settled:
                 break
         return pd.DataFrame({key: [group[key].iloc[0]], "median": [centre.tolist()]})
 
+    large = stored(rows.groupBy(F.col(key).alias("large")).agg(F.count("*").alias("n")).where(F.col("n") > LOCAL_ROWS), "large")
+    same = F.col(key).eqNullSafe(F.col("large"))
+    small = rows.join(large.hint("merge"), same, "left_anti").groupBy(key).applyInPandas(median, f"{key} {kind}, median array<double>")
+    if not large.limit(1).count():
+        return small
+    held = stored(rows.join(large.hint("merge"), same, "left_semi"), "rows")
+    return small.union(_spread_medians(held, key, rounds, tolerance))
+
+
+def _spread_medians(rows: DataFrame, key: str, rounds: int, tolerance: float) -> DataFrame:
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "vector", "weight").groupBy(key).applyInPandas(median, f"{key} {kind}, median array<double>")
+    sums = f"{key} {kind}, pulled array<double>, pull double, at array<double>, away double"
+
+    def passed(batches):
+        """A task's sums of each group; a missing centre asks for the weighted mean."""
+        for batch in batches:
+            for _, group in batch.groupby(key, dropna=False, sort=False):
+                points, weight = np.stack(group["vector"].to_numpy()).astype(float), group["weight"].to_numpy(float)
+                centre, at, away = group["centre"].iloc[0], None, np.nan
+                if centre is None:
+                    pulled, pull = weight @ points, float(weight.sum())
+                else:
+                    pulled, pull, at = _weiszfeld(points, weight, np.asarray(centre, float), tolerance)
+                    away = np.nan if at is None else float(np.linalg.norm(at - np.asarray(centre, float)))
+                yield pd.DataFrame({key: [group[key].iloc[0]], "pulled": [pulled.tolist()], "pull": [pull], "at": [None if at is None else at.tolist()], "away": [away]})
+
+    def after(centres: DataFrame) -> DataFrame:
+        found = rows.join(centres.select(F.col(key).alias("of"), "centre").hint("merge"), F.col(key).eqNullSafe(F.col("of"))).drop("of")
+        each = found.mapInPandas(passed, sums)
+        nearest = each.groupBy(key).agg(F.min(F.when(F.col("at").isNotNull(), F.struct("away", "at")))["at"].alias("at"))
+        parts = each.where("pull > 0").select(key, "pull", F.posexplode("pulled").alias("place", "x")).groupBy(key, "place").agg((F.sum("x") / F.sum("pull")).alias("x"))
+        moved = parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("moved"))
+        joined = nearest.join(moved.select(F.col(key).alias("of"), "moved").hint("merge"), F.col(key).eqNullSafe(F.col("of")), "left")
+        was = centres.select(F.col(key).alias("was_of"), F.col("centre").alias("was"))
+        joined = joined.join(was.hint("merge"), F.col(key).eqNullSafe(F.col("was_of")))
+        step = F.sqrt(F.aggregate(F.zip_with("moved", "was", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+        settled = F.coalesce(F.col("at").isNotNull() | (step < tolerance), F.lit(False))
+        return stored(joined.select(key, F.coalesce("at", "moved").alias("centre"), settled.alias("settled")), "centres")
+
+    none = F.lit(None).cast("array<double>").alias("centre")
+    centres, done = after(stored(rows.select(key).distinct().select(key, none), "centres")), []
+    for _ in range(rounds):
+        centres = after(centres)
+        done.append(centres.where("settled"))
+        centres = centres.where("not settled")
+        if not centres.limit(1).count():
+            break
+    done.append(centres)
+    return reduce(DataFrame.union, done).select(key, F.col("centre").alias("median"))
 
 
 def outlier_qas(vectors: DataFrame, least: int = 5, sigmas: float = 2.0, floor: float = 0.25, flat: float = 0.01) -> DataFrame:
@@ -239,21 +303,13 @@ def topic_merge_plan(topics: DataFrame, tau: float = 0.85, ambiguous: float = 0.
     pairs = stored(cosine_pairs(topics.select(F.col("topic").alias("id"), "vector"), ambiguous), "pairs")
     sized = topics.select("topic", "n")
     strong = pairs.where(F.col("cosine") >= tau).join(sized.select(F.col("topic").alias("a"), F.col("n").alias("n_a")), "a").join(sized.select(F.col("topic").alias("b"), F.col("n").alias("n_b")), "b")
-    groups = components(strong, topics.select(F.col("topic").alias("id"))).select(F.col("id").alias("a"), "component")
-
-    def ordered(group: pd.DataFrame) -> pd.DataFrame:
-        merged: dict[str, str] = {}
-        for a, rows in group.sort_values(["a", "b"]).groupby("a", sort=True):
-            if a in merged:
-                continue
-            for b, n_a, n_b in zip(rows["b"], rows["n_a"], rows["n_b"]):
-                if b not in merged:
-                    loser, winner = (a, b) if n_a < n_b else (b, a)
-                    merged[loser] = winner
-        return pd.DataFrame({"loser": list(merged), "winner": list(merged.values())}, dtype=object)
-
-    plan = strong.join(groups, "a").groupBy("component").applyInPandas(ordered, "loser string, winner string")
-    return plan, pairs.where(F.col("cosine") < tau)
+    strong = stored(strong, "strong")
+    # A topic's row is taken unless an earlier taken row of no smaller topic is near it; the first such row takes the topic in.
+    leads = stored(greedy_leaders(strong.where("n_a >= n_b"), topics.select(F.col("topic").alias("id"))), "leads")
+    into_first = leads.where("id <> leader").select(F.col("id").alias("loser"), F.col("leader").alias("winner"))
+    rows = strong.where("n_a < n_b").join(leads.where("id = leader").select(F.col("id").alias("a")), "a")
+    rows = rows.join(leads.select(F.col("id").alias("b"), "leader"), "b").where("leader = b or leader >= a")
+    return into_first.union(rows.groupBy(F.col("a").alias("loser")).agg(F.max("b").alias("winner"))), pairs.where(F.col("cosine") < tau)
 
 
 def apply_merge_verdicts(judged: DataFrame) -> DataFrame:
@@ -267,14 +323,17 @@ def apply_merge_verdicts(judged: DataFrame) -> DataFrame:
 
 
 def kp_thresholds(members: DataFrame, floor: float = 0.50) -> DataFrame:
-    """Similarity a question needs to join a point: median less MAD of its members' cosines, floor at least."""
-    other = members.select("kp_id", F.col("id").alias("b"), F.col("vector").alias("vector_b"))
-    sims = members.join(other.hint("merge"), "kp_id").where("id < b").select("kp_id", dot("vector", "vector_b").alias("sim"))
-    middle = sims.groupBy("kp_id").agg(F.median("sim").alias("median"))
-    apart = sims.join(middle, "kp_id").groupBy("kp_id").agg(F.first("median").alias("median"), F.median(F.abs(F.col("sim") - F.col("median"))).alias("mad"))
+    """Similarity a question needs to join a point: median less MAD of its members' cosines, floor at least.
+
+    The members' pairs are counted, not made: see ``cells.medians_within``. Members without a whole vector have no pairs.
+    """
+    made = cells.build(members.select("id", unit(F.col("vector").cast("array<double>")).alias("vector"), "kp_id"), within="kp_id")
+    middle = stored(cells.medians_within(made), "medians")
+    away = cells.medians_within(made, middle.select("key", F.col("median").alias("centre"))).select(F.col("key").alias("of"), F.col("median").alias("mad"))
+    found = middle.join(away.hint("merge"), F.col("key").eqNullSafe(F.col("of"))).select("key", "median", "mad")
     sizes = members.groupBy("kp_id").agg(F.count("*").alias("n"))
     value = F.when(F.col("n") >= 3, F.greatest(F.lit(floor), F.col("median") - F.col("mad"))).otherwise(floor)
-    return sizes.join(apart, "kp_id", "left").select("kp_id", "n", value.alias("threshold"))
+    return sizes.join(found.hint("merge"), F.col("kp_id").eqNullSafe(F.col("key")), "left").select("kp_id", "n", value.alias("threshold"))
 
 
 def apply_signals(kps: DataFrame, signals: DataFrame) -> DataFrame:
