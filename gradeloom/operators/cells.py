@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,7 +100,7 @@ def _placed(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     return vectors.mapInArrow(place, f"{kinds}, width int, cell int, angle double, size double")
 
 
-def build(vectors: DataFrame, within: str | None = None, pivots: dict[int, np.ndarray] | None = None, home: str | None = None, size: int | None = None, after: int = 0) -> Cells:
+def build(vectors: DataFrame, within: str | None = None, pivots: dict[int, np.ndarray] | None = None, home: str | None = None, size: int | None = None, after: int = 0, mode: str = "append") -> Cells:
     """Groups of ``vectors(id, vector)``; with ``within``, groups follow that column's values instead of cells, small ones together
     and large ones in several. No pivots (an empty dict) is groups of rows as they come, without a shuffle and without bounds. ``home`` is a folder that the groups are added to, a folder for each cell; numbers of groups follow ``after``."""
     key = F.col(within) if within else F.lit(0)
@@ -157,7 +158,7 @@ def build(vectors: DataFrame, within: str | None = None, pivots: dict[int, np.nd
     packed = dealt.mapInArrow(pack, f"group long, {_GROUP}, ids array<{rows.schema['id'].dataType.simpleString()}>, keys array<{rows.schema['key'].dataType.simpleString()}>, rows binary")
     if home is None:
         return Cells(stored(packed, "groups"), pivots)
-    packed.write.mode("append").partitionBy("cell").parquet(f"{home}/groups")
+    packed.write.mode(mode).partitionBy("cell").parquet(f"{home}/groups")
     return Cells(vectors.sparkSession.read.schema(packed.schema).parquet(f"{home}/groups"), pivots)
 
 
@@ -207,6 +208,14 @@ def group_pairs(cells: Cells, tau: float) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def dot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Scores of two blocks of rows; the only kernel that the bounds are for."""
+    return left @ right.T
+
+
 def _rows(row: dict) -> np.ndarray:
     return np.frombuffer(row["rows"], float).reshape(row["n"], row["width"])
 
@@ -220,11 +229,11 @@ def _codes(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
 Tile = Callable[[dict, dict, int, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]
 
 
-def _multiplied(cells: Cells, tau: float, tile: Tile, schema: str, within: bool) -> DataFrame:
+def _multiplied(cells: Cells, tau: float, tile: Tile, schema: str, within: bool, kernel: Kernel = dot) -> DataFrame:
     """What ``tile`` gives for the products of every pair of groups that may reach tau: of (rows of) a group, its partner, the first
     of the rows, the products, and the mask of pairs that count: each once, and of one key, with ``within``."""
     n = cells.groups.count()
-    pairs = group_pairs(cells, tau)
+    pairs = group_pairs(cells, tau if kernel is dot else float("-inf"))
     body = ["width", "n", "ids", "keys", "rows", *(["limits"] if "limits" in cells.groups.columns else [])]
     groups = cells.groups.select("group", *body)
     owners = pairs.groupBy("owner", "part").agg(F.max((F.col("owner") == F.col("other")).cast("int")).alias("own"))
@@ -243,7 +252,7 @@ def _multiplied(cells: Cells, tau: float, tile: Tile, schema: str, within: bool)
             codes = _codes(head["keys"], row["keys"]) if within else None
             step = max(1, TILE_CELLS // max(1, len(right)))
             for first in range(0, len(left), step):
-                score = left[first : first + step] @ right.T
+                score = kernel(left[first : first + step], right)
                 counts = np.ones(score.shape, bool)
                 if row["other"] is None:  # each pair of a group once
                     counts = np.arange(len(right))[None, :] > np.arange(first, first + len(score))[:, None]
@@ -254,8 +263,9 @@ def _multiplied(cells: Cells, tau: float, tile: Tile, schema: str, within: bool)
     return dealt.mapInArrow(multiply, schema)
 
 
-def pairs_at_least(cells: Cells, tau: float, within: bool = False) -> DataFrame:
-    """``(x, y, score)`` for all pairs of rows whose product is at least tau, each once in some order; of one key, with ``within``."""
+def pairs_at_least(cells: Cells, tau: float, within: bool = False, kernel: Kernel = dot) -> DataFrame:
+    """``(x, y, score)`` for all pairs of rows whose score is at least tau, each once in some order; of one key, with ``within``.
+    The kernel is symmetric; with another one than the product every pair of groups is looked at."""
     id_type = to_arrow_type(cells.groups.schema["ids"].dataType.elementType)
 
     def tile(head: dict, row: dict, first: int, score: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -264,7 +274,7 @@ def pairs_at_least(cells: Cells, tau: float, within: bool = False) -> DataFrame:
             yield pa.record_batch([pa.array([head["ids"][first + k] for k in i], id_type), pa.array([row["ids"][k] for k in j], id_type), pa.array(score[i, j])], names=["x", "y", "score"])
 
     kind = cells.groups.schema["ids"].dataType.elementType.simpleString()
-    return stored(_multiplied(cells, tau, tile, f"x {kind}, y {kind}, score double", within), "scores")
+    return stored(_multiplied(cells, tau, tile, f"x {kind}, y {kind}, score double", within, kernel), "scores")
 
 
 #: Bins of a round of selection, values that end the rounds, and the width of a range that does.
@@ -392,7 +402,7 @@ def _asked(cells: Cells, queries: DataFrame, cap: int, first_round: bool) -> Dat
     return spark.read.schema(schema).parquet(path)
 
 
-def _answered(cells: Cells, asked: DataFrame, cap: int) -> DataFrame:
+def _answered(cells: Cells, asked: DataFrame, cap: int, kernel: Kernel) -> DataFrame:
     """``(query_id, id, score)``: the best ``cap`` rows of each group for each query that asks it. Only the cells asked are read."""
     kind, id_kind = (t.elementType for t in (asked.schema["query_ids"].dataType, cells.groups.schema["ids"].dataType))
     needed = [r[0] for r in asked.select("cell").distinct().collect()]  # as many as there are pivots at most
@@ -405,15 +415,16 @@ def _answered(cells: Cells, asked: DataFrame, cap: int) -> DataFrame:
             right = np.frombuffer(row["rows"], float).reshape(row["m"], row["width"])
             step = max(1, TILE_CELLS // max(1, len(right)))
             for first in range(0, len(left), step):
-                score = left[first : first + step] @ right.T
+                score = kernel(left[first : first + step], right)
                 i, j = np.nonzero(_best(score, cap))
                 yield pa.record_batch([pa.array([row["query_ids"][first + k] for k in i], to_arrow_type(kind)), pa.array([row["ids"][k] for k in j], to_arrow_type(id_kind)), pa.array(score[i, j])], names=["query_id", "id", "score"])
 
     return stored(pairs.mapInArrow(answer, f"query_id {kind.simpleString()}, id {id_kind.simpleString()}, score double"), "answers")
 
 
-def best_rows(cells: Cells, queries: DataFrame, cap: int) -> DataFrame:
-    """``(query_id, id, score, nth)``: exactly the ``cap`` best rows for each of ``queries(query_id, vector)``, ties by id.
+def best_rows(cells: Cells, queries: DataFrame, cap: int, kernel: Kernel = dot) -> DataFrame:
+    """``(query_id, id, score, nth)``: exactly the ``cap`` best rows for each of ``queries(query_id, vector)``, ties by id; with another
+    kernel than the product the cells are without pivots.
 
     The groups with the best bounds are searched first; all others whose bound does not stay below a query's ``cap``-th score
     follow. Repeated query ids are one query with the vectors' results together.
@@ -421,12 +432,12 @@ def best_rows(cells: Cells, queries: DataFrame, cap: int) -> DataFrame:
     asked = stored(queries.where(whole()).select("query_id", "vector"), "queries")
     asked = asked.repartition(max(1, -(-asked.count() // QUERY_ROWS)))
     nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    first = _answered(cells, _asked(cells, asked.withColumn("kth", F.lit(0.0)), cap, True), cap)
+    first = _answered(cells, _asked(cells, asked.withColumn("kth", F.lit(0.0)), cap, True), cap, kernel)
     if not cells.pivots:
         return first.withColumn("nth", nth).where(F.col("nth") <= cap)
     so_far = first.withColumn("nth", nth).where(F.col("nth") == cap).select(F.col("query_id").alias("q"), F.col("score").alias("kth"))
     limits = asked.join(so_far.hint("merge"), F.col("query_id").eqNullSafe(F.col("q")), "left").select("query_id", "vector", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
-    second = _answered(cells, _asked(cells, stored(limits, "limits"), cap, False), cap)
+    second = _answered(cells, _asked(cells, stored(limits, "limits"), cap, False), cap, kernel)
     return first.union(second).withColumn("nth", nth).where(F.col("nth") <= cap)
 
 
@@ -435,19 +446,30 @@ def open_index(spark: SparkSession, home: str) -> Cells:
     pivots: dict[int, list] = {}
     for row in spark.read.parquet(f"{home}/pivots").orderBy("width", "nth").collect():  # MOST_PIVOTS at most
         pivots.setdefault(row.width, []).append(row.vector)
-    return Cells(spark.read.parquet(f"{home}/groups"), {w: np.array(v) for w, v in pivots.items()})
+    schema = spark.read.parquet(f"{home}/schema").schema  # there may be no group yet
+    return Cells(spark.read.schema(schema).parquet(f"{home}/groups"), {w: np.array(v) for w, v in pivots.items()})
+
+
+def is_index(spark: SparkSession, home: str) -> bool:
+    try:
+        return not spark.read.parquet(f"{home}/made").isEmpty()
+    except AnalysisException:
+        return False
 
 
 def create_index(vectors: DataFrame, home: str) -> Cells:
-    """A search index of ``vectors(id, vector)`` in the folder ``home``; no two rows have one id."""
+    """A search index of ``vectors(id, vector)`` in the folder ``home``; rows of one id are one row, the least vector."""
     spark = vectors.sparkSession
-    rows = stored(vectors.where(whole()).select("id", "vector"), "rows")
+    rows = stored(vectors.where(whole()).groupBy("id").agg(F.min("vector").alias("vector")), "rows")
     n = rows.count()
     size = max(LEAST_ROWS, min(MOST_ROWS, n // 32))
     pivots = _pivots(rows, min(MOST_PIVOTS, n // size + 1))
     flat = [(w, k, v.tolist()) for w, p in pivots.items() for k, v in enumerate(p)]
-    spark.createDataFrame(flat, "width int, nth int, vector array<double>").write.parquet(f"{home}/pivots")
-    return build(rows, pivots=pivots, home=home)
+    spark.createDataFrame(flat, "width int, nth int, vector array<double>").write.mode("overwrite").parquet(f"{home}/pivots")
+    made = build(rows, pivots=pivots, home=home, mode="overwrite")
+    made.groups.limit(0).write.mode("overwrite").parquet(f"{home}/schema")
+    spark.range(1).write.parquet(f"{home}/made")  # an index that was broken off before is made anew by its caller
+    return made
 
 
 def append_index(vectors: DataFrame, home: str) -> Cells:

@@ -123,7 +123,7 @@ def transitive_reduction(edges: DataFrame) -> DataFrame:
     front = edges.join(step.withColumnRenamed("node", "prerequisite").withColumnRenamed("next", "node"), "prerequisite").where("node <> dependent and node <> prerequisite")
     seen = front = stored(front.select("prerequisite", "dependent", "node").distinct(), "front")
     redundant = None
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round adds to what has been seen, or ends
         reached = front.join(step, "node").where("next <> prerequisite")
         found = reached.where("next = dependent").select("prerequisite", "dependent").distinct()
         redundant = stored(found if redundant is None else redundant.union(found).distinct(), "redundant")
@@ -133,7 +133,6 @@ def transitive_reduction(edges: DataFrame) -> DataFrame:
         if not front.limit(1).count():
             return edges.join(redundant, ["prerequisite", "dependent"], "left_anti")
         seen = stored(seen.union(front), "seen")
-    raise RuntimeError("paths are longer than the bound on rounds")
 
 
 def greedy_matching(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from gradeloom.operators import cells
 from gradeloom.session import stored
 
-MAX_ROUNDS = 100
-
 
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -37,6 +35,14 @@ def unit(a: Column) -> Column:
     return F.when(size > 0, F.transform(a, lambda x: x / size)).otherwise(a)
 
 
+def similar_pairs(vectors: DataFrame, tau: float, encoder: str) -> DataFrame:
+    """``(a, b, similarity)`` of at least tau by the encoder's own comparison; all pairs are compared."""
+    from gradeloom.functions.extension import encoder_of
+
+    found = cells.pairs_at_least(cells.build(vectors, pivots={}), tau, kernel=encoder_of(encoder).kernel).where("x <> y")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("score").alias("similarity"))
+
+
 def cosine_pairs(vectors: DataFrame, tau: float) -> DataFrame:
     """``(a, b, cosine)`` for pairs a < b of ``vectors(id, vector)`` with a cosine of at least tau: all of them.
 
@@ -50,11 +56,15 @@ def _with_limit(best: DataFrame, tau: float, min_k: int) -> DataFrame:
     return best.where((F.col("score") >= tau) | (F.col("nth") <= min_k))
 
 
-def search(corpus: DataFrame, queries: DataFrame, tau: float = 0.5, min_k: int = 3, cap: int = 15) -> DataFrame:
+def search(corpus: DataFrame, queries: DataFrame, tau: float = 0.5, min_k: int = 3, cap: int = 15, encoder: str | None = None) -> DataFrame:
     """Best ``cap`` rows of the corpus for each query: those of tau or more, and the first ``min_k`` anyway. Exact; ties by id.
 
-    One pass over all rows; for repeated searches of one corpus see ``search_index``."""
-    return _with_limit(cells.best_rows(cells.build(corpus, pivots={}), queries, cap), tau, min_k)
+    Compared by inner products, or as a registered encoder compares. One pass over all rows; for repeated searches of one corpus
+    see ``search_index``."""
+    from gradeloom.functions.extension import encoder_of
+
+    kernel = cells.dot if encoder is None else encoder_of(encoder).kernel
+    return _with_limit(cells.best_rows(cells.build(corpus, pivots={}), queries, cap, kernel), tau, min_k)
 
 
 def search_index(home: str, queries: DataFrame, tau: float = 0.5, min_k: int = 3, cap: int = 15) -> DataFrame:
@@ -138,7 +148,7 @@ def components(pairs: DataFrame, ids: DataFrame, a: str = "a", b: str = "b") ->
     the labels' labels; every round is written to the shared folder."""
     both = stored(pairs.select(F.col(a).alias("id"), F.col(b).alias("other")).union(pairs.select(F.col(b), F.col(a))).distinct(), "edges")
     labels = stored(ids.select("id", F.col("id").alias("component")).distinct(), "labels")
-    for _ in range(MAX_ROUNDS):
+    while True:  # the least label of a component spreads in every round
         near = both.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("near"))
         step = labels.join(near, "id", "left").select("id", F.least("component", "near").alias("component"), F.col("component").alias("before"))
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("beyond"))
@@ -146,7 +156,6 @@ def components(pairs: DataFrame, ids: DataFrame, a: str = "a", b: str = "b") ->
         labels = step.select("id", "component")
         if not step.where("component <> before").limit(1).count():
             return labels
-    raise RuntimeError("labels did not settle")
 
 
 def _mean_vectors(rows: DataFrame, key: str) -> DataFrame:
@@ -363,9 +372,16 @@ def decay_and_promote(kps: DataFrame, members: DataFrame, rate: float = 0.95, le
     )
 
 
-def compare_kps(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+def compare_kps(vectors: DataFrame, pairs: DataFrame, encoder: str | None = None) -> DataFrame:
+    """``(a, b, cosine)`` of stated pairs, or ``(a, b, similarity, method)`` as a registered encoder compares."""
+    from gradeloom.functions.extension import encoder_of
+
     left, right = (vectors.select(F.col("id").alias(k), F.col("vector").alias(f"vector_{k}")) for k in ("a", "b"))
-    return pairs.hint("merge").join(left, "a").join(right.hint("merge"), "b").select("a", "b", cosine("vector_a", "vector_b").alias("cosine"))
+    rows = pairs.hint("merge").join(left, "a").join(right.hint("merge"), "b")
+    if encoder is None:
+        return rows.select("a", "b", cosine("vector_a", "vector_b").alias("cosine"))
+    own = encoder_of(encoder)
+    return rows.select("a", "b", own.compare(F.col("vector_a"), F.col("vector_b")).alias("similarity"), F.lit(own.method).alias("method"))
 
 
 def place_qa(scores: DataFrame, kps: DataFrame, least: float = 0.3, most: int = 50) -> DataFrame:

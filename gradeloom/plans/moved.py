@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gradeloom.operators import topics as top
+from gradeloom.operators import vectors as vec
 from gradeloom.plans import query
 from gradeloom.plans.linked import uses
 from gradeloom.session import scratch_path, stored
@@ -63,31 +64,44 @@ def o6_topic_stats(t):
     return rows.select("topic_id", "mass", F.bround("cohesion", 6).alias("cohesion"), F.bround("stability", 6).alias("stability"), "quality")
 
 
-def _cliques(part):
-    """Fragments of ``P`` topics help in two separate camps, so that a split shows."""
-    parts = part.select(F.format_string("f_%04d", "p_partkey").alias("fragment_id"), F.concat(F.lit("topic_"), (F.col("p_partkey") % 20).cast("string")).alias("topic_id"), "p_partkey")
+def _cliques(part, shared=False):
+    """Twenty topics of about twenty fragments for each 400 parts. The fragments of a topic help in two separate camps, so that a split
+    shows; with ``shared``, four topics help nearly the same questions, each shifted a little."""
+    no = F.floor(F.col("p_partkey") / 400) * 20 + F.col("p_partkey") % 20
+    parts = part.select(F.format_string("f_%04d", "p_partkey").alias("fragment_id"), no.alias("no"), (F.floor(F.col("p_partkey") / 20) % 2 * 100).alias("camp"))
+    parts = parts.withColumn("topic_id", F.format_string("topic_%04d", "no"))
     members = parts.select("fragment_id", "topic_id", F.lit(None).cast("string").alias("previous_topic_id"))
-    camp = (F.floor(F.col("p_partkey") / 20) % 2) * 100
-    help_map = parts.select("fragment_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"), camp.alias("camp"), (F.col("p_partkey") % 20 * 1000).alias("base")).select("fragment_id", (F.col("base") + F.col("camp") + F.col("k")).alias("helped_qa_id"), F.lit(0.8).alias("help_effect"))
+    base = F.floor(F.col("no") / 4) * 1000 + F.col("no") % 3 if shared else F.col("no") * 1000
+    help_map = parts.select("fragment_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"), "camp", base.alias("base")).select("fragment_id", (F.col("base") + F.col("camp") + F.col("k")).alias("helped_qa_id"), F.lit(0.8).alias("help_effect"))
     help_map = stored(help_map, "help")
     topics = members.select("topic_id", F.lit("forming").alias("quality"), F.lit(0.5).alias("cohesion")).distinct()
     return help_map, members, topics
 
 
-@query("""WITH f AS (SELECT printf('f_%04d', p_partkey) AS fragment_id, 'topic_' || (p_partkey % 20) AS topic_id, p_partkey // 20 % 2 AS camp FROM part)
+_PARTS = "f AS (SELECT printf('f_%04d', p_partkey) AS fragment_id, p_partkey // 400 * 20 + p_partkey % 20 AS no, printf('topic_%04d', p_partkey // 400 * 20 + p_partkey % 20) AS topic_id, p_partkey // 20 % 2 AS camp FROM part)"
+
+
+@query(f"""WITH {_PARTS}
 SELECT fragment_id, topic_id, topic_id || CASE WHEN camp = first_value(camp) OVER (PARTITION BY topic_id ORDER BY fragment_id) THEN '_a' ELSE '_b' END AS part
-FROM f QUALIFY count(*) OVER (PARTITION BY topic_id) >= 6""")
+FROM f QUALIFY least(count(*) FILTER (camp = 0) OVER (PARTITION BY topic_id), count(*) FILTER (camp = 1) OVER (PARTITION BY topic_id)) >= 3""")
 def o7_split_topics(t):
     help_map, members, topics = _cliques(t("part"))
     return top.split_topics(members, help_map, topics)
 
 
-@query("""WITH f AS (SELECT DISTINCT 'topic_' || (p_partkey % 20) AS topic_id, p_partkey % 2 AS side FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY topic_id) AS nth FROM f)
-SELECT a.topic_id AS topic_a, b.topic_id AS topic_b, a.topic_id || '_m' || b.topic_id AS merged FROM r a JOIN r b ON a.side = b.side AND a.nth % 2 = 1 AND b.nth = a.nth + 1""")
+@query(f"""WITH RECURSIVE {_PARTS}, h AS (SELECT fragment_id, topic_id, no // 4 * 1000 + no % 3 + camp * 100 + unnest([1, 2, 3, 4]) AS q FROM f),
+helps AS (SELECT DISTINCT topic_id, q FROM h), n AS (SELECT topic_id, count(*) AS n FROM helps GROUP BY 1), size AS (SELECT topic_id, count(*) AS m FROM f GROUP BY 1), own AS (SELECT fragment_id, any_value(topic_id) AS topic_id, count(*) AS own FROM h GROUP BY 1),
+both_ AS (SELECT a.topic_id AS a, b.topic_id AS b, count(*) AS common FROM helps a JOIN helps b ON a.q = b.q AND a.topic_id < b.topic_id GROUP BY 1, 2),
+near AS (SELECT a, b FROM both_ JOIN n x ON x.topic_id = a JOIN n y ON y.topic_id = b WHERE common >= 0.5 * (x.n + y.n - common)),
+aff AS (SELECT fragment_id, h.topic_id, t.topic_id AS other, count(*) AS common FROM h JOIN helps t USING (q) GROUP BY 1, 2, 3),
+mean AS (SELECT aff.topic_id, other, sum(common / CAST(least(own, n) AS DOUBLE)) / any_value(m) AS mean FROM aff JOIN own USING (fragment_id) JOIN n ON n.topic_id = other JOIN size ON size.topic_id = aff.topic_id GROUP BY 1, 2),
+pairs AS (SELECT a, b, row_number() OVER (ORDER BY a, b) AS nth FROM near JOIN mean x ON x.topic_id = a AND x.other = b JOIN mean y ON y.topic_id = b AND y.other = a WHERE (x.mean + y.mean) / 2 >= 0.4),
+walk AS (SELECT 0::BIGINT AS nth, CAST([] AS VARCHAR[]) AS used, false AS taken, '' AS a, '' AS b
+UNION ALL SELECT p.nth, CASE WHEN ok THEN list_concat(used, [p.a, p.b]) ELSE used END, ok, p.a, p.b FROM (SELECT p.*, used, NOT list_contains(used, p.a) AND NOT list_contains(used, p.b) AS ok FROM walk w JOIN pairs p ON p.nth = w.nth + 1) p)
+SELECT a AS topic_a, b AS topic_b, a || '_m' || b AS merged FROM walk WHERE taken""")
 def o8_merge_topics(t):
-    help_map, members, topics = _cliques(t("part"))
-    shared = help_map.withColumn("helped_qa_id", F.col("helped_qa_id") % 2000)
-    return top.merge_topics(members, shared, topics)
+    help_map, members, topics = _cliques(t("part"), shared=True)
+    return top.merge_topics(members, help_map, topics)
 
 
 @query(f"""WITH {_TOPICS}, gone AS (SELECT fragment_id, topic_id AS home FROM fx_membership JOIN tp USING (topic_id) WHERE quality = 'dissolved'),
@@ -186,7 +200,11 @@ def t5_assign_in_order(t):
         return events.run_to_table(events.assign_stream(_as_stream(events.arrivals(rows, papers=papers), "vectors"), floor=0.2), t.spark)
 
 
-@query("SELECT id FROM fx_vectors")
+@query("""WITH s AS (SELECT b.id AS query_id, a.id, list_dot_product(a.vector::DOUBLE[], b.vector::DOUBLE[]) AS score FROM fx_vectors a JOIN fx_vectors b ON b.id % 100 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM s)
+SELECT query_id, id, round_even(score, 5) AS score, nth FROM n WHERE nth <= 15 AND (score >= 0.5 OR nth <= 3)""")
 def t6_index_append(t):
+    """An index of every second vector takes in all of them from a stream, known ones for the second time; then it is searched."""
     rows = t("fx_vectors").select("id", "vector")
-    return events.index_stream(rows.where("id % 2 = 0"), _as_stream(rows, "index"))[0].select("id")
+    home = scratch_path(t.spark, "index")
+    events.index_stream(rows.where("id % 2 = 0"), _as_stream(rows, "vectors"), home)
+    return vec.search_index(home, rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")).withColumn("score", F.bround("score", 5))

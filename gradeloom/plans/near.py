@@ -30,12 +30,24 @@ def v2_search(t):
     return vec.search(t("fx_vectors"), queries).withColumn("score", F.bround("score", 5))
 
 
-@query()
+@query("""WITH c AS (SELECT id, vector::DOUBLE[] AS v, n_name AS topic, f.topic AS text, id + 1 AS qa_id FROM fx_vectors f JOIN nation ON n_nationkey = id % 25), q AS (SELECT id AS query_id, v, topic, text FROM c WHERE id % 100 = 0),
+d AS (SELECT query_id, c.id, list_dot_product(c.v, q.v) AS score FROM c, q), a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM d QUALIFY nth <= 30),
+tops AS (SELECT topic, id, row_number() OVER (PARTITION BY topic ORDER BY id) AS rank FROM c), adj AS (SELECT src_topic AS topic, dst_topic AS adjacent FROM fx_links UNION SELECT dst_topic, src_topic FROM fx_links),
+near AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY adjacent) AS nth FROM adj QUALIFY nth <= 5), seeds AS (SELECT DISTINCT query_id, qa_id FROM a JOIN c USING (id) WHERE nth <= 15),
+hb AS (SELECT DISTINCT query_id, qa_id, helped_qa_id FROM seeds JOIN fx_fragments USING (qa_id) JOIN fx_help ON fragment_id = point_id),
+walk AS (SELECT DISTINCT query_id, o.qa_id AS other FROM hb JOIN fx_help h USING (helped_qa_id) JOIN fx_fragments o ON o.point_id = h.fragment_id WHERE o.qa_id <> hb.qa_id),
+w AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS nth FROM walk JOIN c ON qa_id = other QUALIFY nth <= 30),
+b AS ((SELECT query_id, id FROM q JOIN tops USING (topic) WHERE rank <= 20 UNION SELECT query_id, id FROM q JOIN near USING (topic) JOIN tops ON tops.topic = adjacent AND rank <= 10 UNION SELECT query_id, id FROM w) EXCEPT SELECT query_id, id FROM a),
+beh AS (SELECT query_id, f.qa_id, least(count(*) / 10.0, 1.0) AS behavior FROM fx_fragments f JOIN fx_help ON fragment_id = point_id JOIN (SELECT DISTINCT query_id, helped_qa_id FROM hb) USING (helped_qa_id) GROUP BY 1, 2),
+r AS (SELECT query_id, id, score FROM a UNION ALL SELECT query_id, id, 0.0 FROM b),
+s AS (SELECT r.query_id, r.id, 0.35 * score + 0.35 * CASE WHEN q.topic = c.topic THEN 1.0 WHEN adjacent IS NOT NULL THEN 0.5 ELSE 0.0 END + 0.20 * coalesce(behavior, 0.0) + 0.10 * CASE WHEN q.text = c.text THEN 1.0 ELSE 0.0 END AS score
+  FROM r JOIN c USING (id) JOIN q ON q.query_id = r.query_id LEFT JOIN beh ON beh.query_id = r.query_id AND beh.qa_id = c.qa_id LEFT JOIN adj ON adj.topic = q.topic AND adjacent = c.topic)
+SELECT query_id, id, round_even(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS nth FROM s QUALIFY nth <= 15 AND (s.score >= 0.5 OR nth <= 3)""")
 def v3_search_dual(t):
     nation = t("nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("topic"))
     corpus = t("fx_vectors").select("id", "vector", (F.col("id") % 25).cast("int").alias("key"), F.col("topic").alias("text"), (F.col("id") + 1).alias("qa_id")).join(nation, "key")
     queries = corpus.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector", "topic", "text")
-    return vec.search_dual(corpus, queries, t("fx_links"), t("fx_fragments"), t("fx_help"))
+    return vec.search_dual(corpus, queries, t("fx_links"), t("fx_fragments"), t("fx_help")).withColumn("score", F.bround("score", 5))
 
 
 @query("""WITH w AS (SELECT p_partkey AS id, list_distinct(list_filter(string_split(lower(p_type || ' ' || p_name), ' '), lambda x: x <> '')) AS words FROM part)
@@ -195,8 +207,13 @@ def v24_topic_related(t):
 
 @query()
 def x1_register_encoder(t):
-    texts = t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return extension.encode(texts).select("doc_id", F.bround(vec.norm("vector"), 4).alias("size"), F.transform("vector", lambda x: F.bround(x.cast("double"), 4)).alias("vector"))
+    """Documents as vectors of the default encoder, and how like the next one each is by either registered comparison."""
+    texts = t("documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    pairs = texts.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    likes = [vec.compare_kps(extension.encode(texts, encoder=name), pairs, name) for name in ("hashing", "features")]
+    vectors = extension.encode(texts).select("id", F.transform("vector", lambda x: F.bround(x.cast("double"), 4)).alias("vector"))
+    cosine, overlap = (df.select(F.col("a").alias("id"), F.bround("similarity", 5).alias(df_name)) for df, df_name in zip(likes, ("cosine_next", "overlap_next")))
+    return vectors.join(cosine.hint("merge"), "id", "left").join(overlap.hint("merge"), "id", "left").withColumnRenamed("id", "doc_id")
 
 
 @query("SELECT id AS kp_id, 1.0 AS size FROM fx_vectors")

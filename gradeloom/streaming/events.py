@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from gradeloom.operators.upserts import insert_ignore, upsert_knowledge_state
+from gradeloom.operators import cells
+from gradeloom.operators.upserts import upsert_knowledge_state
 from gradeloom.session import scratch_path, stored
 from gradeloom.streaming.points import Members, Point, Points
 
@@ -264,11 +265,12 @@ def with_rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def index_append(index: DataFrame, new: DataFrame) -> DataFrame:
-    """The retrieval index with new rows; known ids are ignored."""
-    return insert_ignore(index, new, "id")
+def index_stream(first: DataFrame, stream: DataFrame, home: str) -> None:
+    """Add a stream ``(id, vector)`` to the search index in ``home``, which is made of ``first`` if there is none.
 
-
-def index_stream(index: DataFrame, stream: DataFrame, home: str | None = None) -> tuple[DataFrame, str]:
-    """``index_append`` by micro-batch: the index after the last one, and its folder."""
-    return fold_stream(stream, index, lambda now, batch: (index_append(now, batch),), home)
+    A micro-batch is searchable when its append has ended; known ids are ignored, so one that is run again adds nothing twice. A call
+    with the same ``home`` goes on where the last one ended.
+    """
+    if not cells.is_index(first.sparkSession, home):
+        cells.create_index(first, home)
+    _run(stream, lambda batch, number: cells.append_index(batch, home), f"{home}/state", "append")

@@ -218,14 +218,16 @@ def test_cycle_gate(spark):
     assert shut.centrality.count() == 12
 
 
-def test_folds_by_batch_and_restart(spark):
-    schema = "id long, vector array<double>"
-    path = scratch_path(spark, "fold")
-    index, home = spark.createDataFrame([(1, [1.0])], schema), None
-    for part in ([(1, [9.0]), (2, [2.0])], [(2, [9.0]), (3, [3.0])], []):
+def test_index_by_batch_and_restart(spark):
+    """An index without rows at first; known ids stay, each call goes on where the last one ended, every part can be searched."""
+    schema, home = "id long, vector array<double>", scratch_path(spark, "index")
+    path = scratch_path(spark, "stream")
+    first = spark.createDataFrame([], schema)
+    asked = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, vector array<double>")
+    for part, found in (([(1, [1.0, 0.0]), (1, [2.0, 0.0])], [1]), ([(2, [0.9, 0.1]), (1, [0.0, 9.0]), (3, None)], [1, 2]), ([], [1, 2]), ([(4, [3.0, 0.0])], [4, 1, 2])):
         spark.createDataFrame(part, schema).write.mode("append").parquet(path)
-        found, home = events.index_stream(index, spark.readStream.schema(schema).parquet(path), home)
-    assert sorted((r["id"], r["vector"]) for r in found.collect()) == [(1, [1.0]), (2, [2.0]), (3, [3.0])]
+        events.index_stream(first, spark.readStream.schema(schema).parquet(path), home)
+        assert [r.id for r in vectors.search_index(home, asked).orderBy("nth").collect()] == found
 
 
 def test_learner_states_by_batch(spark):
