@@ -1,5 +1,9 @@
 """The corpus pipeline: each stage takes (spark, docs, folder of tables) and returns a DataFrame.
 
+In every stage a null text counts as empty, which has no near copies and holds no benchmark item; a null or repeated doc_id
+changes nothing, as rows are told apart by file and place; extra columns of any name come along up to the last stage, which
+drops them and returns repeated rows each. An empty table stays empty.
+
 A stage's result is written as Parquet and read again as the next stage's ``docs``. All stages but
 the last return the columns of ``documents``; the last returns each remaining document's tokens.
 """
@@ -12,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm import byte_bpe, decontaminate, exact_dedup, ngram_join, toxicity
 from gradeloom.llm.folds import remainder
-from gradeloom.llm.locators import keyed, with_files, without_rows
+from gradeloom.llm.locators import Numbered
 from gradeloom.session import scratch_path
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -22,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model scores below one half; each row goes by its own text, whatever its id."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs.where(remainder(F.col("doc_id"), 5) != 0), labels.where(remainder(F.col("doc_id"), 5) != 0))
-    docs = with_files(docs)
-    return without_rows(docs, toxicity.scores(keyed(docs), model).where(F.col("score") >= 0.5).select("doc_id.file", "doc_id.row"))
+    rows = Numbered(docs)
+    return rows.without(toxicity.scores(rows.keyed(), model).where(F.col("score") >= 0.5).select(F.col("doc_id").alias("number")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +42,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; each row goes by its own text, whatever its id."""
-    docs = with_files(docs)
-    leaks = decontaminate.contaminated(keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without_rows(docs, leaks.select("doc_id.file", "doc_id.row").distinct())
+    rows = Numbered(docs)
+    leaks = decontaminate.contaminated(rows.keyed(), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.without(leaks.select(F.col("doc_id").alias("number")).distinct())
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.session import stored
@@ -31,11 +31,41 @@ def strategy(df: DataFrame, bound: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return df.hint("broadcast" if df.limit(bound + 1).count() <= bound else "merge")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text)`` of ``with_files(docs)``, with a struct for doc_id that names one row: null ids
-    come last, equal ids in the order they are stored."""
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *locators(docs))
-    return docs.select(key.alias("doc_id"), "text")
+#: Files of a table whose numbers are broadcast; rows of a file that a number can tell apart.
+MAX_FILES = 1_000_000
+ROW_BITS = 40
+
+
+class Numbered:
+    """The rows of a table by a long each: the number of the file, by path, and the place in it."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs = with_files(docs)
+        paths = stored(self.docs.select(self.docs.metadataColumn("_metadata")["file_path"].alias("path")).distinct(), "paths")
+        nth = F.row_number().over(Window.orderBy("path"))  # a row for each file
+        self.files = stored(paths.select("path", nth.cast("long").alias("nth")), "files")
+
+    def _with_number(self, *columns: Column) -> DataFrame:
+        at = self.docs.metadataColumn("_metadata")
+        number = (F.shiftleft(self.files["nth"], ROW_BITS) + at["row_index"]).alias("number")
+        return self.docs.join(strategy(self.files, MAX_FILES), at["file_path"] == self.files["path"]).select(*columns, number)
+
+    def keyed(self) -> DataFrame:
+        """``(doc_id, text)`` with the row's number for doc_id."""
+        return self._with_number(self.docs["text"]).select(F.col("number").alias("doc_id"), "text")
+
+    def ids(self) -> DataFrame:
+        """``(number, doc_id)``."""
+        return self._with_number(self.docs["doc_id"]).select("number", "doc_id")
+
+    def without(self, drop: DataFrame) -> DataFrame:
+        """The rows whose numbers aren't in ``drop(number)``, with all their columns."""
+        drop = stored(drop.select(F.col("number").alias("drop_number")), "drop")
+        at = self.docs.metadataColumn("_metadata")
+        gone = drop.join(self.files.hint("merge"), F.shiftright("drop_number", ROW_BITS) == F.col("nth"))
+        gone = stored(gone.select(F.col("path").alias("drop_path"), (F.col("drop_number") - F.shiftleft("nth", ROW_BITS)).alias("drop_row")), "gone")
+        same = (at["file_path"] == gone["drop_path"]) & (at["row_index"] == gone["drop_row"])
+        return self.docs.join(strategy(gone), same, "left_anti").select(*(self.docs[c] for c in self.docs.columns))
 
 
 def without_rows(docs: DataFrame, drop: DataFrame) -> DataFrame:

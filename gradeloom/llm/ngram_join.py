@@ -32,7 +32,7 @@ from gradeloom.session import stored
 from .batches import bounded_batches
 from .components import components
 from .hashing import SPACES, mix, set_digest, shingle_sets
-from .locators import keyed, with_files, without_rows
+from .locators import Numbered, strategy
 from .signature_tree import join_labels, linked_pairs
 
 MAX_HINTS = 1 << 17
@@ -544,6 +544,11 @@ def _across_chunks(sets: DataFrame, links: DataFrame, num: int, den: int) -> Dat
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, separators: np.ndarray = SPACES) -> DataFrame:
     """One row of ``docs`` for every component: that of the least doc_id, null ids last and equal ids in
     the order they are stored. Rows without words link with nothing and all stay. All columns are kept."""
-    docs = with_files(docs)
-    assigned = jaccard_components(keyed(docs), width, num, den, separators)
-    return without_rows(docs, assigned.where("doc_id <> component_id").select("doc_id.file", "doc_id.row"))
+    rows = Numbered(docs)
+    assigned = stored(jaccard_components(rows.keyed(), width, num, den, separators).select("doc_id", "component_id"), "assigned")
+    others = assigned.where("doc_id <> component_id").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    members = stored(others.union(others.select(F.col("component").alias("row"), "component").distinct()), "members")
+    ids = rows.ids().join(strategy(members), F.col("number") == F.col("row")).select("number", "component", "doc_id")
+    ids = stored(ids, "ids")
+    kept = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "number"))["number"].alias("kept"))
+    return rows.without(ids.join(kept.hint("merge"), "component").where("number <> kept").select("number"))
