@@ -5,7 +5,8 @@ presence of words and word beginnings. The risk is corrected by the class prior
 
     p R_P(toxic) + (1 - p) / (1 - q) max(0, R_U(clean) - q R_P(clean)),
 
-whose second term is kept from going negative, as in non-negative PU learning. q is the prior left in U:
+whose second term is kept from going negative, as in non-negative PU learning. The smooth loss of the fit is no count of errors, so
+the bias is set afterwards by the same risk with zero-one loss, on documents that a fit has not seen. q is the prior left in U:
 p where hardly any document is labelled, less the more of the toxic ones are confirmed and so not in U.
 Features are counted over both samples where the documents are; the driver sees the bounded samples'
 chosen features only.
@@ -33,6 +34,7 @@ MAX_FEATURES = 1024
 BEGINNINGS = (5, 7)
 MIN_DOCUMENTS, MIN_SURPRISE = 3, 3.5
 STEPS, BATCH, RATE, RIDGE = 320, 1024, 0.02, 1e-4
+PARTS = 4
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +124,34 @@ def fit(x_p: np.ndarray, x_u: np.ndarray, prior: float, left: float | None = Non
     return theta[:-1], float(theta[-1])
 
 
+def decision(p: np.ndarray, u: np.ndarray, prior: float, left: float) -> float:
+    """The total from which on calling a document toxic has the least estimated risk, counted in errors: the same estimator as in
+    ``fit`` with zero-one loss, midway between totals of P and U that occur; the highest of equal ones."""
+    seen = np.unique(np.concatenate([p, u]))
+    if len(seen) < 2:
+        return 0.0
+    cuts = (seen[1:] + seen[:-1]) / 2
+    missed = np.searchsorted(np.sort(p), cuts) / len(p)
+    called = 1 - np.searchsorted(np.sort(u), cuts) / len(u)
+    risk = prior * missed + (1 - prior) / (1 - left) * np.maximum(0, called - left * (1 - missed))
+    return float(cuts[np.flatnonzero(risk <= risk.min() + 1e-12)[-1]])
+
+
+def fit_with_decision(x_p: np.ndarray, x_u: np.ndarray, prior: float, left: float) -> tuple[np.ndarray, float]:
+    """``fit``, with the bias set so that one half is the decision of the estimated risk. The totals it is estimated on are those of
+    documents that a fit has not seen: each of ``PARTS`` parts is scored by a fit on the others."""
+    weights, bias = fit(x_p, x_u, prior, left)
+    parts = min(PARTS, len(x_p), len(x_u))
+    if parts < 2:
+        return weights, bias
+    in_p, in_u = np.arange(len(x_p)) % parts, np.arange(len(x_u)) % parts
+    p, u = np.empty(len(x_p)), np.empty(len(x_u))
+    for k in range(parts):
+        w, b = fit(x_p[in_p != k], x_u[in_u != k], prior, left)
+        p[in_p == k], u[in_u == k] = x_p[in_p == k] @ w + b, x_u[in_u == k] @ w + b
+    return weights, bias - decision(p, u, prior, left)
+
+
 def train(docs: DataFrame, labelled: DataFrame, label: str = "toxic", positives: int = MAX_POSITIVES, unlabelled: int = MAX_UNLABELLED) -> Model:
     """Learn from ``labelled(doc_id, <label>)`` and the texts of ``docs``.
 
@@ -169,7 +199,7 @@ def train(docs: DataFrame, labelled: DataFrame, label: str = "toxic", positives:
     has = rows.column("has").combine_chunks()
     x[np.repeat(np.arange(rows.num_rows), has.value_lengths().to_numpy()), has.flatten().to_numpy()] = 1
     positive = rows.column("positive").to_numpy() == 1
-    return Model(known, *fit(x[positive], x[~positive], prior, left))
+    return Model(known, *fit_with_decision(x[positive], x[~positive], prior, left))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

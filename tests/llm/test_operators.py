@@ -365,6 +365,28 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.scores(empty, blank).count() == 0
 
 
+def test_toxicity_recall_and_precision(spark):
+    """Held-out documents of a table with enough toxic ones: most are found, hardly a clean one is called."""
+    large = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{large}/labels.parquet").collect() if r.toxic is not None}
+    rows = [(truth[r.doc_id], r.predicted) for r in toxicity.op5_toxicity_pu(spark, large).collect() if r.held_out and r.doc_id in truth]
+    hits, toxic, called = (sum(f(t, p) for t, p in rows) for f in (lambda t, p: t and p, lambda t, p: t, lambda t, p: p))
+    assert hits / toxic >= 0.9 and hits / called >= 0.9, (hits, toxic, called)
+
+
+def test_decision_by_hand():
+    """The cut of least estimated errors, each cut tried and counted by itself."""
+    rng = np.random.default_rng(3)
+    for prior, left, shift in ((0.2, 0.2, 1.0), (0.1, 0.05, 2.0), (0.5, 0.0, 0.3)):
+        p, u = np.round(rng.normal(shift, 1, 40), 2), np.round(rng.normal(0, 1, 200), 2)
+        seen = sorted({*p, *u})
+        cuts = [(a + b) / 2 for a, b in zip(seen, seen[1:])]
+        risk = lambda c: prior * np.mean(p < c) + (1 - prior) / (1 - left) * max(0.0, np.mean(u >= c) - left * np.mean(p >= c))
+        least = min(map(risk, cuts))
+        assert toxicity.decision(p, u, prior, left) == max(c for c in cuts if risk(c) <= least + 1e-12)
+    assert toxicity.decision(np.ones(3), np.ones(4), 0.1, 0.1) == 0.0
+
+
 def test_non_negative_risk():
     rng = np.random.default_rng(0)
     x = (rng.random((3000, 20)) < 0.1).astype(np.float32)
