@@ -229,9 +229,10 @@ def _codes(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
 Tile = Callable[[dict, dict, int, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]
 
 
-def _multiplied(cells: Cells, tau: float, tile: Tile, schema: str, within: bool, kernel: Kernel = dot) -> DataFrame:
+def _multiplied(cells: Cells, tau: float, tile: Tile, schema: str, within: bool, kernel: Kernel = dot, ended: Callable[[], Iterator[pa.RecordBatch]] = lambda: iter(())) -> DataFrame:
     """What ``tile`` gives for the products of every pair of groups that may reach tau: of (rows of) a group, its partner, the first
-    of the rows, the products, and the mask of pairs that count: each once, and of one key, with ``within``."""
+    of the rows, the products, and the mask of pairs that count: each once, and of one key, with ``within``; and what ``ended`` gives
+    after the last partner of a group."""
     n = cells.groups.count()
     pairs = group_pairs(cells, tau if kernel is dot else float("-inf"))
     body = ["width", "n", "ids", "keys", "rows", *(["limits"] if "limits" in cells.groups.columns else [])]
@@ -245,6 +246,7 @@ def _multiplied(cells: Cells, tau: float, tile: Tile, schema: str, within: bool,
         head = left = None
         for row in (x for b in batches for x in b.to_pylist()):
             if row["other"] is None:
+                yield from ended()
                 head, left = row, _rows(row)
                 if not row["own"]:
                     continue
@@ -259,6 +261,7 @@ def _multiplied(cells: Cells, tau: float, tile: Tile, schema: str, within: bool,
                 if codes is not None:
                     counts &= codes[0][first : first + step, None] == codes[1][None, :]
                 yield from tile(head, row, first, score, counts)
+        yield from ended()
 
     return dealt.mapInArrow(multiply, schema)
 
@@ -278,7 +281,7 @@ def pairs_at_least(cells: Cells, tau: float, within: bool = False, kernel: Kerne
 
 
 #: Bins of a round of selection, values that end the rounds, and the width of a range that does.
-SELECT_BINS = 4_096
+SELECT_BINS = 512
 SELECT_VALUES = 50_000
 SELECT_WIDTH = 1e-7
 
@@ -316,11 +319,23 @@ def medians_within(cells: Cells, centres: DataFrame | None = None) -> DataFrame:
             x = np.where(np.isnan(centre[codes]), x, np.abs(x - centre[codes]))
             inside = x if values else low[codes] + np.floor((x - low[codes]) * (SELECT_BINS / (high - low)[codes])) * ((high - low)[codes] / SELECT_BINS)
             at = np.where(x < low[codes], -np.inf, np.where(x > high[codes], np.inf, inside))
-            pairs, n = np.unique(np.stack([codes.astype(float), at]), axis=1, return_counts=True)
-            yield pa.record_batch([pa.array([names[int(c)] for c in pairs[0]], key_type), pa.array(pairs[1]), pa.array(n.astype(np.int64))], names=["key", "at", "n"])
-
+            for code in np.unique(codes):
+                places, n = np.unique(at[codes == code], return_counts=True)
+                if names[code] in held:
+                    before, m = held[names[code]]
+                    places, where = np.unique(np.concatenate([before, places]), return_inverse=True)
+                    n = np.bincount(where, weights=np.concatenate([m, n])).astype(np.int64)
+                held[names[code]] = places, n
+            yield from ()
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            for name, (places, n) in held.items():
+                yield pa.record_batch([pa.array([name] * len(n), key_type), pa.array(places), pa.array(n.astype(np.int64))], names=["key", "at", "n"])
+            held.clear()
+
+        held: dict = {}
         default = {"low": -1.0 - SLACK, "high": 1.0 + SLACK, "centre": float("nan")}
-        return stored(_multiplied(made, float("-inf"), tile, schema, True).groupBy("key", "at").agg(F.sum("n").alias("n")), "counts")
+        return stored(_multiplied(made, float("-inf"), tile, schema, True, ended=ended).groupBy("key", "at").agg(F.sum("n").alias("n")), "counts")
 
     def middle(counts: DataFrame) -> DataFrame:
         """The places of the two middle ones of each key, and how many values stand there or between."""
