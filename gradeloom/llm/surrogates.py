@@ -1,13 +1,16 @@
 """Personal data replaced by keyed surrogates.
 
-1. *Detection.* One pass over the text extracts the entities of every document, in order. A full name
-   that a title marks anywhere in a document is found in the rest of the document without one too.
-2. *Surrogates.* A name has two entities, its given and its family word, so that short and full forms
-   of one name keep belonging together. Each distinct entity (kind and canonical value) gets a
-   replacement of its own kind, made from SHA-256 of key, kind, canonical value and attempt: digits
-   become digits, letters letters of the same script and case, given names names of the same gender and
-   script. Country codes of phones, countries of IBANs, first digits of cards and top domains stay;
-   check digits of cards and IBANs hold.
+1. *Detection.* One pass over the text extracts the entities of every document, in order. The words of
+   a name that a title marks anywhere in a document are found in the rest of the document without one
+   too, alone, together or in capitals. A name word may have inner capitals, hyphens and apostrophes.
+2. *Surrogates.* Every word of a name is an entity, the first of several a given name and all others
+   family names, so that short and full forms of one name keep belonging together. Each distinct entity
+   (kind and canonical value) gets a replacement of its own kind, made from SHA-256 of key, kind,
+   canonical value and attempt: digits become digits, letters letters of the same script and case, given
+   names names of the same gender and script, family names syllables of the script. Country codes of
+   phones, countries of IBANs and first digits of cards stay; check digits of cards and IBANs hold.
+   Mail addresses go to reserved domains, below example.com, .net and .org, or .example for all others.
+   Initials of middle names become other initials, which needn't be distinct; particles ("van") stay.
 3. *Collision checks.* A surrogate that two entities share, or that equals an entity of the corpus, is
    drawn again with the next attempt until all are distinct, so replacement is one to one; equal
    entities keep equal surrogates. Later attempts at words are longer, so there are always enough;
@@ -15,11 +18,14 @@
 4. *Rendering.* An occurrence takes the surrogate in its own format (separators, case) and goes back
    to its place; documents without entities aren't moved.
 
-Not detected: names in a document that sets a title before none of their full forms, single words of a
-name without a title, names in scripts without capitals, postal addresses, dates of birth, phone numbers
+Not detected: names that no title in their document marks, names of more than three words beyond the
+third, a known given name before an unknown capitalised word, which is somebody else, names in scripts
+without capitals, postal addresses, dates of birth, phone numbers
 of bare digits without a leading + or 0 or any separator, secrets of no known prefix that no key word
 stands before or that hold no digit, and anything spelled out in words. Two spellings of one IPv6
-address count as two entities, and so do a phone number with and without its country code.
+address count as two entities, and so do a phone number with and without its country code. A word that
+is a name in a document goes wherever it stands there as a capitalised word of its own ("Mr. Young", then
+"Young people"), also a capitalised word that directly follows a titled name.
 
 DataFrame and SQL functions only.
 """
@@ -41,17 +47,37 @@ MAX_ATTEMPTS = 200
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Doña", "Г-жа"]
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Don", "Г-н"]
 OTHER_TITLES = ["Dr", "Prof"]
-FEMALE_NAMES = ["Ada", "Clara", "Edith", "Frieda", "Greta", "Helga", "Irma", "Lena"]
-MALE_NAMES = ["Albert", "Bruno", "Conrad", "Emil", "Gustav", "Hugo", "Otto", "Viktor"]
-FEMALE_CYRILLIC = ["Анна", "Вера", "Дарья", "Елена"]
-MALE_CYRILLIC = ["Борис", "Глеб", "Иван", "Пётр"]
-FEMALE_GREEK = ["Άννα", "Ελένη", "Μαρία", "Σοφία"]
-MALE_GREEK = ["Γιώργος", "Ηλίας", "Νίκος", "Πέτρος"]
+FEMALE_NAMES = [
+    "Ada", "Agnes", "Alma", "Berta", "Carla", "Clara", "Cora", "Dora", "Edith", "Elsa", "Emma", "Esther", "Eva", "Flora", "Frieda", "Greta",
+    "Hanna", "Helga", "Hilda", "Ida", "Ines", "Irma", "Judith", "Karin", "Lena", "Lotte", "Maren", "Martha", "Nora", "Paula", "Rosa", "Vera",
+]
+MALE_NAMES = [
+    "Adam", "Albert", "Anton", "Bruno", "Conrad", "Daniel", "David", "Edgar", "Emil", "Erik", "Felix", "Georg", "Gustav", "Henrik", "Hugo", "Ivo",
+    "Jakob", "Jonas", "Julius", "Leo", "Lukas", "Martin", "Max", "Nils", "Oskar", "Otto", "Paul", "Robert", "Simon", "Theo", "Viktor", "Walter",
+]
+FEMALE_CYRILLIC = ["Анна", "Вера", "Дарья", "Елена", "Зоя", "Ирина", "Лидия", "Мария", "Нина", "Раиса", "Софья", "Тамара"]
+MALE_CYRILLIC = ["Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Лев", "Максим", "Олег", "Павел", "Пётр", "Роман"]
+FEMALE_GREEK = ["Άννα", "Δήμητρα", "Ειρήνη", "Ελένη", "Κατερίνα", "Μαρία", "Σοφία", "Χρύσα"]
+MALE_GREEK = ["Ανδρέας", "Γιώργος", "Δημήτρης", "Ηλίας", "Κώστας", "Νίκος", "Πέτρος", "Σπύρος"]
+# Beginnings, vowels and ends of family names for surrogates, by script.
+SYLLABLES = (
+    (r"\p{IsCyrillic}", "б в г д ж з к л м н п р с т", "а е и о у", "в вин ев лов н нко р ренко ров т"),
+    (r"\p{IsGreek}", "β γ δ ζ θ κ λ μ ν π ρ", "α ε η ι ο ω", "δης κης λας νος πουλος ρης"),
+    (r"\p{IsLatin}", "b br d dr f g gr h k kl l m n p r s st t tr v w", "a e i o u", "ck ld ler mann n nd r rt s sen son tz"),
+)
 # Calling codes of one and two digits; all others have three.
 _CALLING = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 
 _TITLE = "(?:" + "|".join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES) + ")"
 _HEX = "[0-9a-fA-F]{1,4}"
+# Words that join a family name and stay.
+PARTICLES = ["von", "van", "der", "den", "de", "del", "della", "di", "da", "du", "la", "le", "zu", "zur", "ten", "ter", "bin", "ibn", "al", "el"]
+#: One title, and academic ones behind it.
+_TITLES = rf"{_TITLE}\.? (?:(?:{'|'.join(OTHER_TITLES)})\.? )*"
+#: A capitalised word of two letters or more; a possessive "'s" isn't part of it.
+_WORD = r"\p{Lu}(?:[\p{L}\p{M}]+|(?=['’]\p{Lu}[\p{L}\p{M}]))(?:-\p{Lu}[\p{L}\p{M}]+|['’](?![sS](?!\p{L}))\p{Lu}[\p{L}\p{M}]+)*+"
+_BETWEEN = rf"(?:\p{{Lu}}(?:\. ?| )|(?:{'|'.join(PARTICLES)}) )*"
+_NAME = rf"{_BETWEEN}(?!(?:{'|'.join(OTHER_TITLES)})(?!\p{{L}})){_WORD}(?: {_BETWEEN}{_WORD}){{0,2}}"
 #: Secrets known by how they begin.
 _PREFIXES = "AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|[sr]k_live_|[sr]k_test_|xox[abeoprs]-|AIza|hf_|npm_|eyJ"
 _PREFIXED = (
@@ -75,7 +101,7 @@ PATTERNS = (
     ("phone", r"(?<![\p{L}\p{N}.+-])(?:1[ .-])?(?:\([0-9]{3}\) ?[0-9]{3}[ .-]|[0-9]{3}-[0-9]{3}-|[0-9]{3}\.[0-9]{3}\.|[0-9]{3} [0-9]{3} )[0-9]{4}(?![\p{L}\p{N}-]|\.[0-9])"),
     ("phone", r"(?<![\p{L}\p{N}.,+-])0(?:[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4})|[1-9][0-9]{8,9}|[0-9]{2,4}[ /-][0-9]{6,8}|[0-9]{2,4} [0-9]{3,4} [0-9]{3,4})(?![\p{L}\p{N}-]|\.[0-9])"),
     ("ssn", r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"),
-    ("name", r"(?<![\p{L}\p{N}])" + _TITLE + r"\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"),
+    ("name", r"(?<![\p{L}\p{N}])" + _TITLES + _NAME),
 )
 ENTITY = "|".join(p for _, p in PATTERNS)
 #: A text without any of these has no entity; a quick test before the patterns.
@@ -85,35 +111,60 @@ _QUICK = rf"[0-9@]|{_PREFIXES}|" + _TITLE + r"\.? "
 _HEXED = "^[0-9a-fA-F]{32,128}$"
 
 
-_WORD = r"\p{Lu}\p{Ll}+"
-_FULL_NAME = rf"{_WORD} {_WORD}"
-
-
 def _kind(value: Column) -> Column:
-    tests = [(k, value.rlike(rf"^(?:{p})$")) for k, p in (*PATTERNS, ("name", _FULL_NAME))]
+    tests = [(k, value.rlike(rf"^(?:{p})$")) for k, p in (*PATTERNS, ("name", _NAME))]
     return F.coalesce(*(F.when(t, F.lit(k)) for k, t in tests), F.lit("secret"))  # known by the key word before it
 
 
 def _canonical(kind: Column, value: Column) -> Column:
-    """Equal for all spellings of one entity: digits of numbers, lower case of the rest, names without title."""
+    """Equal for all spellings of one entity: digits of numbers, lower case of the rest."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     return (
         F.when(kind.isin("card", "ssn"), digits)
         .when(kind == "phone", F.concat(F.when(value.startswith("+"), "+").otherwise(""), digits))
         .when(kind == "iban", F.regexp_replace(value, " ", ""))
-        .when(kind == "name", F.regexp_replace(value, rf"^{_TITLE}\.? ", ""))
         .when((kind == "secret") & ~value.rlike(_HEXED), value)
         .otherwise(F.lower(value))
     )
 
 
-def _parts(kind: Column, canonical: Column) -> Column:
-    """The entities of an occurrence: the words of a name, else itself."""
-    words = F.split(canonical, " ")
-    part = lambda k, c: F.struct(F.lit(k).alias("entity"), c.alias("word"))
-    family = part("family", F.element_at(words, -1))
-    names = F.when(F.size(words) > 1, F.array(part("given", words[0]), family)).otherwise(F.array(family))
-    return F.when(kind == "name", names).otherwise(F.array(F.struct(kind.alias("entity"), canonical.alias("word"))))
+def _title(value: Column) -> Column:
+    return F.regexp_extract(value, rf"^{_TITLES}", 0)
+
+
+def _words(value: Column) -> Column:
+    """The words of a name, without titles, initials and particles."""
+    return F.regexp_extract_all(F.regexp_replace(value, rf"^{_TITLES}", ""), F.lit(_WORD), F.lit(0))
+
+
+def _lowered(word: Column) -> Column:
+    return F.translate(F.lower(word), "’", "'")
+
+
+def _initials(text: Column, key: str) -> Column:
+    """What stands between the words of a name, with other initials."""
+    number = lambda c: F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}\x1finitial\x1f"), c), 256), 1, 4), 16, 10).cast("int")
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(r"\p{Lu}"), _letters(c, number(c))).otherwise(c)), "")
+
+
+def _parts(kind: Column, value: Column, givens: Column, families: Column, key: str) -> Column:
+    """The entities of an occurrence: the words of a name with what stands before each, else itself.
+
+    A word of a name is a given name as the first of several behind a title, or where the document has it as one
+    and not as a family name too.
+    """
+    title, words = _title(value), _words(value)
+    between = F.split(F.regexp_replace(value, rf"^{_TITLES}", ""), _WORD, -1)
+
+    def part(w: Column, i: Column) -> Column:
+        first = (i == 0) & (F.size(words) > 1)
+        word = _lowered(w)
+        given = (first & (title != "")) | (F.array_contains(givens, word) & (first | ~F.array_contains(families, word)))
+        before = F.concat(F.when(i == 0, title).otherwise(""), _initials(F.get(between, i), key))
+        return F.struct(F.when(given, F.lit("given")).otherwise(F.lit("family")).alias("entity"), word.alias("word"), w.alias("shown"), before.alias("before"))
+
+    other = F.struct(kind.alias("entity"), _canonical(kind, value).alias("word"), value.alias("shown"), F.lit("").alias("before"))
+    return F.when(kind == "name", F.transform(words, part)).otherwise(F.array(other))
 
 
 def _gender(value: Column) -> Column:
@@ -177,6 +228,7 @@ def _surrogate(kind: Column, value: Column, gender: Column, stream: Column, atte
     rest = F.substring(mapped, F.lit(5), F.length(mapped))
     payload = F.concat(F.substring(value, 1, 1), F.substring(mapped, F.lit(2), F.length(mapped) - 2))
     top = F.regexp_extract(value, r"\.[^.@]+$", 0)
+    domain = F.when(top.isin(".com", ".net", ".org"), F.concat(F.lit(".example"), top)).otherwise(F.lit(".example"))
     scripts = ((r"\p{IsCyrillic}", FEMALE_CYRILLIC, MALE_CYRILLIC), (r"\p{IsGreek}", FEMALE_GREEK, MALE_GREEK), (".", FEMALE_NAMES, MALE_NAMES))
 
     def name(i: Column) -> Column:
@@ -186,6 +238,12 @@ def _surrogate(kind: Column, value: Column, gender: Column, stream: Column, atte
         ]
         return F.coalesce(*by_script)
 
+    def family(onsets: str, vowels: str, ends: str) -> Column:
+        """Two syllables and one more for each further attempt."""
+        syllable = lambda j: F.concat(_pick(onsets.split(), number(2 * j)), _pick(vowels.split(), number(2 * j + 1)))
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), attempt + 1), syllable), ""), _pick(ends.split(), number(2 * attempt + 4)))
+
+    families = F.coalesce(*(F.when(value.rlike(script), family(*parts)) for script, *parts in SYLLABLES), mapped)
     given = F.array_join(F.transform(F.sequence(F.lit(0), attempt), name), "-")  # a double name at the second attempt
     return (
         F.when((kind == "secret") & value.rlike(_HEXED), hexed)
@@ -195,8 +253,9 @@ def _surrogate(kind: Column, value: Column, gender: Column, stream: Column, atte
         .when(kind == "phone", F.concat(calling, after(calling)))
         .when(kind == "iban", F.concat(country, _iban_check(country, rest), rest))
         .when(kind == "card", F.concat(payload, _luhn(payload)))
-        .when(kind == "email", F.concat(F.substring(mapped, F.lit(1), F.length(mapped) - F.length(top)), top))
-        .when(kind == "given", given)
+        .when(kind == "email", F.concat(F.substring(mapped, F.lit(1), F.length(mapped) - F.length(top)), domain))
+        .when(kind == "given", F.lower(given))
+        .when(kind == "family", families)
         .otherwise(mapped)
     )
 
@@ -208,7 +267,7 @@ def _drawn(open_: DataFrame, key: str) -> DataFrame:
     longer = F.when(kind == "email", F.concat(more, value)).when(kind.isin("family", "secret"), F.concat(value, more)).otherwise(value)
     seed = F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string"))
     rows = open_.withColumn("value", longer).withColumn("seed", F.sha2(seed, 256))
-    blocks = F.sequence(F.lit(0), F.floor((F.length("value") + attempt + 8) / 16).cast("int"))
+    blocks = F.sequence(F.lit(0), F.floor((F.length("value") + 2 * attempt + 8) / 16).cast("int"))
     rows = rows.withColumn("stream", F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat(F.col("seed"), b.cast("string")), 256)), ""))
     return rows.withColumn("surrogate", _surrogate(kind, F.col("value"), F.col("gender"), F.col("stream"), attempt)).drop("value", "seed", "stream")
 
@@ -247,11 +306,21 @@ def _rendered(kind: Column, found: Column, surrogate: Column) -> Column:
         char = F.when(fixed, c).otherwise(F.substring(surrogate, state["next"], F.lit(1)))
         return F.struct(F.concat(state["out"], char).alias("out"), F.when(fixed, state["next"]).otherwise(state["next"] + 1).alias("next"))
 
+    capitals = (F.upper(found) == found) & (F.lower(found) != found)
+    # a mail address has the capitals of its local part, place by place from the "@" backwards
+    local, own = F.split(F.substring_index(found, "@", 1), ""), F.substring_index(surrogate, "@", 1)
+    at = lambda i: F.get(local, (i + F.size(local) - F.length(own)).cast("int"))
+    own = F.array_join(F.transform(F.split(own, ""), lambda c, i: F.when(at(i) != F.lower(at(i)), F.upper(c)).otherwise(c)), "")
+    mail = F.concat(own, F.lit("@"), F.substring_index(surrogate, "@", -1))
+    titled = F.array_join(F.transform(F.split(surrogate, "-"), F.initcap), "-")
+
     surrogate = F.when(kind == "phone", F.regexp_replace(surrogate, "[^0-9]", "")).otherwise(surrogate)
     spaced = F.aggregate(F.split(found, ""), start, put)["out"]
     return (
         F.when(kind.isin("card", "phone", "ssn", "iban"), spaced)
-        .when((kind != "secret") | found.rlike(_HEXED), F.when((F.upper(found) == found) & (F.lower(found) != found), F.upper(surrogate)).otherwise(surrogate))
+        .when(((kind != "secret") | found.rlike(_HEXED)) & capitals, F.upper(surrogate))
+        .when(kind.isin("given", "family"), titled)
+        .when(kind == "email", mail)
         .otherwise(surrogate)
     )
 
@@ -266,24 +335,41 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     docs = with_files(docs)
     rows = docs.select("doc_id", "text", *locators(docs))
     found = F.when(F.col("text").rlike(_QUICK), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
-    titled = F.filter("found", lambda x: x.rlike(rf"^{_TITLE}\.? {_FULL_NAME}$"))
-    names = F.array_join(F.array_distinct(F.transform(titled, lambda x: F.regexp_replace(x, rf"^{_TITLE}\.? ", ""))), "|")
-    pattern = F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), F.col("names"), F.lit(r")(?![\p{L}\p{N}])"))
+    titled = F.filter("found", lambda x: x.rlike(rf"^{_TITLES}{_NAME}$"))
+    lowered = lambda words: F.array_distinct(F.transform(words, _lowered))
+    several = F.filter(titled, lambda x: F.size(_words(x)) > 1)
+    rest = lambda x: F.when(F.size(_words(x)) > 1, F.slice(_words(x), 2, 9)).otherwise(_words(x))
+
+    def forms(words: Column) -> Column:
+        """As written and in capitals, with both apostrophes."""
+        both = F.concat(F.transform(words, lambda w: F.translate(w, "’", "'")), F.transform(words, lambda w: F.translate(w, "'", "’")))
+        return F.array_distinct(F.concat(both, F.transform(both, F.upper)))
+
+    either = lambda words: F.array_join(F.transform(words, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|")
+    family_forms = forms(F.flatten(F.transform(titled, rest)))
+    given_forms = F.array_except(forms(F.transform(several, lambda x: _words(x)[0])), family_forms)
+    ends = r"(?![\p{L}\p{M}\p{N}]|-\p{Lu}|['’](?![sS](?!\p{L}))\p{Lu})"
+    # a given name before an unknown capitalised word is somebody else's
+    lone = F.when(F.size(given_forms) > 0, F.concat(F.lit("|(?:"), either(given_forms), F.lit(rf"){ends}(?! (?!{_TITLE}(?!\p{{L}})){_WORD})"))).otherwise("")
+    names = F.when(F.size(family_forms) > 0, F.concat(
+        F.lit("(?:(?:"), either(F.concat(family_forms, given_forms)), F.lit(rf"){ends} {_BETWEEN}){{0,2}}(?:(?:"), either(family_forms), F.lit(rf"){ends}"), lone, F.lit(")")
+    )).otherwise("")
+    pattern = F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{M}\p{N}])(?<!\p{L}['’-])"), F.col("names"))
     found = rows.withColumn("found", found).withColumn("names", names)
+    found = found.withColumn("givens", lowered(F.transform(several, lambda x: _words(x)[0]))).withColumn("families", lowered(F.flatten(F.transform(titled, rest))))
     found = found.withColumn("found", F.when(F.col("names") != "", F.regexp_extract_all("text", pattern, F.lit(0))).otherwise(F.col("found")))
     # stored unfiltered: a filter on what was found would search every text once more
-    found = stored(found.select("file", "row", "names", "found"), "found").where("size(found) > 0")
+    found = stored(found.select("file", "row", "names", "givens", "families", "found"), "found").where("size(found) > 0")
 
-    each = found.select("file", "row", "names", F.posexplode("found").alias("at", "value"))
-    each = each.withColumn("kind", _kind(F.col("value"))).withColumn("canonical", _canonical(F.col("kind"), F.col("value")))
-    each = each.select("*", _gender(F.col("value")).alias("gender"), F.posexplode(_parts(F.col("kind"), F.col("canonical"))).alias("part", "p"))
-    each = each.withColumn("entity", F.col("p.entity")).withColumn("word", F.col("p.word"))
-    each = stored(each.select("file", "row", "names", "at", "part", "value", "kind", "gender", "entity", "word"), "each")
+    each = found.select("file", "row", "names", "givens", "families", F.posexplode("found").alias("at", "value"))
+    each = each.withColumn("kind", _kind(F.col("value")))
+    parts = _parts(F.col("kind"), F.col("value"), F.col("givens"), F.col("families"), key)
+    each = each.select("file", "row", "names", "at", "kind", _gender(F.col("value")).alias("gender"), F.posexplode(parts).alias("part", "p"))
+    each = stored(each.select("file", "row", "names", "at", "part", "kind", "gender", "p.*"), "each")
     table = surrogate_table(each.select(F.col("entity").alias("kind"), F.col("word").alias("canonical"), "gender"), key)
     each = each.join(table.select(F.col("kind").alias("entity"), F.col("canonical").alias("word"), "surrogate").hint("merge"), ["entity", "word"])
-    before = F.when(F.col("part") > 0, " ").when(F.col("kind") == "name", F.regexp_extract("value", rf"^{_TITLE}\.? ", 0)).otherwise("")
-    inside = F.when(F.col("kind") == "name", F.col("surrogate")).otherwise(_rendered(F.col("kind"), F.col("value"), F.col("surrogate")))
-    piece = F.struct("at", "part", F.concat(before, inside).alias("text"), "kind")
+    inside = _rendered(F.col("entity"), F.col("shown"), F.col("surrogate"))
+    piece = F.struct("at", "part", F.concat("before", inside).alias("text"), "kind")
     pieces = each.groupBy(F.col("file").alias("in_file"), F.col("row").alias("in_row")).agg(
         F.first("names").alias("names"), F.array_sort(F.collect_list(piece)).alias("pieces")
     )

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and their defined results in edge cases."""
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -303,6 +304,67 @@ def test_surrogates_by_brute_force(spark):
     assert len(there) > 20
 
 
+@pytest.mark.parametrize("text,want", [
+    ("Mrs. Anna Berg met Mr. Otto Berg. Berg left, ANNA BERG, Anna and Berg's dog stayed.", r"Mrs\. (?P<a>G) (?P<b>F) met Mr\. (?P<o>G) (?P=b)\. (?P=b) left, (?P<c>C) (?P<d>C), (?P=a) and (?P=b)'s dog stayed\."),
+    ("Mr. McDonald, McDonald and MCDONALD; Mrs. O'Neil's, O’Neil Street", r"Mr\. (?P<a>F), (?P=a) and (?P<c>C); Mrs\. (?P<b>F)'s, F Street"),
+    ("Dr. Jean-Luc Picard; Jean-Luc and PICARD, Picards, Mc-Picard", r"Dr\. (?P<a>G) (?P<b>F); (?P=a) and (?P<c>C), Picards, Mc-Picard"),
+    ("Mr John Q. Public, John Public, Mr. J.R. Smith", r"Mr (?P<a>G) [A-Z]\. (?P<b>F), (?P=a) (?P=b), Mr\. [A-Z]\.[A-Z]\. F"),
+    ("Herr Prof. Dr. Ludwig van Beethoven and Mr. Martin Luther King: King", r"Herr Prof\. Dr\. G van F and Mr\. G F (?P<a>F): (?P=a)"),
+    ("Anna.Berg@mail.de, ANNA.BERG@MAIL.DE, anna.berg@mail.de, x@y.co.org", r"[A-Z][a-z]{3}\.[A-Z][a-z]{3}@[a-z]{4}\.example, [A-Z.]+@[A-Z]+\.EXAMPLE, [a-z.]+@[a-z]+\.example, [a-z]@[a-z]\.[a-z]{2}\.example\.org"),
+    ("Prof. Dr. 5, Mr. and Mrs., don't; Miss", r"Prof\. Dr\. 5, Mr\. and Mrs\., don't; Miss"),
+])
+def test_surrogate_name_forms(spark, text, want):
+    """Inner capitals, hyphens, apostrophes, initials, particles, lone words, capitals and possessives; G, F and C stand for given, family and capital words."""
+    out = surrogates.with_surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first().text
+    forms = {"G": r"[A-Z][a-z]+(?:-[A-Z][a-z]+)*", "F": r"[A-Z][a-z]+", "C": r"[A-Z-]{3,}"}
+    found = re.fullmatch(re.sub(r"(?<![A-Za-z\[])[GFC](?![A-Za-z\]])", lambda m: forms[m[0]], want), out)
+    assert found, out
+    words = found.groupdict()
+    assert "c" not in words or words["c"].lower() in {w.lower() for k, w in words.items() if k != "c"}
+    kept = {"Mrs", "met", "Mr", "left", "and", "dog", "stayed", "Street", "Dr", "Picards", "Mc-Picard", "Herr", "Prof", "van", "don't", "Miss", "s"}
+    assert not {w for w in re.findall(r"[A-Za-z]{3,}", text)} & {w for w in re.findall(r"[A-Za-z]{3,}", out)} - kept - {"org", "Picard", "don"}
+
+
+def test_surrogates_of_planted_entities(spark):
+    """Names, IBANs, secrets, mail and numbers put in known places: the rest stays, one entity keeps one surrogate and no two share one."""
+    rng = random.Random(7)
+    people = [(t, g, f) for g, t in (("Ottilie", "Mrs"), ("Jean-Luc", "Mr"), ("Wilma", "Frau"), ("Karl", "Herr"), ("Zoë", "Ms")) for f in ("Berg", "McDonald", "O'Neil", "Núñez", "Meyer-Landrut", "Lindström")]
+    others = [f"{g.lower().replace('ë', 'e')}.{f.lower()[0]}@firm{k}.com" for k, (_, g, f) in enumerate(people)]
+    others += ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "FR14 2004 1010 0505 0001 3M02 606"] + [f"AKIA{k:016d}" for k in range(5)]
+    others += [f"ghp_{'aZ9' * 11}{k:03d}" for k in range(5)] + [f"10.0.{k}.17" for k in range(5)] + [f"+49 30 12345{k:02d}" for k in range(5)]
+    fill = ["and then", "went home;", "wrote:", "of 12 apples,", "\n", "ü and ß,", "saw"]
+    texts, truth = [], []
+    for doc in range(120):
+        title, given, family = rng.choice(people)
+        parts = [("", f"{title}. "), ("given", given), ("", " "), ("family", family)]
+        for _ in range(rng.randint(3, 9)):
+            parts.append(("", f" {rng.choice(fill)} "))
+            kind = rng.choice(["lone", "full", "capitals", "other", "first"])
+            shown = str.upper if kind == "capitals" else str
+            if kind == "other":
+                parts.append(("other", rng.choice(others)))
+            if kind in ("full", "capitals", "first"):
+                parts.append(("given", shown(given)))
+            if kind in ("full", "capitals"):
+                parts.append(("", " "))
+            if kind in ("full", "capitals", "lone"):
+                parts.append(("family", shown(family)))
+        texts.append((doc, "".join(x for _, x in parts)))
+        truth.append(parts)
+    out = {r.doc_id: r.text for r in surrogates.with_surrogates(spark.createDataFrame(texts, "doc_id long, text string"), "k").collect()}
+    there, back = {}, {}
+    for doc, parts in enumerate(truth):
+        word = r"([\w-]+)"
+        got = re.fullmatch("".join(re.escape(x) if not kind else word if kind != "other" else r"([\w.@+-]+(?: [\w]+)*?)" for kind, x in parts), out[doc])
+        assert got, (texts[doc], out[doc])
+        for (kind, value), new in zip([p for p in parts if p[0]], got.groups()):
+            if kind != "other":
+                assert value.isupper() == new.isupper() and value.lower() not in new.lower()
+            key, drawn = (kind, value.lower()), (kind, new.lower())
+            assert there.setdefault(key, drawn) == drawn and back.setdefault(drawn, key) == key and value != new
+    assert len(there) > 40
+
+
 def test_surrogates_stay_distinct(spark):
     rows = spark.createDataFrame([("ssn", f"{k:03d}", "") for k in range(0, 900)], "kind string, canonical string, gender string")
     table = surrogates.surrogate_table(rows.where("canonical < '090'"), "k").collect()
