@@ -325,6 +325,53 @@ def _rendered(kind: Column, found: Column, surrogate: Column) -> Column:
     )
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _pattern(names: Column) -> Column:
+    return F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{M}\p{N}])(?<!\p{L}['’-])"), names)
+
+
+def _name_pattern(titled: Column) -> Column:
+    """A pattern of the words of titled names, in any order up to three, or an empty text without any."""
+    either = lambda words: F.array_join(F.transform(words, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|")
+
+    def forms(words: Column) -> Column:
+        """As written and in capitals, with both apostrophes."""
+        both = F.concat(F.transform(words, lambda w: F.translate(w, "’", "'")), F.transform(words, lambda w: F.translate(w, "'", "’")))
+        return F.array_distinct(F.concat(both, F.transform(both, F.upper)))
+
+    families = forms(_families(titled))
+    givens = F.array_except(forms(_givens(titled)), families)
+    ends = r"(?![\p{L}\p{M}\p{N}]|-\p{Lu}|['’](?![sS](?!\p{L}))\p{Lu})"
+    # a given name before an unknown capitalised word is somebody else's
+    lone = F.when(F.size(givens) > 0, F.concat(F.lit("|(?:"), either(givens), F.lit(rf"){ends}(?! (?!{_TITLE}(?!\p{{L}})){_WORD})"))).otherwise("")
+    before = F.concat(F.lit("(?:(?:"), either(F.concat(families, givens)), F.lit(rf"){ends} {_BETWEEN}){{0,2}}"))
+    return F.when(F.size(titled) > 0, F.concat(before, F.lit("(?:(?:"), either(families), F.lit(rf"){ends}"), lone, F.lit(")"))).otherwise("")
+
+
+def _givens(titled: Column) -> Column:
+    return F.transform(F.filter(titled, lambda x: F.size(_words(x)) > 1), lambda x: _words(x)[0])
+
+
+def _families(titled: Column) -> Column:
+    return F.flatten(F.transform(titled, lambda x: F.when(F.size(_words(x)) > 1, F.slice(_words(x), 2, 9)).otherwise(_words(x))))
+
+
+def _with_known_names(found: Column) -> Column:
+    """What was found in a text, together with untitled mentions of its names, and what finds and sorts these."""
+    lowered = lambda words: F.array_distinct(F.transform(words, _lowered))
+    again = lambda names: F.when(names != "", F.regexp_extract_all("text", _pattern(names), F.lit(0))).otherwise(found)
+
+    def described(titled: Column) -> Column:
+        known = [lowered(_givens(titled)).alias("givens"), lowered(_families(titled)).alias("families")]
+        return _bound(_name_pattern(titled), lambda names: F.struct(names.alias("names"), *known, again(names).alias("found")))
+
+    return _bound(F.filter(found, lambda x: x.rlike(rf"^{_TITLES}{_NAME}$")), described)
+
+
 def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     """Every row of ``docs(doc_id, text)`` as ``(doc_id, text, n_entities, kinds)``, entities replaced.
 
@@ -335,31 +382,9 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     docs = with_files(docs)
     rows = docs.select("doc_id", "text", *locators(docs))
     found = F.when(F.col("text").rlike(_QUICK), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)))
-    titled = F.filter("found", lambda x: x.rlike(rf"^{_TITLES}{_NAME}$"))
-    lowered = lambda words: F.array_distinct(F.transform(words, _lowered))
-    several = F.filter(titled, lambda x: F.size(_words(x)) > 1)
-    rest = lambda x: F.when(F.size(_words(x)) > 1, F.slice(_words(x), 2, 9)).otherwise(_words(x))
-
-    def forms(words: Column) -> Column:
-        """As written and in capitals, with both apostrophes."""
-        both = F.concat(F.transform(words, lambda w: F.translate(w, "’", "'")), F.transform(words, lambda w: F.translate(w, "'", "’")))
-        return F.array_distinct(F.concat(both, F.transform(both, F.upper)))
-
-    either = lambda words: F.array_join(F.transform(words, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|")
-    family_forms = forms(F.flatten(F.transform(titled, rest)))
-    given_forms = F.array_except(forms(F.transform(several, lambda x: _words(x)[0])), family_forms)
-    ends = r"(?![\p{L}\p{M}\p{N}]|-\p{Lu}|['’](?![sS](?!\p{L}))\p{Lu})"
-    # a given name before an unknown capitalised word is somebody else's
-    lone = F.when(F.size(given_forms) > 0, F.concat(F.lit("|(?:"), either(given_forms), F.lit(rf"){ends}(?! (?!{_TITLE}(?!\p{{L}})){_WORD})"))).otherwise("")
-    names = F.when(F.size(family_forms) > 0, F.concat(
-        F.lit("(?:(?:"), either(F.concat(family_forms, given_forms)), F.lit(rf"){ends} {_BETWEEN}){{0,2}}(?:(?:"), either(family_forms), F.lit(rf"){ends}"), lone, F.lit(")")
-    )).otherwise("")
-    pattern = F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{M}\p{N}])(?<!\p{L}['’-])"), F.col("names"))
-    found = rows.withColumn("found", found).withColumn("names", names)
-    found = found.withColumn("givens", lowered(F.transform(several, lambda x: _words(x)[0]))).withColumn("families", lowered(F.flatten(F.transform(titled, rest))))
-    found = found.withColumn("found", F.when(F.col("names") != "", F.regexp_extract_all("text", pattern, F.lit(0))).otherwise(F.col("found")))
-    # stored unfiltered: a filter on what was found would search every text once more
-    found = stored(found.select("file", "row", "names", "givens", "families", "found"), "found").where("size(found) > 0")
+    # one column, bound and stored as it is and not filtered: each use of a part of it would search every text once more
+    found = stored(rows.select("file", "row", _bound(found, _with_known_names).alias("of")), "found").select("file", "row", "of.*").where("size(found) > 0")
+    pattern = _pattern(F.col("names"))
 
     each = found.select("file", "row", "names", "givens", "families", F.posexplode("found").alias("at", "value"))
     each = each.withColumn("kind", _kind(F.col("value")))
