@@ -30,7 +30,7 @@ from pyspark.taskcontext import TaskContext
 
 from gradeloom.session import scratch_path
 
-from .batches import bounded_batches
+from .batches import bounded_batches, give_back
 
 CHUNK_BYTES = 32 << 20
 CHUNK_WORDS = 1 << 18
@@ -103,6 +103,7 @@ def _pretokens(docs: DataFrame, pattern: str, classes: int) -> DataFrame:
 
         import regex
 
+        give_back()
         find = regex.compile(pattern).findall
         task, done = TaskContext.get().partitionId(), 0
 
@@ -143,6 +144,7 @@ def _pretokens(docs: DataFrame, pattern: str, classes: int) -> DataFrame:
                 if rows and (held + len(text) > CHUNK_BYTES or len(words) > CHUNK_WORDS):
                     yield from flush(words, rows, pa.array(ids, batch.column(1).type))
                     words, rows, ids, held, done = {}, [], [], 0, done + 1
+                    give_back()
                 held += len(text)
                 number = words.setdefault
                 rows.append(np.fromiter((number(w, len(words)) for w in find(text)), np.int32))
@@ -150,6 +152,8 @@ def _pretokens(docs: DataFrame, pattern: str, classes: int) -> DataFrame:
             kind = batch.column(1).type
         if rows:
             yield from flush(words, rows, pa.array(ids, kind))
+            del words, rows, ids
+        give_back()
 
     return docs.select("text", "doc_id").mapInArrow(emit, _KIND.format(key=key_type))
 
@@ -170,6 +174,7 @@ def _encoded_words(words: DataFrame, ranks, pattern: str) -> DataFrame:
         import tiktoken
 
         encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={}).encode_ordinary
+        give_back()
         known, now = {}, None
         for batch in _small(batches):
             sizes, ids = [], []
@@ -184,6 +189,8 @@ def _encoded_words(words: DataFrame, ranks, pattern: str) -> DataFrame:
                 sizes.append(_pack(np.fromiter(map(len, found), np.int64, n)))
                 ids.append(_pack(np.fromiter((i for f in found for i in f), np.int64)))
             yield pa.record_batch([batch.column("chunk"), batch.column("numbers"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["chunk", "numbers", "sizes", "ids"])
+        known.clear()
+        give_back()
 
     return words.sortWithinPartitions("class").mapInArrow(emit, "chunk string, numbers binary, sizes binary, ids binary")
 
@@ -231,6 +238,7 @@ def _documents(docs: DataFrame, path: str, pattern: str, decoded: bool) -> DataF
                         out, held = [], 0
                 if out:
                     yield packed(out, kind)
+            give_back()
 
     kind = f"doc_id {key_type}, ids binary" + ", decoded binary" * decoded
     return _chunks(docs, path, pattern).mapInArrow(emit, kind)
