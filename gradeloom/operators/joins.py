@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gradeloom.session import stored, tasks_for
+
 
 def kp_qas(members: DataFrame, qa: DataFrame) -> DataFrame:
     return members.join(qa, members["qa_id"] == qa["id"]).select("kp_id", "qa_id", "membership_strength", "topic", "question_text")
@@ -51,7 +53,15 @@ def linked_mask(links: DataFrame, topic: str, candidates: DataFrame) -> DataFram
 
 
 def topic_helps(members: DataFrame, help_map: DataFrame) -> DataFrame:
-    return members.join(help_map, "fragment_id").select("topic_id", "helped_qa_id").distinct()
+    """``(topic_id, helped_qa_id)``, each once; the help rows are written and counted, and dealt over as many tasks as they need."""
+    return helps_of(members, stored(help_map.select("fragment_id", "helped_qa_id"), "help"))
+
+
+def helps_of(members: DataFrame, held: DataFrame) -> DataFrame:
+    """``topic_helps`` of stored help rows, dealt by question."""
+    n = tasks_for(held)
+    rows = members.select("fragment_id", "topic_id").repartition(n, "fragment_id").hint("merge").join(held.repartition(n, "fragment_id"), "fragment_id")
+    return rows.select("topic_id", "helped_qa_id").repartition(n, "helped_qa_id").distinct()
 
 
 def topic_centralities(centrality: DataFrame, members: DataFrame) -> DataFrame:

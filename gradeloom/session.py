@@ -63,3 +63,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a task of a counted table gets, about; rows of a side that is broadcast.
+TASK_ROWS = 262_144
+BROADCAST_ROWS = 50_000
+
+
+def tasks_for(table: DataFrame) -> int:
+    """Tasks to deal a stored table over, so that what one holds doesn't grow with the table."""
+    return max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // TASK_ROWS))
+
+
+def small_or_merge(table: DataFrame) -> DataFrame:
+    """A stored table hinted for a join: few rows are broadcast, as a few keys would leave all but a few tasks idle; more are merged."""
+    return table.hint("broadcast" if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else "merge")
