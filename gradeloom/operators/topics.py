@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gradeloom.session import stored
+from gradeloom.session import small_or_merge, stored, tasks_for
 
 from .graph import greedy_matching
-from .joins import topic_helps
+from .joins import helps_of
 from .vectors import geometric_median
 
 LIVE = ("embryonic", "forming", "stable")
@@ -30,34 +30,65 @@ def record_help(uses: DataFrame, grades: DataFrame, fragments: DataFrame) -> Dat
     return rows.withColumn("help_level", level)
 
 
+class Overlaps(NamedTuple):
+    rows: DataFrame  #: ``(fragment_id, topic_id, common, f, t)``
+    tasks: int  #: to deal them over by fragment
+
+
 def _affinity(overlaps: DataFrame) -> DataFrame:
     return overlaps.select("fragment_id", "topic_id", (F.col("common") / F.least("f", "t")).alias("affinity"))
 
 
-def _loyalty(overlaps: DataFrame, members: DataFrame) -> DataFrame:
-    share = overlaps.select("fragment_id", "topic_id", (F.col("common") / F.col("f")).alias("share"))
-    rows = members.select("fragment_id", "topic_id").join(share, ["fragment_id", "topic_id"], "left")
+def _loyalty(overlaps: Overlaps, members: DataFrame) -> DataFrame:
+    keys = ["fragment_id", "topic_id"]
+    share = overlaps.rows.select(*keys, (F.col("common") / F.col("f")).alias("share")).repartition(overlaps.tasks, *keys)
+    rows = members.select(*keys).repartition(overlaps.tasks, *keys).hint("merge").join(share, keys, "left")
     return rows.select("fragment_id", "topic_id", F.coalesce("share", F.lit(0.5)).alias("loyalty"))
 
 
-def _overlaps(help_map: DataFrame, members: DataFrame) -> DataFrame:
-    """``(fragment_id, topic_id, common, f, t)`` for fragments and topics that help a common question."""
-    own = help_map.select("fragment_id", "helped_qa_id").distinct()
-    topics = topic_helps(members, help_map)
-    common = own.join(topics, "helped_qa_id").groupBy("fragment_id", "topic_id").agg(F.count("*").alias("common"))
-    f = own.groupBy("fragment_id").agg(F.count("*").alias("f"))
-    t = topics.groupBy("topic_id").agg(F.count("*").alias("t"))
-    return common.join(f, "fragment_id").join(t, "topic_id")
+def _held(help_map: DataFrame) -> DataFrame:
+    """The help rows, written once: they are counted and read several times."""
+    return stored(help_map.select("fragment_id", "helped_qa_id"), "help")
+
+
+def _overlaps(held: DataFrame, members: DataFrame) -> Overlaps:
+    """Fragments and topics that help a common question.
+
+    A help row gets the topics of its fragment, then the list of all topics that help its question, and goes back to its fragment,
+    where the lists are counted: no row is made for a pair of a help row and a topic before it can be counted. Topics go by number
+    meanwhile, and tasks follow the number of help rows. The first row of a question also counts the question for its topics.
+    """
+    n = tasks_for(held)
+    numbers = stored(members.select("topic_id").where("topic_id is not null").distinct().withColumn("no", F.monotonically_increasing_id()), "numbers")
+    homes = members.join(small_or_merge(numbers), "topic_id").repartition(n, "fragment_id").groupBy("fragment_id").agg(F.collect_set("no").alias("homes"))
+    own = held.where("fragment_id is not null").repartition(n, "fragment_id").distinct()
+    own = own.join(homes.hint("merge"), "fragment_id", "left").withColumn("homes", F.coalesce("homes", F.array().cast("array<long>")))
+    by = W.partitionBy("helped_qa_id").orderBy("fragment_id")
+    rows = own.repartition(n, "helped_qa_id").select(
+        "fragment_id", F.col("helped_qa_id").isNotNull().alias("linked"), (F.row_number().over(by) == 1).alias("first"),
+        F.array_distinct(F.flatten(F.collect_set("homes").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))).alias("topics"),
+    )
+    each = rows.repartition(n, "fragment_id").select("fragment_id", "linked", "first", F.explode(F.array_append("topics", F.lit(None))).alias("no"))
+    counts = each.groupBy("fragment_id", "no").agg(F.count_if("linked").alias("common"), F.count_if("first").alias("firsts"), F.count("*").alias("rows"))
+    f = F.max(F.when(F.col("no").isNull(), F.col("rows"))).over(W.partitionBy("fragment_id"))  # the null that ends each list
+    counts = stored(counts.select("fragment_id", "no", "common", "firsts", f.alias("f")).where("no is not null"), "overlaps")
+    t = stored(counts.groupBy("no").agg(F.sum("firsts").alias("t")).join(numbers.hint("merge"), "no"), "sizes")
+    return Overlaps(counts.where("common > 0").join(small_or_merge(t), "no").select("fragment_id", "topic_id", "common", "f", "t"), n)
+
+
+def _only(rows: DataFrame, topics: DataFrame) -> DataFrame:
+    """Rows of the given topics."""
+    return rows.join(small_or_merge(stored(topics.select("topic_id"), "wanted")), "topic_id", "left_semi")
 
 
 def loyalty(help_map: DataFrame, members: DataFrame) -> DataFrame:
     """Share of a fragment's helped questions that its topic helps; half if either helps none."""
-    return _loyalty(_overlaps(help_map, members), members)
+    return _loyalty(_overlaps(_held(help_map), members), members)
 
 
 def affinity(help_map: DataFrame, members: DataFrame) -> DataFrame:
     """Common helped questions over the smaller set, for pairs that have any (others are 0)."""
-    return _affinity(_overlaps(help_map, members))
+    return _affinity(_overlaps(_held(help_map), members).rows)
 
 
 def migration_threshold(n: Column | int) -> Column:
@@ -67,12 +98,18 @@ def migration_threshold(n: Column | int) -> Column:
 
 def migrations(help_map: DataFrame, members: DataFrame, topics: DataFrame, include_dissolved: bool = False, least_help: int = 20) -> DataFrame:
     """Moves ``(fragment_id, src, dst)`` to a topic with more affinity than loyalty, where enough agree."""
-    n = help_map.agg(F.count("*").alias("n"))
+    return _migrations(_held(help_map), members, topics, include_dissolved, least_help)
+
+
+def _migrations(held: DataFrame, members: DataFrame, topics: DataFrame, include_dissolved: bool = False, least_help: int = 20) -> DataFrame:
+    n = held.agg(F.count("*").alias("n"))
     open_ = topics if include_dissolved else topics.where("quality <> 'dissolved'")
-    overlaps = stored(_overlaps(help_map, members), "overlaps")  # read twice
-    other = _affinity(overlaps).join(open_.select("topic_id"), "topic_id", "left_semi")
-    own = _loyalty(overlaps, members).withColumnRenamed("topic_id", "src")
-    rows = own.join(other, "fragment_id").where("src <> topic_id").groupBy("fragment_id", "src", "loyalty").agg(F.max(F.struct("affinity", "topic_id")).alias("best"))
+    overlaps = _overlaps(held, members)
+    other = overlaps.rows.join(small_or_merge(stored(open_.select("topic_id", F.lit(True).alias("open")), "open")), "topic_id", "left").repartition(overlaps.tasks, "fragment_id")
+    own = members.select("fragment_id", F.col("topic_id").alias("src")).repartition(overlaps.tasks, "fragment_id")
+    share = F.max(F.when(F.col("topic_id") == F.col("src"), F.col("common") / F.col("f")))
+    best = F.max(F.when((F.col("topic_id") != F.col("src")) & F.col("open"), F.struct((F.col("common") / F.least("f", "t")).alias("affinity"), "topic_id")))
+    rows = own.hint("merge").join(other, "fragment_id").groupBy("fragment_id", "src").agg(F.coalesce(share, F.lit(0.5)).alias("loyalty"), best.alias("best"))
     rows = rows.join(F.broadcast(n)).where((F.col("n") >= least_help) & (F.col("best.affinity") - F.col("loyalty") > migration_threshold(F.col("n"))))  # one row
     mass = members.groupBy(F.col("topic_id").alias("src")).agg(F.count("*").alias("mass"))
     rows = rows.select("fragment_id", "src", F.col("best.topic_id").alias("dst")).join(mass, "src").withColumn("agree", F.count("*").over(W.partitionBy("src", "dst")))
@@ -81,7 +118,11 @@ def migrations(help_map: DataFrame, members: DataFrame, topics: DataFrame, inclu
 
 def migrate(help_map: DataFrame, members: DataFrame, topics: DataFrame) -> DataFrame:
     """Memberships after the moves; moved fragments start with a loyalty of one half."""
-    moves = migrations(help_map, members, topics).select("fragment_id", "dst")
+    return _migrate(_held(help_map), members, topics)
+
+
+def _migrate(held: DataFrame, members: DataFrame, topics: DataFrame) -> DataFrame:
+    moves = _migrations(held, members, topics).select("fragment_id", "dst")
     rows = members.join(moves, "fragment_id", "left")
     return rows.select(
         "fragment_id", F.coalesce("dst", "topic_id").alias("topic_id"), F.when(F.col("dst").isNotNull(), F.col("topic_id")).otherwise(F.col("previous_topic_id")).alias("previous_topic_id")
@@ -90,7 +131,12 @@ def migrate(help_map: DataFrame, members: DataFrame, topics: DataFrame) -> DataF
 
 def topic_stats(members: DataFrame, help_map: DataFrame, topics: DataFrame) -> DataFrame:
     """Mass, cohesion, stability and the quality that follows."""
-    rows = members.join(loyalty(help_map, members), ["fragment_id", "topic_id"]).groupBy("topic_id").agg(
+    return _topic_stats(members, _overlaps(_held(help_map), members), topics)
+
+
+def _topic_stats(members: DataFrame, overlaps: Overlaps, topics: DataFrame) -> DataFrame:
+    keys = ["fragment_id", "topic_id"]
+    rows = members.repartition(overlaps.tasks, *keys).hint("merge").join(_loyalty(overlaps, members), keys).groupBy("topic_id").agg(
         F.count("*").alias("mass"), F.avg("loyalty").alias("mean"), F.count_if(F.col("previous_topic_id").isNotNull() & (F.col("previous_topic_id") != F.col("topic_id"))).alias("churn")
     )
     rows = topics.select("topic_id", "quality").join(rows, "topic_id", "left").withColumn("mass", F.coalesce("mass", F.lit(0)))
@@ -175,9 +221,14 @@ def split_topics(members: DataFrame, help_map: DataFrame, topics: DataFrame, lea
     the first pair and the first part. Topics of every size are split; as each fragment depends on those
     before it, a topic is one task, which holds the topic's help rows.
     """
-    live = members.join(topics.where(F.col("quality").isin(*LIVE)).select("topic_id"), "topic_id", "left_semi")
+    return _split_topics(members, _held(help_map), topics, least)
+
+
+def _split_topics(members: DataFrame, held: DataFrame, topics: DataFrame, least: int = 6) -> DataFrame:
+    n = tasks_for(held)
+    live = _only(members, topics.where(F.col("quality").isin(*LIVE)))
     sized = live.withColumn("mass", F.count("*").over(W.partitionBy("topic_id"))).where(F.col("mass") >= least)
-    sets = sized.join(help_map, "fragment_id").groupBy("topic_id", "fragment_id").agg(F.collect_set("helped_qa_id").alias("helped"))
+    sets = sized.repartition(n, "fragment_id").hint("merge").join(held.repartition(n, "fragment_id"), "fragment_id").groupBy("topic_id", "fragment_id").agg(F.collect_set("helped_qa_id").alias("helped"))
 
     def split(group: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame(columns=["fragment_id", "topic_id", "part"], dtype=object)
@@ -211,16 +262,24 @@ def split_topics(members: DataFrame, help_map: DataFrame, topics: DataFrame, lea
 
 def merge_topics(members: DataFrame, help_map: DataFrame, topics: DataFrame, tau: float = 0.5, least_affinity: float = 0.4) -> DataFrame:
     """``(topic_a, topic_b, merged)``: pairs of topics that help mostly the same questions, greedily in order."""
-    live = members.join(topics.where(F.col("quality").isin(*LIVE)).select("topic_id"), "topic_id", "left_semi")
-    helped = topic_helps(live, help_map)
-    sizes = helped.groupBy("topic_id").agg(F.count("*").alias("n"))
-    common = helped.select("helped_qa_id", F.col("topic_id").alias("topic_a")).join(helped.select("helped_qa_id", F.col("topic_id").alias("topic_b")), "helped_qa_id")
-    common = common.where("topic_a < topic_b").groupBy("topic_a", "topic_b").agg(F.count("*").alias("common"))
+    held = _held(help_map)
+    return _merge_topics(members, held, _overlaps(held, members), topics, tau, least_affinity)
+
+
+def _merge_topics(members: DataFrame, held: DataFrame, overlaps: Overlaps, topics: DataFrame, tau: float = 0.5, least_affinity: float = 0.4) -> DataFrame:
+    """``overlaps`` of all members: those of a topic don't depend on other topics."""
+    alive = topics.where(F.col("quality").isin(*LIVE))
+    live = _only(members, alive)
+    lists = stored(helps_of(live, held).groupBy("helped_qa_id").agg(F.collect_list("topic_id").alias("topics")), "lists")
+    each = lists.select("helped_qa_id", "topics", F.explode("topics").alias("topic_a"))
+    sizes = each.groupBy(F.col("topic_a").alias("topic_id")).agg(F.count("*").alias("n"))
+    common = each.where("helped_qa_id is not null").select("topic_a", F.explode("topics").alias("topic_b")).where("topic_a < topic_b").groupBy("topic_a", "topic_b").agg(F.count("*").alias("common"))
     a, b = (sizes.select(F.col("topic_id").alias(f"topic_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
     pairs = common.join(a, "topic_a").join(b, "topic_b").where(F.col("common") >= tau * (F.col("n_a") + F.col("n_b") - F.col("common")))
-    held = affinity(help_map, live).withColumnRenamed("topic_id", "other").join(live.select("fragment_id", "topic_id"), "fragment_id")
+    near = _only(_affinity(overlaps.rows), alive).withColumnRenamed("topic_id", "other").repartition(overlaps.tasks, "fragment_id")
+    near = near.hint("merge").join(live.select("fragment_id", "topic_id").repartition(overlaps.tasks, "fragment_id"), "fragment_id")
     size = live.groupBy("topic_id").agg(F.count("*").alias("members"))
-    mean = held.groupBy("topic_id", "other").agg(F.sum("affinity").alias("total")).join(size, "topic_id").select("topic_id", "other", (F.col("total") / F.col("members")).alias("mean"))
+    mean = near.groupBy("topic_id", "other").agg(F.sum("affinity").alias("total")).join(size, "topic_id").select("topic_id", "other", (F.col("total") / F.col("members")).alias("mean"))
     there = mean.select(F.col("topic_id").alias("topic_a"), F.col("other").alias("topic_b"), F.col("mean").alias("there"))
     back = mean.select(F.col("topic_id").alias("topic_b"), F.col("other").alias("topic_a"), F.col("mean").alias("back"))
     pairs = stored(pairs.join(there, ["topic_a", "topic_b"]).join(back, ["topic_a", "topic_b"]).where((F.col("there") + F.col("back")) / 2 >= least_affinity).select("topic_a", "topic_b"), "pairs")
@@ -230,11 +289,15 @@ def merge_topics(members: DataFrame, help_map: DataFrame, topics: DataFrame, tau
 
 def redistribute(members: DataFrame, help_map: DataFrame, topics: DataFrame, least: float = 0.1) -> DataFrame:
     """Fragments of dissolved topics: the live topic of most affinity (loyalty .3), or stay (loyalty 0)."""
-    gone = members.join(topics.where("quality = 'dissolved'").select("topic_id"), "topic_id", "left_semi").select("fragment_id", F.col("topic_id").alias("from_topic"))
-    live = members.join(topics.where(F.col("quality").isin(*LIVE)).select("topic_id"), "topic_id", "left_semi")
-    best = affinity(help_map, live).where(F.col("affinity") > least).join(topics.where(F.col("quality").isin(*LIVE)).select("topic_id"), "topic_id", "left_semi")
+    return _redistribute(members, _overlaps(_held(help_map), members), topics, least)
+
+
+def _redistribute(members: DataFrame, overlaps: Overlaps, topics: DataFrame, least: float = 0.1) -> DataFrame:
+    """``overlaps`` of all members: those of a topic don't depend on other topics."""
+    gone = _only(members, topics.where("quality = 'dissolved'")).select("fragment_id", F.col("topic_id").alias("from_topic"))
+    best = _only(_affinity(overlaps.rows).where(F.col("affinity") > least), topics.where(F.col("quality").isin(*LIVE))).repartition(overlaps.tasks, "fragment_id")
     best = best.groupBy("fragment_id").agg(F.max(F.struct("affinity", "topic_id")).alias("best"))
-    rows = gone.join(best, "fragment_id", "left")
+    rows = gone.repartition(overlaps.tasks, "fragment_id").hint("merge").join(best, "fragment_id", "left")
     return rows.select("fragment_id", F.coalesce("best.topic_id", "from_topic").alias("topic_id"), F.when(F.col("best").isNotNull(), 0.3).otherwise(0.0).alias("loyalty"))
 
 
@@ -284,12 +347,14 @@ def run_cycle(
     """One cycle: move fragments, renew topic figures; split and merge topics and deal out dissolved ones
     if more than ``growth`` help rows came since the last cycle, which saw ``helped_before``; then renew
     fragment centrality and, from the four tables of ``cascade``, point and topic vectors."""
-    moved = stored(migrate(help_map, members, topics), "members")
-    renewed = stored(topic_stats(moved, help_map, topics), "topics")
-    live = renewed if help_map.count() > helped_before + growth else renewed.limit(0)
-    split = stored(split_topics(moved, help_map, live), "split")
-    merged = stored(merge_topics(moved, help_map, live), "merged")
-    dealt = stored(redistribute(moved, help_map, live), "dealt")
+    held = _held(help_map)
+    moved = stored(_migrate(held, members, topics), "members")
+    overlaps = _overlaps(held, moved)
+    renewed = stored(_topic_stats(moved, overlaps, topics), "topics")
+    live = renewed if held.count() > helped_before + growth else renewed.limit(0)
+    split = stored(_split_topics(moved, held, live), "split")
+    merged = stored(_merge_topics(moved, held, overlaps, live), "merged")
+    dealt = stored(_redistribute(moved, overlaps, live), "dealt")
     to = merged.select(F.explode(F.array("topic_a", "topic_b")).alias("topic_id"), "merged")
     rows = moved.join(split.select("fragment_id", "part"), "fragment_id", "left").join(to.hint("merge"), "topic_id", "left").join(dealt.select("fragment_id", F.col("topic_id").alias("dealt")), "fragment_id", "left")
     now = F.coalesce("part", "merged", "dealt", "topic_id")
