@@ -23,12 +23,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from gradeloom.batches import bounded_batches, give_back
 from gradeloom.session import scratch_path, stored
 
 #: Rows of a group (about n / 32 between the two), pivots at most, and products that a task holds at once.
 LEAST_ROWS, MOST_ROWS = 256, 8_192
 MOST_PIVOTS = 1_024
-TILE_CELLS = 1 << 21
+TILE_CELLS = 1 << 19
 #: Partners that a group meets in one task, groups whose ranges are broadcast at once, and queries of a block.
 PARTNERS = 64
 RANGES = 1 << 20
@@ -91,9 +92,13 @@ def _placed(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 rows = _matrix(batch.column(at).take(pa.array(mine)), int(width))
                 size[mine] = np.linalg.norm(rows, axis=1)
                 if int(width) in shared.value:
-                    away = _angles(rows, shared.value[int(width)])
-                    near = np.argmin(np.where(np.isnan(away), np.pi, away), axis=1)
-                    cell[mine], angle[mine] = near, away[np.arange(len(near)), near]
+                    pivots = shared.value[int(width)]
+                    step = max(1, TILE_CELLS // len(pivots))
+                    for first in range(0, len(rows), step):
+                        part = mine[first : first + step]
+                        away = _angles(rows[first : first + step], pivots)
+                        near = np.argmin(np.where(np.isnan(away), np.pi, away), axis=1)
+                        cell[part], angle[part] = near, away[np.arange(len(near)), near]
             yield pa.record_batch([*batch.columns, pa.array(widths, pa.int32()), pa.array(cell), pa.array(angle), pa.array(size)], names=[*batch.schema.names, "width", "cell", "angle", "size"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema.fields)
@@ -216,6 +221,14 @@ def dot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return left @ right.T
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one, whatever the size of the batches; a whole batch is never unpacked, and packed vectors stay Arrow buffers."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            values = zip(batch.schema.names, batch.columns)
+            yield {c: v[k].as_buffer() if pa.types.is_binary(v.type) or pa.types.is_large_binary(v.type) else v[k].as_py() for c, v in values}
+
+
 def _rows(row: dict) -> np.ndarray:
     return np.frombuffer(row["rows"], float).reshape(row["n"], row["width"])
 
@@ -233,6 +246,7 @@ def _multiplied(cells: Cells, tau: float, tile: Tile, schema: str, within: bool,
     """What ``tile`` gives for the products of every pair of groups that may reach tau: of (rows of) a group, its partner, the first
     of the rows, the products, and the mask of pairs that count: each once, and of one key, with ``within``; and what ``ended`` gives
     after the last partner of a group."""
+    bounded_batches(cells.groups.sparkSession)
     n = cells.groups.count()
     pairs = group_pairs(cells, tau if kernel is dot else float("-inf"))
     body = ["width", "n", "ids", "keys", "rows", *(["limits"] if "limits" in cells.groups.columns else [])]
@@ -244,7 +258,7 @@ def _multiplied(cells: Cells, tau: float, tile: Tile, schema: str, within: bool,
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = left = None
-        for row in (x for b in batches for x in b.to_pylist()):
+        for row in _each(batches):
             if row["other"] is None:
                 yield from ended()
                 head, left = row, _rows(row)
@@ -262,6 +276,7 @@ def _multiplied(cells: Cells, tau: float, tile: Tile, schema: str, within: bool,
                     counts &= codes[0][first : first + step, None] == codes[1][None, :]
                 yield from tile(head, row, first, score, counts)
         yield from ended()
+        give_back()
 
     return dealt.mapInArrow(multiply, schema)
 
@@ -422,10 +437,11 @@ def _answered(cells: Cells, asked: DataFrame, cap: int, kernel: Kernel) -> DataF
     kind, id_kind = (t.elementType for t in (asked.schema["query_ids"].dataType, cells.groups.schema["ids"].dataType))
     needed = [r[0] for r in asked.select("cell").distinct().collect()]  # as many as there are pivots at most
     groups = cells.groups.where(F.col("cell").isin(needed)).select("group", "ids", "rows", F.col("n").alias("m"))
+    bounded_batches(asked.sparkSession)
     pairs = asked.join(groups.hint("merge"), "group").select("width", "n", "query_ids", "queries", "m", "ids", "rows")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (x for b in batches for x in b.to_pylist()):
+        for row in _each(batches):
             left = np.frombuffer(row["queries"], float).reshape(row["n"], row["width"])
             right = np.frombuffer(row["rows"], float).reshape(row["m"], row["width"])
             step = max(1, TILE_CELLS // max(1, len(right)))

@@ -5,6 +5,7 @@ from contextlib import redirect_stdout
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,15 @@ def test_empty_tables(spark):
     assert vectors.cosine_pairs(rows.limit(0), 0.1).count() == 0
     queries = rows.withColumnRenamed("id", "query_id")
     assert vectors.search(rows.limit(0), queries).count() == 0 and vectors.search(rows, queries.limit(0)).count() == 0
+
+
+def test_workers_hold_one_group_and_a_bounded_tile(spark):
+    """Batches are cut by bytes; of a batch one row at a time is unpacked, and its packed vectors stay buffers."""
+    rows = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(50)], "id long, vector array<float>")
+    assert cells.pairs_at_least(cells.build(rows), 0.5).where("x <> y").count() > 0
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    packed = np.arange(8, dtype=float).tobytes()
+    batch = pa.record_batch([pa.array([4, 4]), pa.array([2, 2]), pa.array([[1, 2, 3, 4], None]), pa.array([packed, packed])], names=["n", "width", "ids", "rows"])
+    each = list(cells._each(iter([batch])))
+    assert [r["ids"] for r in each] == [[1, 2, 3, 4], None] and all(isinstance(r["rows"], pa.Buffer) for r in each)
+    assert cells._rows(each[1]).tolist() == np.arange(8.0).reshape(4, 2).tolist()
