@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -242,25 +243,33 @@ def _codes(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
 Tile = Callable[[dict, dict, int, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]
 
 
-def _multiplied(cells: Cells, tau: float, tile: Tile, schema: str, within: bool, kernel: Kernel = dot, ended: Callable[[], Iterator[pa.RecordBatch]] = lambda: iter(())) -> DataFrame:
-    """What ``tile`` gives for the products of every pair of groups that may reach tau: of (rows of) a group, its partner, the first
-    of the rows, the products, and the mask of pairs that count: each once, and of one key, with ``within``; and what ``ended`` gives
-    after the last partner of a group."""
+def _dealt(cells: Cells, pairs: DataFrame, tasks: int, body: list[str], limits: DataFrame | None = None) -> DataFrame:
+    """A row of an owner (no ``other``; ``own`` if it meets itself) for each part of its partners, and after it a row of each of them.
+    With ``limits(of, limits)`` owners that have some only, and these along with the owner's row."""
     bounded_batches(cells.groups.sparkSession)
-    n = cells.groups.count()
-    pairs = group_pairs(cells, tau if kernel is dot else float("-inf"))
-    body = ["width", "n", "ids", "keys", "rows", *(["limits"] if "limits" in cells.groups.columns else [])]
+    if limits is not None:
+        pairs = pairs.join(limits.select("of").hint("merge"), F.col("owner") == F.col("of"), "left_semi")
     groups = cells.groups.select("group", *body)
     owners = pairs.groupBy("owner", "part").agg(F.max((F.col("owner") == F.col("other")).cast("int")).alias("own"))
     heads = owners.join(groups.hint("merge"), F.col("owner") == F.col("group")).select("owner", "part", F.lit(None).cast("long").alias("other"), "own", *body)
     partners = pairs.where("owner <> other").join(groups.hint("merge"), F.col("other") == F.col("group")).select("owner", "part", "other", F.lit(0).alias("own"), *body)
-    dealt = heads.union(partners).repartition(max(1, min(n * max(1, n // PARTNERS), 100_000)), "owner", "part").sortWithinPartitions("owner", "part", F.col("other").asc_nulls_first())
+    if limits is not None:
+        heads = heads.join(limits.hint("merge"), F.col("owner") == F.col("of")).drop("of")
+        partners = partners.withColumn("limits", F.lit(None).cast(limits.schema["limits"].dataType))
+    return heads.union(partners).repartition(max(1, min(tasks, 100_000)), "owner", "part").sortWithinPartitions("owner", "part", F.col("other").asc_nulls_first())
+
+
+def _multiplied(cells: Cells, tau: float, tile: Tile, schema: str, within: bool, kernel: Kernel = dot) -> DataFrame:
+    """What ``tile`` gives for the products of every pair of groups that may reach tau: of (rows of) a group, its partner, the first
+    of the rows, the products, and the mask of pairs that count: each once, and of one key, with ``within``."""
+    n = cells.groups.count()
+    pairs = group_pairs(cells, tau if kernel is dot else float("-inf"))
+    dealt = _dealt(cells, pairs, n * max(1, n // PARTNERS), ["width", "n", "ids", "keys", "rows"])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = left = None
         for row in _each(batches):
             if row["other"] is None:
-                yield from ended()
                 head, left = row, _rows(row)
                 if not row["own"]:
                     continue
@@ -275,7 +284,6 @@ def _multiplied(cells: Cells, tau: float, tile: Tile, schema: str, within: bool,
                 if codes is not None:
                     counts &= codes[0][first : first + step, None] == codes[1][None, :]
                 yield from tile(head, row, first, score, counts)
-        yield from ended()
         give_back()
 
     return dealt.mapInArrow(multiply, schema)
@@ -295,86 +303,232 @@ def pairs_at_least(cells: Cells, tau: float, within: bool = False, kernel: Kerne
     return stored(_multiplied(cells, tau, tile, f"x {kind}, y {kind}, score double", within, kernel), "scores")
 
 
-#: Bins of a round of selection, values that end the rounds, and the width of a range that does.
-SELECT_BINS = 512
-SELECT_VALUES = 50_000
-SELECT_WIDTH = 1e-7
+#: Bins of a key in a round of selection at most, and pairs that a bin is for in the largest keys; products that are looked at one by
+#: one, and the width of a range that is narrow enough for it anyway; more than products of one pair of rows in double precision differ by.
+SELECT_BINS = 1 << 16
+BIN_PAIRS = 2_048
+SELECT_VALUES = 1 << 18
+SELECT_WIDTH = 1e-12
+SLIVER = 1e-14
+#: Rows and columns of products that are counted at once, so that they stay in a core's cache.
+TILE_SIDE = 512
+#: Products of a task, about, and bins that it holds before it hands its counts on.
+TASK_PRODUCTS = 1 << 26
+HELD_BINS = 1 << 22
 
 
-def medians_within(cells: Cells, centres: DataFrame | None = None) -> DataFrame:
-    """``(key, n, median)`` of the products of each key's pairs; with ``centres(key, centre)`` of their distances to the key's centre.
+class _Counts:
+    """Counts of one key's products by pieces: the products of a piece lie between its ends.
 
-    No pair is kept: a round counts products in bins of each key's range and narrows it to the bins of the two middle ones, until few
-    values are left in it, which are counted one by one. Keys of fewer than two rows have no row. A null key is a key.
+    Products are made in single precision, whose error ``slack`` bounds for rows no longer than 1. Without ranges, pieces are bins of
+    all that is possible, wider by the slack. With ranges, products clearly outside count for the gap that they are in, and those in or
+    near a range are made again in double precision; they count for one of its bins, which ends at its least and most, or, with no bins, as they are.
+    """
+
+    def __init__(self, bins: int, ranges: list[dict] | None, width: int):
+        self.bins, self.slack = bins, (width + 16) * 2.0**-23
+        self.whole = bins > 0 and ranges is None
+        if self.whole:
+            self.reach = 1.0 + 4 * self.slack
+            self.inside = np.zeros(bins + 1, np.int64)  # the last one for what isn't a pair
+            return
+        joint: list[list[float]] = []
+        for low, high in sorted((r["low"], r["high"]) for r in ranges or [{"low": -2.0, "high": 2.0}]):
+            if joint and low <= joint[-1][1]:
+                joint[-1][1] = max(high, joint[-1][1])
+            else:
+                joint.append([low, high])
+        self.lows, self.highs = np.array(joint).T
+        self.gaps = np.zeros(len(joint) + 1, np.int64)
+        self.inside = np.zeros(len(joint) * bins, np.int64)
+        self.least, self.most = np.full(len(self.inside), np.inf), np.full(len(self.inside), -np.inf)
+        self.values, self.waiting, self.waits = np.zeros(0), [], 0
+        self.windows: list[list] = []  # what may lie in a range, and the gap below it
+        for k, (low, high) in enumerate(joint):
+            if self.windows and low - self.slack <= self.windows[-1][1]:
+                self.windows[-1][1] = high + self.slack
+            else:
+                self.windows.append([low - self.slack, high + self.slack, k])
+
+    def add(self, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], own: bool) -> None:
+        """Count the products of two blocks of rows, each in double and in single precision; of a block with itself each pair once."""
+        rows = left[1] * np.float32(self.bins / (2 * self.reach)) if self.whole else left[1]
+        for first in range(0, len(rows), TILE_SIDE):
+            for start in range(first if own else 0, len(right[1]), TILE_SIDE):
+                score = rows[first : first + TILE_SIDE] @ right[1][start : start + TILE_SIDE].T
+                pairs, twice = score.size, own and start == first
+                if self.whole:
+                    score += np.float32(self.bins / 2)
+                if twice:
+                    score[np.tril_indices(len(score))] = self.bins if self.whole else np.nan
+                    pairs -= len(score) * (len(score) + 1) // 2
+                if self.whole:
+                    self.inside += np.bincount(score.ravel().astype(np.int64), minlength=self.bins + 1)
+                else:
+                    self._place(score.ravel(), pairs, left[0][first : first + TILE_SIDE], right[0][start : start + TILE_SIDE])
+
+    def _place(self, score: np.ndarray, pairs: int, left: np.ndarray, right: np.ndarray) -> None:
+        before, near, under = 0, np.zeros(len(score), bool), np.empty(len(score), bool)
+        for low, high, gap in self.windows:
+            np.less(score, low, out=under)
+            self.gaps[gap] += np.count_nonzero(under) - before
+            near ^= under
+            np.less_equal(score, high, out=under)
+            before = np.count_nonzero(under)
+            near ^= under
+        self.gaps[-1] += pairs - before
+        at = np.flatnonzero(near)  # what is under a window's upper end, but not under its lower one
+        if len(at) * 32 < len(score):
+            i, j = np.divmod(at, len(right))
+            self._exact(np.einsum("ij,ij->i", left[i], right[j]))
+        else:
+            self._exact((left @ right.T).ravel()[at])
+
+    def _exact(self, x: np.ndarray) -> None:
+        at, above = np.searchsorted(self.lows, x, "right"), np.searchsorted(self.highs, x, "left")
+        out = at == above
+        if out.any():
+            self.gaps += np.bincount(at[out], minlength=len(self.gaps))
+            x, above = x[~out], above[~out]
+        wide = (self.highs - self.lows)[above]
+        nth = np.minimum(((x - self.lows[above]) * (self.bins / wide)).astype(np.int64), self.bins - 1)
+        self.waiting.append((x, above * self.bins + nth))
+        self.waits += len(x)
+        if self.waits > TILE_CELLS:
+            self._merge()
+
+    def _merge(self) -> None:
+        if self.waiting:
+            x, at = (np.concatenate(v) for v in zip(*self.waiting))
+            if self.bins:
+                self.inside += np.bincount(at, minlength=len(self.inside))
+                np.minimum.at(self.least, at, x)
+                np.maximum.at(self.most, at, x)
+            else:
+                n = np.concatenate([self.inside, np.ones(len(x), np.int64)])
+                self.values, at = np.unique(np.concatenate([self.values, x]), return_inverse=True)
+                self.inside = np.bincount(at, weights=n).astype(np.int64)
+        self.waiting, self.waits = [], 0
+
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where a piece begins, which is the same in all tasks, the ends of what was counted in it, and counts."""
+        if self.whole:
+            at, wide = np.flatnonzero(self.inside[:-1]), 2 * self.reach / self.bins
+            low = at * wide - self.reach - self.slack
+            return low, low, low + wide + 2 * self.slack, self.inside[at]
+        self._merge()
+        begin, low, high, n = self.values, self.values, self.values, self.inside
+        if self.bins:
+            at = np.flatnonzero(self.inside)
+            k, nth = np.divmod(at, self.bins)
+            begin, low, high, n = self.lows[k] + nth * ((self.highs - self.lows)[k] / self.bins), self.least[at], self.most[at], self.inside[at]
+        some = self.gaps > 0
+        under, over = np.append(-2.0, self.highs)[some], np.append(self.lows, 2.0)[some]
+        return np.concatenate([under, begin]), np.concatenate([under, low]), np.concatenate([over, high]), np.concatenate([self.gaps[some], n])
+
+
+def _by_key(row: dict, names: dict) -> dict:
+    """A group's rows in double and in single precision by key, of the keys named."""
+    rows, at = _rows(row), {}
+    for k, name in enumerate(row["keys"]):
+        if name in names:
+            at.setdefault(name, []).append(k)
+    mine = {name: rows if len(k) == len(rows) else rows[k] for name, k in at.items()}
+    return {name: (x, x.astype(np.float32)) for name, x in mine.items()}
+
+
+def _brackets(counts: DataFrame) -> DataFrame:
+    """``(key, total, one, two, mid, first, second, inside)`` from counts by pieces: ranges that hold the two middle products, their
+    mean, the two middle distances to that mean, and how many products stand where one of the four can be."""
+    key = W.partitionBy("key")
+    ranks = (F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2))
+
+    def upto(name: str):
+        return F.sum("n").over(key.orderBy(name).rowsBetween(W.unboundedPreceding, 0)).alias(name)
+
+    def placed(name: str, rank):
+        return F.max(F.when((F.col(f"upto_{name}") > rank) & (F.col(f"upto_{name}") - F.col("n") <= rank), F.col(name))).over(key)
+
+    def between(low: str, high: str, rank):
+        return F.struct(placed(low, rank).alias("low"), placed(high, rank).alias("high"))
+
+    rows = counts.withColumns({"total": F.sum("n").over(key), "upto_low": upto("low"), "upto_high": upto("high")})
+    rows = rows.withColumns({"one": between("low", "high", ranks[0]), "two": between("low", "high", ranks[1])})
+    rows = rows.withColumn("mid", F.struct(*(((F.col(f"one.{e}") + F.col(f"two.{e}")) / 2).alias(e) for e in ("low", "high"))))
+    up, down = F.col("low") - F.col("mid.high"), F.col("mid.low") - F.col("high")
+    rows = rows.withColumns({"near": F.greatest(F.lit(0.0), up, down), "far": F.greatest(F.col("high") - F.col("mid.low"), F.col("mid.high") - F.col("low"))})
+    rows = rows.withColumns({"upto_near": upto("near"), "upto_far": upto("far")})
+    rows = rows.withColumns({"first": between("near", "far", ranks[0]), "second": between("near", "far", ranks[1])})
+    met = [(F.col(high) >= F.col(f"{r}.low")) & (F.col(low) <= F.col(f"{r}.high")) for r, low, high in (("one", "low", "high"), ("two", "low", "high"), ("first", "near", "far"), ("second", "near", "far"))]
+    found = [F.first(c).alias(c) for c in ("total", "one", "two", "mid", "first", "second")]
+    return rows.groupBy("key").agg(*found, F.sum(F.when(met[0] | met[1] | met[2] | met[3], F.col("n"))).alias("inside"))
+
+
+def medians_within(cells: Cells) -> DataFrame:
+    """``(key, n, median, mad)`` of the products of each key's pairs: their number, median, and median distance to the median.
+
+    For rows no longer than 1. Exact, and no pair is kept: a round counts all products of the keys still open in pieces of their
+    range, which give ranges for the middle ones and for the middle distances to them; the next round counts in pieces of these, until
+    they are single values. Keys of fewer than two rows have no row. A null key is a key.
     """
     key = cells.groups.schema["keys"].dataType.elementType
     kind, key_type = key.simpleString(), to_arrow_type(key)
-    narrow = centres
-    if centres is not None:
-        narrow = centres.select("key", "centre", F.lit(0.0).alias("low"), F.lit(4.0).alias("high"))
-    schema = f"key {kind}, at double, n long"
-
-    def counted(limits: DataFrame | None, values: bool) -> DataFrame:
-        """Counts by bin (the bin's lower end) or by value; what lies below the range counts at -inf, above it at inf."""
-        made = cells
-        if limits is not None:  # ranges come along with the groups
-            each = cells.groups.select("group", F.posexplode("keys").alias("at", "k")).select("group", "k").distinct()
-            own = each.join(limits.hint("merge"), F.col("k").eqNullSafe(F.col("key"))).groupBy("group").agg(F.collect_list(F.struct("k", "centre", "low", "high")).alias("limits"))
-            made = Cells(stored(cells.groups.join(own.withColumnRenamed("group", "g").hint("merge"), F.col("group") == F.col("g")).drop("g"), "groups"), cells.pivots)
-
-        def tile(head: dict, row: dict, first: int, score: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            i, j = np.nonzero(counts)
-            if not len(i):
-                return
-            found: dict = {}
-            codes = np.array([found.setdefault(k, len(found)) for k in head["keys"]])[first + i]
-            names, x = list(found), score[i, j]
-            limit = {e["k"]: e for e in head.get("limits") or []}
-            low, high, centre = (np.array([limit.get(k, default)[c] for k in names]) for c in ("low", "high", "centre"))
-            x = np.where(np.isnan(centre[codes]), x, np.abs(x - centre[codes]))
-            inside = x if values else low[codes] + np.floor((x - low[codes]) * (SELECT_BINS / (high - low)[codes])) * ((high - low)[codes] / SELECT_BINS)
-            at = np.where(x < low[codes], -np.inf, np.where(x > high[codes], np.inf, inside))
-            for code in np.unique(codes):
-                places, n = np.unique(at[codes == code], return_counts=True)
-                if names[code] in held:
-                    before, m = held[names[code]]
-                    places, where = np.unique(np.concatenate([before, places]), return_inverse=True)
-                    n = np.bincount(where, weights=np.concatenate([m, n])).astype(np.int64)
-                held[names[code]] = places, n
-            yield from ()
+    spark, bins, few = cells.groups.sparkSession, SELECT_BINS, min(SELECT_VALUES, 1 << 10)
+    pairs = group_pairs(cells, float("-inf"))
+    n, rows = cells.groups.agg(F.count("*"), F.sum("n")).first()
+    products = pairs.count() * ((rows or 0) / max(1, n)) ** 2
+    tasks = min(2 * pairs.select("owner", "part").distinct().count(), max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(products / TASK_PRODUCTS)))
+    each = stored(cells.groups.select("group", F.explode(F.array_distinct("keys")).alias("k")), "each")
+    ranged = "array<struct<low:double,high:double>>"
+
+    def binned(expected):
+        return F.greatest(F.lit(64), F.least(F.lit(bins), F.greatest(2 * F.sqrt(expected), expected / BIN_PAIRS))).cast("int")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, held, mine = {}, {}, {}
 
         def ended() -> Iterator[pa.RecordBatch]:
-            for name, (places, n) in held.items():
-                yield pa.record_batch([pa.array([name] * len(n), key_type), pa.array(places), pa.array(n.astype(np.int64))], names=["key", "at", "n"])
+            for (name, _), counts in held.items():
+                at, low, high, n = counts.pieces()
+                yield pa.record_batch([pa.repeat(pa.scalar(name, key_type), len(n)), *map(pa.array, (at, low, high, n))], names=["key", "at", "low", "high", "n"])
             held.clear()
 
-        held: dict = {}
-        default = {"low": -1.0 - SLACK, "high": 1.0 + SLACK, "centre": float("nan")}
-        return stored(_multiplied(made, float("-inf"), tile, schema, True, ended=ended).groupBy("key", "at").agg(F.sum("n").alias("n")), "counts")
-
-    def middle(counts: DataFrame) -> DataFrame:
-        """The places of the two middle ones of each key, and how many values stand there or between."""
-        w = W.partitionBy("key").orderBy("at")
-        rows = counts.withColumns({"upto": F.sum("n").over(w), "total": F.sum("n").over(W.partitionBy("key"))})
-        holds = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
-        first, second = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-        return rows.groupBy("key").agg(
-            F.first("total").alias("n"), F.max(F.when(holds(first), F.col("at"))).alias("one"), F.max(F.when(holds(second), F.col("at"))).alias("two"),
-            F.sum(F.when((F.col("upto") > first) & (F.col("upto") - F.col("n") <= second), F.col("n"))).alias("inside"),
-        )
-
-    width, inside = (4.0 if centres is not None else 2.0), None
-    while inside is None or (inside > SELECT_VALUES and width > SELECT_WIDTH):
-        found = stored(middle(counted(narrow, False)), "middle")
-        inside = found.agg(F.max("inside")).first()[0] or 0
-        width_of = F.col("step") * 2
-        steps = found.withColumn("step", F.lit(width / SELECT_BINS))
-        own = steps.select(F.col("key").alias("k"), (F.col("one") - width_of).alias("low"), (F.col("two") + width_of).alias("high"))
-        old = None if centres is None else centres.select(F.col("key").alias("kk"), "centre")
-        joined = own.withColumn("centre", F.lit(float("nan"))) if old is None else own.join(old.hint("merge"), F.col("k").eqNullSafe(F.col("kk"))).drop("kk")
-        narrow = stored(joined.select(F.col("k").alias("key"), "centre", "low", "high"), "limits")
-        width = narrow.agg(F.max(F.col("high") - F.col("low"))).first()[0] or 0.0
-    return middle(counted(narrow, True)).select("key", "n", ((F.col("one") + F.col("two")) / 2).alias("median"))
+        for row in _each(batches):
+            if row["other"] is None:
+                if sum(64 + len(c.inside) for c in held.values()) > HELD_BINS:
+                    yield from ended()
+                for e in row["limits"]:
+                    if (e["k"], row["width"]) not in held:
+                        held[e["k"], row["width"]] = _Counts(e["bins"], e["ranges"], row["width"])
+                mine = {e["k"]: held[e["k"], row["width"]] for e in row["limits"]}
+                head = _by_key(row, mine)
+            if row["other"] is not None or row["own"]:
+                for name, rows in (head if row["other"] is None else _by_key(row, mine)).items():
+                    mine[name].add(head[name], rows, row["other"] is None)
+        yield from ended()
+        give_back()
+
+    size = F.count("*").cast("long")
+    rows = cells.groups.select(F.explode("keys").alias("key")).groupBy("key").agg((size * (size - 1) / 2).alias("pairs")).where("pairs > 0")
+    limits = stored(rows.select("key", F.when(F.col("pairs") > few, binned(F.col("pairs"))).otherwise(0).alias("bins"), F.lit(None).cast(ranged).alias("ranges")), "limits")
+    done = []
+    while True:
+        own = each.join(limits.hint("merge"), F.col("k").eqNullSafe(F.col("key"))).groupBy(F.col("group").alias("of")).agg(F.collect_list(F.struct("k", "bins", "ranges")).alias("limits"))
+        dealt = _dealt(cells, pairs, tasks, ["width", "n", "keys", "rows"], stored(own, "limits"))
+        counts = dealt.mapInArrow(count, f"key {kind}, at double, low double, high double, n long")
+        counts = counts.groupBy("key", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+        found = stored(_brackets(stored(counts, "counts")), "brackets")
+        wide = {c: F.col(f"{c}.high") - F.col(f"{c}.low") for c in ("one", "two", "mid", "first", "second")}
+        widest = F.greatest(wide["one"], wide["two"], wide["mid"] + wide["first"], wide["mid"] + wide["second"])
+        done.append(found.where(widest == 0).select("key", F.col("total").alias("n"), F.col("mid.low").alias("median"), ((F.col("first.low") + F.col("second.low")) / 2).alias("mad")))
+        ends = [(F.col(f"{c}.low"), F.col(f"{c}.high")) for c in ("one", "two")]
+        for c in ("first", "second"):
+            ends += [(F.col("mid.low") - F.col(f"{c}.high"), F.col("mid.high") - F.col(f"{c}.low")), (F.col("mid.low") + F.col(f"{c}.low"), F.col("mid.high") + F.col(f"{c}.high"))]
+        ranges = F.array(*(F.struct((low - SLIVER).alias("low"), (high + SLIVER).alias("high")) for low, high in ends))
+        values = (F.col("inside") <= SELECT_VALUES) | (widest <= SELECT_WIDTH)
+        limits = stored(found.where(widest > 0).select("key", F.when(values, 0).otherwise(binned(F.col("inside"))).alias("bins"), ranges.alias("ranges")), "limits")
+        if limits.isEmpty():
+            return reduce(DataFrame.union, done)
 
 
 def _best(score: np.ndarray, cap: int) -> np.ndarray:

@@ -31,8 +31,9 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def unit(a: Column) -> Column:
-    size = norm(a)
-    return F.when(size > 0, F.transform(a, lambda x: x / size)).otherwise(a)
+    """``a`` at length 1. The vector and its length are bound as elements of arrays, or they would be worked out for every component."""
+    scaled = lambda v, size: F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v)
+    return F.transform(F.array(a), lambda v: F.transform(F.array(norm(v)), lambda size: scaled(v, size))[0])[0]
 
 
 def similar_pairs(vectors: DataFrame, tau: float, encoder: str) -> DataFrame:
@@ -337,9 +338,7 @@ def kp_thresholds(members: DataFrame, floor: float = 0.50) -> DataFrame:
     The members' pairs are counted, not made: see ``cells.medians_within``. Members without a whole vector have no pairs.
     """
     made = cells.build(members.select("id", unit(F.col("vector").cast("array<double>")).alias("vector"), "kp_id"), within="kp_id")
-    middle = stored(cells.medians_within(made), "medians")
-    away = cells.medians_within(made, middle.select("key", F.col("median").alias("centre"))).select(F.col("key").alias("of"), F.col("median").alias("mad"))
-    found = middle.join(away.hint("merge"), F.col("key").eqNullSafe(F.col("of"))).select("key", "median", "mad")
+    found = stored(cells.medians_within(made).select("key", "median", "mad"), "medians")
     sizes = members.groupBy("kp_id").agg(F.count("*").alias("n"))
     value = F.when(F.col("n") >= 3, F.greatest(F.lit(floor), F.col("median") - F.col("mad"))).otherwise(floor)
     return sizes.join(found.hint("merge"), F.col("kp_id").eqNullSafe(F.col("key")), "left").select("kp_id", "n", value.alias("threshold"))

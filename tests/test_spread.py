@@ -1,6 +1,7 @@
 """What used to be one task's work, spread over tasks: against the sequential rule."""
 
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.operators import cells, graph, vectors
-from gradeloom.session import local_session
+from gradeloom.session import local_session, stored
 
 
 @pytest.fixture(scope="module")
@@ -115,3 +116,65 @@ def test_thresholds_of_points(spark, monkeypatch):
         found = {r.kp_id: (r.n, r.threshold) for r in vectors.kp_thresholds(frame, 0.1).collect()}
         assert {k: n for k, (n, _) in found.items()} == sizes
         assert all(abs(found[k][1] - t) < 1e-12 for k, t in expected.items())
+
+
+def test_medians_in_few_passes(spark, monkeypatch):
+    """Median and MAD of all pairs by three passes over them at most (four where few are taken as values): a key in several groups, products in two heaps, equal rows, rows of unlike widths, null keys."""
+    draw = np.random.default_rng(8)
+    one = np.concatenate([np.ones((30, 8)), -np.ones((33, 8))])
+    made = {"hot": [1 + draw.normal(size=(1700, 8))], "heaps": [one + 0.01 * draw.normal(size=one.shape)], "same": [np.ones((400, 8))], "widths": [draw.normal(size=(40, 8)), draw.normal(size=(70, 3))], "apart": [draw.normal(size=(1, 8)), draw.normal(size=(1, 3))], None: [draw.normal(size=(50, 8))], "pair": [draw.normal(size=(2, 8))]}
+    rows, expected = [], {}
+    for k, blocks in made.items():
+        units = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in blocks]
+        rows += [(k, v.tolist()) for u in units for v in u]
+        sims = np.concatenate([(u @ u.T)[np.triu_indices(len(u), 1)] for u in units])
+        if len(sims):
+            expected[k] = (len(sims), np.median(sims), np.median(np.abs(sims - np.median(sims))))
+    frame = spark.createDataFrame([(n, k, v) for n, (k, v) in enumerate(rows)], "id long, key string, vector array<double>").repartition(4)
+    kept, passes = cells.stored, []
+    monkeypatch.setattr(cells, "stored", lambda df, label: (passes.append(label), kept(df, label))[1])
+    groups = cells.build(frame, within="key")
+    for values, most in ((cells.SELECT_VALUES, 3), (2_000, 4)):
+        monkeypatch.setattr(cells, "SELECT_VALUES", values)
+        passes.clear()
+        found = {r.key: (r.n, r["median"], r.mad) for r in cells.medians_within(groups).collect()}
+        assert passes.count("counts") <= most
+        assert found.keys() == expected.keys()
+        for k, (n, median, mad) in expected.items():
+            assert found[k][0] == n and abs(found[k][1] - median) < 1e-12 and abs(found[k][2] - mad) < 1e-12, k
+
+
+@pytest.mark.parametrize("bins, ranges", [(1000, None), (0, None), (500, [(-0.3, -0.1), (0.2, 0.2 + 1e-13), (0.2 + 1e-7, 0.4), (0.35, 0.5)]), (0, [(-0.3, -0.1), (0.0, 0.001)])])
+def test_pieces_hold_their_products(bins, ranges):
+    """Every product counts once, in a piece that it lies in; of a block with itself each pair once."""
+    draw = np.random.default_rng(9)
+    x, y = ((v / np.linalg.norm(v, axis=1, keepdims=True)) for v in (draw.normal(size=(1100, 7)), draw.normal(size=(600, 7))))
+    x[5] = x[900] = y[3]
+    counts = cells._Counts(bins, ranges and [{"low": a, "high": b} for a, b in ranges], 7)
+    both = [(v, v.astype(np.float32)) for v in (x, y)]
+    counts.add(both[0], both[1], False)
+    counts.add(both[0], both[0], True)
+    _, low, high, n = counts.pieces()
+    products = np.sort(np.concatenate([(x @ y.T).ravel(), (x @ x.T)[np.triu_indices(len(x), 1)]]))
+    assert n.sum() == len(products)
+    at_least, at_most = (np.repeat(e[order], n[order]) for e in (low, high) for order in [np.argsort(e)])
+    assert (at_least <= products + 1e-15).all() and (products <= at_most + 1e-15).all()
+    if ranges:  # as fine as asked for, inside the ranges
+        inside = np.any([(products > a + 1e-12) & (products < b - 1e-12) for a, b in ranges], axis=0)
+        assert (at_most - at_least)[inside].max() < (0.3 / bins + 1e-12 if bins else 1e-15)
+
+
+def test_units_of_wide_vectors(spark):
+    """A vector's length is worked out once, not for each of its components; vectors without length and null ones stay as they are."""
+    took = {}
+    for width in (16, 1024):
+        rows = spark.range((1 << 18) // width, numPartitions=4).select(F.transform(F.sequence(F.lit(1), F.lit(width)), lambda x: F.sin(x + F.col("id"))).alias("v"))
+        rows = stored(rows, "rows")
+        for _ in range(2):
+            began = time.time()
+            least, most = rows.select(vectors.norm(vectors.unit(F.col("v"))).alias("size")).agg(F.min("size"), F.max("size")).first()
+            took[width] = time.time() - began
+        assert abs(least - 1) < 1e-12 and abs(most - 1) < 1e-12
+    assert took[1024] < 4 * took[16] + 2
+    odd = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([],), ([1.0, None],)], "v array<double>").select(vectors.unit(F.col("v")))
+    assert [r[0] for r in odd.collect()] == [[0.6, 0.8], [0.0, 0.0], None, [], [1.0, None]]
